@@ -108,10 +108,8 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, n_rows: int, size: int) -> tu
     key, row = [mix(total[whole], 1)], [rows[: len(total)][whole]]
     for r in np.flatnonzero((counts > 0) & (counts < size)):
         a, b = np.searchsorted(rows, [r, r + 1])
-        value = np.uint64(0)
-        for j, h in enumerate(hashes[a:b]):
-            value = value + h * powers(size + 1)[j] if j else h * np.uint64(1)
-        key.append(mix(np.array([value], np.uint64), 2 + int(b - a)))
+        value = (hashes[a:b] * powers(size + 1)[: b - a]).sum(keepdims=True)
+        key.append(mix(value, 2 + int(b - a)))
         row.append(np.array([r], rows.dtype))
     key, row = np.concatenate(key), np.concatenate(row)
     order = np.lexsort((key, row))
