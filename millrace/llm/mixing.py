@@ -85,7 +85,7 @@ def plan(sizes: list[int], weights: list[int], most: int = 3, shards: int = 16,
     return {"block": block, "targets": share, "quotas": quotas}
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 42, shards: int = 16, rows_per_bucket: int = 50_000) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 42, shards: int = 16, rows_per_bucket: int = 4_000) -> DataFrame:
     """docs with size, source_size, target, taken, cycles (whole copies taken) and part (words of one further,
     partial copy). docs needs doc_id, text, source.
 
