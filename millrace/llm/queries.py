@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing, ngram_join, packing, token_ids, toxicity
+from millrace.llm import mixing, ngram_join, packing, quality, token_ids, toxicity
 from millrace.llm.store import shared_dir
 
 
@@ -41,6 +41,15 @@ def op5_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.read(spark, path)
 
 
+def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    base = quality.base(docs)
+    # the base verdict stands for the two rules it is made of
+    others = [r for r in quality.rules() if r.name not in ("few_words", "repeated_words")]
+    out = quality.cascade(base, others, after=F.col("base_failed"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept"))
+
+
 def op9_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -53,8 +62,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_elias_fano_ids": op5_elias_fano_ids,
+    "op6_quality_cascade": op6_quality_cascade,
     "op9_sainte_lague_mix": op9_sainte_lague_mix,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+
+ORACLES: dict[str, str] = {
+    "op6_quality_cascade": rf"""
+with t as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '{_WORD}') as ws,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) as ls from t),
+g as (select r, unnest(range(1, len(ws) - 1)) as i, ws from w where len(ws) >= 3),
+h as (select r, i, count(*) over (partition by r, ws[i], ws[i + 1], ws[i + 2]) as n from g),
+p as (select r, i, lead(i) over (partition by r order by i) as j from h where n > 1),
+q as (select r, sum(least(3, coalesce(j - i, 3))) as n_repeat_words from p group by r),
+b as (select doc_id, text, cast(len(ws) as bigint) as n_words,
+        cast(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) as bigint) as word_chars,
+        cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+        cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines, len(ls) as n_lines,
+        cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words
+      from w left join q using (r)),
+f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from b)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not (base_failed or 10 * n_symbols > 3 * n_words or word_chars < 2 * n_words or word_chars > 20 * n_words
+    or 100 * n_dup_lines > 60 * n_lines
+    or 2 * length(regexp_replace(text, '[^\p{{L}}]+', '', 'g')) < word_chars) as kept
+from f""",
+}
