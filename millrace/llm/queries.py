@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing, ngram_join, packing, quality, token_ids, toxicity
+from millrace.llm import mixing, ngram_join, packing, pii, quality, token_ids, toxicity
 from millrace.llm.store import shared_dir
 
 
@@ -50,6 +50,12 @@ def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept"))
 
 
+def op7_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(documents(spark, sf_dir).select("doc_id", "text"))
+    counts = {f"n_{k}": pii.count(F.col("base_spans"), k) for k in pii.BASE}
+    return out.withColumns(counts | {"base_sha256": F.sha2(pii.joined(F.col("base_spans")), 256), "_all": pii.joined(F.col("spans"))}).select("doc_id", *counts, "base_sha256", F.col("_all").alias("spans"))
+
+
 def op9_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_elias_fano_ids": op5_elias_fano_ids,
     "op6_quality_cascade": op6_quality_cascade,
+    "op7_pii_boosting": op7_pii_boosting,
     "op9_sainte_lague_mix": op9_sainte_lague_mix,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
