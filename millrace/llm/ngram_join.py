@@ -194,7 +194,7 @@ def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 
 
 def join(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = 1_500_000) -> DataFrame:
-    """doc_id, n_shingles, component_id per row of docs (doc_id, text): rows link when 100 * intersection is at least
+    """doc_id, text_hash (xxhash64), n_shingles, component_id per row of docs (doc_id, text): rows link when 100 * intersection is at least
     percent * union of their sets of distinct word shingles; component_id is the least doc_id that links reach.
 
     Null, empty and blank texts have no shingles and are linked with nothing (component_id is their own doc_id); a text
@@ -268,5 +268,5 @@ def join(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = 1_50
     named = firsts.select("cid", "doc").join(labels, "cid", "left").select("cid", "doc", F.coalesce("root", "cid").alias("root"))
     least_doc = named.groupBy("root").agg(F.min("doc").alias("component_id"))
     named = named.join(least_doc, "root").select("cid", "component_id")
-    rows = table.select(F.col("_doc").alias("doc_id"), F.col("n").alias("n_shingles"), "cid").join(named, "cid", "left")
-    return rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    rows = table.select(F.col("_doc").alias("doc_id"), F.col("_text").alias("text_hash"), F.col("n").alias("n_shingles"), "cid").join(named, "cid", "left")
+    return rows.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -177,7 +177,7 @@ def pieces(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = 2048)
     return docs.select("doc_id", "text").mapInArrow(cut_up, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = 2048, groups: int = 48, per_bucket: int = 200_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = 2048, groups: int = 48, per_bucket: int = 5_000) -> DataFrame:
     """Pieces with sequence_id and offset. Sequences are numbered from 0; a sequence has no gaps.
 
     Null and empty texts are pieces of length 1 (the end id); repeated rows and doc_ids are packed each by itself;
