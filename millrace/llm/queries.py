@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing, ngram_join, packing, pii, quality, spotsigs, token_ids, toxicity
+from millrace.llm import mixing, ngram_join, packing, pii, quality, spotsigs, suffix_dedup, token_ids, toxicity
 from millrace.llm.store import shared_dir
 
 
@@ -60,6 +60,10 @@ def op7_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns(counts | {"base_sha256": F.sha2(pii.joined(F.col("base_spans")), 256), "_all": pii.joined(F.col("spans"))}).select("doc_id", *counts, "base_sha256", F.col("_all").alias("spans"))
 
 
+def op8_suffix_array_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir), length=100).drop("spans")
+
+
 def op9_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_elias_fano_ids": op5_elias_fano_ids,
     "op6_quality_cascade": op6_quality_cascade,
     "op7_pii_boosting": op7_pii_boosting,
+    "op8_suffix_array_family": op8_suffix_array_family,
     "op9_sainte_lague_mix": op9_sainte_lague_mix,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
