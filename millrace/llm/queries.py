@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing, ngram_join, packing, pii, quality, spotsigs, suffix_dedup, token_ids, toxicity
+from millrace.llm import katz, mixing, ngram_join, packing, pii, quality, spotsigs, suffix_dedup, token_ids, toxicity
 from millrace.llm.store import shared_dir
 
 
@@ -27,6 +27,10 @@ def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compare_neighbours(documents(spark, sf_dir))
 
 
+def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 5 != 1)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -74,6 +78,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": op1_spotsigs,
+    "op2_katz_backoff": op2_katz_backoff,
     "op3_toxicity": op3_toxicity,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_elias_fano_ids": op5_elias_fano_ids,
