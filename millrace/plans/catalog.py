@@ -1,4 +1,539 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the test tables, and the same in SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Raw doubles are rounded where they are compared or returned. SQL strings are for an engine that has list functions and
+`lambda x: ...`.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from millrace.functions import schedules
+from millrace.functions import text as X
+from millrace.operators import batching, corpus, distill, evaluation, selection, sequences
+from millrace.operators.order import prefix_sum, row_number, seeded
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+PACK, SHARD = 256, 500
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ids_of(tokens: Column) -> Column:
+    """Small integers that stand for tokens: a token's first character's code."""
+    return F.transform(tokens, lambda t: F.ascii(t))
+
+
+TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+|[^a-z0-9\s]')"
+IDS = f"list_transform({TOKENS}, lambda t: unicode(t))"
+SCORES = f"""
+w as (select doc_id, source, tok, count(*) as n from (select doc_id, source, unnest({TOKENS}) as tok from documents) group by all),
+own as (select source, tok, sum(n) as c_own from w group by all),
+tot as (select source, sum(c_own) as n_own from own group by all),
+ref as (select tok, sum(n) as c_ref from w where doc_id % 20 = 0 group by all),
+sz as (select coalesce(sum(c_ref), 0) as n_ref, count(*) as v_ref from ref),
+sc as (select doc_id as idx, sum(-ln(c_own / n_own) * n) / sum(n) as large,
+         sum(-ln((coalesce(c_ref, 0) + 1) / cast(n_ref + v_ref + 1 as double)) * n) / sum(n) as small
+       from w join own using (source, tok) join tot using (source) left join ref using (tok), sz group by doc_id),
+s as (select idx, large, small, small - large as diff from sc),
+r as (select *, row_number() over (order by round(diff, 9) desc, idx) - 1 as rank, count(*) over () as total from s)"""
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.language_model_scores(table(spark, sf_dir, "documents")).withColumn("diff", F.col("small") - F.col("large"))
+
+
+def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in cols})
+
+
+# Corpus building
+
+
+@query(f"select doc_id, cast(len(t) as bigint) as n_tokens, t[1] as first, t[-1] as last from (select doc_id, list_append({TOKENS}, '<eos>') as t from documents)")
+def tokenize_docs(spark, sf_dir):
+    e = corpus.encode(table(spark, sf_dir, "documents"))
+    return e.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.get("tokens", F.lit(0)).alias("first"), F.element_at("tokens", -1).alias("last"))
+
+
+@query(f"select tok, count(*) as n, count(distinct doc_id) as docs from (select doc_id, unnest({TOKENS}) as tok from documents) group by tok")
+def token_counts(spark, sf_dir):
+    per_doc = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.tokenize(F.col("text"))).alias("tok")).groupBy("doc_id", "tok").agg(F.count("*").alias("k"))
+    return per_doc.groupBy("tok").agg(F.sum("k").alias("n"), F.count("*").alias("docs"))
+
+
+_VOCAB = r"select distinct unnest(regexp_extract_all(text, '[A-Za-z0-9]*[^A-Za-z0-9]')) as piece from documents"
+
+
+@query(rf"""select piece, (ends and ok) as ends_sentence, (ends and ok and contains(piece, chr(10))) as newline from (select piece,
+contains(piece, '.') or contains(piece, '!') or contains(piece, '?') or contains(piece, ';') or contains(piece, chr(10)) as ends,
+(not contains(piece, '[') or contains(piece, ']')) and (not contains(piece, '(') or contains(piece, ')')) and (not contains(piece, '{{') or contains(piece, '}}')) and (not contains(piece, '<') or contains(piece, '>')) as ok from ({_VOCAB}))""")
+def end_token_set(spark, sf_dir):
+    pieces = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]*[^A-Za-z0-9]"), F.lit(0))).alias("piece")).distinct()
+    return corpus.end_pieces(pieces)
+
+
+@query("select doc_id, cast(substr(source, 4) as int) as domain_id from documents")
+def domain_lookup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    domains = docs.select(F.col("source").alias("name")).distinct().withColumn("id", F.expr("cast(substr(name, 4) as int)"))
+    return corpus.with_domain(docs, domains).select("doc_id", "domain_id")
+
+
+@query("select name, row_number() over (order by md5('233:' || name), name) - 1 as place from (select distinct source as name from documents)")
+def file_order(spark, sf_dir):
+    return corpus.file_order(table(spark, sf_dir, "documents").select(F.col("source").alias("name")).distinct()).withColumn("place", F.col("place").cast("long"))
+
+
+_PACKED = f"""
+e as (select doc_id, source as domain, length(text) as n_chars, list_append({TOKENS}, '<eos>') as t from documents),
+p as (select *, coalesce(sum(len(t)) over (partition by domain order by doc_id rows between unbounded preceding and 1 preceding), 0) as start from e),
+x as (select domain, start + i - 1 as pos, t[i] as tok from (select domain, start, t, unnest(range(1, len(t) + 1)) as i from p)),
+c as (select domain, cast(pos // {PACK} as bigint) as chunk, count(*) as n_tokens, string_agg(tok, ' ' order by pos) as joined from x group by all having count(*) = {PACK})"""
+
+
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.pack_fixed(corpus.encode(table(spark, sf_dir, "documents")), PACK)
+
+
+@query(f"with {_PACKED} select domain, chunk, n_tokens, md5(joined) as digest from c")
+def pack_fixed(spark, sf_dir):
+    return packed(spark, sf_dir).select("domain", "chunk", "n_tokens", F.md5(F.array_join("tokens", " ")).alias("digest"))
+
+
+@query(f"""with {_PACKED},
+a as (select domain, count(*) as docs, cast(sum(n_chars) as bigint) as chars from e group by rollup (domain)),
+b as (select domain, count(*) as chunks, cast(sum(n_tokens) as bigint) as tokens from c group by rollup (domain))
+select a.domain, docs, chars, coalesce(chunks, 0) as chunks, coalesce(tokens, 0) as tokens,
+  case when chunks > 0 then round((chunks * {PACK} - tokens) / cast(chunks * {PACK} as double), 6) else 0.0 end as padding
+from a left join b on a.domain is not distinct from b.domain""")
+def pack_stats(spark, sf_dir):
+    e = corpus.encode(table(spark, sf_dir, "documents"))
+    return rounded(corpus.pack_stats(corpus.pack_fixed(e, PACK), e, PACK), "padding")
+
+
+@query()
+def pack_sentences(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    pieces = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\s?[A-Za-z0-9]+|[^A-Za-z0-9]"), F.lit(0))
+    e = docs.select("doc_id", F.col("source").alias("domain"), F.array_append(pieces, F.lit("")).alias("p"))
+    e = e.select("doc_id", "domain", F.transform("p", lambda t: F.when(t == "", 0).otherwise(F.ascii(F.right(t, F.lit(1))))).alias("tokens"), F.transform("p", lambda t: F.contains(t, F.lit(" "))).alias("spaced"))
+    out = corpus.pack_sentences(e, PACK, eos=0, ends=[33, 46, 59, 63], newlines=[10])
+    return out.select("domain", "stream", "seq", F.size("tokens").alias("n_tokens"), "padding")
+
+
+_LENGTHS = f"l as (select doc_id as idx, len({TOKENS}) as n, {IDS} as t from documents)"
+
+
+def rows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """idx, tokens of each document, as small integers."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), ids_of(X.tokenize(F.col("text"))).alias("tokens"))
+
+
+@query(f"with {_LENGTHS} select cast(max(n) as int) as longest, cast(min(n) as int) as shortest, round(avg(n), 6) as mean from l")
+def length_stats(spark, sf_dir):
+    return rounded(sequences.length_stats(rows_of(spark, sf_dir)), "mean")
+
+
+@query(f"with {_LENGTHS} select idx, cast(n as int) as n from l where n > 60")
+def short_rows_dropped(spark, sf_dir):
+    return rows_of(spark, sf_dir).select("idx", F.size("tokens").alias("n")).filter("n > 60")
+
+
+# Sequences and shards
+
+
+def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.into_shards(table(spark, sf_dir, "documents").select("doc_id", "source"), ["doc_id"], SHARD)
+
+
+_SHARDED = f"q as (select doc_id, source, row_number() over (order by doc_id) - 1 as idx from documents), h as (select *, cast(idx // {SHARD} as int) as shard, cast(idx % {SHARD} as int) as local_idx from q)"
+_MANIFEST = f"{_SHARDED}, m as (select shard, count(*) as n, min(idx) as lo, max(idx) + 1 as hi from h group by shard)"
+
+
+@query(f"with {_SHARDED} select doc_id, idx, shard, local_idx from h")
+def shard_rows(spark, sf_dir):
+    return sharded(spark, sf_dir).select("doc_id", "idx", "shard", "local_idx")
+
+
+@query(f"with {_SHARDED} select doc_id, shard, cast(row_number() over (partition by shard order by md5('10:' || idx), idx) - 1 as int) as local_idx from h")
+def shard_rows_shuffled(spark, sf_dir):
+    return sequences.into_shards(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], SHARD, shuffle_seed=10).select("doc_id", "shard", "local_idx")
+
+
+@query(f"with {_MANIFEST} select * from m")
+def shard_manifest(spark, sf_dir):
+    return sequences.manifest(sharded(spark, sf_dir))
+
+
+@query(f"with {_MANIFEST} select i as idx, shard, i - lo as local_idx from (select idx as i from q where idx % 7 = 3) join m on lo <= i and i < hi")
+def locate_rows(spark, sf_dir):
+    rows = sharded(spark, sf_dir)
+    return sequences.locate(rows.select("idx").filter("idx % 7 = 3"), sequences.manifest(rows))
+
+
+@query(f"with {_SHARDED} select doc_id, idx - 120 as idx from h where idx >= 120 and idx < 870")
+def offset_range(spark, sf_dir):
+    return sequences.between(sharded(spark, sf_dir), 120, 870).select("doc_id", "idx")
+
+
+@query(f"with {_SHARDED}, n as (select count(*) as n from h) select doc_id, idx - cast(floor(0.25 * n) as bigint) as idx from h, n where idx >= floor(0.25 * n) and idx < floor(0.8 * n)")
+def ratio_range(spark, sf_dir):
+    return sequences.between_ratios(sharded(spark, sf_dir), 0.25, 0.8).select("doc_id", "idx")
+
+
+@query(f"with {_LENGTHS} select idx, list_aggregate(t[11:15], 'string_agg', ',') as part from l")
+def part_of_rows(spark, sf_dir):
+    part = sequences.part_of_row(F.col("tokens"), 10, 5)
+    return rows_of(spark, sf_dir).select("idx", F.when(F.size(part) > 0, F.array_join(part.cast("array<string>"), ",")).alias("part"))
+
+
+@query(f"with {_SHARDED} select doc_id, shard - 1 as shard from h where shard between 1 and 1")
+def hold_out_shards(spark, sf_dir):
+    return sequences.hold_out(sharded(spark, sf_dir), 1, 1).select("doc_id", "shard")
+
+
+@query("select count(*) as n_shared from (select doc_id from documents where doc_id % 20 = 0 intersect select doc_id from documents where doc_id % 20 = 1)")
+def held_out_is_disjoint(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return selection.assert_disjoint(docs.filter("doc_id % 20 = 0"), docs.filter("doc_id % 20 = 1"), "doc_id")
+
+
+@query("select doc_id as idx, cast(coalesce(sum(case when length(text) < 400 then 1 else 0 end) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) as doc from documents")
+def document_boundaries(spark, sf_dir):
+    sized = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.when(F.length("text") < 400, 0).otherwise(F.length("text")).alias("size"))
+    return corpus.doc_boundaries(sized).select("idx", "doc")
+
+
+@query("select name, cast(coalesce(try_cast(regexp_extract(name, '_([0-9]+)\\.', 1) as int), 0) as int) as number from (select distinct 'scores_' || (doc_id % 23) || '.pt' as name from documents)")
+def numeric_file_order(spark, sf_dir):
+    names = table(spark, sf_dir, "documents").select(F.concat(F.lit("scores_"), (F.col("doc_id") % 23).cast("string"), F.lit(".pt")).alias("name")).distinct()
+    return names.withColumn("number", X.trailing_number(F.col("name")))
+
+
+# Scores and selection
+
+
+@query(f"with {SCORES} select idx, round(diff, 6) as diff from r where rank < floor(0.5 * total)")
+def diff_sample_select(spark, sf_dir):
+    return rounded(selection.top_fraction(scored(spark, sf_dir), "diff", 0.5).select("idx", "diff"), "diff")
+
+
+@query(f"with {SCORES} select idx, round(large, 6) as large, round(small, 6) as small, round(diff, 6) as diff from s")
+def difference_scores(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    return rounded(selection.difference(s.select("idx", F.col("large").alias("score")), s.select("idx", F.col("small").alias("score"))), "large", "small", "diff")
+
+
+@query(f"with {SCORES} select count(diff) as n, round(avg(diff), 6) as mean, round(max(diff), 6) as highest, round(min(diff), 6) as lowest, 0::bigint as nans from s")
+def score_stats(spark, sf_dir):
+    return rounded(selection.stats(scored(spark, sf_dir), "diff"), "mean", "highest", "lowest")
+
+
+@query("""with s as (select cast(length(text) as double) as v from documents), g as (select min(v) as lo, max(v) as hi, count(*) as total from s),
+b as (select least(cast(floor((v - lo) / ((hi - lo) / 100)) as bigint), 99) as bin, count(*) as n, any_value(total) as total, any_value((hi - lo) / 100) as width from s, g group by 1)
+select bin, n, round(n / (total * width), 9) as density, round(sum(n) over (order by bin) / total, 6) as cumulative from b""")
+def score_histogram(spark, sf_dir):
+    v = table(spark, sf_dir, "documents").select(F.length("text").cast("double").alias("v"))
+    h = selection.histogram(v, "v", 100)
+    return rounded(rounded(h, "cumulative"), "density", digits=9)
+
+
+@query(f"with {SCORES} select idx, cast(rank as bigint) as rank from r")
+def score_ranks(spark, sf_dir):
+    return selection.ranked(scored(spark, sf_dir), "diff").select("idx", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"with {SCORES} select * from (select idx, cast(rank as bigint) as place, 'top' as side from r where rank < 100 union all select idx, cast(rank - total + 100 as bigint), 'bottom' from r where rank >= total - 100)")
+def top_and_bottom(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    sides = [selection.top(s, "diff", 100, lowest=low).select("idx", F.col("place").cast("long").alias("place"), F.lit(name).alias("side")) for name, low in (("top", False), ("bottom", True))]
+    return sides[0].union(sides[1])
+
+
+def _report_sql() -> str:
+    parts = ["select 'top' as report, idx from r where rank < 1000", "select 'bottom', idx from r where rank >= total - 1000"]
+    for f in (0.001, 0.01, 0.1):
+        for name, where in ((f"top_{f:g}", f"rank < floor({f}::double * total)"), (f"bottom_{f:g}", f"rank >= total - floor({f}::double * total)")):
+            parts.append(f"select * from (select '{name}', idx from r where {where} order by md5('42:' || idx), idx limit 1000)")
+    return f"with {SCORES} " + " union all ".join(parts)
+
+
+@query(_report_sql())
+def score_reports(spark, sf_dir):
+    return selection.reports(scored(spark, sf_dir), "diff").select("report", "idx")
+
+
+@query("select doc_id as idx from documents order by md5('42:' || doc_id), doc_id limit 64")
+def audit_sample(spark, sf_dir):
+    return selection.sample_rows(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx")), 64)
+
+
+@query("select doc_id as idx from documents where doc_id not in (select doc_id from labels)")
+def rows_not_done(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"))
+    return selection.not_done(docs, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("idx")))
+
+
+@query(f"with {SCORES} select l.quality, count(*) as n, sum(case when rank < floor(0.5 * total) then 1 else 0 end)::bigint as kept from r join labels l on l.doc_id = idx group by 1")
+def selection_by_quality(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    n = s.count()
+    ranked = selection.ranked(s, "diff").join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("idx"), "quality"), "idx")
+    return ranked.groupBy("quality").agg(F.count("*").alias("n"), F.sum((F.col("rank") < int(0.5 * n)).cast("long")).alias("kept"))
+
+
+# Batches
+
+
+def _arrays(df: DataFrame) -> DataFrame:
+    """Arrays as comma-joined text, which every engine hashes alike."""
+    return df.select(*(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes))
+
+
+_J = "array_to_string({}, ',')"
+_BATCH = """{j0} as input_ids, {j1} as attention_mask, {j2} as position_ids, {j3} as label, {j4} as loss_mask"""
+
+
+def _batch_sql(full: str, length: str, mask: str) -> str:
+    n = f"greatest(len({full}) - 1, 0)"
+    pads = f"list_transform(range({length} - {n}), lambda z: 0)"
+    cols = (f"list_concat(({full})[1:{n}], {pads})", f"list_concat(list_transform(range({n}), lambda z: 1), {pads})", f"list_concat(range({n}), {pads})", f"list_concat(({full})[2:{n} + 1], {pads})", f"list_concat({mask}, {pads})")
+    return _BATCH.format(**{f"j{i}": _J.format(c) for i, c in enumerate(cols)})
+
+
+@query(f"with {_LENGTHS}, f as (select idx, t[1:129] as f from l) select idx, {_batch_sql('f', '128', 'list_transform(f[1:greatest(len(f) - 1, 0)], lambda x: case when x <> 46 then 1 else 0 end)')} from f")
+def lm_batch(spark, sf_dir):
+    b = batching.lm_batch(rows_of(spark, sf_dir), 128, 46)
+    # the pad id stands for 0 in the fill, so that masked inputs and fill differ in the digest
+    return _arrays(b.select("idx", *(F.expr(f"transform({c}, (x, i) -> if(attention_mask[i] = 0, 0, x))").alias(c) if c in ("input_ids", "label") else F.col(c) for c in b.columns[1:])))
+
+
+@query(f"with {_LENGTHS} select cast(idx // 16 as bigint) as batch, cast(least(max(n) - 1, 512) as bigint) as width from l group by 1")
+def adaptive_width(spark, sf_dir):
+    b = batching.lm_batch(rows_of(spark, sf_dir), 512, 46, batch=F.floor(F.col("idx") / 16))
+    return b.groupBy(F.floor(F.col("idx") / 16).alias("batch")).agg(F.max(F.size("input_ids")).cast("long").alias("width"))
+
+
+_PROMPTS = f"""c as (select conv_id * 100 + turn as idx, {IDS} as t from conversations),
+pr as (select idx, t[1:least(len(t), 20)] as prompt, t[21:] as response from c),
+tr as (select idx, case when len(prompt) + len(response) > 65 then prompt[greatest(len(prompt) - 15, 1):] else prompt end as p, prompt, response from pr),
+tt as (select idx, p as prompt, case when len(prompt) + len(response) > 65 then response[1:greatest(65 - len(p), 0)] else response end as response from tr)"""
+
+
+def prompts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ids_of(X.tokenize(F.col("text")))
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("idx"), t.alias("t"))
+    marked = rows.select("idx", F.concat(F.slice("t", 1, 20), F.array(F.lit(-1)), F.slice("t", F.lit(21), F.greatest(F.size("t") - 20, F.lit(0)))).alias("tokens"))
+    return batching.truncate_prompt(batching.split_prompt(marked, -1), 64, 16)
+
+
+@query(f"with {_PROMPTS} select idx, cast(len(prompt) as int) as n_prompt, cast(len(response) as int) as n_response, array_to_string(list_concat(prompt, response), ',') as ids from tt")
+def prompt_rows(spark, sf_dir):
+    p = prompts_of(spark, sf_dir)
+    return p.select("idx", F.size("prompt").alias("n_prompt"), F.size("response").alias("n_response"), F.array_join(F.concat("prompt", "response").cast("array<string>"), ",").alias("ids"))
+
+
+@query(f"with {_PROMPTS}, f as (select idx, prompt, list_concat(prompt, response)[1:65] as f from tt) select idx, {_batch_sql('f', '64', 'list_transform(range(greatest(len(f) - 1, 0)), lambda i: case when i >= len(prompt) - 1 and f[i + 1] <> 0 then 1 else 0 end)')} from f")
+def prompt_batch(spark, sf_dir):
+    return _arrays(batching.prompt_batch(prompts_of(spark, sf_dir), 64, 0))
+
+
+@query(f"""with {_PROMPTS}, g as (select *, max(len(prompt)) over w as mp, max(len(response)) over w as mr from tt window w as (partition by idx // 800))
+select idx, array_to_string(list_concat(list_transform(range(mp - len(prompt)), lambda z: 0), prompt), ',') as input_ids,
+array_to_string(list_concat(list_transform(range(mp - len(prompt)), lambda z: 0), list_transform(range(len(prompt)), lambda z: 1)), ',') as attention_mask,
+array_to_string(list_concat(response, list_transform(range(mr - len(response)), lambda z: 0)), ',') as rest_ids from g""")
+def generation_batch(spark, sf_dir):
+    p = prompts_of(spark, sf_dir).withColumnRenamed("response", "rest")
+    return _arrays(batching.lm_batch_gen(p, 0, F.floor(F.col("idx") / 800)))
+
+
+@query(f"with {_PROMPTS}, z as (select idx, unnest(range(len(t) - 1)) as pos, t from c where len(t) > 1) select idx, cast(pos as int) as pos, t[pos + 1] as token, t[pos + 2] as next from z")
+def next_token_rows(spark, sf_dir):
+    t = ids_of(X.tokenize(F.col("text")))
+    return batching.next_tokens(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("idx"), t.alias("tokens")))
+
+
+_ORDER = "o as (select epoch, doc_id as idx, row_number() over (partition by epoch order by md5('1234:' || epoch || ':' || doc_id), doc_id) - 1 as pos from documents, (select unnest(range(3)) as epoch))"
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batching.order_matrix(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx")), 3)
+
+
+@query(f"with {_ORDER} select cast(epoch as int) as epoch, cast(pos as bigint) as pos, idx from o")
+def data_order(spark, sf_dir):
+    return orders(spark, sf_dir).select(F.col("epoch").cast("int").alias("epoch"), F.col("pos").cast("long").alias("pos"), "idx")
+
+
+@query(f"with {_ORDER} select cast(epoch as int) as epoch, cast(pos as bigint) as pos, source from o join documents on doc_id = idx where (epoch, pos) >= (1, 77)")
+def resumed_order(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), "source")
+    kept = batching.not_skipped(orders(spark, sf_dir).withColumn("epoch", F.col("epoch").cast("int")).withColumn("pos", F.col("pos").cast("long")), 1, 77)
+    return batching.in_order(kept, docs).select("epoch", "pos", "source")
+
+
+@query(f"with {_SHARDED} select idx, idx // 64 as step from h where idx < (select count(*) // 64 * 64 from h)")
+def whole_batches(spark, sf_dir):
+    return batching.drop_last(sharded(spark, sf_dir).select("idx"), 64, "idx").select("idx", F.col("step").cast("long").alias("step"))
+
+
+@query(f"with {_SHARDED} select idx, cast(idx % 8 as int) as worker, idx // 8 as turn from h")
+def worker_rows(spark, sf_dir):
+    return batching.to_workers(sharded(spark, sf_dir).select("idx"), 8).withColumn("turn", F.col("turn").cast("long"))
+
+
+@query(f"""with {_LENGTHS} select idx, array_to_string(case when cut is null then t else t[1:cut] end, ',') as t, cast(len(list_filter(t, lambda x: x = 46)) + 1 as int) as parts from
+(select idx, t[1:40] as t, list_max(list_filter(list_transform(range(1, len(t[1:40]) + 1), lambda i: case when t[i] <> 46 then i end), lambda x: x is not null)) as cut from l)""")
+def trimmed_and_split(spark, sf_dir):
+    t = rows_of(spark, sf_dir).select("idx", F.slice("tokens", 1, 40).alias("t"))
+    return _arrays(t.select("idx", X.trim_pads(F.col("t"), 46).alias("t"), F.size(X.split_array(F.col("t"), 46)).alias("parts")))
+
+
+# Distributions and losses: an embedding's elements are the logits of one position.
+
+
+_PROBS = """v as (select vec_id, embedding as e, list_max(embedding)::double as m from embeddings),
+x as (select vec_id as idx, 0 as pos, unnest(range(len(e))) as token_id, e, m from v),
+y as (select idx, pos, token_id, exp((e[token_id + 1]::double - m) / 1.0) as ex, e[token_id + 1]::double - m as d from x),
+p as (select idx, pos, token_id, ex / sum(ex) over (partition by idx) as p, d - ln(sum(ex) over (partition by idx)) as logp from y)"""
+
+
+def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), F.lit(0).alias("pos"), X.softmax(F.col("embedding")).alias("p"), X.log_softmax(F.col("embedding")).alias("l"))
+    return e.select("idx", "pos", F.posexplode(F.arrays_zip("p", "l")).alias("token_id", "e")).select("idx", "pos", "token_id", F.col("e.p").alias("p"), F.col("e.l").alias("logp"))
+
+
+@query(f"with {_PROBS} select idx, cast(token_id as int) as token_id, round(p, 9) as p, round(logp, 6) as logp from p")
+def softmax_rows(spark, sf_dir):
+    return rounded(rounded(probabilities(spark, sf_dir).select("idx", "token_id", "p", "logp"), "logp"), "p", digits=9)
+
+
+@query("""with v as (select vec_id, embedding as e, list_max(embedding)::double as m from embeddings),
+x as (select vec_id, unnest(list_transform(e, lambda z: exp((z::double - m) / 0.7))) as ex from v)
+select vec_id as idx, round(max(ex) / sum(ex), 9) as top from x group by 1""")
+def temperature_softmax(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), F.array_max(X.softmax(F.col("embedding"), 0.7)).alias("top"))
+    return rounded(e, "top", digits=9)
+
+
+@query(f"with {_PROBS} select idx, cast(token_id as int) as token_id, cast(row_number() over (partition by idx order by round(p, 12) desc, token_id) as int) as rank from p qualify rank <= 5")
+def top_k_tokens(spark, sf_dir):
+    return distill.top_k(rounded(probabilities(spark, sf_dir), "p", digits=12), 5).select("idx", "token_id", "rank")
+
+
+@query(f"with {_PROBS} select idx, round(sum(p), 9) as mass from (select *, row_number() over (partition by idx order by round(p, 12) desc, token_id) as k from p) where k <= 5 group by idx")
+def top_k_mass(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), distill.top_k_of_array(X.softmax(F.col("embedding")), 5).alias("t"))
+    return rounded(e.select("idx", F.aggregate("t", F.lit(0.0), lambda a, x: a + x["p"]).alias("mass")), "mass", digits=9)
+
+
+@query("select vec_id as idx, 50::bigint as draws, true as ok from embeddings")
+def drawn_tokens(spark, sf_dir):
+    dense = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), F.lit(0).alias("pos"), X.softmax(F.col("embedding")).alias("p"))
+    drawn = distill.rebuilt(distill.draw(dense, 50), 50)
+    return drawn.groupBy("idx").agg(F.sum("count").alias("draws"), (F.abs(F.sum("p") - 1) < 1e-9).alias("ok"))
+
+
+_KD = f"""{_PROBS}, t5 as (select * from (select *, row_number() over (partition by idx order by round(p, 12) desc, token_id) as k from p) where k <= 5),
+st as (select idx, token_id, logp as lq from p),
+pairs as (select a.idx, a.token_id, a.p, a.logp, b.lq from t5 a join st b on b.idx = (a.idx + 1) % (select count(*) from embeddings) and b.token_id = a.token_id),
+kd as (select idx, -sum(p * lq) as kd, -sum(p * logp) as ent from pairs group by idx)"""
+
+
+@query(f"with {_KD} select idx, round(kd, 6) as kd, round(ent, 6) as entropy, round(0.5 * ent + 0.5 * kd, 6) as blended from kd")
+def distillation_losses(spark, sf_dir):
+    p = probabilities(spark, sf_dir)
+    n = table(spark, sf_dir, "embeddings").count()
+    teacher = distill.top_k(rounded(p, "p", digits=12), 5).select("idx", "pos", "token_id").join(p, ["idx", "pos", "token_id"]).select("idx", "pos", "token_id", "p")
+    student = p.select(F.pmod(F.col("idx") - 1, F.lit(n)).alias("idx"), "pos", "token_id", F.col("logp").alias("logq"))
+    mask = teacher.select("idx", "pos").distinct().withColumn("mask", F.lit(1))
+    both = distill.kd_loss(teacher, student, mask).join(distill.entropy(teacher, mask), "idx")
+    return rounded(both.withColumn("blended", distill.blended(F.col("entropy"), F.col("kd"))), "kd", "entropy", "blended")
+
+
+@query(f"with {_KD} select round(avg(kd), 6) as kd, round(avg(ent), 6) as entropy, count(*) as n from kd")
+def distillation_means(spark, sf_dir):
+    per_row = distillation_losses(spark, sf_dir)
+    return rounded(per_row.agg(F.avg("kd").alias("kd"), F.avg("entropy").alias("entropy"), F.count("*").alias("n")), "kd", "entropy", digits=5)
+
+
+ORACLES["distillation_means"] = f"with {_KD} select round(avg(round(kd, 6)), 5) as kd, round(avg(round(ent, 6)), 5) as entropy, count(*) as n from kd"
+
+_LOSSES = "z as (select user_id as idx, event_id as pos, value as loss, case when event_type = 'click' then 0 else 1 end as mask from events)"
+
+
+def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("idx"), F.col("event_id").alias("pos"), F.col("value").alias("loss"), F.when(F.col("event_type") == "click", 0).otherwise(1).alias("mask"))
+
+
+@query(f"with {_LOSSES} select idx, round(sum(loss * mask) / nullif(sum(mask), 0), 6) as mean from z group by idx")
+def masked_means(spark, sf_dir):
+    return rounded(distill.masked_mean(losses(spark, sf_dir)), "mean")
+
+
+@query(f"with {_LOSSES}, m as (select idx, sum(loss * mask) / nullif(sum(mask), 0) as mean from z group by idx) select round(avg(mean), 6) as mean, count(*) as n from m")
+def dataset_loss(spark, sf_dir):
+    return rounded(evaluation.dataset_mean(distill.masked_mean(losses(spark, sf_dir)).withColumnRenamed("mean", "loss")), "mean")
+
+
+# Evaluation and logs
+
+
+@query("select event_type as name, event_id // 500 as window, round(avg(value), 6) as mean, count(*) as n from events group by 1, 2")
+def log_windows(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), F.col("event_type").alias("name"), "value")
+    return rounded(evaluation.log_windows(log, 500).withColumn("window", F.col("window").cast("long")), "mean")
+
+
+_TASKS = "t as (select event_type as task, avg(case when event_id % 2 = 0 then value end) as acc, avg(case when event_type <> 'click' then value end) as acc_norm from events group by 1)"
+
+
+@query(f"with {_TASKS}, c as (select task, coalesce(acc_norm, acc) as a from t) select task, round(a, 6) as accuracy from c union all select 'avg', round(avg(a), 6) from c")
+def macro_average(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("task")).agg(F.avg(F.when(F.col("event_id") % 2 == 0, F.col("value"))).alias("acc"), F.avg(F.when(F.col("event_type") != "click", F.col("value"))).alias("acc_norm"))
+    return rounded(evaluation.macro_average(e), "accuracy")
+
+
+@query("""select step, round(case when step < 100 then 0.001 * step / 100 else 0.00001 + 0.00099 * 0.5 * (1 + cos(pi() * (step - 100) / 900.0)) end, 12) as cosine,
+round(case when step < 100 then 0.001 * step / 100 else 0.001 * (1 - (step - 100) / 900.0) end, 12) as linear,
+round(case when step < 100 then 0.001 * step / 100 else 0.001 end, 12) as constant,
+round(case when step < 100 then 0.001 * step / 100 else (0.001 - 0.0000001) * pow(1 - (step - 100) / 900.0, 0.5) + 0.0000001 end, 12) as noam
+from (select unnest(range(1001)) as step)""")
+def lr_schedules(spark, sf_dir):
+    s, steps = F.col("step"), evaluation.checkpoints(spark, 0, 1000, 1)
+    out = steps.select("step", schedules.cosine(s, 0.001, 0.00001, 1000, 100).alias("cosine"), schedules.linear(s, 0.001, 0.0, 1000, 100).alias("linear"), schedules.constant(s, 0.001, 100).alias("constant"), schedules.polynomial(s, 0.001, 1e-7, 1000, 100).alias("noam"))
+    return rounded(out, "cosine", "linear", "constant", "noam", digits=12)
+
+
+@query("select unnest(range(5000, 100001, 5000)) as step")
+def checkpoint_steps(spark, sf_dir):
+    return evaluation.checkpoints(spark, 5000, 100_000, 5000)
+
+
+@query(r"select conv_id, turn, replace(trim(regexp_replace(text, '\s+$|^\s+', '', 'g')), 'a', chr(10)) as prompt from conversations")
+def prompt_texts(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", X.newlines(X.strip(F.replace("text", F.lit("a"), F.lit("<n>")))).alias("prompt"))
+
+
+@query("""select doc_id, case when n_chars % 1000000000 = 0 then (n_chars // 1000000000) || 'B' when n_chars % 1000000 = 0 then (n_chars // 1000000) || 'M' when n_chars % 1000 = 0 then (n_chars // 1000) || 'K' else n_chars::varchar end as named from documents""")
+def short_numbers(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.numerize(F.col("n_chars")).alias("named"))
