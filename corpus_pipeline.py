@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from millrace.llm import mixing, ngram_join, packing, pii, toxicity
 from millrace.llm.queries import tokenizer_path
-from millrace.llm.store import cut
+from millrace.llm.store import cut, hold, release
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that score below 0.3 for toxicity, under models learned from the labels of these documents."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.score(docs, toxicity.learn(docs, labels)).filter("score < 0.3").drop("score")
+    scored = toxicity.score(hold(docs, "doc_id", "text"), toxicity.learn(docs, labels))
+    return release(scored.filter("score < 0.3"), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,21 +25,24 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = ngram_join.join(docs, shingle=5, percent=80)
     whole = found.filter("n_shingles > 0 and doc_id <=> component_id").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
     keep = whole.union(found.filter("n_shingles = 0").select("doc_id", "text_hash")).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"))
-    kept = docs.withColumn("_h", F.xxhash64("text")).join(keep, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left_semi")
+    kept = hold(docs, "doc_id", "text").withColumn("_h", F.xxhash64("text")).join(keep, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left_semi")
     # a repeated row is a copy of itself
     nth = F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy("_h"))
-    return kept.withColumn("_n", nth).filter((F.col("_n") == 1) | ~F.coalesce(F.col("text"), F.lit("")).rlike(mixing.WORD)).select(*docs.columns)
+    kept = kept.withColumn("_n", nth).filter((F.col("_n") == 1) | ~F.coalesce(F.col("text"), F.lit("")).rlike(mixing.WORD))
+    return release(kept, docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with each span of personal data replaced by its kind in angle brackets; n_chars follows."""
-    out = pii.redact(pii.find(docs))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    out = release(pii.redact(pii.find(hold(docs, "text"))), docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of the mix by source weights 1, 2, 3, repeating: a row for each copy taken."""
-    return mixing.emit(mixing.mix(docs))
+    held = hold(docs, "doc_id", "text", "source")
+    out = release(mixing.emit(mixing.mix(held)), docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

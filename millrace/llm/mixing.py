@@ -18,6 +18,9 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.store import hold, release
+
+NEW = ("size", "source_size", "target", "taken", "cycles", "part")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -93,7 +96,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     documents without words are in no block (taken 0). An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    sized = docs.withColumns({"size": n_words(F.col("text")), "_order": F.xxhash64(F.lit(seed), "doc_id", "text")})
+    sized = hold(docs, "doc_id", "text", "source").withColumns({"size": n_words(F.col("text")), "_order": F.xxhash64(F.lit(seed), "doc_id", "text")})
     totals = [(r[0], int(r[1] or 0), int(r[2])) for r in sized.groupBy("source").agg(F.sum("size"), F.count("*")).collect()]
     totals.sort(key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be")))
     p = plan([r[1] for r in totals], [weights[i % len(weights)] for i in range(len(totals))], most, shards)
@@ -103,7 +106,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
         n = -(-size // p["block"])
         cycles, rest = divmod(sum(quota), n) if n else (0, 0)
         rows.append((source, size, float(target), int(cycles), int(min(rest * p["block"], size))))
-    sources = spark.createDataFrame(rows, "_source string, source_size long, target double, _cycles long, _rest long")
+    sources = spark.createDataFrame(rows, "_source string, source_size long, target double, _cycles long, _left long")
 
     # A bucket is a range of the seeded hash, so a source's buckets in order hold its documents in order.
     key = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source"))
@@ -114,17 +117,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     inside = Window.partitionBy("_key", "_bucket").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     out = placed.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["_key", "_bucket"])
     start = F.col("_base") + F.col("_inside")
-    part = F.greatest(F.lit(0), F.least(F.col("_rest") - start, F.col("size")))
-    return out.withColumns({"cycles": F.col("_cycles"), "part": part.cast("long")}).withColumn("taken", (F.col("cycles") * F.col("size") + F.col("part")).cast("long")).select(*docs.columns, "size", "source_size", "target", "taken", "cycles", "part")
+    part = F.greatest(F.lit(0), F.least(F.col("_left") - start, F.col("size")))
+    out = out.withColumns({"cycles": F.col("_cycles"), "part": part.cast("long")}).withColumn("taken", (F.col("cycles") * F.col("size") + F.col("part")).cast("long"))
+    return release(out, docs.columns, *NEW)
 
 
 def emit(mixed: DataFrame) -> DataFrame:
     """The rows of the mix: a row for each whole copy and, at the end of a source's stretch, the taken words of one
-    more copy (with the blanks before them), so that words per source are those of the plan."""
-    cols = [c for c in mixed.columns if c not in ("size", "source_size", "target", "taken", "cycles", "part")]
+    more copy (with the blanks before them), so that words per source are those of the plan. n_chars, if there is one,
+    follows the text."""
+    cols = [c for c in mixed.columns if c not in NEW]
+    held = hold(mixed, "text", *NEW)
     whole = (F.col("cycles") + F.when(F.col("part") == F.col("size"), 1).otherwise(0)).cast("int")
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("part").cast("int")), "")
-    texts = F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.concat(F.array_repeat(F.col("text"), F.col("cycles").cast("int")), F.array(cut))).otherwise(F.array_repeat(F.col("text"), whole))
-    full = mixed.filter(F.col("size") > 0).withColumn("_text", F.explode(texts))
-    n = {"n_chars": F.length("_text").cast("long")} if "n_chars" in cols else {}
-    return full.withColumns({"text": F.col("_text")} | n).select(*cols)
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), "")
+    texts = F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.concat(F.array_repeat(F.col("text"), whole), F.array(cut))).otherwise(F.array_repeat(F.col("text"), whole))
+    out = held.filter(F.col("size") > 0).select("*", F.explode(texts).alias("_text")).withColumn("text", F.col("_text"))
+    out = release(out, cols)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in cols else out

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.quality import let
+from millrace.llm.store import hold, release
 
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("secret", "contact")
@@ -248,8 +249,9 @@ def find(docs: DataFrame) -> DataFrame:
     Null and empty texts have none; repeated rows are each treated alike; an empty table gives an empty table.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn("_t", t).withColumn("base_spans", base_spans(F.col("_t")))
-    return out.withColumn("spans", F.array_sort(F.concat("base_spans", extra_spans(F.col("_t"), F.col("base_spans"))))).drop("_t")
+    out = hold(docs, "text").withColumn("_t", t).withColumn("base_spans", base_spans(F.col("_t")))
+    out = out.withColumn("spans", F.array_sort(F.concat("base_spans", extra_spans(F.col("_t"), F.col("base_spans")))))
+    return release(out, docs.columns, "base_spans", "spans")
 
 
 def count(spans: Column, kind: str) -> Column:

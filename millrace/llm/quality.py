@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.store import hold, release
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -120,7 +122,9 @@ def cascade(docs: DataFrame, rules: list[Rule], most_rows: int = 2_000, after: C
 
 
 def base(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    """docs (with text) and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed. Null text is empty
+    and fails; repeated rows are each judged alike; an empty table gives an empty table."""
     t = F.col("text")
-    out = docs.withColumn("_words", words(t)).withColumns({"n_words": F.size("_words").cast("long"), "word_chars": word_chars(t), "n_symbols": n_symbols(t), "n_dup_lines": n_dup_lines(t), "n_repeat_words": n_repeat_words(F.col("_words"))}).drop("_words")
-    return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    out = hold(docs, "text").withColumn("_words", words(t)).withColumns({"n_words": F.size("_words").cast("long"), "word_chars": word_chars(t), "n_symbols": n_symbols(t), "n_dup_lines": n_dup_lines(t), "n_repeat_words": n_repeat_words(F.col("_words"))}).drop("_words")
+    out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    return release(out, docs.columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")

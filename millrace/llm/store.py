@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,3 +23,24 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/millrace-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _free(columns: list[str]) -> str:
+    name = "_rest"
+    while name in columns:
+        name += "_"
+    return name
+
+
+def hold(docs: DataFrame, *needed: str) -> DataFrame:
+    """docs as the needed columns and a struct of all others, so that an operator's own columns clash with none."""
+    rest = [c for c in docs.columns if c not in needed]
+    return docs.select(*needed, *([F.struct(*(F.col(f"`{c}`") for c in rest)).alias(_free(docs.columns))] if rest else []))
+
+
+def release(held: DataFrame, columns: list[str], *new: str) -> DataFrame:
+    """What hold() took, under its names and in their order, then the new columns; a new column replaces one of its name."""
+    rest = _free(columns)
+    inside = set(held.schema[rest].dataType.names) if rest in held.columns else set()
+    kept = [c for c in columns if c not in new]
+    return held.select(*(F.col(f"{rest}.`{c}`").alias(c) if c in inside else F.col(f"`{c}`") for c in kept), *new)

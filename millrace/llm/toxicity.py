@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import kernels as K
+from millrace.llm.store import hold, release
 
 ORDER = 6
 CLEAR = (2.0, 3.5, 5.0)  # natural-log ratios from which a word speaks more and more clearly
@@ -187,12 +188,12 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, seed: int
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score: 0 to 1, higher for toxic. Null and empty texts score as a text without words does."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    held = hold(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in K.slices(batch.column(at)):
+            for i, j in K.slices(batch.column(0)):
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shipped.value.score(part.column(at)))], [*batch.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shipped.value.score(part.column(0)))], [*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, docs.withColumn("score", F.lit(0.0)).schema)
+    return release(held.mapInArrow(run, held.withColumn("score", F.lit(0.0)).schema), docs.columns, "score")
