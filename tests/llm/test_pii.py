@@ -1,0 +1,92 @@
+"""Base patterns of personal data against a plain version; proposals; redaction."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import pii
+from tests.llm.conftest import clashing
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        x = int(d) * (1 + i % 2)
+        total += x - 9 * (x > 9)
+    return total % 10 == 0
+
+
+def keeps(kind, m):
+    digits = re.sub("[^0-9]", "", m)
+    return {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m.split(".")), "card": 16 <= len(digits) <= 19 and luhn(digits), "phone": 8 <= len(digits) <= 15}[kind]
+
+
+def plain(text):
+    return [f"{k}:{m.start()}:{m.end()}" for k, p in PATTERNS.items() for m in re.finditer(p, text or "") if keeps(k, m.group())]
+
+
+def noisy(n=300, seed=5):
+    rng = random.Random(seed)
+    parts = ["a@b.c", "@", ".", "-", " ", "+1", "4111 1111 1111 1111", "4111111111111111", "255.0.3.4", "1.2.3.4.5.6.7.8", "300.1.1.1", "00001.2.3.4", "\U0001f600", "x_%", "1", "23", "(0)", "+49 (30) 1234-5678", "a.b@c-d.e.f.", "é", "\n", "12-34", "99999999999999999999.1.1.1"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(n)]
+
+
+def base(docs):
+    return [(r.text, r.s.split(",") if r.s else []) for r in pii.find(docs.select("doc_id", "text")).select("text", pii.joined(F.col("base_spans")).alias("s")).collect()]
+
+
+@pytest.mark.parametrize("table", ["small", "odd", "noisy"])
+def test_base_spans(spark, table, request):
+    docs = spark.createDataFrame(list(enumerate(noisy())), "doc_id long, text string") if table == "noisy" else request.getfixturevalue(table)
+    got = base(docs)
+    assert len(got) == docs.count()
+    for text, spans in got:
+        assert spans == plain(text)
+
+
+def test_very_long_runs(spark):
+    texts = ["a@" + "b." * 10_000 + "c", "1 " * 10_000, "+1" + "2 " * 10_000, "x@" * 10_000, "1." * 10_000 + "1", "k=" + "a1" * 10_000]
+    for text, spans in base(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")):
+        assert spans == plain(text)
+
+
+def test_base_stays_and_proposals_do_not_overlap(small):
+    for r in pii.find(small).collect():
+        assert {tuple(x) for x in r.base_spans} <= {tuple(x) for x in r.spans}
+        extra = sorted((x.start, x.end) for x in r.spans if x.kind in pii.EXTRA)
+        assert all(b[0] >= a[1] for a, b in zip(extra, extra[1:], strict=False))
+        assert not any(x.start < b and a < x.end for x in r.base_spans for a, b in extra)
+
+
+def test_proposals(spark):
+    texts = [(1, "password=hunter2hunter99x and more"), (2, 'api_key: "' + "9f8e7d6c5b4a39281706" * 2 + '" end'), (3, "call me at (555) 123-4567 today"), (4, "in chapter 12 of the year 1999-12-31 there were 1000 2000 3000 of them"), (5, "the quick-brown-fox-2 jumped over some/path/to7")]
+    kinds = {r.doc_id: {x.kind for x in r.spans} for r in pii.find(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert kinds[1] == {"secret"} and kinds[2] == {"secret"} and kinds[3] == {"contact"} and kinds[4] == kinds[5] == set()
+
+
+def test_redaction(spark, odd, empty):
+    docs = spark.createDataFrame([(1, "\U0001f600 to me@x.org, 10.0.0.1!"), (2, "nothing"), (3, None)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in pii.redact(pii.find(docs)).collect()} == {1: "\U0001f600 to <email>, <ip>!", 2: "nothing", 3: None}
+    docs = clashing(odd).drop("spans")
+    out = pii.redact(pii.find(docs))
+    assert out.columns == docs.columns and out.count() == docs.count()
+    assert pii.find(empty).count() == 0
+
+
+def test_query_digest(small, spark, sf_dir):
+    from millrace.llm import queries
+
+    text = {r.doc_id: r.text for r in small.collect()}
+    for r in queries.op7_pii_boosting(spark, sf_dir).collect():
+        want = plain(text[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(x.startswith(k) for x in want) for k in PATTERNS)
+        assert {*want} <= {*(r.spans.split(",") if r.spans else [])}
