@@ -85,15 +85,28 @@ class Unigrams:
 def unigrams(docs: DataFrame, parts: int) -> Unigrams:
     """Counts of all tokens of docs (text), dealt into parts and written."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(held: list) -> tuple[np.ndarray, np.ndarray]:
+        keys, back = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+        return keys, np.bincount(back, weights=np.concatenate([c for _, c in held])).astype(np.int64)
+
+    def deal(h: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+        part = part_of(h, parts)
+        order = np.argsort(part, kind="stable")
+        edge = np.searchsorted(part[order], np.arange(parts + 1))
+        rows = [(p, h[order[a:b]].tobytes(), planes(times[order[a:b]])) for p, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["part", "h", "c"])
+
+    def count(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for i, j in K_.slices(batch.column(0), 16 << 20):
-                h, times = np.unique(tokens(batch.column(0).slice(i, j - i))[0], return_counts=True)
-                part = part_of(h, parts)
-                order = np.argsort(part, kind="stable")
-                edge = np.searchsorted(part[order], np.arange(parts + 1))
-                rows = [(p, h[order[a:b]].tobytes(), planes(times[order[a:b]])) for p, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["part", "h", "c"])
+            for i, j in K_.slices(batch.column(0), 2 << 20):
+                held.append(np.unique(tokens(batch.column(0).slice(i, j - i))[0], return_counts=True))
+                if sum(len(h) for h, _ in held) > 2 * most:
+                    held = [summed(held)]
+                    if len(held[0][0]) > most:
+                        yield deal(*held.pop())
+        if held:
+            yield deal(*summed(held))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -224,11 +237,11 @@ def score(docs: DataFrame, learn: Column, parts: int | None = None) -> DataFrame
     sent = dealt.groupBy("k").cogroup(answers.groupBy("k")).applyInArrow(pairs, "part int, k int, doc binary, id1 binary, id2 binary, c2 binary, times binary, extra binary")
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["part", "k", "kind", "a", "b", "c", "d"]
+        names = ["part", "k", "kind", *"abcdef"]
         by_part: dict[int, list] = {}
 
         def row(p, k, kind, *blobs):
-            return pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([k], pa.int32()), pa.array([kind], pa.int32()), *(pa.array([x], pa.binary()) for x in (*blobs, *[None] * (4 - len(blobs))))], names)
+            return pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([k], pa.int32()), pa.array([kind], pa.int32()), *(pa.array([x], pa.binary()) for x in (*blobs, *[None] * (6 - len(blobs))))], names)
 
         for batch in batches:
             for p, k, *blobs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *(batch.column(i) for i in range(2, 8)), strict=True):
@@ -267,17 +280,16 @@ def score(docs: DataFrame, learn: Column, parts: int | None = None) -> DataFrame
                 fixed = np.where(rr > 0, np.log10(np.maximum(rr, 1)), np.log10(light.p(c2[entry])))
                 cold = ~is_hot[ctx]
                 ones = np.stack([np.bincount(local, weights=rr == i, minlength=len(docs_)) for i in range(1, K + 1)], axis=1)
-                yield row(p, k, 3, docs_.astype("<u4").tobytes(), np.bincount(local, weights=fixed, minlength=len(docs_)).tobytes(), ones.astype("<u4").tobytes())
                 # Contexts that each text needs: of seen pairs their total alone, of others the backoff weight too.
                 pair, n = _count_triples(local, ctx, rr > 0, cold)
-                if len(n):
-                    used, c = np.unique(pair[:, 1], return_inverse=True)
-                    yield row(p, k, 4, np.stack([docs_[pair[:, 0]] * 2 + pair[:, 2], c, n], axis=1).astype("<u4").tobytes(), stats[used].tobytes())
+                used, c = np.unique(pair[:, 1], return_inverse=True)
+                sums = planes(docs_), np.bincount(local, weights=fixed, minlength=len(docs_)).tobytes(), planes(ones.T.ravel())
+                yield row(p, k, 3, *sums, planes(np.concatenate([docs_[pair[:, 0]] * 2 + pair[:, 2], c, n])), planes(stats[used, : K + 1].T.ravel()), stats[used, K + 1].tobytes())
                 if (~cold).any():
                     pair, n = _count_triples(local, ctx, rr > 0, ~cold)
                     yield row(p, k, 5, np.stack([docs_[pair[:, 0]] * 2 + pair[:, 2], contexts[pair[:, 1]], n], axis=1).astype("<i8").tobytes())
 
-    done = cut(sent.repartition(parts, "part").mapInArrow(look_up, "part int, k int, kind int, a binary, b binary, c binary, d binary"))
+    done = cut(sent.repartition(parts, "part").mapInArrow(look_up, "part int, k int, kind int, a binary, b binary, c binary, d binary, e binary, f binary"))
     few = np.zeros(K + 1, np.int64)
     for r in done.filter("kind = 1").select("a").toLocalIterator():
         few += np.frombuffer(r[0], np.int64)
@@ -293,21 +305,24 @@ def score(docs: DataFrame, learn: Column, parts: int | None = None) -> DataFrame
 
     def gather(table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_pylist()
-        blobs = [[table.column(c)[i].as_py() for c in "abc"] for i in range(len(kinds))]
+        blobs = [[table.column(c)[i].as_py() for c in "abcdef"] for i in range(len(kinds))]
         meta = pa.Table.from_batches([b for x, kind in zip(blobs, kinds, strict=True) if kind == 0 for b in pa.ipc.open_stream(x[0])])
         s = meta.column("score").to_numpy().copy()
         for x, kind in zip(blobs, kinds, strict=True):
             if kind == 3:
-                of = np.frombuffer(x[0], "<u4")
-                s[of] += np.frombuffer(x[1]) + np.frombuffer(x[2], "<u4").reshape(-1, K) @ np.log10(d[1:])
-            elif kind in (4, 5):
-                t = np.frombuffer(x[0], "<u4" if kind == 4 else "<i8").reshape(-1, 3).astype(np.int64)
-                logs = _context_logs(np.frombuffer(x[1]).reshape(-1, K + 2), d)[t[:, 1]] if kind == 4 else hot_logs[np.searchsorted(hot_ids, t[:, 1])]
-                np.add.at(s, t[:, 0] >> 1, t[:, 2] * logs[np.arange(len(t)), 1 - (t[:, 0] & 1)])
+                s[unplanes(x[0])] += np.frombuffer(x[1]) + unplanes(x[2]).reshape(K, -1).T @ np.log10(d[1:])
+                t = unplanes(x[3]).reshape(3, -1).T.astype(np.int64)
+                logs = _context_logs(np.column_stack([unplanes(x[4]).reshape(K + 1, -1).T, np.frombuffer(x[5])]), d)[t[:, 1]]
+            elif kind == 5:
+                t = np.frombuffer(x[0], "<i8").reshape(-1, 3)
+                logs = hot_logs[np.searchsorted(hot_ids, t[:, 1])]
+            else:
+                continue
+            np.add.at(s, t[:, 0] >> 1, t[:, 2] * logs[np.arange(len(t)), 1 - (t[:, 0] & 1)])
         return pa.table({"doc_id": meta.column("doc_id"), "held_out": pa.array(~np.array(meta.column("learn").to_pylist(), bool)), "n_tokens": meta.column("n_tokens"), "n_known": meta.column("n_known"), "train_tokens": pa.array(np.full(len(s), train_tokens)), "base_score": meta.column("base_score"), "score": pa.array(s)})
 
     train_tokens = uni.n
-    return done.filter("kind in (0, 3, 4, 5)").groupBy("k").applyInArrow(gather, f"doc_id {kind_of}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return done.filter("kind in (0, 3, 5)").groupBy("k").applyInArrow(gather, f"doc_id {kind_of}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _count_triples(doc: np.ndarray, ctx: np.ndarray, seen: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

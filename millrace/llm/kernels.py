@@ -80,10 +80,7 @@ def runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return starts, np.flatnonzero(last) - starts + 1, np.searchsorted(at, starts, "right") - 1
 
 
-def hash_runs(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each run of bytes; runs have a byte at least."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+def _hash_block(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lower: bool) -> np.ndarray:
     begins = np.cumsum(lengths) - lengths
     within = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(begins, lengths)
     picked = data[np.repeat(starts, lengths) + within]
@@ -91,6 +88,26 @@ def hash_runs(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lower:
     return mix(np.add.reduceat(value, begins) ^ (lengths.astype(np.uint64) << np.uint64(48)))
 
 
+def hash_runs(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lower: bool = True, most: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each run of bytes; runs have a byte at least. Some `most` bytes are at work at a time."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    ends = np.cumsum(lengths)
+    edges = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(most, int(ends[-1]), most)), [len(starts)]]))
+    return np.concatenate([_hash_block(data, starts[a:b], lengths[a:b], lower) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+
+
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of 64-bit numbers, all first bytes first: high ones are mostly equal and compress."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unplanes(b: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(b) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(b, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel()
+
+
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of each word."""
     starts, lengths, rows = runs(data, at)
