@@ -137,7 +137,7 @@ def dedup(docs: DataFrame, length: int = 100, k: int = 32, parts: int | None = N
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in K.slices(batch.column(2)):
+            for i, j in K.slices(batch.column(2), 2 << 20):
                 data, at = K.utf8(batch.column(2).slice(i, j - i))
                 h, place, _, _ = anchors(data, at, length, k)
                 if not len(h):
@@ -152,10 +152,11 @@ def dedup(docs: DataFrame, length: int = 100, k: int = 32, parts: int | None = N
                     mine = order[edges[p] : edges[p + 1]]
                     if len(mine):
                         used, local = np.unique(doc[mine], return_inverse=True)
-                        out.append((p, d[used].tobytes(), t[used].tobytes(), local.astype(np.uint32).tobytes(), (place[mine] - at[doc[mine]]).astype(np.uint32).tobytes(), h[mine].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[c] for x in out], pa.binary()) for c in range(1, 6))], ["part", "d", "t", "doc", "place", "h"])
+                        # documents ascend, so how many anchors each has tells whose they are; 40 bits of a hash are enough in a part
+                        out.append((p, K.planes(d[used], 8), t[used].tobytes(), K.planes(np.bincount(local), 4), K.planes(place[mine] - at[doc[mine]], 4), K.planes(h[mine], 5)))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[c] for x in out], pa.binary()) for c in range(1, 6))], ["part", "d", "t", "times", "place", "h"])
 
-    sampled = held.filter("first").select("d", "t", "text").mapInArrow(sample, "part int, d binary, t binary, doc binary, place binary, h binary")
+    sampled = held.filter("first").select("d", "t", "text").mapInArrow(sample, "part int, d binary, t binary, times binary, place binary, h binary")
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         families: dict[int, tuple[Family, list]] = {}
@@ -165,8 +166,9 @@ def dedup(docs: DataFrame, length: int = 100, k: int = 32, parts: int | None = N
                 family, store = families.setdefault(int(p), (Family(), [np.zeros((0, 3), np.int64), np.zeros(0, bool)]))
                 got = [[], [], [], []]
                 for r in np.flatnonzero(part == p):
-                    d, t, doc, place, h = (np.frombuffer(batch.column(c)[int(r)].as_py(), kind) for c, kind in enumerate((np.int64, np.int64, np.uint32, np.uint32, np.uint64), 1))
-                    for x, y in zip(got, (d[doc], t[doc], place.astype(np.int64), h), strict=True):
+                    d, t, times, place, h = (K.unplanes(batch.column(c)[int(r)].as_py(), width) if width else np.frombuffer(batch.column(c)[int(r)].as_py(), np.int64) for c, width in enumerate((8, 0, 4, 4, 5), 1))
+                    of = np.repeat(np.arange(len(t)), times.astype(np.int64))
+                    for x, y in zip(got, (d.view(np.int64)[of], t[of], place.astype(np.int64), h), strict=True):
                         x.append(y)
                 d, t, place, h = (np.concatenate(x) for x in got)
                 order = np.argsort(h, kind="stable")
@@ -197,7 +199,7 @@ def dedup(docs: DataFrame, length: int = 100, k: int = 32, parts: int | None = N
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in K.slices(batch.column(2)):
+            for i, j in K.slices(batch.column(2), 2 << 20):
                 data, at = K.utf8(batch.column(2).slice(i, j - i))
                 h, place, lo, hi = anchors(data, at, length, k)
                 doc = np.searchsorted(at, place, "right") - 1
@@ -226,8 +228,8 @@ def dedup(docs: DataFrame, length: int = 100, k: int = 32, parts: int | None = N
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         families: dict[int, Family] = {}
         for whole in batches:
-            for a in range(0, whole.num_rows, 2000):
-                batch = whole.slice(a, 2000)
+            for a, b in K.slices(whole.column(5), 1 << 20):
+                batch = whole.slice(a, b - a)
                 part = batch.column(0).to_numpy()
                 for p in np.unique(part):
                     mine = np.flatnonzero(part == p)
