@@ -33,7 +33,7 @@ def pack_arriving(stream: DataFrame, length: int, eos: int, ends: list[int], new
         held = list(state.get) if state.exists else [[], []]
         docs = [(list(held[0]), list(held[1]))]
         rows = pd.concat(list(frames)).sort_values("doc_id", kind="stable")
-        docs += [(list(t), list(s)) for t, s in zip(rows["tokens"], rows["spaced"], strict=True)]
+        docs += [([int(x) for x in t], [bool(x) for x in s]) for t, s in zip(rows["tokens"], rows["spaced"], strict=True)]
         chunks = list(pack_stream(docs, length, eos, end_set, newline_set, most=1 << 60, keep_singletons=True))
         used = sum(len(c) for c, _ in chunks)
         chunks = [c for c in chunks if len(c[0]) > 1]
