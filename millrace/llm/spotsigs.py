@@ -73,9 +73,10 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
     return at * 64 + F.size(F.filter(F.get(F.lit(blocks).cast("array<array<bigint>>"), at), lambda b: b <= key))
 
 
-def with_next(docs: DataFrame, columns: list[str], buckets: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], buckets: int | None = None, add: dict[str, Column] | None = None) -> DataFrame:
     """docs with next_<column> of the document that follows in ascending doc_id (after the last: the first).
 
+    add: columns to compute first, once a row and for the few that go to a second bucket.
     Documents are dealt by quantiles of doc_id; each bucket also gets the first document of the next one. Null doc_ids
     come first, equal ones in order of their text's hash.
     """
@@ -89,6 +90,7 @@ def with_next(docs: DataFrame, columns: list[str], buckets: int | None = None) -
     ahead = F.broadcast(spark.createDataFrame(rows, "_key long, _bucket int"))
     held = docs.withColumns({"_key": key, "_ghost": F.lit(0)})
     both = held.withColumn("_bucket", bucket).unionByName(held.withColumn("_ghost", F.lit(1)).join(ahead, "_key"))
+    both = both.withColumns(add or {})
     order = Window.partitionBy("_bucket").orderBy("_ghost", "_key", F.xxhash64("text"))
     return both.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).filter("_ghost = 0").drop("_key", "_ghost", "_bucket")
 
@@ -105,7 +107,7 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     Null text is empty; a single document is its own next one; an empty table gives an empty table.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(rows.withColumn("fp", fingerprint(F.col("text"))), ["text", "fp"])
+    rows = with_next(rows, ["text", "fp"], add={"fp": fingerprint(F.col("text"))})
     rows = rows.withColumn("edited", edited(F.col("text"), F.col("next_text")))
     rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp", fingerprint(F.col("edited")).alias("edited_fp"))
     return rows.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
