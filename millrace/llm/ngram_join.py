@@ -245,24 +245,32 @@ def join(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = 1_50
     linked = cut(sets_in.repartition(n, "comp", "block").sortWithinPartitions("comp", "block").mapInArrow(search, "cid long, root long, apart boolean"))
     labels = linked.select("cid", "root")
     if many and linked.filter("apart").head(1):
-        apart = sets.join(linked.filter("apart").select("cid").distinct(), "cid", "left_semi").select("comp", "block", "blocks", "cid", "grams")
-        asked = apart.withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("_b != block").select("comp", F.col("_b").alias("block"), F.lit(-1).alias("blocks"), "cid", "grams")
+        # a set's least root in any block; what this links already is not searched or sent again
+        known = linked.groupBy("cid").agg(F.min("root").alias("root"), F.max("apart").alias("apart"))
+        rooted = sets.join(known, "cid").select("comp", "block", "blocks", "cid", "root", "apart", "grams")
+        asked = rooted.filter("apart").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("_b != block").select("comp", F.col("_b").alias("block"), F.lit(-1).alias("blocks"), "cid", "root", "apart", "grams")
 
         def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for group in groups_of(batches, 2):
-                cid, asks = group.column(3).to_numpy(), group.column(2).to_numpy() < 0
+                asks = group.column(2).to_numpy() < 0
                 if not asks.any() or asks.all():
                     continue
-                grams = [np.frombuffer(x.as_py(), np.uint64) for x in group.column(4)]
+                roots, of = np.unique(group.column(4).to_numpy(), return_inverse=True)
+                comp = np.arange(len(roots))
+                grams = [np.frombuffer(x.as_py(), np.uint64) for x in group.column(6)]
                 own = np.flatnonzero(~asks)
                 lists = Lists([grams[i] for i in own])
                 for i in np.flatnonzero(asks):
-                    got = lists.search(lists.find(grams[i]), len(grams[i]), percent, np.zeros(lists.n, bool))
+                    mine = comp[of[i]]
+                    got = lists.search(lists.find(grams[i]), len(grams[i]), percent, comp[of[own]] == mine)
                     if len(got):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), cid[i])), pa.array(cid[own[got]])], ["a", "b"])
+                        new = np.unique(comp[of[own[got]]])
+                        comp[np.isin(comp, new)] = mine
+                        # one row for each component that joins: fewer than the block has roots
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), roots[mine])), pa.array(roots[new])], ["a", "b"])
 
         busy = asked.select("comp", "block").distinct()
-        more = sets.join(busy, ["comp", "block"], "left_semi").select("comp", "block", "blocks", "cid", "grams").union(asked).repartition(n, "comp", "block").sortWithinPartitions("comp", "block").mapInArrow(across, "a long, b long")
+        more = rooted.join(busy, ["comp", "block"], "left_semi").select(asked.columns).union(asked).repartition(n, "comp", "block").sortWithinPartitions("comp", "block").mapInArrow(across, "a long, b long")
         labels = components(linked.select(F.col("cid").alias("a"), F.col("root").alias("b")).union(more)).select(F.col("node").alias("cid"), "root")
     labels = labels.groupBy("cid").agg(F.min("root").alias("root"))
     named = firsts.select("cid", "doc").join(labels, "cid", "left").select("cid", "doc", F.coalesce("root", "cid").alias("root"))
