@@ -24,7 +24,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spotsigs.compare_neighbours(documents(spark, sf_dir))
+    return spotsigs.compare_neighbours(documents(spark, sf_dir), rising=True)
 
 
 def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """SpotSigs document fingerprints, with Spark SQL functions alone.
 
-Where common words (anchors) end and content begins, the next content words form a chain; a text's fingerprint is the
+Where common words (anchors) end and content begins, the next content words form a chain; lists and tables have few
+such places, so chains can also be taken by their own words' hashes. A text's fingerprint is the
 set of its chains' 32-bit hashes. Fingerprints are put into partitions by set length, and two are compared by Jaccard
 similarity only if their partitions are near enough for the similarity to reach a floor.
 """
@@ -31,16 +32,27 @@ def content(text: Column) -> Column:
     return F.filter(F.split(marked, " "), lambda w: (w != "") & (w != _MARK))
 
 
-def fingerprint(text: Column, chain: int = 2) -> Column:
+def fingerprint(text: Column, chain: int = 2, rising: bool = False) -> Column:
     """Ascending distinct 32-bit hashes of the chains. A chain at the end of a text may be shorter. A text without
-    anchors has a chain at every word; one without words has none."""
+    anchors has a chain at every word; one without words has none.
+
+    rising: besides those after anchors, there is a chain at each word whose hash is not above the next one's, and at
+    the last word; none at every word then. Whether such a chain is taken follows from its own words, so what two texts
+    share counts alike in both, however many anchors either has.
+    """
 
     def bare(w: Column) -> Column:
         return F.translate(w, _MARK, "")
 
+    def hashed(ws: Column, at: Column) -> Column:
+        return F.transform(at, lambda i: F.shiftright(F.xxhash64(*(bare(F.coalesce(F.get(ws, i + j), F.lit(""))) for j in range(chain))), 32).cast("int"))
+
     def chains(ws: Column) -> Column:
+        if rising:
+            spots = let(F.transform(ws, lambda w: F.xxhash64(bare(w))), lambda hs: F.transform(ws, lambda w, i: F.when(w.startswith(_MARK) | F.coalesce(F.get(hs, i) <= F.get(hs, i + 1), F.lit(True)), i)))
+            return let(F.filter(spots, lambda i: i.isNotNull()), lambda at: hashed(ws, at))
         spots = F.filter(F.transform(ws, lambda w, i: F.when(w.startswith(_MARK), i)), lambda i: i.isNotNull())
-        return let(F.when(F.size(spots) > 0, spots).when(F.size(ws) > 0, F.sequence(F.lit(0), F.size(ws) - 1)).otherwise(F.array().cast("array<int>")), lambda at: F.transform(at, lambda i: F.shiftright(F.xxhash64(*(bare(F.coalesce(F.get(ws, i + j), F.lit(""))) for j in range(chain))), 32).cast("int")))
+        return let(F.when(F.size(spots) > 0, spots).when(F.size(ws) > 0, F.sequence(F.lit(0), F.size(ws) - 1)).otherwise(F.array().cast("array<int>")), lambda at: hashed(ws, at))
 
     return let(content(text), lambda ws: F.sort_array(F.array_distinct(chains(ws))))
 
@@ -101,13 +113,13 @@ def edited(text: Column, after: Column) -> Column:
     return F.concat(text.substr(F.lit(1), F.length(text) - k), after.substr(F.lit(1), k))
 
 
-def compare_neighbours(docs: DataFrame) -> DataFrame:
+def compare_neighbours(docs: DataFrame, rising: bool = False) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of docs (doc_id, text).
 
-    Null text is empty; a single document is its own next one; an empty table gives an empty table.
+    rising: as in fingerprint(). Null text is empty; a single document is its own next one; an empty table gives an empty table.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(rows, ["text", "fp"], add={"fp": fingerprint(F.col("text"))})
+    rows = with_next(rows, ["text", "fp"], add={"fp": fingerprint(F.col("text"), rising=rising)})
     rows = rows.withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp", fingerprint(F.col("edited")).alias("edited_fp"))
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp", fingerprint(F.col("edited"), rising=rising).alias("edited_fp"))
     return rows.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))

@@ -77,3 +77,45 @@ def test_near_copies_are_near(spark):
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:290] + ["other"] * 10)), (3, "nothing of the sort was in the plan of a stranger")], "doc_id long, text string")
     near = {r.doc_id: r.near_next for r in spotsigs.compare_neighbours(docs).collect()}
     assert near[1] > 0.9 and near[2] < 0.1
+
+
+def rising(text, chain=2):
+    one = lambda w, seed=42: xxhash.xxh64(w.encode(), seed=seed).intdigest()
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    words, content, marked = regex.findall(r"[\p{L}\p{N}]+", text.lower()), [], []
+    for k, w in enumerate(words):
+        if w not in spotsigs.ANCHORS:
+            content.append(w)
+            marked.append(k > 0 and words[k - 1] in spotsigs.ANCHORS)
+    out = set()
+    for i, w in enumerate(content):
+        if marked[i] or i + 1 == len(content) or signed(one(w)) <= signed(one(content[i + 1])):
+            h = 42
+            for j in range(chain):
+                h = one(content[i + j] if i + j < len(content) else "", h)
+            out.add(h >> 32)
+    return "".join(f"{x:08x}" for x in sorted(out, key=lambda x: x - (1 << 32) if x >> 31 else x))
+
+
+def test_query_has_rising_chains(spark, small, odd, sf_dir):
+    from millrace.llm import queries
+
+    texts = {r.doc_id: r.text for r in small.collect()}
+    got = queries.op1_spotsigs(spark, sf_dir).collect()
+    assert len(got) == len(texts) and all(r.fingerprint == rising(texts[r.doc_id]) for r in got)
+    docs = odd.dropDuplicates(["doc_id"])
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert all(r.fingerprint == rising(texts[r.doc_id]) for r in spotsigs.compare_neighbours(clashing(docs), rising=True).collect())
+
+
+@pytest.mark.parametrize("anchors", [0, 1, 2])
+def test_texts_with_few_anchors_are_near_their_edited_copies(spark, tmp_path, anchors):
+    from millrace.llm import queries
+
+    texts = [(n, " ".join(("the " if i < anchors else "") + f"item{n}x{i}" for i in range(n))) for n in (24, 40, 97, 300)]
+    prose = [(n + 1, "the house of the north is on a hill and the river from it was in the valley " * 20) for n, _ in texts]
+    spark.createDataFrame(texts + prose, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op1_spotsigs(spark, str(tmp_path)).collect()}
+    for n, _ in texts:
+        assert got[n].near_edited > 0.4 and len(got[n].fingerprint) >= 8 * n // 4
+        assert got[n].near_next < 0.1
