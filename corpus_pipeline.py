@@ -21,9 +21,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of texts that share 0.8 of their 5-word shingles or more: the one whose doc_id is the
-    component's least. Rows without words are all kept."""
-    found = ngram_join.join(docs, shingle=5, percent=80)
-    whole = found.filter("n_shingles > 0 and doc_id <=> component_id").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
+    component's least (null only if all are), of its texts the one of the least hash. Rows without words are all kept."""
+    found = ngram_join.join(docs, shingle=5, percent=80, root=True)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "text_hash")).alias("_first")
+    whole = found.filter("n_shingles > 0").groupBy("root").agg(first).select("_first.doc_id", "_first.text_hash")
     keep = whole.union(found.filter("n_shingles = 0").select("doc_id", "text_hash")).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"))
     kept = hold(docs, "doc_id", "text").withColumn("_h", F.xxhash64("text")).join(keep, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left_semi")
     # a repeated row is a copy of itself

@@ -193,13 +193,14 @@ def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     return cut(docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(make, f"_doc {kind}, _text long, n long, cid long, sigs array<long>"))
 
 
-def join(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = 1_500_000) -> DataFrame:
+def join(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = 1_500_000, root: bool = False) -> DataFrame:
     """doc_id, text_hash (xxhash64), n_shingles, component_id per row of docs (doc_id, text): rows link when 100 * intersection is at least
     percent * union of their sets of distinct word shingles; component_id is the least doc_id that links reach.
 
     Null, empty and blank texts have no shingles and are linked with nothing (component_id is their own doc_id); a text
     with fewer words than a shingle is one shingle. Equal rows are linked as any equal texts are; a null doc_id is
     ignored as a component's least one unless all are null. block: shingles that one search task holds.
+    root: also root, a number of the component that rows of other components never have; null without shingles.
     """
     spark, table = docs.sparkSession, classes(docs, shingle, percent)
     firsts = table.filter("n > 0").groupBy("cid").agg(F.min("_doc").alias("doc"), F.min(F.struct("_doc", "_text")).alias("_one"), F.first("n").alias("n"))
@@ -275,6 +276,6 @@ def join(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = 1_50
     labels = labels.groupBy("cid").agg(F.min("root").alias("root"))
     named = firsts.select("cid", "doc").join(labels, "cid", "left").select("cid", "doc", F.coalesce("root", "cid").alias("root"))
     least_doc = named.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = named.join(least_doc, "root").select("cid", "component_id")
+    named = named.join(least_doc, "root").select("cid", "component_id", "root")
     rows = table.select(F.col("_doc").alias("doc_id"), F.col("_text").alias("text_hash"), F.col("n").alias("n_shingles"), "cid").join(named, "cid", "left")
-    return rows.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *(["root"] if root else []))

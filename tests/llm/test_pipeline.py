@@ -87,3 +87,16 @@ def test_sql_of_the_queries(spark, sf_dir):
         columns = [c[0] for c in want.description]
         assert sorted(columns) == sorted(got.columns)
         assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want.fetchall())
+
+
+def test_unrelated_texts_stay_whatever_their_ids(spark, sf_dir):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    null = [(None, text(k)) for k in range(5)]
+    both = [(7, text(10)), (7, text(11)), (8, text(12)), (9, text(13))]
+    copies = [(None, text(12) + " end"), (None, text(4) + " end"), (3, text(13)), (9, text(13)), (7, text(11))]
+    blank = [(None, ""), (None, ""), (7, None)]
+    docs = spark.createDataFrame(null + both + copies + blank, "doc_id long, text string")
+    got = sorted(map(tuple, corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()), key=str)
+    of_four = [r for r in got if r[1] and r[1].startswith(text(4))]
+    assert len(of_four) == 1 and of_four[0][0] is None
+    assert [r for r in got if r not in of_four] == sorted(null[:4] + both[:3] + [(3, text(13))] + blank, key=str)
