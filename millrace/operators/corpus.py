@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+import uuid
+from collections.abc import Generator
 
 import numpy as np
 import pandas as pd
@@ -59,13 +61,14 @@ def pack_fixed(encoded: DataFrame, length: int, by: str = "domain", order: str =
     return out if flush_tail else out.filter(F.col("n_tokens") == length)
 
 
-def pack_stream(docs: list[tuple[list[int], list[bool]]], length: int, eos: int, ends: set[int], newlines: set[int] = frozenset(), bos: int | None = None, most: int = 2000, keep_singletons: bool = False, flush_tail: bool = False) -> Iterator[tuple[list[int], int]]:
+def pack_stream(docs: list[tuple[list[int], list[bool]]], length: int, eos: int, ends: set[int], newlines: set[int] = frozenset(), bos: int | None = None, most: int = 2000, keep_singletons: bool = False, flush_tail: bool = False) -> Generator[tuple[list[int], int], None, int]:
     """Chunks of at most `length` tokens, cut after the last sentence end, from documents one after another, each with
     the padding it leaves. A document is (tokens, whether each one's text has a space).
 
     A sentence ends at eos, a newline token, or an end token if it or the next token has a space or nothing follows yet.
     What is cut off opens the next chunk. A chunk of one token is dropped unless keep_singletons. After `most` chunks in
     the course of one document the rest of the stream so far is discarded. The tail is kept only with flush_tail.
+    Returns the number of tokens that no chunk has taken yet: as a first document they open the stream that follows.
     """
     room = length - (bos is not None)
     all_ = np.concatenate([np.asarray(t, np.int64) for t, _ in docs]) if docs else np.zeros(0, np.int64)
@@ -100,25 +103,77 @@ def pack_stream(docs: list[tuple[list[int], list[bool]]], length: int, eos: int,
                 yield chunk, padding
     if flush_tail and at < len(all_):
         yield head + all_[at:].tolist(), length - len(head) - (len(all_) - at)
+    return len(all_) - at
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """df written to the folder in spark.checkpoint.dir (where it is unset, a temporary one) and read back."""
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+    path = f"{sc.getCheckpointDir()}/packing-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def pack_sentences(encoded: DataFrame, length: int, eos: int, ends: list[int], newlines: list[int] = (), bos: int | None = None, docs_per_stream: int = 10_000, most: int = 2000, flush_tail: bool = False, keep_singletons: bool = False) -> DataFrame:
     """domain, stream, seq, tokens, padding from encoded (doc_id, domain, tokens ARRAY<INT>, spaced ARRAY<BOOLEAN>).
 
-    Packing is a fold over documents in order. To keep any domain, however large, from being one task's work, a domain
-    is cut into streams of so many documents; each stream is packed by itself, with the semantics of pack_stream.
+    Packing is a fold over a domain's documents in order. To keep any domain, however large, from being one task's work,
+    it is cut into streams of so many documents, and a stream opens with what the one before it left over. All streams
+    are folded at once, those whose opening was another than assumed (at first: nothing) again, until none is left: each
+    round settles one more stream of a domain at least, and nearly all at once where sentences end, as a later cut does
+    not depend on where the stream began.
     """
     ranked = prefix_sum(encoded, F.lit(1).cast("long"), ["doc_id"], "_at", ["domain"])
-    ranked = ranked.withColumn("stream", F.floor(F.col("_at") / docs_per_stream).cast("int")).select("domain", "stream", "doc_id", "tokens", "spaced")
+    ranked = ranked.withColumn("stream", F.floor(F.col("_at") / docs_per_stream).cast("int")).select("domain", "stream", "_at", "tokens", "spaced")
     end_set, newline_set = set(ends), frozenset(newlines)
 
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("doc_id", kind="stable")
-        docs = list(zip(rows["tokens"], rows["spaced"], strict=True))
-        chunks = list(pack_stream(docs, length, eos, end_set, newline_set, bos, most, keep_singletons, flush_tail))
-        return pd.DataFrame({"domain": key[0], "stream": key[1], "seq": range(len(chunks)), "tokens": [c for c, _ in chunks], "padding": [p for _, p in chunks]})
+    def folded(rows: pd.DataFrame, flush: bool) -> tuple[list[tuple[list[int], int]], list[int], list[bool]]:
+        rows = rows.sort_values("_at", kind="stable")
+        docs, chunks = list(zip(rows["tokens"], rows["spaced"], strict=True)), []
+        fold = pack_stream(docs, length, eos, end_set, newline_set, bos, most, keep_singletons, flush)
+        while True:
+            try:
+                chunks.append(next(fold))
+            except StopIteration as done:
+                left = done.value
+                break
+        tokens, spaced = [], []
+        for t, s in reversed(docs):
+            if len(tokens) >= left:
+                break
+            tokens, spaced = [*map(int, t), *tokens], [*map(bool, s), *spaced]
+        return chunks, tokens[len(tokens) - left :], spaced[len(spaced) - left :]
+
+    def rest(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        _, tokens, spaced = folded(rows, False)
+        return pd.DataFrame({"domain": [key[0]], "stream": [int(key[1]) + 1], "_at": [-1], "tokens": [tokens], "spaced": [spaced]})
 
-    return ranked.groupBy("domain", "stream").applyInPandas(fold, "domain string, stream int, seq int, tokens array<int>, padding int")
+    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        chunks, _, _ = folded(rows, flush_tail and bool(rows["_last"].max()))
+        return pd.DataFrame({"domain": key[0], "stream": key[1], "seq": range(len(chunks)), "tokens": pd.Series([c for c, _ in chunks], dtype=object), "padding": [p for _, p in chunks]})
+
+    kind = "domain string, stream int, _at long, tokens array<int>, spaced array<boolean>"
+    lasts = ranked.groupBy("domain").agg(F.max("stream").alias("_end"))
+    if not lasts.filter("_end > 0").head(1):
+        return ranked.withColumn("_last", F.lit(True)).groupBy("domain", "stream").applyInPandas(fold, "domain string, stream int, seq int, tokens array<int>, padding int")
+    ranked = _stored(ranked)
+    lasts = _stored(ranked.groupBy("domain").agg(F.max("stream").alias("_end")))
+
+    def openings(rows: DataFrame) -> DataFrame:
+        """What the streams in rows leave to those that follow them."""
+        return rows.groupBy("domain", "stream").applyInPandas(rest, kind).join(lasts, "domain").filter("stream <= _end").drop("_end")
+
+    now = _stored(openings(ranked))
+    change = now.filter(F.size("tokens") > 0)
+    while change.head(1):
+        again = ranked.join(change.select("domain", "stream"), ["domain", "stream"], "left_semi")
+        new = openings(again.unionByName(change))
+        then = _stored(now.join(new.select("domain", "stream", F.struct("tokens", "spaced").alias("_new")), ["domain", "stream"], "left").select("domain", "stream", "_at", *(F.when(F.col("_new").isNull(), F.col(c)).otherwise(F.col(f"_new.{c}")).alias(c) for c in ("tokens", "spaced")), (F.col("_new").isNotNull() & (F.struct("tokens", "spaced") != F.col("_new"))).alias("_differs")))
+        now, change = then.drop("_differs"), then.filter("_differs").drop("_differs")
+    whole = ranked.unionByName(now).join(lasts, "domain").withColumn("_last", F.col("stream") == F.col("_end")).drop("_end")
+    return whole.groupBy("domain", "stream").applyInPandas(fold, "domain string, stream int, seq int, tokens array<int>, padding int")
 
 
 def pack_stats(packed: DataFrame, encoded: DataFrame, length: int, by: str = "domain") -> DataFrame:

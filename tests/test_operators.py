@@ -34,6 +34,22 @@ def test_packed_table_is_the_fold_of_each_domain(spark):
         assert [(r.tokens, r.padding) for r in sorted(out, key=lambda r: r.seq) if r.domain == d] == want
 
 
+@pytest.mark.parametrize("options", [{}, {"flush_tail": True}, {"bos": 100}, {"most": 2, "keep_singletons": True}])
+@pytest.mark.parametrize("ends", [[9], []])
+def test_streams_carry_their_tails(spark, options, ends):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(90):
+        n = int(rng.integers(0, 30)) if i % 40 else 60
+        rows.append((i, f"d{i % 2}", [int(t) for t in rng.integers(1, 12, n)] + [0] * (i % 3 > 0), [bool(x) for x in rng.integers(0, 2, n)] + [False] * (i % 3 > 0)))
+    rows.append((500, "alone", [1, 2, 3, 9, 4], [True] * 5))
+    docs = spark.createDataFrame(rows, "doc_id long, domain string, tokens array<int>, spaced array<boolean>")
+    out = corpus.pack_sentences(docs, 8, 0, ends, docs_per_stream=7, **options).collect()
+    for d in ("d0", "d1", "alone"):
+        want = list(corpus.pack_stream([(r[2], r[3]) for r in rows if r[1] == d], 8, 0, set(ends), **options))
+        assert [(r.tokens, r.padding) for r in sorted(out, key=lambda r: (r.stream, r.seq)) if r.domain == d] == want
+
+
 def test_difference_selection(spark):  # V5
     score = lambda v: spark.createDataFrame(list(enumerate(v)), "idx long, score double")
     diff = selection.difference(score([2.0, 1.0, 3.0, 2.5]), score([2.5, 3.0, 3.0, 2.0]))
