@@ -195,13 +195,15 @@ def doc_boundaries(rows: DataFrame, idx: str = "idx", size: str = "size") -> Dat
     return prefix_sum(rows, F.when(F.col(size) == 0, 1).otherwise(0).cast("long"), [idx], "doc")
 
 
-def language_model_scores(docs: DataFrame, every: int = 20) -> DataFrame:
+def language_model_scores(docs: DataFrame, every: int = 20, training: DataFrame | None = None) -> DataFrame:
     """idx, large, small: mean negative log-likelihood of each document under a unigram model of its own source, and
-    under an add-one unigram model learned from documents whose doc_id is divisible by `every`."""
+    under an add-one unigram model learned from all rows of training (text), or else from documents whose doc_id is
+    divisible by `every`."""
     words = docs.select("doc_id", "source", F.explode(tokenize(F.col("text"))).alias("tok")).groupBy("doc_id", "source", "tok").agg(F.count("*").alias("n"))
     own = words.groupBy("source", "tok").agg(F.sum("n").alias("c_own"))
     total = own.groupBy("source").agg(F.sum("c_own").alias("n_own"))
-    held = words.filter(F.col("doc_id") % every == 0).groupBy("tok").agg(F.sum("n").alias("c_ref"))
+    learned = words.filter(F.col("doc_id") % every == 0) if training is None else training.select(F.explode(tokenize(F.col("text"))).alias("tok")).withColumn("n", F.lit(1).cast("long"))
+    held = learned.groupBy("tok").agg(F.sum("n").alias("c_ref"))
     size = held.agg(F.coalesce(F.sum("c_ref"), F.lit(0)).alias("n_ref"), F.count("*").alias("v_ref"))
     row = size.first()
     n_ref, v_ref = int(row[0]), int(row[1])

@@ -189,6 +189,12 @@ def locate_rows(spark, sf_dir):
     return sequences.locate(rows.select("idx").filter("idx % 7 = 3"), sequences.manifest(rows))
 
 
+@query(f"with {_MANIFEST} select idx, m.shard, idx - lo as local_idx from q join m on lo <= idx and idx < hi")
+def locate_all_rows(spark, sf_dir):
+    rows = sharded(spark, sf_dir)
+    return sequences.locate(rows.select("idx"), sequences.manifest(rows))
+
+
 @query(f"with {_SHARDED} select doc_id, idx - 120 as idx from h where idx >= 120 and idx < 870")
 def offset_range(spark, sf_dir):
     return sequences.between(sharded(spark, sf_dir), 120, 870).select("doc_id", "idx")
@@ -216,6 +222,13 @@ def held_out_is_disjoint(spark, sf_dir):
     return selection.assert_disjoint(docs.filter("doc_id % 20 = 0"), docs.filter("doc_id % 20 = 1"), "doc_id")
 
 
+@query(f"with {_SHARDED} select count(*) as n_shared from (select doc_id from h where shard = 1 intersect select doc_id from h where shard <> 1)")
+def held_out_shards_are_disjoint(spark, sf_dir):
+    """Shares of the held-out shards with all others: rows are split by place, so a repeated id can be in both."""
+    rows = sharded(spark, sf_dir)
+    return selection.assert_disjoint(rows.filter("shard <> 1"), sequences.hold_out(rows, 1, 1), "doc_id")
+
+
 @query("select doc_id as idx, cast(coalesce(sum(case when length(text) < 400 then 1 else 0 end) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) as doc from documents")
 def document_boundaries(spark, sf_dir):
     sized = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.when(F.length("text") < 400, 0).otherwise(F.length("text")).alias("size"))

@@ -175,3 +175,23 @@ def test_stream_gives_the_chunks_of_the_batch(spark, tmp_path):
     got = sorted(len(r.tokens) for r in spark.table("chunks").collect())
     want = sorted(len(c) for c, _ in corpus.pack_stream([(r[2], r[3]) for r in rows], 7, 0, {9}))
     assert got == want
+
+
+def test_reference_model_learns_from_the_rows_it_is_given(spark):
+    docs = spark.createDataFrame([(1, "a", "x y y"), (2, "b", "x z")], "doc_id long, source string, text string")
+    got = {r.idx: r.small for r in corpus.language_model_scores(docs, training=docs).collect()}
+    p = {"x": 3 / 9, "y": 3 / 9, "z": 2 / 9}
+    assert got[1] == pytest.approx(-math.log(p["x"]) / 3 - 2 * math.log(p["y"]) / 3) and got[2] == pytest.approx(-(math.log(p["x"]) + math.log(p["z"])) / 2)
+
+
+def test_whole_tables_are_covered(spark, tmp_path):
+    from millrace.plans import catalog
+
+    ids = [*range(499), 0, *range(600, 1299)]
+    docs = [(i, "w " * 50 + ". a . b" + " ." * 3, "src1") for i in ids]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    located = catalog.QUERIES["locate_all_rows"](spark, str(tmp_path)).collect()
+    assert sorted((r.idx, r.shard, r.local_idx) for r in located) == [(i, i // 500, i % 500) for i in range(len(docs))]
+    assert catalog.QUERIES["held_out_shards_are_disjoint"](spark, str(tmp_path)).first().n_shared == 0
+    spark.createDataFrame([(i // 2, "w", "src1") for i in range(1, 1500)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/twice/documents.parquet")
+    assert catalog.QUERIES["held_out_shards_are_disjoint"](spark, f"{tmp_path}/twice").first().n_shared == 2
