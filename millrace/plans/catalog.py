@@ -420,6 +420,13 @@ def trimmed_and_split(spark, sf_dir):
     return _arrays(t.select("idx", X.trim_pads(F.col("t"), 46).alias("t"), F.size(X.split_array(F.col("t"), 46)).alias("parts")))
 
 
+@query(f"""with {_LENGTHS}, z as (select idx, t, list_position(list_transform(list_reverse(t), lambda x: x <> 46), true) as after from l)
+select idx, array_to_string(case when coalesce(after, 0) = 0 then t else t[1:len(t) - after + 1] end, ',') as t, cast(len(list_filter(t, lambda x: x = 46)) + 1 as int) as parts from z""")
+def whole_trimmed_and_split(spark, sf_dir):
+    t = rows_of(spark, sf_dir)
+    return _arrays(t.select("idx", X.trim_pads(F.col("tokens"), 46).alias("t"), F.size(X.split_array(F.col("tokens"), 46)).alias("parts")))
+
+
 # Distributions and losses: an embedding's elements are the logits of one position.
 
 

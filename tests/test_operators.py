@@ -195,3 +195,5 @@ def test_whole_tables_are_covered(spark, tmp_path):
     assert catalog.QUERIES["held_out_shards_are_disjoint"](spark, str(tmp_path)).first().n_shared == 0
     spark.createDataFrame([(i // 2, "w", "src1") for i in range(1, 1500)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/twice/documents.parquet")
     assert catalog.QUERIES["held_out_shards_are_disjoint"](spark, f"{tmp_path}/twice").first().n_shared == 2
+    split = catalog.QUERIES["whole_trimmed_and_split"](spark, str(tmp_path)).first()
+    assert split.parts == 6 and split.t == ",".join(["119"] * 50 + ["46", "97", "46", "98"])
