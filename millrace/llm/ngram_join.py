@@ -1,10 +1,10 @@
 """N-gram Jaccard join by T-occurrence search (DivideSkip).
 
 1. Each text becomes its set of hashed word shingles; texts with equal sets are one class from here on.
-2. Two sets of Jaccard similarity J or more differ in at most d shingles, d following from their sizes. Sets are put
-   into size bands such that linked ones are in the same or neighbouring bands; in a band, shingles are dealt by hash
-   into more than d buckets, so linked sets agree exactly in a bucket at least. Classes that share a bucket's content
-   are candidates of each other, and connected candidates form a group. No pair is ever formed here.
+2. Sets of Jaccard similarity J or more share one of the first n - J n + 1 shingles of each, in any order that is the
+   same for all. Ordered by how many sets have a shingle, rarest first, sets most of whose shingles are theirs alone
+   drop out at once. Classes of about equal size with a prefix shingle in common are candidates of each other, and
+   connected candidates form a group. No pair is ever formed here.
 3. In a group, inverted lists over its shingles are searched: for a query of n shingles and the least overlap T that
    its partners need, short lists are merged and counted, long ones are probed by binary search for those that can
    still reach T, and the ones that do are linked. As only components are asked for, the group's first class is
@@ -19,57 +19,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import kernels as K
 from millrace.llm.components import components
-from millrace.llm.store import cut
-
-
-def bands(percent: int, most: int = 1 << 33) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Least size, bound d on the differences, and number of buckets of each size band."""
-    low, least, differ, buckets = 1, [], [], []
-    while low < most:
-        high = low * 100 // percent
-        d = (100 - percent) * 2 * high // (100 + percent)
-        before = least[-1] if least else 1
-        spare = int(np.ceil(3 * (d + 1) * np.exp(-before / (d + 1)))) + 1 if d else 0
-        least.append(low)
-        differ.append(d)
-        buckets.append(d + 1 + spare)
-        low = high + 1
-    return np.array(least), np.array(differ), np.array(buckets)
-
-
-def signatures(keys: np.ndarray, at: np.ndarray, percent: int, table: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket signatures of each set as (signatures, row offsets). A set with no more filled buckets than d also has
-    those of its empty ones, which it can share with another such set only."""
-    least, differ, buckets = table
-    n = np.diff(at)
-    rows = len(n)
-    band = np.searchsorted(least, n, "right") - 1
-    row = np.repeat(np.arange(rows), n)
-    where, value = K.mix(keys, 7), K.mix(keys, 8)
-    out, of = [], []
-    for up in (0, 1):
-        k = np.where((n > 0) & (differ[np.minimum(band + up, len(differ) - 1)] > 0), buckets[np.minimum(band + up, len(differ) - 1)], 0)
-        base = np.concatenate([[0], np.cumsum(k)])
-        live = k[row] > 0
-        bucket = base[row[live]] + (where[live] % k[row[live]].astype(np.uint64)).astype(np.int64)
-        sums, filled = np.zeros(int(base[-1]), np.uint64), np.zeros(int(base[-1]), bool)
-        np.add.at(sums, bucket, value[live])
-        filled[bucket] = True
-        owner = np.repeat(np.arange(rows), k)
-        n_filled = np.bincount(owner, weights=filled, minlength=rows)
-        poor = n_filled <= differ[np.minimum(band + up, len(differ) - 1)]
-        take = filled | poor[owner]
-        place = (np.arange(int(base[-1])) - base[owner]).astype(np.uint64) + ((band[owner] + up).astype(np.uint64) << np.uint64(40))
-        out.append(K.mix(sums[take] + K.mix(place[take], 9), 10))
-        of.append(owner[take])
-    sig, of_ = np.concatenate(out), np.concatenate(of)
-    order = np.argsort(of_, kind="stable")
-    return sig[order], np.searchsorted(of_[order], np.arange(rows + 1))
+from millrace.llm.store import Table, cut
+
+
+def bands(percent: int, most: int = 1 << 33) -> np.ndarray:
+    """Least size of each size band: linked sets are in one band or in two neighbouring ones."""
+    least = [1]
+    while least[-1] < most:
+        least.append(least[-1] * 100 // percent + 1)
+    return np.array(least)
 
 
 def set_ids(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -153,14 +118,14 @@ def link_block(sets: list[np.ndarray], percent: int, first: int = 0) -> np.ndarr
         i = int(rest[0])
 
 
-def groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows with equal values in the first `keys` columns, whole across batches."""
+def groups_of(batches: Iterator[pa.RecordBatch], keys: int, at: int = 0) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with equal values in `keys` columns from column `at`, whole across batches."""
     held: list[pa.RecordBatch] = []
     held_key = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(at, at + keys)]
         change = np.zeros(batch.num_rows, bool)
         for c in cols:
             change[1:] |= c[1:] != c[:-1]
@@ -176,21 +141,130 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Recor
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """_doc, _text (hash), n, cid, sigs of each row; written once, texts left behind."""
-    table = bands(percent)
+def identified(docs: DataFrame, shingle: int) -> DataFrame:
+    """_doc, _text (hash), n (shingles), cid of each row; texts are left behind."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in K.slices(batch.column(2)):
-                data, at = K.utf8(batch.column(2).slice(i, j - i))
-                keys, offs = K.shingles(*K.words(data, at), j - i, shingle)
-                sig, sig_at = signatures(keys, offs, percent, table)
+                keys, at = K.shingles(*K.words(*K.utf8(batch.column(2).slice(i, j - i))), j - i, shingle)
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(offs)), pa.array(set_ids(keys, offs)), pa.ListArray.from_arrays(pa.array(sig_at, pa.int32()), pa.array(sig.view(np.int64)))], ["_doc", "_text", "n", "cid", "sigs"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(at)), pa.array(set_ids(keys, at))], ["_doc", "_text", "n", "cid"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return cut(docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(make, f"_doc {kind}, _text long, n long, cid long, sigs array<long>"))
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(make, f"_doc {kind}, _text long, n long, cid long")
+
+
+def first_of(sig: np.ndarray, cid: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (sig, cid, to): each signature with its least class; each other class that has it with that one (to), once
+    for each two classes and under a number of its own in place of a signature."""
+    order = np.lexsort((cid, sig))
+    sig, cid = sig[order], cid[order]
+    new = np.ones(len(sig), bool)
+    new[1:] = sig[1:] != sig[:-1]
+    least = cid[new][np.cumsum(new) - 1]
+    other = cid != least
+    link = np.unique(np.stack([cid[other], least[other]], axis=1), axis=0)
+    own = K.mix(link[:, 0].view(np.uint64) + K.mix(link[:, 1].view(np.uint64), 11), 12).view(np.int64)
+    whole = pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig[new], own])), pa.array(np.concatenate([cid[new], link[:, 0]])), pa.array(np.concatenate([np.zeros(int(new.sum()), np.int64), link[:, 1]]), mask=np.arange(int(new.sum()) + len(link)) < int(new.sum()))], ["sig", "cid", "to"])
+    for i in range(0, whole.num_rows, 1 << 17):
+        yield whole.slice(i, 1 << 17)
+
+
+def prefixes(doc: np.ndarray, level: np.ndarray, token: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the shared shingles (doc, level, token) are in their set's prefix: sets of n shingles that link have one
+    in common among the first n - percent * n / 100 + 1 of each, rarest first. Shingles that no other set has come
+    first of all and are not given here."""
+    order = np.lexsort((token, level, doc))
+    shared = np.bincount(doc, minlength=len(n))
+    room = n - -(-percent * n // 100) + 1 - (n - shared)
+    rank = np.arange(len(doc)) - np.repeat(np.cumsum(shared) - shared, shared)
+    return order[rank < room[doc[order]]]
+
+
+def candidates(docs: DataFrame, shingle: int, percent: int, total: int, held: int = 8_000_000, most: int = 2_000_000) -> DataFrame:
+    """node, root: classes that may link, in components of what shares a prefix shingle (never as pairs).
+
+    Shingles, as 48-bit hashes dealt by other bits of theirs, are counted over all sets; those that a second set has go
+    back to their sets with their frequency. (Two that are taken for one by their hash only make more candidates.) A
+    set's rarest shingles are its prefix, which says whether anything can link with it at all. Prefix shingles are
+    exchanged with the set's class; what a task holds (some `most` at a time) it links before it sends, so one that very
+    many classes share sends a row for each such lot. total: all shingles; a task counts some `held` of them.
+    """
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // held))
+    least = bands(percent)
+    names = ["part", "lot", "doc", "token", "level"]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lot = TaskContext.get().partitionId() << 32  # the same if the task is run again
+        for batch in batches:
+            for i, j in K.slices(batch.column(0)):
+                keys, at = K.shingles(*K.words(*K.utf8(batch.column(0).slice(i, j - i))), j - i, shingle)
+                n, cid = np.diff(at), set_ids(keys, at)
+                if not len(keys):
+                    continue
+                _, first = np.unique(cid, return_index=True)
+                once = np.zeros(len(n), bool)
+                once[first] = n[first] > 0  # copies in a lot count once
+                keys, doc = keys[np.repeat(once, n)], np.repeat(np.arange(int(once.sum())), n[once])
+                part = ((K.mix(keys, 13) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                edge = np.searchsorted(part[order], np.arange(parts + 1))
+                rows = [(lot % parts, K.planes(n[once].astype(np.uint64), 5), cid[once].tobytes(), None)]
+                for p in np.flatnonzero(np.diff(edge)).tolist():
+                    mine = order[edge[p] : edge[p + 1]]
+                    rows.append((p, K.planes(doc[mine], 4), K.planes(keys[mine], 6), b""))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([lot] * len(rows), pa.int64()), *(pa.array([r[c] for r in rows], pa.binary()) for c in (1, 2, 3))], names)
+                lot += 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(batches, 1):
+            sizes = group.filter(pc.is_null(group.column(4)))
+            if sizes.num_rows:
+                yield sizes
+            group = group.filter(pc.is_valid(group.column(4)))
+            token = [K.unplanes(x.as_py(), 6) for x in group.column(3)]
+            if not token:
+                continue
+            _, back, times = np.unique(np.concatenate(token), return_inverse=True, return_counts=True)
+            level = np.minimum(255, 8 * np.log2(times)).astype(np.uint8)[back]
+            at = 0
+            for r, mine in enumerate(token):
+                own = level[at : at + len(mine)]
+                at += len(mine)
+                if (own > 0).any():
+                    doc = K.unplanes(group.column(2)[r].as_py(), 4)[own > 0]
+                    yield pa.RecordBatch.from_arrays([*group.slice(r, 1).columns[:2], *(pa.array([x], pa.binary()) for x in (K.planes(doc, 4), K.planes(mine[own > 0], 6), own[own > 0].tobytes()))], names)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        for group in groups_of(batches, 1, at=1):
+            sizes = pc.is_null(group.column(4))
+            (of,) = group.filter(sizes).to_pylist()
+            n, cid = K.unplanes(of["doc"], 5).astype(np.int64), np.frombuffer(of["token"], np.int64)
+            group = group.filter(pc.invert(sizes))
+            if not group.num_rows:
+                continue
+            doc = np.concatenate([K.unplanes(x.as_py(), 4) for x in group.column(2)]).astype(np.int64)
+            token = np.concatenate([K.mix(K.unplanes(x.as_py(), 6), 14 + p) for p, x in zip(group.column(0).to_pylist(), group.column(3), strict=True)])
+            level = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in group.column(4)])
+            mine = prefixes(doc, level, token, n, percent)
+            band = np.searchsorted(least, n, "right")[doc[mine]].astype(np.uint64)
+            for up in (0, 1):
+                waiting.append((K.mix(token[mine] + K.mix(band + np.uint64(up), 9), 10).view(np.int64), cid[doc[mine]]))
+            if sum(len(x) for x, _ in waiting) > most:
+                yield from first_of(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+                waiting = []
+        if waiting:
+            yield from first_of(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+
+    blobs = "part int, lot long, doc binary, token binary, level binary"
+    shared = Table(docs.select("text").mapInArrow(send, blobs).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(count, blobs))
+    sent = shared.rows.repartition(parts, "lot").sortWithinPartitions("lot").mapInArrow(choose, "sig long, cid long, to long")
+    to = F.min(F.coalesce("to", "cid")).over(Window.partitionBy("sig"))
+    found = components(sent.select("cid", to.alias("a")).filter("cid != a").select(F.col("cid").alias("b"), "a"))
+    shared.remove()
+    return found
 
 
 def join(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = 1_500_000, root: bool = False) -> DataFrame:
@@ -202,13 +276,10 @@ def join(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = 1_50
     ignored as a component's least one unless all are null. block: shingles that one search task holds.
     root: also root, a number of the component that rows of other components never have; null without shingles.
     """
-    spark, table = docs.sparkSession, classes(docs, shingle, percent)
+    spark, table = docs.sparkSession, cut(identified(docs, shingle))
     firsts = table.filter("n > 0").groupBy("cid").agg(F.min("_doc").alias("doc"), F.min(F.struct("_doc", "_text")).alias("_one"), F.first("n").alias("n"))
-    signed = table.select("cid", F.explode("sigs").alias("sig"))
-    shared = signed.groupBy("sig").agg(F.min("cid").alias("a"), F.max("cid").alias("_z")).filter("a < _z").select("sig", "a")
-    edges = signed.join(shared, "sig").filter("cid != a").select(F.col("cid").alias("b"), "a").distinct()
-    candidates = components(edges)
-    members = candidates.select(F.col("node").alias("cid"), F.col("root").alias("comp")).join(firsts, "cid")
+    near = candidates(docs, shingle, percent, table.agg(F.sum("n")).first()[0] or 0)
+    members = near.select(F.col("node").alias("cid"), F.col("root").alias("comp")).join(firsts, "cid")
     blocks = members.groupBy("comp").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
     members = members.join(blocks, "comp").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     least = -(1 << 63)
@@ -223,9 +294,9 @@ def join(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = 1_50
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], ["comp", "block", "blocks", "cid", "grams"])
 
     sets = texts.mapInArrow(to_sets, "comp long, block int, blocks int, cid long, grams binary")
+    sets = cut(sets)  # texts are exchanged for it, and go before sets are
     many = bool(blocks.filter("blocks > 1").head(1))
     if many:
-        sets = cut(sets)
         anchors = sets.filter("cid = comp and blocks > 1").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("_b != block").select("comp", F.col("_b").alias("block"), "blocks", "cid", "grams")
         sets_in = sets.union(anchors)
     else:

@@ -4,25 +4,60 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests, local mode), a temporary one is set."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a local session (tests) gets a temporary one; a cluster has
+    no folder that all its machines see, so there it is an error."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="millrace-"))
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def _shuffles_end_with_their_query(spark: SparkSession) -> Iterator[None]:
+    """Within, a query's shuffle files go when it ends; otherwise they stay until the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+class Table:
+    """A DataFrame written as Parquet in the shared folder: what reads `rows` neither recomputes it nor depends on
+    shuffle files of a lost executor. remove() deletes the files, once what was made of them is written too."""
+
+    def __init__(self, df: DataFrame):
+        self.spark = df.sparkSession
+        self.path = f"{shared_dir(self.spark)}/millrace-{uuid.uuid4().hex}"
+        with _shuffles_end_with_their_query(self.spark):
+            df.write.parquet(self.path)
+        self.rows = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def remove(self) -> None:
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: what follows neither recomputes df nor
-    depends on shuffle files of a lost executor."""
-    path = f"{shared_dir(df.sparkSession)}/millrace-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows of a Table that stays, as a query's lazy result still reads it."""
+    return Table(df).rows
 
 
 def _free(columns: list[str]) -> str:

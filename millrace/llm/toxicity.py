@@ -7,7 +7,8 @@ log-likelihoods per word, with the share of words that speak clearly for toxic,
 learning rows.
 
 Learning uses at most `most_rows` labelled rows (by a seeded hash), so what is broadcast has a size that does not grow
-with the corpus: order * 2 arrays of at most `most_grams` entries. Scoring covers every whole text.
+with the corpus. Grams are counted on the executors; the driver gets one row for each distinct gram of the highest
+order, as numbers, and never words or texts. Scoring covers every whole text.
 """
 
 from __future__ import annotations
@@ -88,19 +89,11 @@ class Level:
 class Model:
     """Both classes' models and the curve that turns a text's comparison into a score."""
 
-    def __init__(self, words: list[tuple[bytes, int, int]]):
-        """words: (word, times in toxic rows, times in ordinary rows)."""
-        text = np.frombuffer(b"".join(w for w, _, _ in words), np.uint8)
-        lengths = np.array([len(w) for w, _, _ in words], np.int64)
-        symbols, places, of = _padded(text, np.cumsum(lengths) - lengths, lengths)
-        by_class = [np.array([w[1 + c] for w in words], float)[of] for c in (0, 1)]
-        top = _grams(symbols, places, ORDER)
-        self.own = []
-        for times in by_class:
-            keys, counts = _sum_by(top[times > 0], times[times > 0])
-            self.own.append(Level(keys, counts, ORDER))
+    def __init__(self, top: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray):
+        """top: ascending distinct grams of the highest order; how often each comes in toxic and in ordinary rows."""
+        self.own = [Level(top[times > 0], times[times > 0].astype(float), ORDER) for times in (toxic, ordinary)]
         self.shared: list[Level] = []
-        distinct = np.unique(top)
+        distinct = top
         for n in range(ORDER - 1, 0, -1):  # continuation counts: in how many longer grams a gram ends
             mask = np.uint64((1 << (8 * n)) - 1)
             keys, counts = _sum_by((distinct & mask) | np.uint64(n) << np.uint64(56), np.ones(len(distinct)))
@@ -152,9 +145,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.features(column) @ self.curve, -30, 30)))
 
 
-def lower_ascii(text):
-    """A-Z lower-cased, nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grams of the highest order in rows (toxic 0/1, text), with how often each comes in toxic and in ordinary rows."""
+    sums = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+    for batch in batches:
+        for i, j in K.slices(batch.column(1)):
+            data, at = K.utf8(batch.column(1).slice(i, j - i))
+            starts, lengths, rows = K.runs(data, at)
+            if not len(starts):
+                continue
+            toxic = batch.column(0).to_numpy()[i:j][rows] > 0
+            _, first, back = np.unique(K.hash_runs(data, starts, lengths), return_index=True, return_inverse=True)
+            symbols, places, of = _padded(data, starts[first], lengths[first])
+            times = [np.bincount(back, weights=x)[of] for x in (toxic, ~toxic)]
+            keys, place = np.unique(np.concatenate([sums[0], _grams(symbols, places, ORDER)]), return_inverse=True)
+            sums = keys, *(np.bincount(place, weights=np.concatenate([a, b])) for a, b in zip(sums[1:], times, strict=True))
+    yield pa.RecordBatch.from_arrays([pa.array(sums[0].view(np.int64)), *(pa.array(x.astype(np.int64)) for x in sums[1:])], ["gram", "t", "o"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, seed: int = 42) -> Model:
@@ -167,9 +173,9 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, seed: int
     picked = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = picked.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most_rows).withColumn("_curve", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(3)) == 0)
     rows = docs.select("doc_id", "text").join(picked, "doc_id")
-    words = rows.filter("not _curve").select("toxic", F.explode(F.regexp_extract_all(lower_ascii("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("word"))
-    counts = words.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o")).toArrow()
-    model = Model([(w.encode(), t, o) for w, t, o in zip(counts["word"].to_pylist(), counts["t"].to_pylist(), counts["o"].to_pylist(), strict=True)])
+    grams = rows.filter("not _curve").select("toxic", "text").mapInArrow(counted, "gram long, t long, o long")
+    grams = grams.groupBy("gram").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).orderBy("gram").toArrow()  # ORDER bytes are below the sign
+    model = Model(*(grams.column(c).to_numpy().astype(kind) for c, kind in zip(("gram", "t", "o"), (np.uint64, np.int64, np.int64), strict=True)))
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
