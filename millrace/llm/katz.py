@@ -1,16 +1,18 @@
-"""Katz backoff language model over words, learned and evaluated as Spark jobs.
-
-Counts above K stay, counts up to K are discounted by Good-Turing, and what that frees goes to the lower order: a word
-pair that was not learned has alpha(first) * P(second), with alpha such that each context's probabilities sum to one
-exactly; words that were not learned are one class with the mass that Good-Turing leaves over. Where a context has no
-count to discount, its counts are taken out of one more, so that some mass is always left.
-
-Nothing of the model's size is ever in one place. Words are dealt by hash into parts; each part numbers its words by
-falling count and keeps their counts (the unigram table, written). Texts are dealt into chunks; a chunk asks the parts
-for the numbers and counts of its distinct words, then sends its word pairs, sorted and as byte planes, to the part of
-the first word. There the pairs of learning texts are counted, each pair of any text is looked up, and the sums that
-each text needs go back to its chunk. Texts whose contexts are so frequent that a part would grow too large are dealt by
-both words (`hot`); such contexts' totals are added up over the parts afterwards.
+"""Katz backoff language model over words, of order 3, learned and evaluated as Spark jobs.
+
+P(w | context) is the discounted relative frequency of an n-gram that was learned, else alpha(context) times the
+probability in the context without its first word, down to single words. Counts above K stay, counts up to K are
+discounted by Good-Turing, and what that frees goes to the lower order: alpha makes each context's probabilities sum to
+one exactly. Words that were not learned are one class with the mass that Good-Turing leaves over. Where a context has
+no count to discount, its counts are taken out of one more, so that some mass is always left. A text begins with a mark
+that is a context only, and ends with a token of its own.
+
+Nothing of the model's size is ever in one place. A task turns texts into lots of word numbers (written). For each order
+a lot sends its n-grams, sorted and compressed, to the part that their context's hash names; a part counts those of
+learning texts, writes them as its share of the order's table, and looks up those of all texts. What a text needs goes
+back as a few sums: log P(n-gram) = log P(lower order) + a difference that the part knows, namely, for a learned n-gram,
+its discounted frequency against the lower order's, for another, alpha. Pair counts also go back, as they say what the
+next order backs off to. A context of more tokens than half of what a part holds is dealt by its n-grams (`hot`).
 """
 
 from __future__ import annotations
@@ -20,16 +22,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import kernels as K_
-from millrace.llm.store import cut
+from millrace.llm.ngram_join import groups_of
+from millrace.llm.store import Table, cut
 
 K = 5
+ORDER = 3
 END = np.uint64(0x6A09E667F3BCC909)  # the hash of the end token
-UNKNOWN = np.uint32(0xFFFFFFFF)
-BEGIN = np.uint32(0xFFFFFFFE)
+UNKNOWN, BEGIN = (1 << 40) - 1, (1 << 40) - 2  # word numbers have 40 bits
+ROW = "part int, lot long, kind int, body binary, few array<long>"
+#: Kinds of rows: a lot's own, a lot's words or what is answered to them, a part's table, its hot contexts, sums of texts.
+LOT, WORDS, TABLE, HOT, SUMS, HOT_SUMS, PAIRS = range(7)
 
 
 def discounts(counts_of_counts: np.ndarray) -> np.ndarray:
@@ -45,13 +52,50 @@ def discounts(counts_of_counts: np.ndarray) -> np.ndarray:
     return d
 
 
-def planes(x: np.ndarray) -> bytes:
-    """The bytes of 32-bit numbers, all first bytes first: high ones are mostly equal and compress."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def pack(*arrays: np.ndarray | bytes) -> bytes:
+    """Arrays of numbers (as byte planes, so that equal high bytes lie together) and blobs, compressed as one."""
+    out = []
+    for x in arrays:
+        if isinstance(x, bytes):
+            kind, raw = 0, x
+        elif x.dtype == np.float64:
+            kind, raw = 9, x.tobytes()
+        else:
+            x = x.astype(np.uint64)
+            kind = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+            raw = K_.planes(x, kind)
+        out.append(np.array([kind, len(raw)], "<i8").tobytes() + raw)
+    whole = b"".join(out)
+    return len(whole).to_bytes(8, "little") + pa.compress(whole, codec="zstd", asbytes=True)
 
 
-def unplanes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def unpack(b: bytes) -> list:
+    whole = pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True)
+    out, at = [], 0
+    while at < len(whole):
+        kind, size = np.frombuffer(whole, "<i8", 2, at).tolist()
+        raw = whole[at + 16 : at + 16 + size]
+        at += 16 + size
+        out.append(raw if kind == 0 else np.frombuffer(raw) if kind == 9 else K_.unplanes(raw, kind).astype(np.int64))
+    return out
+
+
+def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (part, lot, kind, body, few)."""
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["part", "lot", "kind", "body", "few"])
+
+
+def listed(batch: pa.RecordBatch) -> list[tuple]:
+    """(part, lot, kind, body) of each row."""
+    return list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
+
+
+def as_ipc(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:
@@ -68,277 +112,361 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 @dataclass
-class Unigrams:
-    table: DataFrame  # part, h, c (binary: hashes ascending, their counts)
-    n: int
-    v: int
+class Level:
+    """What one order gives the next: discounts, and for single words the divisor and the unknown class's probability."""
+
     d: np.ndarray
-    unknown: float
-    total: float  # what counts are divided by
+    total: float = 0.0
+    unknown: float = 0.0
 
-    def p(self, c: np.ndarray) -> np.ndarray:
-        """Probability of words of these counts; of the class of unknown words for 0."""
-        c = np.asarray(c, np.int64)
-        return np.where(c > 0, self.d[np.minimum(c, K)] ** (c <= K) * c / self.total, self.unknown)
+    def p(self, r: np.ndarray, base: np.ndarray | float) -> np.ndarray:
+        """Discounted relative frequency of counts r > 0."""
+        return self.d[np.minimum(r, K)] ** (r <= K) * r / base
 
 
-def unigrams(docs: DataFrame, parts: int) -> Unigrams:
-    """Counts of all tokens of docs (text), dealt into parts and written."""
+def in_lots(rows: DataFrame, parts: int) -> DataFrame:
+    """Texts as lots, and each lot's distinct words (by part, then hash) with their times in learning texts."""
 
-    def summed(held: list) -> tuple[np.ndarray, np.ndarray]:
-        keys, back = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
-        return keys, np.bincount(back, weights=np.concatenate([c for _, c in held])).astype(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lot = TaskContext.get().partitionId() << 32  # the same if the task is run again
+        for batch in batches:
+            for i, j in K_.slices(batch.column(1), 2 << 20):
+                mine = batch.slice(i, j - i)
+                h, row = tokens(mine.column(1))
+                distinct, back = np.unique(h, return_inverse=True)
+                learned = mine.column(2).to_numpy(zero_copy_only=False)
+                times = np.bincount(back, weights=learned[row])
+                part = part_of(distinct, parts)
+                order = np.argsort(part, kind="stable")
+                rank = np.empty_like(order)
+                rank[order] = np.arange(len(order))
+                edge = np.searchsorted(part[order], np.arange(parts + 1))
+                meta = as_ipc(pa.RecordBatch.from_arrays([mine.column(0), mine.column(2)], ["doc_id", "learn"]))
+                out = [(lot % parts, lot, LOT, pack(meta, rank[back], np.bincount(row, minlength=j - i)), None)]
+                for p in np.flatnonzero(np.diff(edge)).tolist():
+                    own = order[edge[p] : edge[p + 1]]
+                    out.append((p, lot, WORDS, pack(distinct[own].tobytes(), times[own].astype(np.int64)), None))
+                yield rows_of(out)
+                lot += 1
+
+    return rows.mapInArrow(run, ROW)
+
+
+def count_words(dealt: DataFrame, parts: int) -> DataFrame:
+    """Each part's words with their counts (TABLE; few: tokens, words, then how many words come 1..K+1 times); to the
+    lots, in their order, their words' numbers (by falling count within the part) and counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(batches, 1):
+            rows = listed(group)
+            yield rows_of([(*r, None) for r in rows if r[2] == LOT])
+            rows = [(r, unpack(r[3])) for r in rows if r[2] == WORDS]
+            if not rows:
+                continue
+            h = [np.frombuffer(x[0], np.uint64) for _, x in rows]
+            keys, back = np.unique(np.concatenate(h), return_inverse=True)
+            c = np.bincount(back, weights=np.concatenate([x[1] for _, x in rows])).astype(np.int64)
+            p, learned = rows[0][0][0], c > 0
+            number = np.full(len(c), UNKNOWN)
+            number[np.argsort(-c, kind="stable")[: int(learned.sum())]] = np.arange(int(learned.sum())) * parts + p
+            if learned.sum() * parts + p >= BEGIN:
+                raise OverflowError("more words than numbers")
+            few = np.bincount(np.minimum(c[learned], K + 2), minlength=K + 3)[1 : K + 2]
+            out = [(p, -1, TABLE, pack(keys[learned].tobytes(), c[learned]), [int(c.sum()), int(learned.sum()), *few.tolist()])]
+            at = 0
+            for (r, _), x in zip(rows, h, strict=True):
+                own = back[at : at + len(x)]
+                at += len(x)
+                out.append((p, r[1], WORDS, pack(number[own], c[own]), None))
+            yield rows_of(out)
 
-    def deal(h: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-        part = part_of(h, parts)
-        order = np.argsort(part, kind="stable")
-        edge = np.searchsorted(part[order], np.arange(parts + 1))
-        rows = [(p, h[order[a:b]].tobytes(), planes(times[order[a:b]])) for p, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["part", "h", "c"])
+    return dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, ROW)
 
-    def count(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            for i, j in K_.slices(batch.column(0), 2 << 20):
-                held.append(np.unique(tokens(batch.column(0).slice(i, j - i))[0], return_counts=True))
-                if sum(len(h) for h, _ in held) > 2 * most:
-                    held = [summed(held)]
-                    if len(held[0][0]) > most:
-                        yield deal(*held.pop())
-        if held:
-            yield deal(*summed(held))
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            for p, h, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                now = held.setdefault(p, [])
-                now.append((np.frombuffer(h.as_py(), np.uint64), unplanes(c.as_py()).astype(np.int64)))
-                if len(now) > 1 and 2 * len(now[-1][0]) >= len(now[-2][0]):  # sums of about equal size merge
-                    while len(now) > 1 and 2 * len(now[-1][0]) >= len(now[-2][0]):
-                        (a, x), (b, y) = now.pop(), now.pop()
-                        keys, back = np.unique(np.concatenate([a, b]), return_inverse=True)
-                        now.append((keys, np.bincount(back, weights=np.concatenate([x, y])).astype(np.int64)))
-        for p, now in held.items():
-            keys, back = np.unique(np.concatenate([h for h, _ in now]), return_inverse=True)
-            c = np.bincount(back, weights=np.concatenate([c for _, c in now])).astype(np.int64)
-            few = np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2]
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([c.astype("<i8").tobytes()], pa.binary()), pa.array([int(c.sum())], pa.int64()), pa.array([len(c)], pa.int64()), pa.array([few.tolist()], pa.list_(pa.int64()))], ["part", "h", "c", "n", "v", "few"])
-
-    dealt = docs.select("text").mapInArrow(count, "part int, h binary, c binary").repartition(parts, "part")
-    table = cut(dealt.mapInArrow(add, "part int, h binary, c binary, n long, v long, few array<long>"))
-    row = table.agg(F.sum("n"), F.sum("v"), *(F.sum(F.get("few", F.lit(r))) for r in range(K + 1))).first()
-    n, v = int(row[0] or 0), int(row[1] or 0)
-    few = np.array([int(x or 0) for x in row[2:]], float)
-    d = discounts(few)
-    left = float(((1 - d[1:]) * np.arange(1, K + 1) * few[:K]).sum())
-    total, unknown = (n, left / n) if left > 0 else (n + 1, 1 / (n + 1))
-    return Unigrams(table.select("part", "h", "c"), n, v, d, unknown, total)
 
+def number_lots(answered: DataFrame, parts: int, uni: Level, n: int, v: int) -> DataFrame:
+    """Lots as word numbers: meta (rows of the result so far, scored by single words) and body."""
+    denominator = n + 0.5 * (v + 1)
 
-def score(docs: DataFrame, learn: Column, parts: int | None = None) -> DataFrame:
-    """doc_id, held_out (not learn), n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(batches, 1, at=1):
+            rows = sorted((r for r in listed(group)), key=lambda r: (r[2], r[0]))
+            meta, back, sizes = unpack(rows[0][3])
+            got = [unpack(r[3]) for r in rows[1:]]
+            ids, c = (np.concatenate([x[i] for x in got]) for i in (0, 1))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            per_row = lambda w: np.bincount(row, weights=w[back], minlength=len(sizes))
+            p = np.where(c > 0, uni.p(np.maximum(c, 1), uni.total), uni.unknown)
+            (old,) = pa.ipc.open_stream(meta)
+            learned = old.column(1).to_numpy(zero_copy_only=False)
+            new = pa.RecordBatch.from_arrays([old.column(0), pa.array(~learned), pa.array(sizes), pa.array(per_row(c > 0).astype(np.int64)), pa.array(np.full(len(sizes), n)), pa.array(per_row(np.log10((c + 0.5) / denominator))), pa.array(per_row(np.log10(p)))], list(NAMES))
+            yield pa.RecordBatch.from_arrays([pa.array([rows[0][1]], pa.int64()), pa.array([as_ipc(new)], pa.binary()), pa.array([pack(back, sizes, learned, ids, c)], pa.binary())], ["lot", "meta", "body"])
 
-    learn: which rows the model is learned from. Null text is empty and has its end token alone; repeated rows are each
-    learned and scored; without rows to learn from every token is of the unknown class. An empty table gives an empty
-    table. Scores are log10; base_score has add-half unigram counts.
-    """
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", "text", F.coalesce(learn, F.lit(True)).alias("learn"))
-    uni = unigrams(rows.filter("learn").select("text"), parts)
-    hot_count = max(1000, uni.n // (8 * parts))
-    chunks = 2 * parts
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("k"), "doc_id", "text", "learn")
-
-    def ask(table: pa.Table) -> pa.Table:
-        h = np.unique(tokens(table.column("text"))[0])
-        part = part_of(h, parts)
-        out = [(p, h[part == p].tobytes()) for p in np.unique(part).tolist()]
-        return pa.table({"part": pa.array([x[0] for x in out], pa.int32()), "k": pa.array([table.column("k")[0].as_py()] * len(out), pa.int32()), "h": pa.array([x[1] for x in out], pa.binary()), "c": pa.nulls(len(out), pa.binary())})
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            out = []
-            for p, k, h, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if k < 0:  # the part's table comes first
-                    counts = np.frombuffer(c.as_py(), np.int64)
-                    number = np.empty(len(counts), np.int64)
-                    number[np.argsort(-counts, kind="stable")] = np.arange(len(counts)) * parts + p
-                    known[p] = (np.frombuffer(h.as_py(), np.uint64), counts, number)
-                    continue
-                want = np.frombuffer(h.as_py(), np.uint64)
-                have, counts, number = known.get(p, (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)))
-                at = np.minimum(np.searchsorted(have, want), max(0, len(have) - 1))
-                hit = have[at] == want if len(have) else np.zeros(len(want), bool)
-                ids = np.where(hit, number[at] if len(have) else 0, UNKNOWN)
-                times = np.where(hit, counts[at] if len(have) else 0, 0)
-                out.append((k, p, planes(ids), planes(np.minimum(times, 0xFFFFFFFF))))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary()), pa.array([x[3] for x in out], pa.binary())], ["k", "part", "ids", "c"])
-
-    asked = dealt.groupBy("k").applyInArrow(ask, "part int, k int, h binary, c binary")
-    table = uni.table.select("part", F.lit(-1).alias("k"), "h", "c")
-    answers = table.unionByName(asked).repartition(parts, "part").sortWithinPartitions("part", "k").mapInArrow(answer, "k int, part int, ids binary, c binary")
-    denominator = uni.n + 0.5 * (uni.v + 1)
-    light = Unigrams(None, uni.n, uni.v, uni.d, uni.unknown, uni.total)
-
-    def pairs(texts: pa.Table, replies: pa.Table) -> pa.Table:
-        names = ["part", "k", "doc", "id1", "id2", "c2", "times", "extra"]
-        if not texts.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int32(), pa.int32(), *[pa.binary()] * 6), strict=True)})
-        k = texts.column("k")[0].as_py()
-        column = texts.column("text").combine_chunks() if texts.num_rows else texts.column("text")
-        h, row = tokens(column)
-        distinct, back = np.unique(h, return_inverse=True)
-        part = part_of(distinct, parts)
-        ids, counts = np.zeros(len(distinct), np.uint32), np.zeros(len(distinct), np.int64)
-        for p, i, c in zip(replies.column("part").to_pylist(), replies.column("ids"), replies.column("c"), strict=True):
-            ids[part == p], counts[part == p] = unplanes(i.as_py()), unplanes(c.as_py())
-        ids, c2 = ids[back], counts[back]
-        n_docs = texts.num_rows
-        per_row = lambda w: np.bincount(row, weights=w, minlength=n_docs)
-        learned = np.array(texts.column("learn").to_pylist(), bool)
-        base = per_row(np.log10((c2 + 0.5) / denominator))
-        before, c1 = np.empty_like(ids), np.empty_like(c2)
-        before[1:], c1[1:] = ids[:-1], c2[:-1]
-        start = np.ones(len(ids), bool)
-        start[1:] = row[1:] != row[:-1]
-        before[start], c1[start] = BEGIN, uni_docs
-        # An unknown context has no count: the token has its own probability alone.
-        plain = before == UNKNOWN
-        alone = per_row(np.where(plain, np.log10(light.p(c2)), 0.0))
-        keep = ~plain
-        id1, id2, c2k, doc, hot = before[keep], ids[keep], c2[keep], row[keep], c1[keep] >= hot_count
-        to = np.where(hot, K_.mix(id1.astype(np.uint64) << np.uint64(32) | id2.astype(np.uint64)) % np.uint64(parts), id1.astype(np.uint64) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((doc, id2, id1, to))
-        id1, id2, c2k, doc, to, hot = id1[order], id2[order], c2k[order], doc[order], to[order], hot[order]
-        sent = doc * 2 + learned[doc]
-        first = np.ones(len(to), bool)
-        first[1:] = (to[1:] != to[:-1]) | (id1[1:] != id1[:-1]) | (id2[1:] != id2[:-1])
-        entry = np.flatnonzero(first)
-        times = np.diff(np.append(entry, len(to)))
-        edge, edge_e = np.searchsorted(to, np.arange(parts + 1)), np.searchsorted(to[entry], np.arange(parts + 1))
-        out = []
-        for p in range(parts):
-            a, b, x, y = edge[p], edge[p + 1], edge_e[p], edge_e[p + 1]
-            if b > a:
-                e = entry[x:y]
-                out.append((p, k, planes(sent[a:b]), planes(np.diff(id1[e].astype(np.int64), prepend=0)), planes(id2[e]), planes(c2k[e]), planes(times[x:y]), np.packbits(hot[e]).tobytes()))
-        meta = pa.RecordBatch.from_arrays([texts.column("doc_id").combine_chunks(), pa.array(learned), pa.array(np.bincount(row, minlength=n_docs)), pa.array(per_row(c2 > 0).astype(np.int64)), pa.array(base), pa.array(alone)], ["doc_id", "learn", "n_tokens", "n_known", "base_score", "score"])
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, meta.schema) as w:
-            w.write_batch(meta)
-        out.append((k % parts, k, sink.getvalue().to_pybytes(), None, None, None, None, None))
-        return pa.table({n: pa.array([x[i] for x in out], t) for i, (n, t) in enumerate(zip(names, (pa.int32(), pa.int32(), *[pa.binary()] * 6), strict=True))})
-
-    uni_docs = rows.filter("learn").count()  # how often the begin context was learned
-    sent = dealt.groupBy("k").cogroup(answers.groupBy("k")).applyInArrow(pairs, "part int, k int, doc binary, id1 binary, id2 binary, c2 binary, times binary, extra binary")
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["part", "k", "kind", *"abcdef"]
-        by_part: dict[int, list] = {}
-
-        def row(p, k, kind, *blobs):
-            return pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([k], pa.int32()), pa.array([kind], pa.int32()), *(pa.array([x], pa.binary()) for x in (*blobs, *[None] * (6 - len(blobs))))], names)
+    return answered.repartition(parts, "lot").sortWithinPartitions("lot").mapInArrow(run, "lot long, meta binary, body binary")
 
-        for batch in batches:
-            for p, k, *blobs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *(batch.column(i) for i in range(2, 8)), strict=True):
-                if not blobs[1].is_valid:
-                    yield row(p, k, 0, blobs[0].as_py())
-                    continue
-                doc, id1, id2, c2, times = (unplanes(x.as_py()) for x in blobs[:5])
-                key = np.cumsum(id1.view(np.int32).astype(np.int64)).astype(np.uint64) << np.uint64(32) | id2.astype(np.uint64)
-                by_part.setdefault(p, []).append((k, doc, key, c2, times, np.unpackbits(np.frombuffer(blobs[5].as_py(), np.uint8), count=len(key))))
-        for p in list(by_part):
-            sent_ = by_part.pop(p)
-            key = np.concatenate([x[2] for x in sent_])
-            learned = np.concatenate([np.add.reduceat((x[1] & 1).astype(np.int64), np.cumsum(x[4].astype(np.int64)) - x[4]) for x in sent_])
-            distinct, first, back = np.unique(key, return_index=True, return_inverse=True)
+
+NAMES = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def before(x: np.ndarray, sizes: np.ndarray, first) -> np.ndarray:
+    """x of the token before; first for each text's first."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[np.cumsum(sizes) - sizes] = first
+    return out
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before it."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+@dataclass
+class Asked:
+    """A lot's n-grams of one order, sorted: by part, words, text."""
+
+    words: list[np.ndarray]  # of the distinct ones
+    lower: np.ndarray  # their count in the lower order
+    base: np.ndarray  # of each distinct context, the divisor of its lower order (0: the order's own total)
+    hot: np.ndarray
+    times: np.ndarray
+    doc: np.ndarray  # text * 2 + learned, of each occurrence
+    edge: np.ndarray  # of the parts, among the distinct ones
+    back: np.ndarray  # the distinct one of each of the lot's tokens, -1 for those not asked
+
+
+def ask(words: list[np.ndarray], asked: np.ndarray, doc: np.ndarray, lower: np.ndarray, base: np.ndarray, hot: np.ndarray, parts: int) -> Asked:
+    at = np.flatnonzero(asked)
+    cols, doc, lower, base, hot = [w[at] for w in words], doc[at], lower[at], base[at], hot[at]
+    key = np.zeros(len(at), np.uint64)
+    for w in cols[:-1]:
+        key = K_.mix(key + w.astype(np.uint64), 21)
+    key = np.where(hot, K_.mix(key + cols[-1].astype(np.uint64), 22), key)
+    part = part_of(key, parts)
+    order = np.lexsort((doc, *reversed(cols), part))
+    cols, part = [w[order] for w in cols], part[order]
+    new = changes(part, *cols)
+    e = np.flatnonzero(new)
+    context = changes(part[e], *(w[e] for w in cols[:-1]))
+    back = np.full(len(asked), -1)
+    back[at[order]] = np.cumsum(new) - 1
+    return Asked([w[e] for w in cols], lower[order][e], base[order][e][context], hot[order][e], np.diff(np.append(e, len(order))), doc[order], np.searchsorted(part[e], np.arange(parts + 1)), back)
+
+
+def send(lot: int, a: Asked) -> pa.RecordBatch:
+    """The rows of what a lot asks, one a part. The first word ascends within a part, so its steps are sent."""
+    out, ends = [], np.concatenate([[0], np.cumsum(a.times)])
+    starts = changes(*a.words[:-1]) if len(a.lower) else np.zeros(0, bool)
+    starts[a.edge[:-1][a.edge[:-1] < len(starts)]] = True
+    where = np.concatenate([[0], np.cumsum(starts)])
+    for p in np.flatnonzero(np.diff(a.edge)).tolist():
+        x, y = a.edge[p], a.edge[p + 1]
+        ws = [np.diff(a.words[0][x:y], prepend=0), *(w[x:y] for w in a.words[1:])]
+        out.append((p, lot, len(ws), pack(*ws, a.lower[x:y], a.base[where[x] : where[y]], a.hot[x:y], a.times[x:y], a.doc[ends[x] : ends[y]]), None))
+    return rows_of(out)
+
+
+def look_up(sent: DataFrame, parts: int, low: Level, answer: bool) -> DataFrame:
+    """Per part: the order's table, what its hot contexts add up to, and for each lot the sums of its texts; if answer,
+    also each n-gram's count and its context's divisor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(batches, 1):
+            rows = listed(group)
+            p, n = rows[0][0], rows[0][2]
+            lots = [r[1] for r in rows]
+            got = [unpack(r[3]) for r in rows]
+            del rows, group
+            for x in got:
+                x[0] = np.cumsum(x[0])
+            size = np.array([len(x[0]) for x in got])
+            words = [np.concatenate([x[i] for x in got]) for i in range(n)]
+            order = np.lexsort(tuple(reversed(words)))
+            new = changes(*(w[order] for w in words))
+            back = np.empty_like(order)
+            back[order] = np.cumsum(new) - 1
+            first = order[new]
+            words = [w[first] for w in words]
+            lower = np.concatenate([x[n] for x in got])[first]
+            # a context's divisor comes once in each lot: spread over the lot's n-grams, then one each
+            spread = [x[n + 1][np.cumsum(changes(*x[: n - 1])) - 1] for x in got]
+            base_low = np.concatenate(spread)[first].astype(float)
+            del spread
+            base_low[base_low == 0] = low.total
+            is_hot = np.concatenate([x[n + 2] for x in got])[first] > 0
+            learned = np.concatenate([np.add.reduceat(x[n + 4] & 1, np.cumsum(x[n + 3]) - x[n + 3]) for x in got])
             r = np.bincount(back, weights=learned).astype(np.int64)
-            c2, hot = np.concatenate([x[3] for x in sent_])[first], np.concatenate([x[5] for x in sent_])[first].astype(bool)
-            id1 = (distinct >> np.uint64(32)).astype(np.int64)
-            contexts, of = np.unique(id1, return_inverse=True)
+            starts = changes(*words[:-1])
+            of = np.cumsum(starts) - 1
+            hot = is_hot[starts]
+            total, few, mass = _added(r, of, np.where(r > 0, low.p(np.maximum(lower, 1), base_low), 0.0))
             seen = r > 0
-            total = np.bincount(of, weights=r)
-            few = np.stack([np.bincount(of, weights=r == i, minlength=len(contexts)) for i in range(1, K + 1)], axis=1)
-            lower = np.bincount(of, weights=np.where(seen, light.p(c2), 0.0), minlength=len(contexts))
-            is_hot = np.zeros(len(contexts), bool)
-            is_hot[of[hot]] = True
-            yield row(p, -1, 1, np.bincount(np.minimum(r, K + 2), minlength=K + 3)[1 : K + 2].astype(np.int64).tobytes())
-            if is_hot.any():
-                yield row(p, -1, 2, contexts[is_hot].tobytes(), total[is_hot].tobytes(), few[is_hot].tobytes(), lower[is_hot].tobytes())
-            stats = np.concatenate([total[:, None], few, lower[:, None]], axis=1)
+            few_kinds, few_of = np.unique(few, axis=0, return_inverse=True)
+            few_of = few_of.ravel()
+            base, alpha = _logs(total, few, mass)
+            gain = np.where(seen, np.log10(np.maximum(r, 1)) - np.log10(low.p(np.maximum(lower, 1), base_low)), 0.0)
+            out = [(p, -1, TABLE, pack(np.diff(words[0][seen], prepend=0), *(w[seen] for w in words[1:]), r[seen]), np.bincount(np.minimum(r, K + 2), minlength=K + 3)[1 : K + 2].tolist())]
+            if hot.any():
+                out.append((p, -1, HOT, pack(*(w[starts][hot] for w in words[:-1]), total[hot], few[hot].ravel(), mass[hot]), None))
             at = 0
-            for k, doc, key_k, _, times, _ in sent_:
-                entry = np.repeat(back[at : at + len(key_k)], times)
-                at += len(key_k)
-                d = (doc >> 1).astype(np.int64)
-                docs_, local = np.unique(d, return_inverse=True)
-                rr, ctx = r[entry], of[entry]
-                fixed = np.where(rr > 0, np.log10(np.maximum(rr, 1)), np.log10(light.p(c2[entry])))
-                cold = ~is_hot[ctx]
-                ones = np.stack([np.bincount(local, weights=rr == i, minlength=len(docs_)) for i in range(1, K + 1)], axis=1)
-                # Contexts that each text needs: of seen pairs their total alone, of others the backoff weight too.
-                pair, n = _count_triples(local, ctx, rr > 0, cold)
-                used, c = np.unique(pair[:, 1], return_inverse=True)
-                sums = planes(docs_), np.bincount(local, weights=fixed, minlength=len(docs_)).tobytes(), planes(ones.T.ravel())
-                yield row(p, k, 3, *sums, planes(np.concatenate([docs_[pair[:, 0]] * 2 + pair[:, 2], c, n])), planes(stats[used, : K + 1].T.ravel()), stats[used, K + 1].tobytes())
-                if (~cold).any():
-                    pair, n = _count_triples(local, ctx, rr > 0, ~cold)
-                    yield row(p, k, 5, np.stack([docs_[pair[:, 0]] * 2 + pair[:, 2], contexts[pair[:, 1]], n], axis=1).astype("<i8").tobytes())
-
-    done = cut(sent.repartition(parts, "part").mapInArrow(look_up, "part int, k int, kind int, a binary, b binary, c binary, d binary, e binary, f binary"))
-    few = np.zeros(K + 1, np.int64)
-    for r in done.filter("kind = 1").select("a").toLocalIterator():
-        few += np.frombuffer(r[0], np.int64)
-    d = discounts(few)
-    hot: dict[int, np.ndarray] = {}
-    for r in done.filter("kind = 2").select("a", "b", "c", "d").toLocalIterator():  # contexts of more than 1 / (8 parts) of all tokens: 8 * parts of them at most
-        total, lower = np.frombuffer(r[1]), np.frombuffer(r[3])
-        for i, c in enumerate(np.frombuffer(r[0], np.int64).tolist()):
-            hot[c] = hot.get(c, 0) + np.concatenate([[total[i]], np.frombuffer(r[2]).reshape(-1, K)[i], [lower[i]]])
-    hot_ids = np.array(sorted(hot), np.int64)
-    hot_logs = _context_logs(np.array([hot[c] for c in hot_ids.tolist()]).reshape(-1, K + 2), d)
-    kind_of = docs.schema["doc_id"].dataType.simpleString()
+            for lot, x, k in zip(lots, got, size.tolist(), strict=True):
+                own = back[at : at + k]
+                at += k
+                if answer:
+                    ctx = of[own]
+                    ctx = ctx[changes(ctx)]
+                    out.append((p, lot, PAIRS, pack(r[own], np.where(hot[ctx], 0, total[ctx] + (few[ctx].sum(axis=1) == 0))), None))
+                e, doc = np.repeat(own, x[n + 3]), x[n + 4] >> 1
+                docs, doc = np.unique(doc, return_inverse=True)
+                ctx, rr = of[e], r[e]
+                cold, known = ~hot[ctx], rr > 0
+                backs_off = cold & ~known & (total[ctx] > 0)
+                fixed = np.bincount(doc, weights=gain[e] - np.where(cold & known, base[ctx], 0.0) + np.where(backs_off, alpha[ctx], 0.0), minlength=len(docs))
+                ones = np.stack([np.bincount(doc, weights=rr == i, minlength=len(docs)) for i in range(1, K + 1)])
+                pair, times = np.unique(doc[backs_off] * len(few_kinds) + few_of[ctx[backs_off]], return_counts=True)
+                used, f = np.unique(pair % len(few_kinds), return_inverse=True)
+                out.append((p, lot, SUMS, pack(docs, fixed, ones.ravel().astype(np.int64), pair // len(few_kinds), f, times, few_kinds[used].ravel()), None))
+                if not cold.all():
+                    pair, times = np.unique((doc[~cold] * len(total) + ctx[~cold]) * 2 + known[~cold], return_counts=True)
+                    ctx = pair // 2 % len(total)
+                    out.append((p, lot, HOT_SUMS, pack(docs[pair // 2 // len(total)], pair % 2, times, *(w[starts][ctx] for w in words[:-1])), None))
+                if len(out) > 200:
+                    yield rows_of(out)
+                    out = []
+            yield rows_of(out)
+
+    return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, ROW)
+
+
+def _added(r: np.ndarray, of: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each context: tokens, n-grams that come 1..K times, and the lower order's mass of its n-grams."""
+    m = int(of[-1]) + 1 if len(of) else 0
+    few = np.stack([np.bincount(of, weights=r == i, minlength=m) for i in range(1, K + 1)], axis=1).astype(np.int64)
+    return np.bincount(of, weights=r, minlength=m).astype(np.int64), few, np.bincount(of, weights=p, minlength=m)
+
+
+def _logs(total: np.ndarray, few: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of each context's divisor, and of its backoff weight but for what discounting frees (see _freed)."""
+    base = np.log10(np.maximum(total + (few.sum(axis=1) == 0), 1))
+    return base, -base - np.log10(np.maximum(1 - mass, 1e-12))
+
+
+def _freed(few: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """log10 of the counts that discounting frees in a context; of the one that is added where there are none."""
+    freed = few @ ((1 - d[1:]) * np.arange(1, K + 1))
+    return np.log10(np.where(few.sum(axis=1) > 0, freed, 1.0))
 
-    def gather(table: pa.Table) -> pa.Table:
-        kinds = table.column("kind").to_pylist()
-        blobs = [[table.column(c)[i].as_py() for c in "abcdef"] for i in range(len(kinds))]
-        meta = pa.Table.from_batches([b for x, kind in zip(blobs, kinds, strict=True) if kind == 0 for b in pa.ipc.open_stream(x[0])])
-        s = meta.column("score").to_numpy().copy()
-        for x, kind in zip(blobs, kinds, strict=True):
-            if kind == 3:
-                s[unplanes(x[0])] += np.frombuffer(x[1]) + unplanes(x[2]).reshape(K, -1).T @ np.log10(d[1:])
-                t = unplanes(x[3]).reshape(3, -1).T.astype(np.int64)
-                logs = _context_logs(np.column_stack([unplanes(x[4]).reshape(K + 1, -1).T, np.frombuffer(x[5])]), d)[t[:, 1]]
-            elif kind == 5:
-                t = np.frombuffer(x[0], "<i8").reshape(-1, 3)
-                logs = hot_logs[np.searchsorted(hot_ids, t[:, 1])]
-            else:
-                continue
-            np.add.at(s, t[:, 0] >> 1, t[:, 2] * logs[np.arange(len(t)), 1 - (t[:, 0] & 1)])
-        return pa.table({"doc_id": meta.column("doc_id"), "held_out": pa.array(~np.array(meta.column("learn").to_pylist(), bool)), "n_tokens": meta.column("n_tokens"), "n_known": meta.column("n_known"), "train_tokens": pa.array(np.full(len(s), train_tokens)), "base_score": meta.column("base_score"), "score": pa.array(s)})
 
-    train_tokens = uni.n
-    return done.filter("kind in (0, 3, 5)").groupBy("k").applyInArrow(gather, f"doc_id {kind_of}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+class Hot:
+    """Contexts that are dealt by their n-grams, added up over the parts: fewer than 2 / `held` of all tokens."""
 
+    def __init__(self, table: DataFrame, n: int):
+        got: dict[tuple, np.ndarray] = {}
+        for row in table.filter(F.col("kind") == HOT).select("body").toLocalIterator():
+            *words, total, few, mass = unpack(row[0])
+            for key, t, f, m in zip(zip(*(w.tolist() for w in words), strict=True), total, few.reshape(-1, K), mass, strict=True):
+                got[key] = got.get(key, 0) + np.array([t, *f, m])
+        keys = sorted(got)
+        self.words = [np.array([k[i] for k in keys], np.int64) for i in range(n - 1)]
+        stats = np.array([got[k] for k in keys]).reshape(-1, K + 2)
+        self.total, self.few = stats[:, 0], stats[:, 1:-1]
+        self.base, self.alpha = _logs(self.total, self.few, stats[:, -1])
+        self.divisor = self.total + (self.few.sum(axis=1) == 0)
 
-def _count_triples(doc: np.ndarray, ctx: np.ndarray, seen: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (doc, context, seen) among those kept, and how often each comes."""
-    n = int(ctx.max()) + 1 if len(ctx) else 1
-    key, count = np.unique((doc[keep] * n + ctx[keep]) * 2 + seen[keep], return_counts=True)
-    return np.stack([key // 2 // n, key // 2 % n, key % 2], axis=1), count
+    def find(self, words: list[np.ndarray]) -> np.ndarray:
+        """Which one each context is."""
+        both = [np.concatenate([a, b]) for a, b in zip(self.words, words, strict=True)]
+        _, back = np.unique(np.stack(both), axis=1, return_inverse=True)
+        return back.ravel()[len(self.words[0]) :]
 
 
-def _context_logs(stats: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Per context (total, things counted 1..K times, lower-order mass of its pairs): log10 of what a seen pair's
-    discounted count is multiplied with, and log10 of the backoff weight. A context that was not learned backs off whole."""
-    total, few, lower = stats[:, 0], stats[:, 1 : K + 1], stats[:, K + 1]
-    freed = few @ ((1 - d[1:]) * np.arange(1, K + 1))
-    base = np.where(freed > 0, total, total + 1)
-    freed = np.where(freed > 0, freed, 1.0)
-    some = total > 0
-    room = np.maximum(1 - lower, 1e-12)
-    return np.stack([np.where(some, -np.log10(np.maximum(base, 1)), 0.0), np.where(some, np.log10(freed / np.maximum(base, 1) / room), 0.0)], axis=1)
+def score(docs: DataFrame, learn: Column, held: int = 1_500_000) -> DataFrame:
+    """doc_id, held_out (not learn), n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text).
+
+    learn: which rows the model is learned from. Null text is empty and has its end token alone; repeated rows are each
+    learned and scored, equal ones alike; a very long text is a lot of its own; other columns of docs are left out,
+    whatever their names. Without rows to learn from every token is of the unknown class. An empty table gives an empty
+    table. Scores are log10; base_score has add-half unigram counts. held: about how many tokens a task holds.
+    """
+    spark = docs.sparkSession
+    rows = docs.select("doc_id", "text", F.coalesce(learn, F.lit(True)).alias("learn"))
+    size = rows.agg(F.sum(F.length("text")), F.count_if("learn")).first()
+    parts, texts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size[0] or 0) // (6 * held))), size[1]
+    answered = Table(count_words(in_lots(rows, parts), parts))
+    words = cut(answered.rows.filter(F.col("kind") == TABLE))
+    few = [int(x or 0) for x in words.agg(*(F.sum(F.get("few", F.lit(i))) for i in range(K + 3))).first()]
+    n, v, few = few[0], few[1], np.array(few[2:], float)
+    d = discounts(few)
+    left = float(((1 - d[1:]) * np.arange(1, K + 1) * few[:K]).sum())
+    uni = Level(d, *((n, left / n) if left > 0 else (n + 1, 1 / (n + 1))))
+    lots = Table(number_lots(answered.rows.filter(F.col("kind").isin(LOT, WORDS)).select("part", "lot", "kind", "body", "few"), parts, uni, n, v))
+    answered.remove()
+
+    def pairs(body: bytes) -> tuple:
+        back, sizes, learned, ids, c = unpack(body)
+        ids, c = ids[back], c[back]
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        doc = row * 2 + learned[row]
+        ahead, ahead_c = before(ids, sizes, BEGIN), before(c, sizes, texts)
+        return ids, ahead, sizes, doc, ask([ahead, ids], ahead != UNKNOWN, doc, c, np.zeros(len(ids), np.int64), ahead_c > held // 2, parts)
+
+    def send_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lot, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield send(lot, pairs(body.as_py())[-1])
+
+    two = Table(look_up(lots.rows.select("lot", "body").mapInArrow(send_pairs, ROW), parts, uni, answer=True))
+    level2, hot2 = _level(two.rows), Hot(two.rows, 2)
+
+    def send_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(batches, 1, at=1):
+            rows = sorted(listed(group), key=lambda r: (r[2], r[0]))
+            ids, ahead, sizes, doc, a = pairs(rows[0][3])
+            got = [unpack(r[3]) for r in rows[1:]]
+            if not got:
+                continue
+            r, base = (np.concatenate([x[i] for x in got]) for i in (0, 1))
+            starts = changes(*a.words[:-1])
+            starts[a.edge[:-1][a.edge[:-1] < len(starts)]] = True
+            ctx = np.cumsum(starts) - 1
+            hot = base == 0
+            if hot.any():
+                base[hot] = hot2.divisor[hot2.find([a.words[0][starts][hot]])]
+            r, base = np.where(a.back >= 0, r[a.back], 0), np.where(a.back >= 0, base[ctx[a.back]], 0)
+            ahead_r = before(r, sizes, 0)
+            # a context that was not learned backs off whole: nothing is asked
+            yield send(rows[0][1], ask([before(ahead, sizes, BEGIN), ahead, ids], ahead_r > 0, doc, r, base, ahead_r > held // 2, parts))
+
+    both = lots.rows.select(F.lit(0).alias("part"), "lot", F.lit(LOT).alias("kind"), "body").unionByName(two.rows.filter(F.col("kind") == PAIRS).select("part", "lot", "kind", "body"))
+    three = Table(look_up(both.repartition(parts, "lot").sortWithinPartitions("lot").mapInArrow(send_triples, ROW), parts, level2, answer=False))
+    orders = [(level2.d, hot2), (_level(three.rows).d, Hot(three.rows, 3))]
+    kind_of = docs.schema["doc_id"].dataType.simpleString()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(batches, 1, at=1):
+            rows = listed(group)
+            (meta,) = pa.ipc.open_stream(next(r[3] for r in rows if r[2] == LOT))
+            s = meta.column(6).to_numpy().copy()
+            for order, _, kind, body in rows:
+                if kind == LOT:
+                    continue
+                d, hot = orders[order - 2]
+                if kind == SUMS:
+                    docs_, fixed, ones, doc, f, times, few = unpack(body)
+                    s[docs_] += fixed + np.log10(d[1:]) @ ones.reshape(K, -1)
+                    np.add.at(s, docs_[doc], times * _freed(few.reshape(-1, K), d)[f])
+                else:
+                    doc, known, times, *words_ = unpack(body)
+                    at = hot.find(words_)
+                    np.add.at(s, doc, times * np.where(known > 0, -hot.base[at], np.where(hot.total[at] > 0, hot.alpha[at] + _freed(hot.few, d)[at], 0.0)))
+            yield pa.RecordBatch.from_arrays([*meta.columns[:6], pa.array(s)], list(NAMES))
+
+    sums = [t.rows.filter(F.col("kind").isin(SUMS, HOT_SUMS)).select(F.lit(o).alias("part"), "lot", "kind", "body") for o, t in ((2, two), (3, three))]
+    metas = lots.rows.select(F.lit(0).alias("part"), "lot", F.lit(LOT).alias("kind"), F.col("meta").alias("body"))
+    return metas.unionByName(sums[0]).unionByName(sums[1]).repartition(parts, "lot").sortWithinPartitions("lot").mapInArrow(gather, f"doc_id {kind_of}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _level(table: DataFrame) -> Level:
+    few = table.filter(F.col("kind") == TABLE).agg(*(F.sum(F.get("few", F.lit(i))) for i in range(K + 1))).first()
+    return Level(discounts(np.array([int(x or 0) for x in few], float)))

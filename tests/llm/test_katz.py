@@ -25,39 +25,46 @@ def tokens(text):
 
 
 class Plain:
+    """Katz of order 3 with dictionaries: by[n] has the counts of n-grams by context."""
+
     def __init__(self, texts):
-        self.uni, self.bi = Counter(), defaultdict(Counter)
+        self.uni, self.by = Counter(), {2: defaultdict(Counter), 3: defaultdict(Counter)}
         for t in texts:
-            ws = tokens(t)
-            self.uni.update(ws)
-            for a, b in zip([BEGIN, *ws], ws, strict=False):
-                self.bi[a][b] += 1
+            ws = [BEGIN, *tokens(t)]
+            self.uni.update(ws[1:])
+            for n in (2, 3):
+                for i in range(n - 1, len(ws)):
+                    self.by[n][tuple(ws[i - n + 1 : i])][ws[i]] += 1
         self.n = sum(self.uni.values())
         few = lambda counts: [sum(c == r for c in counts) for r in range(1, 7)]
-        self.d1 = katz.discounts(np.array(few(self.uni.values())))
-        self.d2 = katz.discounts(np.array(few([c for x in self.bi.values() for c in x.values()])))
-        left = sum((1 - self.d1[c]) * c for c in self.uni.values() if c <= 5)
+        self.d = {1: katz.discounts(np.array(few(self.uni.values())))}
+        for n in (2, 3):
+            self.d[n] = katz.discounts(np.array(few([c for x in self.by[n].values() for c in x.values()])))
+        left = sum((1 - self.d[1][c]) * c for c in self.uni.values() if c <= 5)
         self.total, self.unknown = (self.n, left / self.n) if left > 0 else (self.n + 1, 1 / (self.n + 1))
-
-    def p1(self, w):
-        c = self.uni[w]
-        return (c * (self.d1[c] if c <= 5 else 1)) / self.total if c else self.unknown
-
-    def p(self, u, w):
-        if u not in self.bi:
-            return self.p1(w)
-        seen = self.bi[u]
-        freed = sum((1 - self.d2[r]) * r for r in seen.values() if r <= 5)
-        base = sum(seen.values()) + (freed <= 0)
-        freed = freed if freed > 0 else 1
-        if r := seen[w] if w in seen else 0:
-            return r * (self.d2[r] if r <= 5 else 1) / base
-        return freed / base / (1 - sum(map(self.p1, seen))) * self.p1(w)
+        self.alphas = {}
+
+    def kept(self, n, r):
+        return r * (self.d[n][r] if r <= 5 else 1)
+
+    def p(self, context, w):
+        if not context:
+            return self.kept(1, self.uni[w]) / self.total if self.uni[w] else self.unknown
+        n = len(context) + 1
+        seen = self.by[n].get(context)
+        if not seen:
+            return self.p(context[1:], w)
+        if context not in self.alphas:
+            freed = sum(r - self.kept(n, r) for r in seen.values())
+            base = sum(seen.values()) + (freed <= 0)
+            self.alphas[context] = base, (freed if freed > 0 else 1) / base / (1 - sum(self.p(context[1:], x) for x in seen))
+        base, alpha = self.alphas[context]
+        return self.kept(n, seen[w]) / base if w in seen else alpha * self.p(context[1:], w)
 
     def row(self, text):
-        ws = tokens(text)
-        base = sum(math.log10((self.uni[w] + 0.5) / (self.n + 0.5 * (len(self.uni) + 1))) for w in ws)
-        return len(ws), sum(self.uni[w] > 0 for w in ws), self.n, base, sum(math.log10(self.p(u, w)) for u, w in zip([BEGIN, *ws], ws, strict=False))
+        ws = [BEGIN, *tokens(text)]
+        base = sum(math.log10((self.uni[w] + 0.5) / (self.n + 0.5 * (len(self.uni) + 1))) for w in ws[1:])
+        return len(ws) - 1, sum(self.uni[w] > 0 for w in ws[1:]), self.n, base, sum(math.log10(self.p(tuple(ws[max(0, i - 2) : i]), ws[i])) for i in range(1, len(ws)))
 
 
 def held(doc_id):
@@ -77,16 +84,17 @@ def test_against_plain_version(table, request):
 
 def test_probabilities_sum_to_one(small):
     model = Plain([r.text for r in small.limit(40).collect()])
-    for u in [BEGIN, *[w for w, _ in model.uni.most_common(40)], *list(model.uni)[:40]]:
+    contexts = [(BEGIN,), *[(w,) for w, _ in model.uni.most_common(30)], *list(model.by[3])[:60], *sorted(model.by[3], key=lambda c: -sum(model.by[3][c].values()))[:20]]
+    for u in contexts:
         assert sum(model.p(u, w) for w in [*model.uni, "\x00never"]) == pytest.approx(1, abs=1e-9)
 
 
-def test_hot_contexts_give_the_same(spark, monkeypatch):
-    """Contexts above 1000 tokens are dealt by both words."""
+def test_hot_contexts_give_the_same(spark):
+    """Contexts of more than half of what a task holds are dealt by their n-grams."""
     docs = spark.createDataFrame([(i, " ".join(f"go x{(i * 7 + j) % 50}" for j in range(60))) for i in range(60)], "doc_id long, text string")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     model = Plain([t for d, t in rows if not held(d)])
-    got = {r.doc_id: r.score for r in katz.score(docs, train(), parts=3).collect()}
+    got = {r.doc_id: r.score for r in katz.score(docs, train(), held=100).collect()}
     assert got == {d: pytest.approx(model.row(t)[4], rel=1e-6) for d, t in rows}
 
 
@@ -94,3 +102,10 @@ def test_empty_and_nothing_to_learn(empty, odd):
     assert katz.score(empty, train()).count() == 0
     out = katz.score(odd, F.lit(False)).collect()
     assert len(out) == odd.count() and all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in out)
+
+
+def test_counts_and_numbers_have_64_bits():
+    x = np.array([0, 5, (1 << 40) - 1, (1 << 52) + 3], np.int64)
+    y, z, raw = katz.unpack(katz.pack(x, np.array([0.5, -1.25]), b"blob"))
+    assert y.tolist() == x.tolist() and z.tolist() == [0.5, -1.25] and raw == b"blob"
+    assert katz.Level(np.ones(6)).p(np.array([1 << 33]), 1 << 34)[0] == 0.5
