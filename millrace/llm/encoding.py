@@ -31,7 +31,7 @@ def odd_rows(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 _CUT = "<|endoftext|>"
-_MOST = 3_000_000
+_MOST = 1_000_000  # pieces that a worker remembers
 _open: dict[tuple[str, bool], "Encoder"] = {}
 
 

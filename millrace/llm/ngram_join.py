@@ -146,7 +146,7 @@ def identified(docs: DataFrame, shingle: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in K.slices(batch.column(2)):
+            for i, j in K.slices(batch.column(2), 2 << 20):
                 keys, at = K.shingles(*K.words(*K.utf8(batch.column(2).slice(i, j - i))), j - i, shingle)
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(at)), pa.array(set_ids(keys, at))], ["_doc", "_text", "n", "cid"])
@@ -182,7 +182,7 @@ def prefixes(doc: np.ndarray, level: np.ndarray, token: np.ndarray, n: np.ndarra
     return order[rank < room[doc[order]]]
 
 
-def candidates(docs: DataFrame, shingle: int, percent: int, total: int, held: int = 8_000_000, most: int = 2_000_000) -> DataFrame:
+def candidates(docs: DataFrame, shingle: int, percent: int, total: int, held: int = 2_000_000, most: int = 1_000_000) -> DataFrame:
     """node, root: classes that may link, in components of what shares a prefix shingle (never as pairs).
 
     Shingles, as 48-bit hashes dealt by other bits of theirs, are counted over all sets; those that a second set has go
@@ -198,7 +198,7 @@ def candidates(docs: DataFrame, shingle: int, percent: int, total: int, held: in
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lot = TaskContext.get().partitionId() << 32  # the same if the task is run again
         for batch in batches:
-            for i, j in K.slices(batch.column(0)):
+            for i, j in K.slices(batch.column(0), 2 << 20):
                 keys, at = K.shingles(*K.words(*K.utf8(batch.column(0).slice(i, j - i))), j - i, shingle)
                 n, cid = np.diff(at), set_ids(keys, at)
                 if not len(keys):
@@ -288,7 +288,7 @@ def join(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = 1_50
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in K.slices(batch.column(4)):
+            for i, j in K.slices(batch.column(4), 2 << 20):
                 keys, at = K.shingles(*K.words(*K.utf8(batch.column(4).slice(i, j - i))), j - i, shingle)
                 part, raw = batch.slice(i, j - i), keys.tobytes()
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], ["comp", "block", "blocks", "cid", "grams"])

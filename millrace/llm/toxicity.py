@@ -25,7 +25,7 @@ from millrace.llm.store import hold, release
 
 ORDER = 6
 CLEAR = (2.0, 3.5, 5.0)  # natural-log ratios from which a word speaks more and more clearly
-_KNOWN = 3_000_000  # words whose ratio a worker remembers
+_KNOWN = 1_000_000  # words whose ratio a worker remembers
 
 
 def _padded(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,9 +118,10 @@ class Model:
         keys, first, back = np.unique(K.hash_runs(data, starts, lengths), return_index=True, return_inverse=True)
         if len(self.known) > _KNOWN:
             self.known, self.ratio = np.zeros(0, np.uint64), np.zeros(0)
-        new = ~np.isin(keys, self.known, assume_unique=True)
+        to = np.searchsorted(self.known, keys)
+        new = self.known[np.minimum(to, len(self.known) - 1)] != keys if len(self.known) else np.ones(len(keys), bool)
         if new.any():
-            to = np.searchsorted(self.known, keys[new])
+            to = to[new]
             self.ratio = np.insert(self.ratio, to, self.ratios(data, starts[first[new]], lengths[first[new]]))
             self.known = np.insert(self.known, to, keys[new])
         ratio = self.ratio[np.searchsorted(self.known, keys)][back] if len(keys) else np.zeros(0)
@@ -149,7 +150,7 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Grams of the highest order in rows (toxic 0/1, text), with how often each comes in toxic and in ordinary rows."""
     sums = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
     for batch in batches:
-        for i, j in K.slices(batch.column(1)):
+        for i, j in K.slices(batch.column(1), 2 << 20):
             data, at = K.utf8(batch.column(1).slice(i, j - i))
             starts, lengths, rows = K.runs(data, at)
             if not len(starts):
@@ -180,7 +181,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, seed: int
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in K.slices(batch.column(1)):
+            for i, j in K.slices(batch.column(1), 2 << 20):
                 x = shipped.value.features(batch.column(1).slice(i, j - i))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(x.tolist(), pa.list_(pa.float64()))], ["toxic", "x"])
 
@@ -198,7 +199,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in K.slices(batch.column(0)):
+            for i, j in K.slices(batch.column(0), 2 << 20):
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shipped.value.score(part.column(0)))], [*batch.schema.names, "score"])
 
