@@ -31,7 +31,7 @@ from millrace.llm.ngram_join import groups_of
 from millrace.llm.store import Table, cut
 
 K = 5
-ORDER = 3
+TURNS = 2  # the highest order's n-grams are exchanged in so many shares, one after another, which bounds the disk
 END = np.uint64(0x6A09E667F3BCC909)  # the hash of the end token
 UNKNOWN, BEGIN = (1 << 40) - 1, (1 << 40) - 2  # word numbers have 40 bits
 ROW = "part int, lot long, kind int, body binary, few array<long>"
@@ -236,14 +236,15 @@ class Asked:
     back: np.ndarray  # the distinct one of each of the lot's tokens, -1 for those not asked
 
 
-def ask(words: list[np.ndarray], asked: np.ndarray, doc: np.ndarray, lower: np.ndarray, base: np.ndarray, hot: np.ndarray, parts: int) -> Asked:
-    at = np.flatnonzero(asked)
-    cols, doc, lower, base, hot = [w[at] for w in words], doc[at], lower[at], base[at], hot[at]
-    key = np.zeros(len(at), np.uint64)
-    for w in cols[:-1]:
+def ask(words: list[np.ndarray], asked: np.ndarray, doc: np.ndarray, lower: np.ndarray, base: np.ndarray, hot: np.ndarray, parts: int, turn: int = 0, turns: int = 1) -> Asked:
+    """words: each token's n-gram. Of `turns` equal shares of the parts, those of one are asked."""
+    key = np.zeros(len(doc), np.uint64)
+    for w in words[:-1]:
         key = K_.mix(key + w.astype(np.uint64), 21)
-    key = np.where(hot, K_.mix(key + cols[-1].astype(np.uint64), 22), key)
+    key = np.where(hot, K_.mix(key + words[-1].astype(np.uint64), 22), key)
     part = part_of(key, parts)
+    at = np.flatnonzero(asked & (part % turns == turn))
+    cols, doc, lower, base, hot, part = [w[at] for w in words], doc[at], lower[at], base[at], hot[at], part[at]
     order = np.lexsort((doc, *reversed(cols), part))
     cols, part = [w[order] for w in cols], part[order]
     new = changes(part, *cols)
@@ -416,31 +417,54 @@ def score(docs: DataFrame, learn: Column, held: int = 1_500_000) -> DataFrame:
             for lot, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 yield send(lot, pairs(body.as_py())[-1])
 
-    two = Table(look_up(lots.rows.select("lot", "body").mapInArrow(send_pairs, ROW), parts, uni, answer=True))
+    two = Table(look_up(lots.rows.select("lot", "body").mapInArrow(send_pairs, ROW), parts, uni, answer=True), by="kind")
     level2, hot2 = _level(two.rows), Hot(two.rows, 2)
 
-    def send_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def with_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, 1, at=1):
+            metas = dict(zip(group.column(2).to_pylist(), group.column(4).to_pylist(), strict=True))
             rows = sorted(listed(group), key=lambda r: (r[2], r[0]))
-            ids, ahead, sizes, doc, a = pairs(rows[0][3])
-            got = [unpack(r[3]) for r in rows[1:]]
-            if not got:
-                continue
-            r, base = (np.concatenate([x[i] for x in got]) for i in (0, 1))
-            starts = changes(*a.words[:-1])
-            starts[a.edge[:-1][a.edge[:-1] < len(starts)]] = True
-            ctx = np.cumsum(starts) - 1
-            hot = base == 0
-            if hot.any():
-                base[hot] = hot2.divisor[hot2.find([a.words[0][starts][hot]])]
-            r, base = np.where(a.back >= 0, r[a.back], 0), np.where(a.back >= 0, base[ctx[a.back]], 0)
-            ahead_r = before(r, sizes, 0)
-            # a context that was not learned backs off whole: nothing is asked
-            yield send(rows[0][1], ask([before(ahead, sizes, BEGIN), ahead, ids], ahead_r > 0, doc, r, base, ahead_r > held // 2, parts))
-
-    both = lots.rows.select(F.lit(0).alias("part"), "lot", F.lit(LOT).alias("kind"), "body").unionByName(two.rows.filter(F.col("kind") == PAIRS).select("part", "lot", "kind", "body"))
-    three = Table(look_up(both.repartition(parts, "lot").sortWithinPartitions("lot").mapInArrow(send_triples, ROW), parts, level2, answer=False))
-    orders = [(level2.d, hot2), (_level(three.rows).d, Hot(three.rows, 3))]
+            back, sizes, learned, ids, _ = unpack(rows[0][3])
+            a = pairs(rows[0][3])[-1]
+            r, base = np.zeros(len(a.lower), np.int64), np.zeros(len(ids), np.int64)
+            if len(r):
+                got = [unpack(x[3]) for x in rows[1:]]
+                r, divisor = (np.concatenate([x[i] for x in got]) for i in (0, 1))
+                starts = changes(*a.words[:-1])
+                starts[a.edge[:-1][a.edge[:-1] < len(starts)]] = True
+                context = a.words[0][starts]
+                hot = divisor == 0
+                if hot.any():
+                    divisor[hot] = hot2.divisor[hot2.find([context[hot]])]
+                context, first = np.unique(context, return_index=True)
+                at = np.minimum(np.searchsorted(context, ids), len(context) - 1)
+                base = np.where(context[at] == ids, divisor[first][at], 0)
+            r = np.where(a.back >= 0, r[a.back], 0) if len(r) else np.zeros(len(back), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([rows[0][1]], pa.int64()), pa.array([metas[LOT]], pa.binary()), pa.array([pack(back, sizes, learned, ids, r, base)], pa.binary())], ["lot", "meta", "body"])
+
+    both = lots.rows.select(F.lit(0).alias("part"), "lot", F.lit(LOT).alias("kind"), "body", "meta").unionByName(two.rows.filter(F.col("kind") == PAIRS).select("part", "lot", "kind", "body", F.lit(None).cast("binary").alias("meta")))
+    paired = Table(both.repartition(parts, "lot").sortWithinPartitions("lot").mapInArrow(with_pairs, "lot long, meta binary, body binary"))
+    lots.remove()
+    two.remove(PAIRS)
+
+    def triples(turn: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lot, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    back, sizes, learned, ids, r, base = unpack(body.as_py())
+                    row = np.repeat(np.arange(len(sizes)), sizes)
+                    ids, base = ids[back], base[back]
+                    ahead, ahead_r = before(ids, sizes, BEGIN), before(r, sizes, 0)
+                    # a context that was not learned backs off whole: nothing is asked
+                    yield send(lot, ask([before(ahead, sizes, BEGIN), ahead, ids], ahead_r > 0, row * 2 + learned[row], r, before(base, sizes, 0), ahead_r > held // 2, parts, turn, TURNS))
+
+        return look_up(paired.rows.select("lot", "body").mapInArrow(run, ROW), parts, level2, answer=False)
+
+    turns = [Table(triples(k)).rows for k in range(TURNS)]
+    three = turns[0]
+    for more in turns[1:]:
+        three = three.unionByName(more)
+    orders = [(level2.d, hot2), (_level(three).d, Hot(three, 3))]
     kind_of = docs.schema["doc_id"].dataType.simpleString()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -462,8 +486,8 @@ def score(docs: DataFrame, learn: Column, held: int = 1_500_000) -> DataFrame:
                     np.add.at(s, doc, times * np.where(known > 0, -hot.base[at], np.where(hot.total[at] > 0, hot.alpha[at] + _freed(hot.few, d)[at], 0.0)))
             yield pa.RecordBatch.from_arrays([*meta.columns[:6], pa.array(s)], list(NAMES))
 
-    sums = [t.rows.filter(F.col("kind").isin(SUMS, HOT_SUMS)).select(F.lit(o).alias("part"), "lot", "kind", "body") for o, t in ((2, two), (3, three))]
-    metas = lots.rows.select(F.lit(0).alias("part"), "lot", F.lit(LOT).alias("kind"), F.col("meta").alias("body"))
+    sums = [t.filter(F.col("kind").isin(SUMS, HOT_SUMS)).select(F.lit(o).alias("part"), "lot", "kind", "body") for o, t in ((2, two.rows), (3, three))]
+    metas = paired.rows.select(F.lit(0).alias("part"), "lot", F.lit(LOT).alias("kind"), F.col("meta").alias("body"))
     return metas.unionByName(sums[0]).unionByName(sums[1]).repartition(parts, "lot").sortWithinPartitions("lot").mapInArrow(gather, f"doc_id {kind_of}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

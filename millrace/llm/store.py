@@ -40,18 +40,20 @@ def _shuffles_end_with_their_query(spark: SparkSession) -> Iterator[None]:
 
 class Table:
     """A DataFrame written as Parquet in the shared folder: what reads `rows` neither recomputes it nor depends on
-    shuffle files of a lost executor. remove() deletes the files, once what was made of them is written too."""
+    shuffle files of a lost executor. remove() deletes the files, or those of one value of the column that they are laid
+    out by, once what was made of them is written too."""
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, by: str | None = None):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/millrace-{uuid.uuid4().hex}"
         with _shuffles_end_with_their_query(self.spark):
-            df.write.parquet(self.path)
+            (df.write.partitionBy(by) if by else df.write).parquet(self.path)
+        self.by = by
         self.rows = self.spark.read.schema(df.schema).parquet(self.path)
 
-    def remove(self) -> None:
+    def remove(self, value: int | None = None) -> None:
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path = jvm.org.apache.hadoop.fs.Path(self.path if value is None else f"{self.path}/{self.by}={value}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
