@@ -130,7 +130,7 @@ def in_lots(rows: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lot = TaskContext.get().partitionId() << 32  # the same if the task is run again
         for batch in batches:
-            for i, j in K_.slices(batch.column(1), 2 << 20):
+            for i, j in K_.slices(batch.column(1), 3 << 20):
                 mine = batch.slice(i, j - i)
                 h, row = tokens(mine.column(1))
                 distinct, back = np.unique(h, return_inverse=True)
@@ -222,6 +222,25 @@ def changes(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
+def ranked(*columns: np.ndarray) -> np.ndarray:
+    """The stable order of rows by columns, the first one first. As many as fit are packed into one number of 63 bits."""
+    key, bits = np.zeros(len(columns[0]), np.int64), 0
+    for c in columns:
+        most = c[c < BEGIN].max(initial=0)
+        c = np.where(c >= BEGIN, c - BEGIN + most + 1, c)
+        width = int(c.max(initial=0)).bit_length()
+        if bits + width > 63:
+            values, key = np.unique(key, return_inverse=True)
+            bits = len(values).bit_length()
+        key, bits = key << width | c, bits + width
+    place = len(key).bit_length()
+    if bits + place > 63:
+        return np.argsort(key, kind="stable")
+    key = key << place | np.arange(len(key))
+    key.sort()
+    return key & ((1 << place) - 1)
+
+
 @dataclass
 class Asked:
     """A lot's n-grams of one order, sorted: by part, words, text."""
@@ -236,23 +255,25 @@ class Asked:
     back: np.ndarray  # the distinct one of each of the lot's tokens, -1 for those not asked
 
 
-def ask(words: list[np.ndarray], asked: np.ndarray, doc: np.ndarray, lower: np.ndarray, base: np.ndarray, hot: np.ndarray, parts: int, turn: int = 0, turns: int = 1) -> Asked:
-    """words: each token's n-gram. Of `turns` equal shares of the parts, those of one are asked."""
+def ask(values: np.ndarray, words: list[np.ndarray], asked: np.ndarray, doc: np.ndarray, lower: np.ndarray, base: np.ndarray, hot: np.ndarray, parts: int, turn: int = 0, turns: int = 1) -> Asked:
+    """words: each token's n-gram, as indices of the ascending values. Of `turns` equal shares of the parts, those of one
+    are asked."""
+    number = values.astype(np.uint64)
     key = np.zeros(len(doc), np.uint64)
     for w in words[:-1]:
-        key = K_.mix(key + w.astype(np.uint64), 21)
-    key = np.where(hot, K_.mix(key + words[-1].astype(np.uint64), 22), key)
+        key = K_.mix(key + number[w], 21)
+    key = np.where(hot, K_.mix(key + number[words[-1]], 22), key) if hot.any() else key
     part = part_of(key, parts)
     at = np.flatnonzero(asked & (part % turns == turn))
     cols, doc, lower, base, hot, part = [w[at] for w in words], doc[at], lower[at], base[at], hot[at], part[at]
-    order = np.lexsort((doc, *reversed(cols), part))
+    order = ranked(part, *cols)  # tokens come in the order of their texts
     cols, part = [w[order] for w in cols], part[order]
     new = changes(part, *cols)
     e = np.flatnonzero(new)
     context = changes(part[e], *(w[e] for w in cols[:-1]))
     back = np.full(len(asked), -1)
     back[at[order]] = np.cumsum(new) - 1
-    return Asked([w[e] for w in cols], lower[order][e], base[order][e][context], hot[order][e], np.diff(np.append(e, len(order))), doc[order], np.searchsorted(part[e], np.arange(parts + 1)), back)
+    return Asked([values[w[e]] for w in cols], lower[order][e], base[order][e][context], hot[order][e], np.diff(np.append(e, len(order))), doc[order], np.searchsorted(part[e], np.arange(parts + 1)), back)
 
 
 def send(lot: int, a: Asked) -> pa.RecordBatch:
@@ -283,7 +304,7 @@ def look_up(sent: DataFrame, parts: int, low: Level, answer: bool) -> DataFrame:
                 x[0] = np.cumsum(x[0])
             size = np.array([len(x[0]) for x in got])
             words = [np.concatenate([x[i] for x in got]) for i in range(n)]
-            order = np.lexsort(tuple(reversed(words)))
+            order = ranked(*words)
             new = changes(*(w[order] for w in words))
             back = np.empty_like(order)
             back[order] = np.cumsum(new) - 1
@@ -404,18 +425,22 @@ def score(docs: DataFrame, learn: Column, held: int = 1_500_000) -> DataFrame:
     lots = Table(number_lots(answered.rows.filter(F.col("kind").isin(LOT, WORDS)).select("part", "lot", "kind", "body", "few"), parts, uni, n, v))
     answered.remove()
 
-    def pairs(body: bytes) -> tuple:
+    def indexed(ids: np.ndarray, back: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ascending word numbers, and each token's and the one's before it as indices of them."""
+        values, index = np.unique(np.append(ids, BEGIN), return_inverse=True)
+        index, begin = index[:-1][back], index[-1]
+        return values, index, before(index, sizes, begin)
+
+    def pairs(body: bytes) -> Asked:
         back, sizes, learned, ids, c = unpack(body)
-        ids, c = ids[back], c[back]
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        doc = row * 2 + learned[row]
-        ahead, ahead_c = before(ids, sizes, BEGIN), before(c, sizes, texts)
-        return ids, ahead, sizes, doc, ask([ahead, ids], ahead != UNKNOWN, doc, c, np.zeros(len(ids), np.int64), ahead_c > held // 2, parts)
+        values, index, ahead = indexed(ids, back, sizes)
+        row, c = np.repeat(np.arange(len(sizes)), sizes), c[back]
+        return ask(values, [ahead, index], values[ahead] != UNKNOWN, row * 2 + learned[row], c, np.zeros(len(c), np.int64), before(c, sizes, texts) > held // 2, parts)
 
     def send_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lot, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield send(lot, pairs(body.as_py())[-1])
+                yield send(lot, pairs(body.as_py()))
 
     two = Table(look_up(lots.rows.select("lot", "body").mapInArrow(send_pairs, ROW), parts, uni, answer=True), by="kind")
     level2, hot2 = _level(two.rows), Hot(two.rows, 2)
@@ -425,7 +450,7 @@ def score(docs: DataFrame, learn: Column, held: int = 1_500_000) -> DataFrame:
             metas = dict(zip(group.column(2).to_pylist(), group.column(4).to_pylist(), strict=True))
             rows = sorted(listed(group), key=lambda r: (r[2], r[0]))
             back, sizes, learned, ids, _ = unpack(rows[0][3])
-            a = pairs(rows[0][3])[-1]
+            a = pairs(rows[0][3])
             r, base = np.zeros(len(a.lower), np.int64), np.zeros(len(ids), np.int64)
             if len(r):
                 got = [unpack(x[3]) for x in rows[1:]]
@@ -453,10 +478,9 @@ def score(docs: DataFrame, learn: Column, held: int = 1_500_000) -> DataFrame:
                 for lot, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     back, sizes, learned, ids, r, base = unpack(body.as_py())
                     row = np.repeat(np.arange(len(sizes)), sizes)
-                    ids, base = ids[back], base[back]
-                    ahead, ahead_r = before(ids, sizes, BEGIN), before(r, sizes, 0)
-                    # a context that was not learned backs off whole: nothing is asked
-                    yield send(lot, ask([before(ahead, sizes, BEGIN), ahead, ids], ahead_r > 0, row * 2 + learned[row], r, before(base, sizes, 0), ahead_r > held // 2, parts, turn, TURNS))
+                    values, index, ahead = indexed(ids, back, sizes)
+                    ahead2, ahead_r = before(ahead, sizes, 0), before(r, sizes, 0)  # not asked where a text begins, nor where the context was not learned: it backs off whole
+                    yield send(lot, ask(values, [ahead2, ahead, index], ahead_r > 0, row * 2 + learned[row], r, before(base[back], sizes, 0), ahead_r > held // 2, parts, turn, TURNS))
 
         return look_up(paired.rows.select("lot", "body").mapInArrow(run, ROW), parts, level2, answer=False)
 
