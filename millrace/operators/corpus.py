@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Generator
 
 import numpy as np
@@ -12,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import tokenize
-from millrace.operators.order import prefix_sum, seeded
+from millrace.operators.order import prefix_sum, seeded, stored
 
 #: Characters that end a sentence, and bracket pairs that must be closed in a piece.
 SENTENCE_ENDS = (".", "!", "?", ";", "\n")
@@ -106,16 +104,6 @@ def pack_stream(docs: list[tuple[list[int], list[bool]]], length: int, eos: int,
     return len(all_) - at
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir (where it is unset, a temporary one) and read back."""
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
-    path = f"{sc.getCheckpointDir()}/packing-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def pack_sentences(encoded: DataFrame, length: int, eos: int, ends: list[int], newlines: list[int] = (), bos: int | None = None, docs_per_stream: int = 10_000, most: int = 2000, flush_tail: bool = False, keep_singletons: bool = False) -> DataFrame:
     """domain, stream, seq, tokens, padding from encoded (doc_id, domain, tokens ARRAY<INT>, spaced ARRAY<BOOLEAN>).
 
@@ -158,19 +146,19 @@ def pack_sentences(encoded: DataFrame, length: int, eos: int, ends: list[int], n
     lasts = ranked.groupBy("domain").agg(F.max("stream").alias("_end"))
     if not lasts.filter("_end > 0").head(1):
         return ranked.withColumn("_last", F.lit(True)).groupBy("domain", "stream").applyInPandas(fold, "domain string, stream int, seq int, tokens array<int>, padding int")
-    ranked = _stored(ranked)
-    lasts = _stored(ranked.groupBy("domain").agg(F.max("stream").alias("_end")))
+    ranked = stored(ranked)
+    lasts = stored(ranked.groupBy("domain").agg(F.max("stream").alias("_end")))
 
     def openings(rows: DataFrame) -> DataFrame:
         """What the streams in rows leave to those that follow them."""
         return rows.groupBy("domain", "stream").applyInPandas(rest, kind).join(lasts, "domain").filter("stream <= _end").drop("_end")
 
-    now = _stored(openings(ranked))
+    now = stored(openings(ranked))
     change = now.filter(F.size("tokens") > 0)
     while change.head(1):
         again = ranked.join(change.select("domain", "stream"), ["domain", "stream"], "left_semi")
         new = openings(again.unionByName(change))
-        then = _stored(now.join(new.select("domain", "stream", F.struct("tokens", "spaced").alias("_new")), ["domain", "stream"], "left").select("domain", "stream", "_at", *(F.when(F.col("_new").isNull(), F.col(c)).otherwise(F.col(f"_new.{c}")).alias(c) for c in ("tokens", "spaced")), (F.col("_new").isNotNull() & (F.struct("tokens", "spaced") != F.col("_new"))).alias("_differs")))
+        then = stored(now.join(new.select("domain", "stream", F.struct("tokens", "spaced").alias("_new")), ["domain", "stream"], "left").select("domain", "stream", "_at", *(F.when(F.col("_new").isNull(), F.col(c)).otherwise(F.col(f"_new.{c}")).alias(c) for c in ("tokens", "spaced")), (F.col("_new").isNotNull() & (F.struct("tokens", "spaced") != F.col("_new"))).alias("_differs")))
         now, change = then.drop("_differs"), then.filter("_differs").drop("_differs")
     whole = ranked.unionByName(now).join(lasts, "domain").withColumn("_last", F.col("stream") == F.col("_end")).drop("_end")
     return whole.groupBy("domain", "stream").applyInPandas(fold, "domain string, stream int, seq int, tokens array<int>, padding int")

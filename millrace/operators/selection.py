@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.order import row_number, seeded
+from millrace.operators.order import row_number, seeded, stored
 
 
 def difference(large: DataFrame, small: DataFrame, strict: bool = True) -> DataFrame:
@@ -24,13 +24,14 @@ def stats(scores: DataFrame, value: str) -> DataFrame:
 
 def histogram(scores: DataFrame, value: str, bins: int = 10_000) -> DataFrame:
     """bin, n, density, cumulative over equal widths from least to greatest; empty bins have no row. The greatest value
-    is in the last bin; a single value fills the first one."""
+    is in the last bin; a single value fills the first one. Null and NaN are left out."""
+    scores = scores.filter(~F.isnan(value))
     low, high, total = scores.agg(F.min(value), F.max(value), F.count(value)).first()
     if not total:
         return scores.sparkSession.createDataFrame([], "bin long, n long, density double, cumulative double")
     width = (high - low) / bins if high > low else 1.0 / bins
     place = F.least(F.floor((F.col(value) - low) / F.lit(width)), F.lit(bins - 1)) if high > low else F.lit(0)
-    counts = scores.filter(F.col(value).isNotNull()).groupBy(place.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    counts = scores.groupBy(place.cast("long").alias("bin")).agg(F.count("*").alias("n"))
     running = F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))  # at most `bins` rows
     return counts.select("bin", "n", (F.col("n") / F.lit(total * width)).alias("density"), (running / F.lit(total)).alias("cumulative"))
 
@@ -68,7 +69,7 @@ def sample_rows(rows: DataFrame, k: int, seed: int = 42, key: str = "idx") -> Da
 def reports(scores: DataFrame, value: str, fractions: tuple[float, ...] = (0.001, 0.01, 0.1), k: int = 1000, seed: int = 42) -> DataFrame:
     """report, idx, value: the top and bottom k, and k random rows of each top and bottom fraction."""
     n = scores.count()
-    all_ = ranked(scores, value).select("idx", F.col(value).alias("value"), "rank")
+    all_ = stored(ranked(scores, value).select("idx", F.col(value).alias("value"), "rank"))
     out = top(scores, value, k).select(F.lit("top").alias("report"), "idx", F.col(value).alias("value"))
     out = out.union(top(scores, value, k, lowest=True).select(F.lit("bottom").alias("report"), "idx", F.col(value).alias("value")))
     for f in fractions:

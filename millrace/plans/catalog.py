@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from millrace.functions import schedules
 from millrace.functions import text as X
 from millrace.operators import batching, corpus, distill, evaluation, selection, sequences
-from millrace.operators.order import prefix_sum, row_number, seeded
+from millrace.operators.order import prefix_sum, row_number, seeded, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,7 +57,9 @@ r as (select *, row_number() over (order by round(diff, 9) desc, idx) - 1 as ran
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.language_model_scores(table(spark, sf_dir, "documents")).withColumn("diff", F.col("small") - F.col("large"))
+    """Scores as a narrow table, written once: ranks, statistics and reports read it several times."""
+    scores = corpus.language_model_scores(table(spark, sf_dir, "documents"))
+    return stored(scores.withColumn("diff", F.col("small") - F.col("large")))
 
 
 def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
