@@ -32,7 +32,7 @@ _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9])"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Generators of proposals.
-_RUN = r"(?<![A-Za-z0-9_/+=.@-])(?=[A-Za-z_/+=-]{0,64}[0-9])[A-Za-z0-9_/+=-]{12,}+"
+_RUN = r"(?<![A-Za-z0-9_/+=.@-])(?=[A-Za-z_/+=-]*+[0-9])[A-Za-z0-9_/+=-]{12,}+"
 _ASSIGNED = r"(?i)(?<![a-z])(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|auth)[\x20]{0,2}[:=][\x20]{0,2}[\"']?[^\s\"',;]{6,}+"
 _VALUE = r"[:=][\x20]{0,2}[\"']?([^\s\"',;]{6,}+)$"
 _DIGITS = r"(?<![0-9A-Za-z+.,-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{2,4}(?:[\x20.-][0-9]{2,6}){1,3}(?![0-9A-Za-z-])"
@@ -43,18 +43,33 @@ _REACHED = r"(?i)(?:phone|mobile|cell|call|tel|fax|contact|whatsapp|ssn|social s
 def found(text: Column, pattern: str, before: int = 0) -> Column:
     """All matches as structs (start, end, m: the match, c: up to `before` characters ahead of it)."""
 
+    none = F.array().cast("array<struct<start:int,end:int,m:string,c:string>>")
+
+    def added(xs: Column) -> Column:
+        return F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+
     def place(matches: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-        none = F.array().cast("array<struct<start:int,end:int,m:string,c:string>>")
+        last = F.size(matches) - 1
+
+        def with_gaps(gaps: Column) -> Column:
+            # Lengths up to each match are added up by blocks of 64, so a text of very many takes no long sums.
+            steps = F.transform(F.sequence(F.lit(0), last), lambda i: F.length(F.get(gaps, i)) + F.length(F.get(matches, i)))
+
+            def with_steps(step: Column) -> Column:
+                blocks = F.transform(F.sequence(F.lit(0), F.floor(last / 64).cast("int")), lambda b: added(F.slice(step, b * 64 + 1, F.lit(64))))
+                heads = let(blocks, lambda bs: F.transform(bs, lambda _, b: added(F.slice(bs, F.lit(1), b))))
+
+                def one(i: Column, head: Column) -> Column:
+                    m, gap = F.get(matches, i), F.get(gaps, i)
+                    block = F.floor(i / 64).cast("int")
+                    before_ = F.get(head, block) + added(F.slice(step, block * 64 + 1, i - block * 64)) + F.length(gap)
+                    return let(before_, lambda start: F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("m"), F.right(gap, F.lit(before)).alias("c")))
+
+                return let(heads, lambda head: F.transform(F.sequence(F.lit(0), last), lambda i: one(i, head)))
 
-        def step(a: Column, i: Column, g: Column) -> Column:
-            m, gap = F.get(matches, i), F.get(g, i)
-            start = a["at"] + F.length(gap)
-            one = F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("m"), F.right(gap, F.lit(before)).alias("c"))
-            return F.struct((start + F.length(m)).alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
+            return let(steps, with_steps)
 
-        placed = let(gaps, lambda g: F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), lambda a, i: step(a, i, g), lambda a: a["out"]))
-        return F.when(F.size(matches) == 0, none).otherwise(placed)
+        return F.when(F.size(matches) == 0, none).otherwise(let(F.split(text, pattern, -1), with_gaps))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
 
@@ -225,22 +240,25 @@ def _raw(model: tuple[float, list], f: Column) -> Column:
 
 
 def extra_spans(text: Column, base: Column) -> Column:
-    """Accepted proposals that overlap no base span and no better proposal, as structs (rank, start, end, kind)."""
+    """Accepted proposals that overlap no base span and no better one that is taken, as structs (rank, start, end, kind)."""
     run = found(text, _RUN, 24)
     assigned = F.transform(found(text, _ASSIGNED, 1), lambda s: let(F.regexp_extract(s["m"], _VALUE, 1), lambda v: F.struct((s["end"] - F.length(v)).alias("start"), s["end"].alias("end"), v.alias("m"), F.right(F.left(s["m"], F.length(s["m"]) - F.length(v)), F.lit(24)).alias("c"))))
     assigned = F.filter(assigned, lambda s: s["end"] > s["start"])
     digits = found(text, _DIGITS, 24)
     accepted = F.concat(_accepted(F.concat(run, assigned), "secret"), _accepted(digits, "contact"))
 
-    def select(all_: Column) -> Column:
-        def free(s: Column) -> Column:
-            beaten = F.exists(all_, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]) & ((o["score"] > s["score"]) | ((o["score"] == s["score"]) & (F.struct(o["start"], o["end"]) < F.struct(s["start"], s["end"])))))
-            return ~beaten & ~F.exists(base, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))
+    none = F.array().cast("array<struct<rank:int,start:int,end:int,kind:string>>")
 
-        kept = F.array_distinct(F.filter(all_, free))
-        return F.transform(kept, lambda s: F.struct(s["rank"], s["start"], s["end"], s["kind"]))
+    def meets(a: Column, b: Column) -> Column:
+        return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+    def select(all_: Column) -> Column:
+        """Those that meet no base span, taken by falling score unless one that meets them is already in."""
+        rest = F.filter(all_, lambda s: ~F.exists(base, lambda o: meets(o, s)))
+        order = F.array_sort(F.transform(rest, lambda s: F.struct((-s["score"]).alias("worse"), s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"), s["kind"].alias("kind"))))
+        kept = F.aggregate(order, none, lambda a, s: F.when(F.exists(a, lambda o: meets(o, s)), a).otherwise(F.concat(a, F.array(F.struct(s["rank"], s["start"], s["end"], s["kind"])))))
+        return kept
 
-    none = F.array().cast("array<struct<rank:int,start:int,end:int,kind:string>>")
     return let(accepted, lambda a: F.when(F.size(a) == 0, none).otherwise(select(a)))
 
 

@@ -63,12 +63,18 @@ def partition(size: Column, ratio: float = 0.5) -> Column:
     return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.log(F.lit(1 / ratio))).cast("int")
 
 
-def likeness(a: Column, b: Column, apart: int = 4) -> Column:
-    """Jaccard similarity of two fingerprints; 0 without a comparison for sets whose length partitions are more than
-    `apart` steps from each other (similarity below 0.5 ** apart). Two empty ones are alike (1)."""
+def likeness(a: Column, b: Column, floor: float = 0.0) -> Column:
+    """Jaccard similarity of two fingerprints. Two empty ones are alike (1).
+
+    floor: what a caller asks for at least; a pair whose length partitions are so far apart that it cannot reach that
+    is 0 without a comparison. At the default every pair has its similarity."""
     shared = F.size(F.array_intersect(a, b))
     exact = let(shared, lambda n: n / (F.size(a) + F.size(b) - n))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).when(F.abs(partition(F.size(a)) - partition(F.size(b))) > apart, 0.0).otherwise(exact).cast("double")
+    out = F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0)
+    if floor > 0:
+        apart = F.abs(partition(F.size(a)) - partition(F.size(b)))
+        out = out.when(F.pow(F.lit(0.5), apart - 1) < floor, 0.0)
+    return out.otherwise(exact).cast("double")
 
 
 def as_text(fp: Column) -> Column:

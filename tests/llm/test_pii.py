@@ -90,3 +90,23 @@ def test_query_digest(small, spark, sf_dir):
         assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(x.startswith(k) for x in want) for k in PATTERNS)
         assert {*want} <= {*(r.spans.split(",") if r.spans else [])}
+
+
+def test_a_run_of_letters_however_long_before_its_digits(spark):
+    df = spark.createDataFrame([("x " + "aB" * n + "9999 y",) for n in (20, 40, 400)], "text string")
+    got = df.select(pii.found(F.col("text"), pii._RUN)).collect()
+    assert [[(x.start, x.end) for x in r[0]] for r in got] == [[(2, 2 + 2 * n + 4)] for n in (20, 40, 400)]
+
+
+def test_places_of_very_many_matches(spark):
+    text = " and ".join(f"10.{i % 250}.{i % 77}.{i % 9}" for i in range(20_000))
+    (row,) = pii.find(spark.createDataFrame([(text,)], "text string")).collect()
+    assert [(s.start, s.end) for s in row.base_spans] == [m.span() for m in re.finditer(r"[0-9.]+", text)]
+
+
+def test_a_beaten_proposal_beats_nobody(spark):
+    """The value that is assigned meets the address and goes; the key after it stays."""
+    text = "auth: 10.0.0.1:Zx91kQ72mmPq44aa83KdLw20Zz9 and so on"
+    (row,) = pii.find(spark.createDataFrame([(text,)], "text string")).collect()
+    spans = {(s.kind, text[s.start : s.end]) for s in row.spans}
+    assert ("ip", "10.0.0.1") in spans and ("secret", "Zx91kQ72mmPq44aa83KdLw20Zz9") in spans

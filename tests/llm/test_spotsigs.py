@@ -6,6 +6,7 @@ import math
 import pytest
 import regex
 import xxhash
+from pyspark.sql import functions as F
 
 from millrace.llm import spotsigs
 from tests.llm.conftest import clashing
@@ -119,3 +120,9 @@ def test_texts_with_few_anchors_are_near_their_edited_copies(spark, tmp_path, an
     for n, _ in texts:
         assert got[n].near_edited > 0.4 and len(got[n].fingerprint) >= 8 * n // 4
         assert got[n].near_next < 0.1
+
+
+def test_likeness_of_sets_of_very_different_lengths(spark):
+    df = spark.createDataFrame([(list(range(40)), [3]), (list(range(8)), list(range(4, 12)))], "a array<int>, b array<int>")
+    got = df.select(spotsigs.likeness(F.col("a"), F.col("b")), spotsigs.likeness(F.col("a"), F.col("b"), floor=0.3)).collect()
+    assert [tuple(r) for r in got] == [(1 / 40, 0.0), (4 / 12, 4 / 12)]
