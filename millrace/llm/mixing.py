@@ -13,6 +13,7 @@ the seeded hash), so a source with a third of all rows is spread over as many ta
 from __future__ import annotations
 
 import heapq
+import itertools
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.store import hold, release
 
-NEW = ("size", "source_size", "target", "taken", "cycles", "part")
+NEW = ("size", "source_size", "target", "taken", "cycles", "part", "start", "edges")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -89,11 +90,14 @@ def plan(sizes: list[int], weights: list[int], most: int = 3, shards: int = 16,
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 42, shards: int = 16, rows_per_bucket: int = 4_000) -> DataFrame:
-    """docs with size, source_size, target, taken, cycles (whole copies taken) and part (words of one further,
-    partial copy). docs needs doc_id, text, source.
+    """docs with size, source_size, target, taken, cycles (whole copies taken), part (words of one further, partial
+    copy), start (words before it in its source's order) and edges (words at which each shard of the source ends, on and
+    on through its copies, 0 first). docs needs doc_id, text, source.
 
     Null text has size 0; null source is a source of its own, last in order; repeated rows count each by itself;
-    documents without words are in no block (taken 0). An empty table gives an empty table.
+    documents without words are in no block (taken 0); a very long text is cut by blocks as any other; ties of the
+    seeded order go by doc_id; a column of docs with the name of a new one is replaced. An empty table gives an empty
+    table.
     """
     spark = docs.sparkSession
     sized = hold(docs, "doc_id", "text", "source").withColumns({"size": n_words(F.col("text")), "_order": F.xxhash64(F.lit(seed), "doc_id", "text")})
@@ -105,8 +109,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     for (source, size, _), target, quota in zip(totals, p["targets"], p["quotas"], strict=True):
         n = -(-size // p["block"])
         cycles, rest = divmod(sum(quota), n) if n else (0, 0)
-        rows.append((source, size, float(target), int(cycles), int(min(rest * p["block"], size))))
-    sources = spark.createDataFrame(rows, "_source string, source_size long, target double, _cycles long, _left long")
+        ends = [0]
+        for q in itertools.accumulate(quota):
+            round_, within = divmod(q, n) if n else (0, 0)
+            ends.append(int(round_ * size + min(within * p["block"], size)))
+        rows.append((source, size, float(target), int(cycles), int(min(rest * p["block"], size)), ends))
+    sources = spark.createDataFrame(rows, "_source string, source_size long, target double, _cycles long, _left long, edges array<long>")
 
     # A bucket is a range of the seeded hash, so a source's buckets in order hold its documents in order.
     key = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source"))
@@ -116,12 +124,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     starts = placed.groupBy("_key", "_bucket").agg(F.sum("size").alias("_in")).withColumn("_base", F.coalesce(F.sum("_in").over(before), F.lit(0))).drop("_in").join(sources.withColumn("_key", F.when(F.col("_source").isNull(), "").otherwise(F.concat(F.lit("="), "_source"))).drop("_source"), "_key")
     inside = Window.partitionBy("_key", "_bucket").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     out = placed.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["_key", "_bucket"])
-    start = F.col("_base") + F.col("_inside")
+    start = (F.col("_base") + F.col("_inside")).cast("long")
     part = F.greatest(F.lit(0), F.least(F.col("_left") - start, F.col("size")))
-    out = out.withColumns({"cycles": F.col("_cycles"), "part": part.cast("long")}).withColumn("taken", (F.col("cycles") * F.col("size") + F.col("part")).cast("long"))
+    out = out.withColumns({"cycles": F.col("_cycles"), "part": part.cast("long"), "start": start}).withColumn("taken", (F.col("cycles") * F.col("size") + F.col("part")).cast("long"))
     return release(out, docs.columns, *NEW)
 
 
+def stretches(mixed: DataFrame) -> DataFrame:
+    """The blocks of the mix shard by shard: doc_id, source, shard, copy, first (words of the copy before it), n_words of
+    each stretch that a shard takes of a copy. A shard's words of a source are those of its whole blocks."""
+    whole = F.when(F.col("copy") < F.col("cycles"), F.col("size")).otherwise(F.col("part"))
+    copies = mixed.filter("size > 0").select("doc_id", "source", "size", "source_size", "cycles", "part", "start", "edges", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cycles"))).alias("copy"))
+    copies = copies.withColumn("lo", F.col("copy") * F.col("source_size") + F.col("start")).withColumn("hi", F.col("lo") + whole)
+    cuts = F.transform(F.slice("edges", F.lit(2), F.size("edges") - 1), lambda e, s: F.struct(s.alias("shard"), F.greatest("lo", F.get("edges", s)).alias("a"), F.least(F.col("hi"), e).alias("b")))
+    out = copies.select("doc_id", "source", "copy", "lo", F.explode(F.filter(cuts, lambda c: c["b"] > c["a"])).alias("cut"))
+    return out.select("doc_id", "source", "cut.shard", "copy", (F.col("cut.a") - F.col("lo")).alias("first"), (F.col("cut.b") - F.col("cut.a")).alias("n_words"))
+
+
 def emit(mixed: DataFrame) -> DataFrame:
     """The rows of the mix: a row for each whole copy and, at the end of a source's stretch, the taken words of one
     more copy (with the blanks before them), so that words per source are those of the plan. n_chars, if there is one,

@@ -77,3 +77,26 @@ def test_emitted_words_are_those_taken(small):
 def test_empty(empty):
     assert mixing.mix(empty).count() == 0
     assert mixing.emit(mixing.mix(empty)).count() == 0
+
+
+def test_each_shard_takes_its_quota(small):
+    from collections import defaultdict
+
+    rows = mixing.mix(small, shards=5)
+    sizes, taken, edges = {}, {}, {}
+    for r in rows.collect():
+        sizes[r.source], edges[r.source], taken[r.doc_id] = r.source_size, r.edges, r.taken
+    p = mixing.plan([sizes[s] for s in sorted(sizes)], [1 + i % 3 for i in range(len(sizes))], shards=5)
+    by_shard, by_doc, spans = defaultdict(int), defaultdict(int), defaultdict(list)
+    for r in mixing.stretches(rows).collect():
+        by_shard[r.source, r.shard] += r.n_words
+        by_doc[r.doc_id] += r.n_words
+        spans[r.doc_id, r.copy].append((r.first, r.n_words))
+    assert {d: n for d, n in taken.items() if n} == dict(by_doc)
+    for s, quota in zip(sorted(sizes), p["quotas"], strict=True):
+        for k, q in enumerate(quota):
+            assert by_shard[s, k] == edges[s][k + 1] - edges[s][k]
+            assert abs(by_shard[s, k] - q * p["block"]) <= p["block"] * (1 + q * p["block"] // max(1, sizes[s]))
+    for parts in spans.values():  # stretches of a copy follow one another without gaps
+        parts.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:], strict=False)) and parts[0][0] == 0
