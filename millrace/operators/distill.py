@@ -1,4 +1,5 @@
-"""Sparse teacher distributions and the losses they serve, in long form: one row for each (idx, pos, token_id)."""
+"""Sparse teacher distributions and the losses they serve, in long form (a row for each idx, pos, token_id) or with a
+row for each position."""
 
 from __future__ import annotations
 
@@ -22,21 +23,36 @@ def top_k_of_array(p: Column, k: int) -> Column:
     return F.transform(F.slice(F.array_sort(entries), 1, k), lambda e: F.struct(e["token_id"].alias("token_id"), e["p"].alias("p")))
 
 
+def uniform(n: int, *cols: Column | str, seed: int = 42) -> Column:
+    """n numbers in [0, 1) that depend on seed and cols alone: 52 bits of a digest each, exact as doubles."""
+    key = F.concat_ws(":", F.lit(str(seed)), *((F.col(c) if isinstance(c, str) else c).cast("string") for c in cols))
+    digest = lambda j: F.md5(F.concat_ws(":", key, j.cast("string")))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.conv(F.substring(digest(j), 1, 13), 16, 10).cast("double") / F.lit(2.0**52))
+
+
 def draw(dense: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """idx, pos, token_id, count: n draws with replacement from each row (idx, pos, p ARRAY<DOUBLE>). The draws of a row
-    depend on seed, idx and pos alone, not on partitions or retries."""
+    """idx, pos, token_id, count: n draws with replacement from each row (idx, pos, p ARRAY<DOUBLE>), by where uniform
+    numbers fall in the running sum of p. The draws of a row depend on seed, idx and pos alone, not on partitions or
+    retries. A row without probability has no draws."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            idx, pos = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            rows = [np.asarray(x.as_py(), float) for x in batch.column(2)]
-            out = []
-            for i, j, p in zip(idx.tolist(), pos.tolist(), rows, strict=True):
-                counts = np.random.default_rng([seed, i, j]).multinomial(n, p / p.sum())
-                out += [(i, j, int(t), int(counts[t])) for t in np.flatnonzero(counts)]
-            yield pa.RecordBatch.from_pylist([dict(zip(("idx", "pos", "token_id", "count"), r, strict=True)) for r in out], pa.schema([("idx", pa.int64()), ("pos", pa.int32()), ("token_id", pa.int32()), ("count", pa.int32())]))
-
-    return dense.select(F.col("idx").cast("long"), F.col("pos").cast("int"), F.col("p").cast("array<double>")).mapInArrow(sample, "idx long, pos int, token_id int, count int")
+            p, u = batch.column(2), batch.column(3)
+            at, values = p.offsets.to_numpy(), p.values.to_numpy()
+            spots = u.flatten().to_numpy().reshape(len(batch), n)
+            tokens, counts = [], []
+            for i in range(len(batch)):
+                upto = np.cumsum(values[at[i] : at[i + 1]])
+                drawn = np.searchsorted(upto, spots[i] * upto[-1], "right") if len(upto) and upto[-1] > 0 else np.zeros(0, np.int64)
+                which, times = np.unique(np.minimum(drawn, len(upto) - 1), return_counts=True)
+                tokens.append(which)
+                counts.append(times)
+            row = np.repeat(np.arange(len(batch)), [len(t) for t in tokens])
+            flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (tokens, counts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in flat)], ["idx", "pos", "token_id", "count"])
+
+    rows = dense.filter(F.col("p").isNotNull()).select(F.col("idx").cast("long"), F.col("pos").cast("int"), F.col("p").cast("array<double>"), uniform(n, "idx", "pos", seed=seed).alias("u"))
+    return rows.mapInArrow(sample, "idx long, pos int, token_id int, count int")
 
 
 def counted(draws: DataFrame) -> DataFrame:
@@ -55,10 +71,35 @@ def valid(sparse: DataFrame, lengths: DataFrame) -> DataFrame:
 
 
 def to_cache(sparse: DataFrame, per_shard: int) -> DataFrame:
-    """shard_id, local_idx, idx, entries: one row a sequence, with positions in order, for a table partitioned by shard."""
+    """shard_id, local_idx, idx, length, entries: one row a sequence, with positions in order and their number, for a
+    table partitioned by shard. Probabilities are floats, the smallest kind that Spark has."""
     at = sparse.groupBy("idx", "pos").agg(F.array_sort(F.collect_list(F.struct(F.col("token_id"), F.col("p").cast("float").alias("p")))).alias("e"))
     rows = at.groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("pos", "e"))).alias("entries"))
-    return rows.select(F.floor(F.col("idx") / per_shard).cast("int").alias("shard_id"), (F.col("idx") % per_shard).cast("int").alias("local_idx"), "idx", "entries")
+    return rows.select(F.floor(F.col("idx") / per_shard).cast("int").alias("shard_id"), (F.col("idx") % per_shard).cast("int").alias("local_idx"), "idx", F.size("entries").alias("length"), "entries")
+
+
+def write_cache(cache: DataFrame, path: str) -> None:
+    """A cache as a table with a folder for each shard, rows in order there."""
+    cache.repartition("shard_id").sortWithinPartitions("shard_id", "local_idx").write.partitionBy("shard_id").parquet(path)
+
+
+def from_cache(cache: DataFrame) -> DataFrame:
+    """idx, pos, token_id, p of a cache's rows."""
+    at = cache.select("idx", F.explode("entries").alias("at")).select("idx", F.col("at.pos").alias("pos"), F.explode("at.e").alias("e"))
+    return at.select("idx", "pos", F.col("e.token_id").alias("token_id"), F.col("e.p").cast("double").alias("p"))
+
+
+def to_dense(entries: Column, vocab: int) -> Column:
+    """An array of vocab probabilities from structs (token_id, p); tokens without an entry have 0."""
+    held = F.array(F.map_from_entries(entries))
+    return F.transform(held, lambda m: F.transform(F.sequence(F.lit(0), F.lit(vocab - 1)), lambda t: F.coalesce(F.try_element_at(m, t), F.lit(0.0))))[0]
+
+
+def cross_entropy(logits: Column, label: Column) -> Column:
+    """-log softmax(logits)[label] of a position; null where the label is null or no token."""
+    top = F.array_max(logits).cast("double")
+    total = F.aggregate(logits, F.lit(0.0), lambda s, v: s + F.exp(v.cast("double") - top))
+    return top + F.ln(total) - F.get(logits, F.when(label >= 0, label).cast("int")).cast("double")
 
 
 def kd_loss(teacher: DataFrame, student: DataFrame, mask: DataFrame) -> DataFrame:
@@ -69,6 +110,23 @@ def kd_loss(teacher: DataFrame, student: DataFrame, mask: DataFrame) -> DataFram
     return mask.join(at, ["idx", "pos"], "left").groupBy("idx").agg((-F.try_divide(F.sum(F.coalesce("x", F.lit(0.0)) * F.col("mask")), F.sum("mask"))).alias("kd"))
 
 
+def _against(entries: Column, logq: Column) -> Column:
+    """sum p * log q of a position, where log q is a dense array: only the entries' own places are read."""
+    term = lambda e, q: F.when(q.isNull() | (F.abs(q) == float("inf")), 0.0).otherwise(e["p"] * q)
+    return F.aggregate(entries, F.lit(0.0), lambda s, e: s + term(e, F.get(logq, e["token_id"].cast("int"))))
+
+
+def kd_losses_of_rows(teacher: DataFrame, student: DataFrame, mask: DataFrame) -> DataFrame:
+    """idx, kd, entropy as kd_loss and entropy give them, from one row a position: teacher (idx, pos, entries: structs
+    token_id, p), student (idx, pos, logq: an array over the vocabulary). Rows meet by (idx, pos); the vocabulary is
+    never exploded."""
+    both = teacher.join(student, ["idx", "pos"], "left")
+    own = F.aggregate("entries", F.lit(0.0), lambda s, e: s + F.when(e["p"] > 0, e["p"] * F.ln(e["p"])).otherwise(0.0))
+    at = mask.join(both.select("idx", "pos", _against(F.col("entries"), F.col("logq")).alias("_x"), own.alias("_e")), ["idx", "pos"], "left")
+    mean = lambda c: -F.try_divide(F.sum(F.coalesce(c, F.lit(0.0)) * F.col("mask")), F.sum("mask"))
+    return at.groupBy("idx").agg(mean("_x").alias("kd"), mean("_e").alias("entropy"))
+
+
 def entropy(teacher: DataFrame, mask: DataFrame) -> DataFrame:
     """idx, entropy: kd_loss of the teacher against itself."""
     return kd_loss(teacher, teacher.select("idx", "pos", "token_id", F.ln("p").alias("logq")), mask).withColumnRenamed("kd", "entropy")

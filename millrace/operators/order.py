@@ -5,22 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder in spark.checkpoint.dir and read back, so that what follows does not compute it
-    again. Where the folder is unset, a local session (tests) gets a temporary one; on a cluster that is an error."""
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+def new_path(spark: SparkSession, name: str = "stored") -> str:
+    """A path that is not in use, in the shared folder of spark.checkpoint.dir. Where that is unset, a local session
+    (tests) gets a temporary one; on a cluster that is an error."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         path = spark.conf.get("spark.checkpoint.dir", None)
         if not path and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir names no shared folder")
         sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="millrace-"))
-    path = f"{sc.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back, so that what follows does not compute it again."""
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def seeded(*cols: Column | str, seed: int = 42) -> Column:

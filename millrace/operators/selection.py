@@ -16,6 +16,13 @@ def difference(large: DataFrame, small: DataFrame, strict: bool = True) -> DataF
     return both.withColumn("diff", F.col("small") - F.col("large"))
 
 
+def against_dataset(dataset: DataFrame, scores: DataFrame, key: str = "idx") -> DataFrame:
+    """Rows of dataset with their scores; a row without a score, or a score without a row, is an error."""
+    both = dataset.withColumn("_row", F.lit(True)).join(scores.withColumn("_score", F.lit(True)), key, "full")
+    whole = F.col("_row").isNotNull() & F.col("_score").isNotNull()
+    return both.filter(F.when(whole, True).otherwise(F.raise_error(F.concat(F.lit("dataset and scores differ at "), F.col(key).cast("string"))).cast("boolean"))).drop("_row", "_score")
+
+
 def stats(scores: DataFrame, value: str) -> DataFrame:
     """One row: n, mean, highest, lowest, nans. NaN is counted apart and left out of the others."""
     v = F.when(~F.isnan(value), F.col(value))

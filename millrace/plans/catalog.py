@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import schedules
 from millrace.functions import text as X
-from millrace.operators import batching, corpus, distill, evaluation, selection, sequences
-from millrace.operators.order import prefix_sum, row_number, seeded, stored
+from millrace.operators import batching, corpus, distill, evaluation, retokenize, selection, sequences
+from millrace.operators.order import new_path, prefix_sum, row_number, seeded, stored
+from millrace.sources import binidx, files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -429,6 +430,68 @@ def whole_trimmed_and_split(spark, sf_dir):
     return _arrays(t.select("idx", X.trim_pads(F.col("tokens"), 46).alias("t"), F.size(X.split_array(F.col("tokens"), 46)).alias("parts")))
 
 
+# Files: written to the shared folder and read back
+
+
+@query(f"with {_SHARDED}, {_LENGTHS} select h.idx, shard, local_idx, cast(n as int) as n_tokens, md5(coalesce(array_to_string(t, ','), '')) as digest from h join l on l.idx = h.doc_id")
+def shard_files(spark, sf_dir):
+    spark.dataSource.register(binidx.BinIdx)
+    rows = table(spark, sf_dir, "documents").select("doc_id", ids_of(X.tokenize(F.col("text"))).cast("array<bigint>").alias("tokens"))
+    path = new_path(spark, "shards")
+    placed = sequences.into_shards(rows, ["doc_id"], SHARD).select("shard", "local_idx", "tokens")
+    placed.repartition("shard").sortWithinPartitions("shard", "local_idx").write.format("binidx").option("path", path).mode("append").save()
+    back = spark.read.format("binidx").option("path", path).load()
+    return back.select("idx", "shard", "local_idx", F.size("tokens").alias("n_tokens"), F.md5(F.array_join(F.col("tokens").cast("array<string>"), ",")).alias("digest"))
+
+
+@query("select source as domain, count(*) as docs, cast(sum(length(text)) as bigint) as chars, min(md5(text)) as least, max(md5(text)) as most from documents group by 1")
+def json_lines(spark, sf_dir):
+    path = new_path(spark, "corpus")
+    files.write_corpus(table(spark, sf_dir, "documents"), path, per_file=100)
+    docs = files.corpus(spark, path)
+    return docs.groupBy("domain").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"), F.min(F.md5("text")).alias("least"), F.max(F.md5("text")).alias("most"))
+
+
+@query("select count(*) as n, min(i) as low, max(i) as high, count(distinct i) as ids from (select row_number() over (order by doc_id) - 1 as i from documents)")
+def numbered_lines(spark, sf_dir):
+    path = new_path(spark, "corpus")
+    files.write_corpus(table(spark, sf_dir, "documents"), path, per_file=100)
+    ids = files.numbered(files.corpus(spark, path))
+    return ids.agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count_distinct("doc_id").alias("ids"))
+
+
+@query("select event_id as idx, cast(event_id // 1000 as int) as file_id, row_number() over (order by event_id // 1000, event_id) - 1 as place, round(value, 6) as score from events")
+def score_files(spark, sf_dir):
+    path = new_path(spark, "scores")
+    e = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 1000).cast("int").alias("file_id"), F.col("event_id").alias("pos"), F.col("value").alias("score"))
+    files.write_scores(e, path)
+    return rounded(row_number(files.scores(spark, path), ["file_id", "pos"], "place").select(F.col("pos").alias("idx"), "file_id", "place", "score"), "score")
+
+
+@query("select event_id as idx, user_id, round(value, 6) as score from events")
+def scores_of_dataset(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.col("event_id").alias("idx"), "user_id")
+    return rounded(selection.against_dataset(rows, e.select(F.col("event_id").alias("idx"), F.col("value").alias("score"))), "score")
+
+
+@query("""with f as (select distinct 'scores_' || (event_id // 1000) as name, event_id // 1000 as number from events)
+select name, cast(number as int) as number, cast(row_number() over (order by number, name) - 1 as int) as place from f""")
+def score_file_order(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("scores_"), F.floor(F.col("event_id") / 1000).cast("string")).alias("name")).distinct()
+    return files.manifest_of_names(e)
+
+
+def _characters():
+    return (lambda ids: "".join(map(chr, ids))), (lambda text: [ord(c) + 3 for c in text])
+
+
+@query(f"with {_LENGTHS}, z as (select idx, list_transform(t, lambda x: case when x = 46 then 2 else x + 3 end)[1:64] as t from l) select idx, array_to_string(case when len(t) > 1 then t else list_append(t, 2) end, ',') as t from z")
+def retokenized_rows(spark, sf_dir):
+    out = retokenize.retokenize(rows_of(spark, sf_dir), _characters, old_eos=46, new_eos=2, length=64)
+    return out.select("idx", F.array_join(F.col("tokens").cast("array<string>"), ",").alias("t"))
+
+
 # Distributions and losses: an embedding's elements are the logits of one position.
 
 
@@ -458,7 +521,14 @@ def temperature_softmax(spark, sf_dir):
 
 @query(f"with {_PROBS} select idx, cast(token_id as int) as token_id, cast(row_number() over (partition by idx order by round(p, 12) desc, token_id) as int) as rank from p qualify rank <= 5")
 def top_k_tokens(spark, sf_dir):
-    return distill.top_k(rounded(probabilities(spark, sf_dir), "p", digits=12), 5).select("idx", "token_id", "rank")
+    return sparse_rows(spark, sf_dir).select("idx", F.posexplode("entries").alias("rank", "e")).select("idx", F.col("e.token_id").alias("token_id"), (F.col("rank") + 1).alias("rank"))
+
+
+def sparse_rows(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
+    """idx, pos, entries: the k likeliest tokens of each position, ties after rounding to the lower id."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), F.lit(0).alias("pos"), X.softmax(F.col("embedding")).alias("p"))
+    order = F.transform(distill.top_k_of_array(F.transform("p", lambda x: F.round(x, 12)), k), lambda t: F.struct(t["token_id"].alias("token_id"), F.get("p", t["token_id"]).alias("p")))
+    return e.select("idx", "pos", order.alias("entries"))
 
 
 @query(f"with {_PROBS} select idx, round(sum(p), 9) as mass from (select *, row_number() over (partition by idx order by round(p, 12) desc, token_id) as k from p) where k <= 5 group by idx")
@@ -482,22 +552,64 @@ kd as (select idx, -sum(p * lq) as kd, -sum(p * logp) as ent from pairs group by
 
 @query(f"with {_KD} select idx, round(kd, 6) as kd, round(ent, 6) as entropy, round(0.5 * ent + 0.5 * kd, 6) as blended from kd")
 def distillation_losses(spark, sf_dir):
-    p = probabilities(spark, sf_dir)
-    n = table(spark, sf_dir, "embeddings").count()
-    teacher = distill.top_k(rounded(p, "p", digits=12), 5).select("idx", "pos", "token_id").join(p, ["idx", "pos", "token_id"]).select("idx", "pos", "token_id", "p")
-    student = p.select(F.pmod(F.col("idx") - 1, F.lit(n)).alias("idx"), "pos", "token_id", F.col("logp").alias("logq"))
-    mask = teacher.select("idx", "pos").distinct().withColumn("mask", F.lit(1))
-    both = distill.kd_loss(teacher, student, mask).join(distill.entropy(teacher, mask), "idx")
-    return rounded(both.withColumn("blended", distill.blended(F.col("entropy"), F.col("kd"))), "kd", "entropy", "blended")
+    return rounded(distilled(spark, sf_dir), "kd", "entropy", "blended")
+
+
+def distilled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's teacher against the student that the next row is, in turn."""
+    rows = table(spark, sf_dir, "embeddings")
+    n = rows.count()
+    teacher = sparse_rows(spark, sf_dir)
+    student = rows.select(F.pmod(F.col("vec_id") - 1, F.lit(n)).alias("idx"), F.lit(0).alias("pos"), X.log_softmax(F.col("embedding")).alias("logq"))
+    mask = teacher.select("idx", "pos", F.lit(1).alias("mask"))
+    both = distill.kd_losses_of_rows(teacher, student, mask)
+    return both.withColumn("blended", distill.blended(F.col("entropy"), F.col("kd")))
 
 
 @query(f"with {_KD} select round(avg(kd), 6) as kd, round(avg(ent), 6) as entropy, count(*) as n from kd")
 def distillation_means(spark, sf_dir):
-    per_row = distillation_losses(spark, sf_dir)
-    return rounded(per_row.agg(F.avg("kd").alias("kd"), F.avg("entropy").alias("entropy"), F.count("*").alias("n")), "kd", "entropy", digits=5)
+    return rounded(distilled(spark, sf_dir).agg(F.avg("kd").alias("kd"), F.avg("entropy").alias("entropy"), F.count("*").alias("n")), "kd", "entropy")
+
+
+@query(f"with {_PROBS} select idx, round(-logp, 6) as loss from p where token_id = idx % (select max(len(embedding)) from embeddings)")
+def token_cross_entropy(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), "embedding")
+    return rounded(e.select("idx", distill.cross_entropy(F.col("embedding"), F.col("idx") % F.size("embedding")).alias("loss")), "loss")
+
+
+@query(f"""with {_PROBS}, q as (select idx, token_id, sum(p) over (partition by idx order by token_id) as upto, sum(p) over (partition by idx) as total from p),
+u as (select vec_id as idx, j, ('0x' || substr(md5('42:' || vec_id || ':0:' || j), 1, 13))::bigint / 4503599627370496.0::double as u from embeddings, (select unnest(range(50)) as j)),
+d as (select u.idx, j, least(count(*) filter (where upto <= u * total), max(token_id)) as token_id from u join q using (idx) group by u.idx, j)
+select idx, cast(token_id as int) as token_id, cast(count(*) as int) as count from d group by 1, 2""")
+def drawn_token_counts(spark, sf_dir):
+    dense = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), F.lit(0).alias("pos"), X.softmax(F.col("embedding")).alias("p"))
+    return distill.draw(dense, 50).select("idx", "token_id", "count")
 
 
-ORACLES["distillation_means"] = f"with {_KD} select round(avg(round(kd, 6)), 5) as kd, round(avg(round(ent, 6)), 5) as entropy, count(*) as n from kd"
+@query(f"with {_KD} select idx, cast(idx // 64 as int) as shard_id, cast(token_id as int) as token_id, round(cast(cast(p as float) as double), 6) as p from t5")
+def sparse_cache(spark, sf_dir):
+    entries = sparse_rows(spark, sf_dir).select("idx", "pos", F.explode("entries").alias("e")).select("idx", "pos", "e.*")
+    path = new_path(spark, "cache")
+    distill.write_cache(distill.to_cache(entries, 64), path)
+    cache = spark.read.parquet(path)
+    back = distill.from_cache(cache).join(cache.select("idx", "shard_id"), "idx")
+    return rounded(back.select("idx", "shard_id", "token_id", "p"), "p")
+
+
+@query(f"with {_KD}, n as (select max(len(embedding)) as n from embeddings) select idx, cast(max(n) as int) as size, count(*) as filled, round(sum(p * token_id), 6) as moment from t5, n group by idx")
+def scattered_rows(spark, sf_dir):
+    n = table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
+    dense = sparse_rows(spark, sf_dir).select("idx", distill.to_dense(F.col("entries"), n or 1).alias("d"))
+    moment = F.aggregate(F.transform("d", lambda p, i: p * i), F.lit(0.0), lambda s, x: s + x)
+    return rounded(dense.select("idx", F.size("d").alias("size"), F.size(F.filter("d", lambda p: p > 0)).cast("long").alias("filled"), moment.alias("moment")), "moment")
+
+
+@query(f"with {_KD} select idx, cast(token_id as int) as token_id from t5 where idx % 3 > 0")
+def entries_within_length(spark, sf_dir):
+    entries = sparse_rows(spark, sf_dir).select("idx", "pos", F.explode("entries").alias("e")).select("idx", "pos", "e.*")
+    lengths = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), (F.col("vec_id") % 3).alias("length"))
+    return distill.valid(entries, lengths).select("idx", "token_id")
+
 
 _LOSSES = "z as (select user_id as idx, event_id as pos, value as loss, case when event_type = 'click' then 0 else 1 end as mask from events)"
 
@@ -525,6 +637,21 @@ def log_windows(spark, sf_dir):
     return rounded(evaluation.log_windows(log, 500).withColumn("window", F.col("window").cast("long")), "mean")
 
 
+@query("""with m as (select event_id // 500 as step, event_type as name, avg(value) as v from events group by 1, 2)
+select step, string_agg(name || ': ' || printf('%.4f', v), ' | ' order by name) as line from m group by 1""")
+def log_lines(spark, sf_dir):
+    log = table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 500).alias("step"), F.col("event_type").alias("name")).agg(F.avg("value").alias("value"))
+    return evaluation.log_lines(log)
+
+
+@query("select conv_id, turn, case when turn % 2 = 0 then 'side' else text end as answer from conversations")
+def sidecar_answers(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumn("idx", F.struct("conv_id", "turn"))
+    side = c.filter(F.col("turn") % 2 == 0).select("idx", F.array(F.lit("side")).alias("output"))
+    out = evaluation.answers(c.select("idx", F.array("text").alias("output")), side)
+    return out.select("idx.conv_id", "idx.turn", F.get("output", F.lit(0)).alias("answer"))
+
+
 _TASKS = "t as (select event_type as task, avg(case when event_id % 2 = 0 then value end) as acc, avg(case when event_type <> 'click' then value end) as acc_norm from events group by 1)"
 
 

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -25,6 +26,8 @@ MAGIC = b"MMIDIDX\x00\x00"
 OLD_MAGIC = b"TNTIDX\x00\x00"
 CODES = {1: np.uint8, 2: np.int8, 3: np.int16, 4: np.int32, 5: np.int64, 6: np.float32, 7: np.float64, 8: np.uint16}
 
+ROWS = 4096  # sequences in a batch
+
 
 def best_code(vocab_size: int | None) -> int:
     """The type code for ids below vocab_size: 16 bits unsigned if they fit with room, else 32."""
@@ -78,12 +81,41 @@ def shard_numbers(path: str, name: str) -> list[int]:
     return [n for i, n in enumerate(found) if n == found[0] + i]
 
 
+def count_rows(path: str, name: str, shard: int) -> int:
+    """How many sequences a shard has, from the head of its index alone."""
+    system, root = open_path(path)
+    with system.open_input_stream(f"{root}/{name}_{shard}.idx") as f:
+        head = f.read(len(OLD_MAGIC) + 48)
+    if head.startswith(MAGIC):
+        return struct.unpack_from("<QBQQ", head, len(MAGIC))[2]
+    if head.startswith(OLD_MAGIC):
+        return struct.unpack_from("<QQQQQQ", head, len(OLD_MAGIC))[3]
+    raise ValueError("not an index of sequences")
+
+
 def read_index(path: str, name: str, shard: int) -> Index:
     system, root = open_path(path)
     with system.open_input_stream(f"{root}/{name}_{shard}.idx") as f:
         return Index.parse(f.read())
 
 
+def read_places(path: str, name: str, shard: int, first: int, last: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Type code, sizes and byte offsets of the sequences from first to last, reading no more of the index than that."""
+    system, root = open_path(path)
+    with system.open_input_file(f"{root}/{name}_{shard}.idx") as f:
+        head = f.read(len(MAGIC) + 25)
+        if not head.startswith(MAGIC):
+            index = read_index(path, name, shard)
+            return index.code, index.sizes[first:last], index.at[first:last]
+        version, code, n, _ = struct.unpack_from("<QBQQ", head, len(MAGIC))
+        if version != 1:
+            raise ValueError(f"version {version}")
+        f.seek(len(head) + 4 * first)
+        sizes = np.frombuffer(f.read(4 * (last - first)), "<i4")
+        f.seek(len(head) + 4 * n + 8 * first)
+        return code, sizes, np.frombuffer(f.read(8 * (last - first)), "<i8")
+
+
 class Slice(InputPartition):
     def __init__(self, shard: int, first: int, last: int, base: int):
         super().__init__((shard, first, last, base))
@@ -99,25 +131,29 @@ class Reader(DataSourceReader):
     def partitions(self) -> list[Slice]:
         out, base = [], 0
         for shard in shard_numbers(self.path, self.name):
-            n = len(read_index(self.path, self.name, shard).sizes)
+            n = count_rows(self.path, self.name, shard)
             a, b = max(self.low - base, 0), min(self.high - base, n)
             out += [Slice(shard, i, min(i + self.rows, b), base) for i in range(a, b, self.rows)]
             base += n
         return out or [Slice(-1, 0, 0, 0)]
 
-    def read(self, part: Slice) -> Iterator[tuple]:
+    def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
         if part.shard < 0:
             return
-        index = read_index(self.path, self.name, part.shard)
-        kind = np.dtype(CODES[index.code]).newbyteorder("<")
+        code, sizes, at = read_places(self.path, self.name, part.shard, part.first, part.last)
+        kind = np.dtype(CODES[code]).newbyteorder("<")
         system, root = open_path(self.path)
-        sizes, at = index.sizes[part.first : part.last], index.at[part.first : part.last]
         with system.open_input_file(f"{root}/{self.name}_{part.shard}.bin") as f:
-            f.seek(int(at[0]))
-            values = np.frombuffer(f.read(int(at[-1] - at[0]) + int(sizes[-1]) * kind.itemsize), kind)
-        for i, (n, a) in enumerate(zip(sizes.tolist(), ((at - at[0]) // kind.itemsize).tolist(), strict=True)):
-            local = part.first + i
-            yield part.base + local, part.shard, local, values[a : a + n].tolist()
+            for a in range(0, len(sizes), ROWS):
+                some = sizes[a : a + ROWS].astype(np.int64)
+                if (np.diff(at[a : a + ROWS]) != some[:-1] * kind.itemsize).any():
+                    raise ValueError(f"sequences of shard {part.shard} are not one after another")
+                f.seek(int(at[a]))
+                values = np.frombuffer(f.read(int(some.sum()) * kind.itemsize), kind).astype(np.int64)
+                local = np.arange(part.first + a, part.first + a + len(some))
+                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some)]).astype(np.int32)), pa.array(values))
+                shard = pa.array(np.full(len(some), part.shard, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(part.base + local), shard, pa.array(local.astype(np.int32)), tokens], ["idx", "shard", "local_idx", "tokens"])
 
 
 class Written(WriterCommitMessage):

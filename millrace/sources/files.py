@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,8 +12,19 @@ RAW = T.StructType([T.StructField("text", T.StringType()), T.StructField("meta",
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
-    """file, text, domain of JSON lines; a malformed line is an error."""
-    return spark.read.schema(RAW).option("mode", "FAILFAST").json(path).select(F.col("_metadata.file_path").alias("file"), "text", F.col("meta.pile_set_name").alias("domain"))
+    """file, block (where the part of the file that a task reads begins), text, domain of JSON lines; a malformed line is an error."""
+    return spark.read.schema(RAW).option("mode", "FAILFAST").json(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "text", F.col("meta.pile_set_name").alias("domain"))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """corpus() with a doc_id: lines counted from 0 in order of file, block and line. Lines are numbered within their
+    block, which is what one task reads; only the blocks' sizes are summed over the files."""
+    blocks = docs.groupBy("file", "block").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = blocks.select("file", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("file", "block").orderBy("_line")
+    lines = docs.withColumn("_line", F.monotonically_increasing_id()).withColumn("_in", F.row_number().over(inside) - 1)
+    return lines.join(bases, ["file", "block"]).withColumn("doc_id", F.col("_base") + F.col("_in")).drop("_line", "_in", "_base")
 
 
 def write_corpus(docs: DataFrame, path: str, per_file: int = 1_000_000) -> None:
@@ -38,8 +49,14 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(newlines(strip(F.col("value"))).alias("prompt"))
 
 
+def write_scores(scores: DataFrame, path: str) -> None:
+    """scores (file_id, pos, ...) in a folder scores_<file_id> each, in order of pos."""
+    named = scores.withColumn("file", F.concat(F.lit("scores_"), F.col("file_id").cast("string"))).drop("file_id")
+    named.repartition("file").sortWithinPartitions("file", "pos").write.partitionBy("file").parquet(path)
+
+
 def scores(spark: SparkSession, path: str) -> DataFrame:
-    """file_id, pos, score of tables scores_<n>.parquet, ordered by number and place: read the file's number from its
+    """file_id, pos, score of tables scores_<n>.parquet or in folders scores_<n>, to be ordered by number and place: read the file's number from its
     name, so scores_10 is after scores_9."""
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     table = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
@@ -48,8 +65,6 @@ def scores(spark: SparkSession, path: str) -> DataFrame:
 
 def manifest_of_names(names: DataFrame) -> DataFrame:
     """name, number, place: files in order of their trailing number, names without one as 0; a file list is small."""
-    from pyspark.sql import Window
-
     numbered = names.withColumn("number", trailing_number(F.col("name")))
     return numbered.withColumn("place", F.row_number().over(Window.orderBy("number", "name")) - 1)
 

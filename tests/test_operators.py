@@ -197,3 +197,71 @@ def test_whole_tables_are_covered(spark, tmp_path):
     assert catalog.QUERIES["held_out_shards_are_disjoint"](spark, f"{tmp_path}/twice").first().n_shared == 2
     split = catalog.QUERIES["whole_trimmed_and_split"](spark, str(tmp_path)).first()
     assert split.parts == 6 and split.t == ",".join(["119"] * 50 + ["46", "97", "46", "98"])
+
+
+def test_losses_of_rows_are_those_of_entries(spark):
+    rng = np.random.default_rng(3)
+    teacher, student, mask = [], [], []
+    for i in range(6):
+        for j in range(4):
+            p, q = rng.dirichlet(np.ones(7)), np.log(rng.dirichlet(np.ones(7)))
+            if i == 1:
+                q[:3] = -np.inf
+            teacher += [(i, j, t, float(p[t])) for t in range(0, 7, 2)]
+            student.append((i, j, [float(x) for x in q]))
+            mask.append((i, j, int(i != 2 and j != 3)))
+    long = spark.createDataFrame(teacher, "idx long, pos int, token_id int, p double")
+    dense = spark.createDataFrame(student, "idx long, pos int, logq array<double>")
+    masks = spark.createDataFrame(mask, "idx long, pos int, mask int")
+    rows = long.groupBy("idx", "pos").agg(F.array_sort(F.collect_list(F.struct("token_id", "p"))).alias("entries"))
+    got = {r.idx: (r.kd, r.entropy) for r in distill.kd_losses_of_rows(rows, dense, masks).collect()}
+    flat = dense.select("idx", "pos", F.posexplode("logq").alias("token_id", "logq"))
+    kd = {r.idx: r.kd for r in distill.kd_loss(long, flat, masks).collect()}
+    own = {r.idx: r.entropy for r in distill.entropy(long, masks).collect()}
+    assert got.keys() == kd.keys() and got[2] == (None, None)
+    assert all(got[i] == (pytest.approx(kd[i]), pytest.approx(own[i])) for i in kd if i != 2)
+
+
+def test_dense_rows(spark):
+    r = spark.range(1).select(distill.to_dense(F.expr("array(named_struct('token_id', 3, 'p', 0.5D), named_struct('token_id', 1, 'p', 0.25D))"), 5).alias("d"), distill.to_dense(F.expr("slice(array(named_struct('token_id', 3, 'p', 0.5D)), 1, 0)"), 2).alias("none")).first()
+    assert r.d == [0, 0.25, 0, 0.5, 0] and r.none == [0, 0]
+    logits = [1.0, 2.0, -1.0]
+    rows = spark.createDataFrame([(t, logits) for t in (1, -100, 3, None)], "t int, x array<double>")
+    got = {r.t: r.loss for r in rows.select("t", distill.cross_entropy(F.col("x"), F.col("t")).alias("loss")).collect()}
+    assert got[1] == pytest.approx(math.log(sum(map(math.exp, logits))) - 2) and got[-100] is got[3] is got[None] is None
+
+
+def test_draws_follow_the_probabilities(spark):
+    p = [0.0, 0.5, 0.3, 0.0, 0.2, 0.0]
+    dense = spark.createDataFrame([(i, 0, p) for i in range(400)] + [(400, 0, []), (401, 0, [0.0]), (402, 0, None)], "idx long, pos int, p array<double>")
+    got = {r.token_id: r.n for r in distill.draw(dense, 50).groupBy("token_id").agg(F.sum("count").alias("n")).collect()}
+    assert set(got) == {1, 2, 4} and sum(got.values()) == 20_000
+    assert sum((got[t] - 20_000 * p[t]) ** 2 / (20_000 * p[t]) for t in got) < 13.8  # chi-square of 2 degrees, 0.1 %
+
+
+def test_cache(spark, tmp_path):
+    sparse = spark.createDataFrame([(i, j, t, 1 / (t + 2)) for i in range(10) for j in range(3) for t in range(2)], "idx long, pos int, token_id int, p double")
+    distill.write_cache(distill.to_cache(sparse, 4), str(tmp_path / "cache"))
+    cache = spark.read.parquet(str(tmp_path / "cache"))
+    assert {(r.idx, r.shard_id, r.local_idx, r.length) for r in cache.collect()} == {(i, i // 4, i % 4, 3) for i in range(10)}
+    assert sorted((r.idx, r.pos, r.token_id, round(r.p, 6)) for r in distill.from_cache(cache).collect()) == sorted((r.idx, r.pos, r.token_id, round(r.p, 6)) for r in sparse.collect())
+
+
+def test_scores_have_to_fit_the_dataset(spark):
+    rows = spark.range(3).withColumnRenamed("id", "idx")
+    assert selection.against_dataset(rows, rows.withColumn("score", F.lit(1.0))).count() == 3
+    for a, b in ((2, 3), (3, 2)):
+        with pytest.raises(Exception, match="dataset and scores differ at 2"):
+            selection.against_dataset(spark.range(a).withColumnRenamed("id", "idx"), spark.range(b).select(F.col("id").alias("idx"), F.lit(1.0).alias("score"))).collect()
+
+
+def test_slices_of_an_index(spark, tmp_path):
+    spark.dataSource.register(binidx.BinIdx)
+    rows = spark.createDataFrame([(i // 5, i % 5, list(range(i % 4))) for i in range(13)], "shard int, local_idx int, tokens array<long>")
+    rows.repartition("shard").sortWithinPartitions("shard", "local_idx").write.format("binidx").option("path", str(tmp_path)).mode("append").save()
+    assert [binidx.count_rows(str(tmp_path), "data", s) for s in range(3)] == [5, 5, 3]
+    whole = binidx.read_index(str(tmp_path), "data", 1)
+    code, sizes, at = binidx.read_places(str(tmp_path), "data", 1, 2, 4)
+    assert code == whole.code and (sizes == whole.sizes[2:4]).all() and (at == whole.at[2:4]).all()
+    back = spark.read.format("binidx").option("path", str(tmp_path)).option("low", 3).option("high", 11).option("rowsPerTask", 2).load().orderBy("idx").collect()
+    assert [(r.idx, r.shard, r.local_idx, r.tokens) for r in back] == [(i, i // 5, i % 5, list(range(i % 4))) for i in range(3, 11)]
