@@ -25,6 +25,7 @@ MAGIC = b"EFIDSEG1"
 _HEAD = struct.Struct("<8sBxxxIQqIII")
 _EF = struct.Struct("<QQBxxxI")
 STEP = 256  # ones between two select samples
+DOCS = 64 * STEP  # documents that are read at a time
 
 
 class EliasFano:
@@ -80,10 +81,19 @@ class EliasFano:
         place = base + int(np.flatnonzero(bits)[left])
         return (place - i) << self.l | int(self._lows(i, 1)[0])
 
+    def between(self, i: int, j: int) -> np.ndarray:
+        """Values i to j - 1, from the bits between the samples around them."""
+        if i >= j:
+            return np.zeros(0, np.int64)
+        before, after = i // STEP, -(-j // STEP)
+        place = int(self.samples[before])
+        byte, end = place // 8, int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[byte:end])[place % 8 :])[i - before * STEP : j - before * STEP] + place
+        return ((ones - np.arange(i, j)).astype(np.uint64) << np.uint64(self.l) | self._lows(i, j - i)).astype(np.int64)
+
     def values(self) -> np.ndarray:
         """All values."""
-        ones = np.flatnonzero(np.unpackbits(self.high))[: self.n]
-        return ((ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.l) | self._lows(0, self.n)).astype(np.int64)
+        return self.between(0, self.n)
 
 
 def pack_segment(doc_ids: list[int | None], ids: np.ndarray, offsets: np.ndarray) -> bytes:
@@ -112,8 +122,10 @@ class Segment:
         name = None if i < self.nulls else self.base + self.names.select(i - self.nulls)
         return name, self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + (self.names.values() + self.base).tolist()
+    def docs(self, i: int, j: int) -> tuple[list[int | None], np.ndarray]:
+        """doc_ids of documents i to j - 1, and the j - i + 1 offsets that bound them."""
+        names = self.names.between(max(i - self.nulls, 0), max(j - self.nulls, 0)) + self.base
+        return [None] * max(0, min(j, self.nulls) - i) + names.tolist(), self.bounds.between(i, j + 1)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end: int = 0, parts: int | None = None, ids_per_segment: int = 4_000_000) -> None:
@@ -156,7 +168,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 0, parts: int |
 
 
 def read(spark, path: str) -> DataFrame:
-    """Documents of a written table: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    """Documents of a written table: doc_id, start (ids of all documents before it), n_tokens, ids_crc32. Segments are
+    read DOCS documents at a time, whose offsets the select samples give, so no table of all offsets is made."""
     table = spark.read.parquet(path)
     by_part = table.groupBy("part").agg(F.sum("n_ids").alias("n"))
     base = by_part.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
@@ -167,11 +180,11 @@ def read(spark, path: str) -> DataFrame:
         for batch in batches:
             for part, seg, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 s = Segment(blob.as_py())
-                at = s.bounds.values()
-                ids = s.ids.astype("<u4")
-                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                n = len(crc)
-                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([seg] * n, pa.int32()), pa.array(s.doc_ids(), pa.int64()), pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["part", "seg", "doc_id", "_at", "n_tokens", "ids_crc32"])
+                for i in range(0, s.n_docs, DOCS):
+                    names, at = s.docs(i, min(i + DOCS, s.n_docs))
+                    crc = [zlib.crc32(s.ids[a:b].astype("<u4").tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                    n = len(crc)
+                    yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([seg] * n, pa.int32()), pa.array(names, pa.int64()), pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["part", "seg", "doc_id", "_at", "n_tokens", "ids_crc32"])
 
     rows = table.select("part", "seg", "segment").mapInArrow(docs, "part int, seg int, doc_id long, _at long, n_tokens long, ids_crc32 long")
     return rows.join(starts, ["part", "seg"]).select("doc_id", (F.col("start") + F.col("_at")).alias("start"), "n_tokens", "ids_crc32")

@@ -103,6 +103,8 @@ def test_elias_fano_round_trip(values):
     ef = token_ids.EliasFano.from_bytes(token_ids.EliasFano.build(values).to_bytes())
     assert ef.values().tolist() == values.tolist()
     assert [ef.select(i) for i in range(len(values))] == values.tolist()
+    for i, j in ((0, 0), (0, 1), (len(values) // 3, len(values)), (min(255, len(values)), min(513, len(values))), (len(values), len(values))):
+        assert ef.between(i, j).tolist() == values[i:j].tolist()
     with pytest.raises(IndexError):
         ef.select(len(values))
 
@@ -133,6 +135,17 @@ def test_written_ids_read_back(spark, table, request, tmp_path):
     assert (len(first), crc(first)) in [(r.n_tokens, r.ids_crc32) for r in got if r.doc_id == name]
 
 
+def test_reading_by_blocks_of_documents(spark, odd, tmp_path):
+    path = str(tmp_path / "ids")
+    token_ids.write(odd, path, BYTE, parts=1)
+    segment = token_ids.Segment(spark.read.parquet(path).first().segment)
+    names, at = segment.docs(0, segment.n_docs)
+    for size in (1, 2, 5):
+        got = [segment.docs(i, min(i + size, segment.n_docs)) for i in range(0, segment.n_docs, size)]
+        assert [n for block, _ in got for n in block] == names
+        assert [x for _, block in got for x in block[:-1].tolist()] == at[:-1].tolist()
+
+
 def test_no_documents_no_segments(spark, empty, tmp_path):
     token_ids.write(empty, str(tmp_path / "none"), BYTE)
     assert token_ids.read(spark, str(tmp_path / "none")).count() == 0
