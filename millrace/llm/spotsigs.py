@@ -60,7 +60,7 @@ def fingerprint(text: Column, chain: int = 2, rising: bool = False) -> Column:
 def partition(size: Column, ratio: float = 0.5) -> Column:
     """Length partition of a set: partitions grow by 1 / ratio, so sets in partitions p apart have a similarity below
     ratio ** (p - 1)."""
-    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.log(F.lit(1 / ratio))).cast("int")
+    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.log(F.lit(1 / ratio)) + 1e-9).cast("int")
 
 
 def likeness(a: Column, b: Column, floor: float = 0.0) -> Column:
@@ -129,3 +129,44 @@ def compare_neighbours(docs: DataFrame, rising: bool = False) -> DataFrame:
     rows = rows.withColumn("edited", edited(F.col("text"), F.col("next_text")))
     rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp", fingerprint(F.col("edited"), rising=rising).alias("edited_fp"))
     return rows.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
+
+
+def _classes(docs: DataFrame, rising: bool) -> DataFrame:
+    """fp, n (chains), c and c2 (hashes that stand for fp) of docs (doc_id, text), with doc_id."""
+    fps = docs.select("doc_id", fingerprint(F.coalesce("text", F.lit("")), rising=rising).alias("fp"))
+    return fps.withColumns({"n": F.size("fp"), "c": F.xxhash64("fp"), "c2": F.xxhash64(F.lit(1), "fp")})
+
+
+def _rarest(sets: DataFrame, common: DataFrame, floor: float) -> DataFrame:
+    """c, c2, n, h: of each set (c, c2, n, h) the chains that one has to share with a set of likeness floor or more,
+    rarest first; common: (h, times). An empty set stands under one chain."""
+    ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "h")))
+    room = F.greatest(F.col("n") - F.ceil(F.col("n") * floor - 1e-9) + 1, F.lit(1)).cast("int")
+    first = sets.join(common, "h", "left").groupBy("c", "c2", "n").agg(ordered.alias("hs"))
+    return first.select("c", "c2", "n", F.explode(F.slice("hs", F.lit(1), room)).alias("e")).select("c", "c2", "n", F.col("e.h").alias("h"))
+
+
+def search(asked: DataFrame, docs: DataFrame, floor: float = 0.8, rising: bool = False) -> DataFrame:
+    """asked_id, found_id, n_found, near: for each row of asked (doc_id, text) every class of docs (doc_id, text) with
+    one fingerprint whose likeness to the row's is floor or more (0 < floor < 1); found_id is the class's least doc_id
+    and n_found its number of rows.
+
+    asked is a stated set of rows, which meets all of docs. Two sets are compared only if their length partitions, which
+    grow by 1 / floor, are neighbours and if they share one of the chains that are rarest in docs; then by Jaccard.
+    Copies count as one set. Null text is empty; empty ones are alike; a null doc_id is kept in asked and is a found_id
+    only of a class without any other; repeated rows of asked are repeated in the result; other columns are not looked at.
+    """
+    asking = _classes(asked.select("doc_id", "text"), rising)
+    have = _classes(docs.select("doc_id", "text"), rising).groupBy("fp", "n", "c", "c2").agg(F.min("doc_id").alias("found_id"), F.count("*").alias("n_found"))
+    chains = F.explode(F.when(F.size("fp") > 0, F.col("fp")).otherwise(F.array(F.lit(0)))).alias("h")
+    ours = have.select("c", "c2", "n", chains)
+    common = ours.groupBy("h").agg(F.count("*").alias("times"))
+    theirs = asking.select("c", "c2", "n", "fp").dropDuplicates(["c", "c2"]).select("c", "c2", "n", chains)
+    right = _rarest(ours, common, floor).withColumn("p", partition(F.col("n"), floor))
+    left = _rarest(theirs, common, floor).select(F.col("c").alias("q"), F.col("c2").alias("q2"), F.col("n").alias("m"), "h", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: partition(F.col("n"), floor) + i)).alias("p"))
+    near_enough = F.least("n", "m") >= F.greatest("n", "m") * floor - 1e-9
+    pairs = left.join(right, ["h", "p"]).filter(near_enough).select("q", "q2", "c", "c2").distinct()
+    sets = asking.select(F.col("c").alias("q"), F.col("c2").alias("q2"), F.col("fp").alias("_fp")).dropDuplicates(["q", "q2"])
+    alike = pairs.join(sets, ["q", "q2"]).join(have, ["c", "c2"]).withColumn("near", likeness(F.col("_fp"), F.col("fp"), floor)).filter(F.col("near") >= floor)
+    ids = asking.select(F.col("doc_id").alias("asked_id"), F.col("c").alias("q"), F.col("c2").alias("q2"))
+    return ids.join(alike.select("q", "q2", "found_id", "n_found", "near"), ["q", "q2"]).select("asked_id", "found_id", "n_found", "near")

@@ -126,3 +126,29 @@ def test_likeness_of_sets_of_very_different_lengths(spark):
     df = spark.createDataFrame([(list(range(40)), [3]), (list(range(8)), list(range(4, 12)))], "a array<int>, b array<int>")
     got = df.select(spotsigs.likeness(F.col("a"), F.col("b")), spotsigs.likeness(F.col("a"), F.col("b"), floor=0.3)).collect()
     assert [tuple(r) for r in got] == [(1 / 40, 0.0), (4 / 12, 4 / 12)]
+
+
+@pytest.mark.parametrize("floor", [0.3, 0.8])
+def test_search_finds_what_comparing_all_does(spark, small, odd, empty, floor):
+    some = small.select("doc_id", "text")
+    prose = some.orderBy("doc_id").limit(30).collect()
+    near = [(10_000 + i, r.text[: len(r.text) * (9 if i % 2 else 6) // 10]) for i, r in enumerate(prose)]
+    docs = clashing(odd).select("doc_id", "text", "score", "n").unionByName(some, True).unionByName(spark.createDataFrame(near, "doc_id long, text string"), True)
+    asked = docs.filter("doc_id % 50 = 0 or doc_id < 20 or doc_id is null or doc_id >= 10000")
+    fps = spotsigs._classes(docs, True).select("doc_id", "fp").collect()
+    classes = {}
+    for r in fps:
+        classes.setdefault(tuple(r.fp), []).append(r.doc_id)
+    least = {fp: (min((d for d in ds if d is not None), default=None), len(ds)) for fp, ds in classes.items()}
+    want = []
+    for r in spotsigs._classes(asked, True).select("doc_id", "fp").collect():
+        a = set(r.fp)
+        for fp, (d, n) in least.items():
+            b = set(fp)
+            like = len(a & b) / len(a | b) if a | b else 1.0
+            if like >= floor:
+                want.append((r.doc_id, d, n, like))
+    got = [tuple(r) for r in spotsigs.search(asked, docs, floor, rising=True).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sum(x[3] < 1 for x in want) > 5
+    assert spotsigs.search(empty, docs, floor).count() == spotsigs.search(asked, empty, floor).count() == 0
