@@ -132,7 +132,18 @@ def pack_stats(spark, sf_dir):
     return rounded(corpus.pack_stats(corpus.pack_fixed(e, PACK), e, PACK), "padding")
 
 
-@query()
+@query(rf"""with recursive e as (select source as domain, row_number() over (partition by source order by doc_id) - 1 as rank,
+        list_append(regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]?[A-Za-z0-9]+|[^A-Za-z0-9]'), '') as t from documents),
+o as (select *, coalesce(sum(len(t)) over (partition by domain order by rank rows between unbounded preceding and 1 preceding), 0)::bigint as start from e),
+x as (select domain, rank, start + i - 1 as pos, t[i] as tok from (select domain, rank, start, t, unnest(range(1, len(t) + 1)) as i from o)),
+f as (select domain, rank, pos, tok = '' or tok[-1] = chr(10)
+        or tok[-1] in ('!', '.', ';', '?') and (contains(tok, ' ') or coalesce(contains(lead(tok) over w, ' '), false)) as ends from x window w as (partition by domain order by pos)),
+g as (select domain, rank, pos, max(case when ends then pos end) over (partition by domain order by pos) as last_end from f),
+n as materialized (select domain, rank, pos - {PACK - 1} as a, case when last_end >= pos - {PACK - 1} then last_end + 1 else pos + 1 end as stop from g where pos >= {PACK - 1}),
+c as (select domain, rank, a, stop from n where a = 0 union all
+  select n.domain, n.rank, n.a, n.stop from c join n on n.domain = c.domain and n.a = c.stop),
+k as (select domain, cast(rank // 10000 as int) as stream, a, cast(stop - a as int) as n_tokens from c where stop - a > 1)
+select domain, stream, cast(row_number() over (partition by domain, stream order by a) - 1 as int) as seq, n_tokens, {PACK} - n_tokens as padding from k""")
 def pack_sentences(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     pieces = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\s?[A-Za-z0-9]+|[^A-Za-z0-9]"), F.lit(0))
