@@ -112,4 +112,29 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     or 100 * n_dup_lines > 60 * n_lines
     or 2 * length(regexp_replace(text, '[^\p{{L}}]+', '', 'g')) < word_chars) as kept
 from f""",
+    "op8_suffix_array_family": """
+with t as materialized (select row_number() over (order by doc_id) as r, doc_id, encode(coalesce(text, '')) as x from documents),
+w as (select r, p, r * 4294967296 + p as g, x[p + 1:p + 100] as s from (select r, x, unnest(range(octet_length(x) - 99)) as p from t)),
+m as (select r, p from w qualify g > min(g) over (partition by s)),
+u as (select r, p, coalesce(p - lag(p) over (partition by r order by p) > 100, true)::int as opens from m),
+v as (select r, p, sum(opens) over (partition by r order by p) as run from u),
+c as (select r, run, min(p) as a, max(p) + 100 as b from v group by r, run),
+k as (select r, run, a, b, coalesce(lag(b) over (partition by r order by a), 0) as z from c),
+j as (select k.r, count(*) as n_spans, sum(b - a) as n_removed, max(b) as z, string_agg(hex(x[z + 1:a]), '' order by a) as kept from k join t using (r) group by k.r)
+select doc_id, cast(octet_length(x) as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(kept, '') || hex(x[coalesce(z, 0) + 1:octet_length(x)]))) as kept_sha256
+from t left join j using (r)""",
+    "op10_ngram_jaccard_join": rf"""
+with recursive t as materialized (select row_number() over () as r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') as ws from documents),
+e as (select distinct r, array_to_string(ws[i:i + 2], ' ') as g from (select r, ws, unnest(range(1, greatest(len(ws) - 1, least(len(ws), 1) + 1))) as i from t)),
+s as (select r, md5(string_agg(g, chr(10) order by g)) as k, count(*) as n from e group by r),
+d as (select k, n, min(r) as r from s group by k, n),
+x as (select k, n, g from d join e using (r)),
+l as (select a.k as a, b.k as b from x a join x b on a.g = b.g and a.k <> b.k and 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)
+        group by a.k, b.k, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+c as (select k, k as o from d union select c.k, l.b from c join l on l.a = c.o),
+m as (select c.k, min(doc_id) as component_id from c join s on s.k = c.o join t using (r) group by c.k)
+select doc_id, coalesce(n, 0) as n_shingles, case when s.k is null then doc_id else component_id end as component_id
+from t left join s using (r) left join m on m.k = s.k""",
 }
