@@ -110,3 +110,28 @@ def test_a_beaten_proposal_beats_nobody(spark):
     (row,) = pii.find(spark.createDataFrame([(text,)], "text string")).collect()
     spans = {(s.kind, text[s.start : s.end]) for s in row.spans}
     assert ("ip", "10.0.0.1") in spans and ("secret", "Zx91kQ72mmPq44aa83KdLw20Zz9") in spans
+
+
+def test_trees_in_sql_are_the_trees(spark):
+    x, _ = pii.examples(n=300, seed=11)
+    for kind, (model, _) in pii.models().items():
+        rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x[kind])], "i int, f array<double>")
+        got = [r.s for r in rows.select("i", pii._raw(model, F.col("f")).alias("s")).orderBy("i").collect()]
+        assert got == pytest.approx(pii.raw_score(model, x[kind]).tolist(), abs=1e-9)
+
+
+def test_features_in_sql_are_the_features(spark):
+    pairs = [("9f8e7d6c5b4a3928", 'token = "'), ("AKIAABCDEFGH1234", "see "), ("(555) 123-4567", "call me at "), ("a_b/c+d=e-1", "Password: "), ("\u00e91\U0001f600", "tel. no. ")]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, m string, c string")
+    got = [list(r.f) for r in rows.select("i", F.array(*pii.features(F.col("m"), F.col("c"))).alias("f")).orderBy("i").collect()]
+    assert got == [[float(v) for v in pii.features_of(*p)] for p in pairs]
+
+
+def test_secrets_of_the_table_are_found_and_prose_is_left(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    planted = found = other = 0
+    for r in pii.find(docs).collect():
+        want = {m.span(1) for m in re.finditer('(?i)token = "([0-9a-f]{40})"', r.text or "")}
+        got = {(s.start, s.end) for s in r.spans if s.kind in pii.EXTRA}
+        planted, found, other = planted + len(want), found + len(want & got), other + len(got - want)
+    assert planted and found == planted and other == 0
