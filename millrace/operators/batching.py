@@ -103,6 +103,12 @@ def not_skipped(rows: DataFrame, epoch: int, pos: int) -> DataFrame:
     return rows.filter(F.struct("epoch", "pos") >= F.struct(F.lit(epoch).cast(rows.schema["epoch"].dataType), F.lit(pos).cast(rows.schema["pos"].dataType)))
 
 
+def batches_not_skipped(rows: DataFrame, epoch: int, pos: int, batch: int) -> DataFrame:
+    """Rows of the batches whose first row is at (epoch, pos) or later: a batch that was begun goes whole."""
+    first = F.floor(F.col("pos") / batch) * batch
+    return rows.filter((F.col("epoch") > epoch) | (F.col("epoch") == epoch) & (first >= pos))
+
+
 def drop_last(rows: DataFrame, batch: int, pos: str = "pos") -> DataFrame:
     """Rows in whole batches."""
     n = rows.count()

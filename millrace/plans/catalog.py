@@ -300,14 +300,21 @@ def _report_sql() -> str:
     for f in (0.001, 0.01, 0.1):
         for name, where in ((f"top_{f:g}", f"rank < floor({f}::double * total)"), (f"bottom_{f:g}", f"rank >= total - floor({f}::double * total)")):
             parts.append(f"select * from (select '{name}', idx from r where {where} order by md5('42:' || idx), idx limit 1000)")
-    return f"with {SCORES} " + " union all ".join(parts)
+    return " union all ".join(parts)
 
 
-@query(_report_sql())
+@query(f"with {SCORES} {_report_sql()}")
 def score_reports(spark, sf_dir):
     return selection.reports(scored(spark, sf_dir), "diff").select("report", "idx")
 
 
+@query(f"""with {SCORES}, p as ({_report_sql()})
+select report, idx, round(large, 6) as large, round(small, 6) as small, round(diff, 6) as value, source from p join s using (idx) join documents on doc_id = idx""")
+def report_lookup(spark, sf_dir):
+    scores, docs = scored(spark, sf_dir), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), "source")
+    return rounded(selection.report_rows(selection.reports(scores, "diff"), scores, docs), "value", "large", "small")
+
+
 @query("select doc_id as idx from documents order by md5('42:' || doc_id), doc_id limit 64")
 def audit_sample(spark, sf_dir):
     return selection.sample_rows(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx")), 64)
@@ -417,6 +424,12 @@ def resumed_order(spark, sf_dir):
     return batching.in_order(kept, docs).select("epoch", "pos", "source")
 
 
+@query(f"with {_ORDER} select cast(epoch as int) as epoch, cast(pos as bigint) as pos, idx from o where (epoch, pos // 64 * 64) >= (1, 77)")
+def resumed_batches(spark, sf_dir):
+    kept = batching.batches_not_skipped(orders(spark, sf_dir), 1, 77, 64)
+    return kept.select(F.col("epoch").cast("int").alias("epoch"), F.col("pos").cast("long").alias("pos"), "idx")
+
+
 @query(f"with {_SHARDED} select idx, idx // 64 as step from h where idx < (select count(*) // 64 * 64 from h)")
 def whole_batches(spark, sf_dir):
     return batching.drop_last(sharded(spark, sf_dir).select("idx"), 64, "idx").select("idx", F.col("step").cast("long").alias("step"))
