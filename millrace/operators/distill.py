@@ -136,6 +136,12 @@ def blended(lm: Column, kd: Column, ratio: float = 0.5) -> Column:
     return (1 - ratio) * lm + ratio * kd
 
 
+def eval_means(losses: DataFrame, ratio: float = 0.5) -> DataFrame:
+    """loss, lm_loss, kd_loss, kd_entropy, teacher_loss: means over rows (lm, kd, entropy, teacher) of an evaluation."""
+    of = {"loss": blended(F.col("lm"), F.col("kd"), ratio), "lm_loss": F.col("lm"), "kd_loss": F.col("kd"), "kd_entropy": F.col("entropy"), "teacher_loss": F.col("teacher")}
+    return losses.agg(*(F.avg(c).alias(name) for name, c in of.items()))
+
+
 def masked_mean(losses: DataFrame, value: str = "loss", mask: str = "mask") -> DataFrame:
     """idx, mean of rows (idx, pos, loss, mask): null where nothing is masked in."""
     return losses.groupBy("idx").agg(F.try_divide(F.sum(F.when(F.col(mask) != 0, F.col(value) * F.col(mask)).otherwise(0.0)), F.sum(mask)).alias("mean"))

@@ -595,6 +595,19 @@ def distillation_means(spark, sf_dir):
     return rounded(distilled(spark, sf_dir).agg(F.avg("kd").alias("kd"), F.avg("entropy").alias("entropy"), F.count("*").alias("n")), "kd", "entropy")
 
 
+@query(f"""with {_KD}, lab as (select idx, idx % (select max(len(embedding)) from embeddings) as label, (idx + 1) % (select count(*) from embeddings) as student from kd),
+ce as (select lab.idx, -t.logp as teacher, -s.logp as lm from lab join p t on t.idx = lab.idx and t.token_id = label join p s on s.idx = student and s.token_id = label)
+select round(avg(0.5 * lm + 0.5 * kd), 6) as loss, round(avg(lm), 6) as lm_loss, round(avg(kd), 6) as kd_loss, round(avg(ent), 6) as kd_entropy, round(avg(teacher), 6) as teacher_loss from ce join kd using (idx)""")
+def distillation_evaluation(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    size = rows.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    label = F.pmod(F.col("idx"), F.lit(size[1])).cast("int")
+    teacher = rows.select(F.col("vec_id").alias("idx"), "embedding").select("idx", distill.cross_entropy(F.col("embedding"), label).alias("teacher"))
+    student = rows.select(F.pmod(F.col("vec_id") - 1, F.lit(size[0])).alias("idx"), "embedding").select("idx", distill.cross_entropy(F.col("embedding"), label).alias("lm"))
+    losses = distilled(spark, sf_dir).join(teacher, "idx").join(student, "idx")
+    return rounded(distill.eval_means(losses), "loss", "lm_loss", "kd_loss", "kd_entropy", "teacher_loss")
+
+
 @query(f"with {_PROBS} select idx, round(-logp, 6) as loss from p where token_id = idx % (select max(len(embedding)) from embeddings)")
 def token_cross_entropy(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), "embedding")
