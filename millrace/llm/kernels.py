@@ -64,13 +64,13 @@ def slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte, byte length and row of each word."""
+def runs(data: np.ndarray, at: np.ndarray, kind: np.ndarray = ~WS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, byte length and row of each maximal run of bytes of a kind (256 booleans): of each word."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    inside = ~WS[data]
+    inside = kind[data]
     edge = np.zeros(n + 1, bool)
     edge[at] = True
     first, last = inside.copy(), inside.copy()
@@ -80,6 +80,22 @@ def runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return starts, np.flatnonzero(last) - starts + 1, np.searchsorted(at, starts, "right") - 1
 
 
+def pick(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of stretches one after another, and their offsets."""
+    ends = np.cumsum(lengths)
+    return data[np.repeat(starts - ends + lengths, lengths) + np.arange(int(lengths.sum()), dtype=np.int64)], np.concatenate([[0], ends]).astype(np.int64)
+
+
+def codes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number from 0 for each stretch of bytes, equal only where the bytes are equal, and the distinct stretches."""
+    if not len(starts):
+        return np.zeros(0, np.int64), pa.array([], pa.large_binary())
+    picked, offsets = pick(data, starts, lengths)
+    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(picked)])
+    found = column.dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary
+
+
 def _hash_block(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lower: bool) -> np.ndarray:
     begins = np.cumsum(lengths) - lengths
     within = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(begins, lengths)

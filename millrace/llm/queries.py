@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import katz, mixing, ngram_join, packing, pii, quality, spotsigs, suffix_dedup, token_ids, toxicity
-from millrace.llm.store import shared_dir
+from millrace.llm import katz, mixing, ngram_join, packing, periodic, pii, quality, spotsigs, suffix_dedup, token_ids, topk, toxicity, wavelet
+from millrace.llm.store import cut, shared_dir
 
 
 def tokenizer_path(name: str) -> str:
@@ -76,6 +76,22 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir), shingle=3, percent=90).drop("text_hash")
 
 
+def op11_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.search(vectors, vectors.filter("vec_id % 50 = 0"), k=5, scale=256.0)
+
+
+def op12_wavelet_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = wavelet.index(documents(spark, sf_dir))
+    found = cut(wavelet.search(shards, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=20))
+    shards.table.remove()
+    return found
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.find(documents(spark, sf_dir), edit=True, texts=False).drop("runs", "collapsed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": op1_spotsigs,
     "op2_katz_backoff": op2_katz_backoff,
@@ -87,9 +103,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_family": op8_suffix_array_family,
     "op9_sainte_lague_mix": op9_sainte_lague_mix,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_histogram_topk": op11_histogram_topk,
+    "op12_wavelet_search": op12_wavelet_search,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
     "op6_quality_cascade": rf"""
@@ -137,4 +157,21 @@ c as (select k, k as o from d union select c.k, l.b from c join l on l.a = c.o),
 m as (select c.k, min(doc_id) as component_id from c join s on s.k = c.o join t using (r) group by c.k)
 select doc_id, coalesce(n, 0) as n_shingles, case when s.k is null then doc_id else component_id end as component_id
 from t left join s using (r) left join m on m.k = s.k""",
+    "op11_histogram_topk": """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+        where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id)
+select query_id, cast(row_number() over w as int) as rank, vec_id, score from s
+window w as (partition by query_id order by score desc, vec_id) qualify row_number() over w <= 5""",
+    "op12_wavelet_search": f"""
+with d as (select row_number() over () as r, doc_id, {_TERMS} as ts from documents),
+g as (select count(*) as n, sum(len(ts))::bigint as l from d where len(ts) > 0),
+p as (select r, t, count(*) as tf from (select r, unnest(ts) as t from d) group by all),
+f as (select t, count(*) as df from p group by t),
+b as (select row_number() over () as i, item_id, {_TERMS} as ts from benchmark),
+q as (select i, item_id, t, count(*) as times from (select i, item_id, unnest(ts) as t from b) group by all),
+s as (select i, item_id, r, sum(times * floor(1000 * ln((2 * n + 2) / (2 * df + 1)))::bigint * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(ts) * n) // l))))::bigint as score
+        from q join f using (t) join p using (t) join (select r, ts from d) using (r), g group by all)
+select item_id, cast(row_number() over w as int) as rank, doc_id, score from s join (select r, doc_id from d) using (r) where score > 0
+window w as (partition by i order by score desc, doc_id nulls last) qualify row_number() over w <= 20""",
 }
