@@ -2,7 +2,8 @@
 
 Neither tokenizer merges across the start of a run of ASCII blanks, so a text's ids are those of its pieces
 (blanks, then what is no blank) one after another. Texts with other Unicode blanks, whose runs could join such a run,
-are encoded whole. Distinct pieces go to the library; their ids are looked up by a 64-bit hash of the bytes.
+are encoded whole. Distinct pieces go to the library. A worker remembers their ids under a 64-bit hash and their bytes; ids are only taken
+for a piece whose bytes are those remembered.
 """
 
 from __future__ import annotations
@@ -57,19 +58,57 @@ class Encoder:
     def clear(self) -> None:
         self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.at, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        if len(self.keys) + len(keys) > _MOST:
-            self.clear()
+        self.text_at, self.text = np.zeros(1, np.int64), np.zeros(0, np.uint8)
+
+    def _known(self, keys: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The slot of each piece that is remembered, else -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        pos = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        out = np.where(self.keys[pos] == keys, self.slot[pos], -1)
+        size = np.diff(at)
+        same = np.flatnonzero(out >= 0)
+        other = self.text_at[out[same] + 1] - self.text_at[out[same]] != size[same]
+        out[same[other]] = -1
+        same = same[~other]
+        if len(same):
+            here, edge = K.pick(data, at[:-1][same], size[same])
+            there, _ = K.pick(self.text, self.text_at[out[same]], size[same])
+            out[same[np.add.reduceat(here != there, edge[:-1]) > 0]] = -1
+        return out
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, at: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """New slots for the pieces that new names. Of pieces with one hash the first is found again."""
+        blob = data.tobytes()
+        texts = [blob[at[i] : at[i + 1]].decode() for i in new]
         # Between the pieces stands a special token, which cuts a text before anything else looks at it.
         joined = [_CUT.join(texts[i : i + 5000]) + _CUT for i in range(0, len(texts), 5000)]
         got = np.concatenate([np.array(e.ids, np.uint32) for e in self.cutter.encode_batch_fast(joined, add_special_tokens=False)])
         ends = np.flatnonzero(got == self.cut)
-        slots = len(self.at) - 1 + np.arange(len(keys))
+        slots = len(self.at) - 1 + np.arange(len(new))
         self.at = np.concatenate([self.at, self.at[-1] + ends - np.arange(len(ends))])
         self.ids = np.concatenate([self.ids, got[got != self.cut]])
-        to = np.searchsorted(self.keys, keys)
-        self.keys, self.slot = np.insert(self.keys, to, keys), np.insert(self.slot, to, slots)
+        picked, edge = K.pick(data, at[:-1][new], np.diff(at)[new])
+        self.text_at, self.text = np.concatenate([self.text_at, self.text_at[-1] + edge[1:]]), np.concatenate([self.text, picked])
+        fresh, first = np.unique(keys[new], return_index=True)
+        free = ~np.isin(fresh, self.keys)
+        fresh, first = fresh[free], first[free]
+        to = np.searchsorted(self.keys, fresh)
+        self.keys, self.slot = np.insert(self.keys, to, fresh), np.insert(self.slot, to, slots[first])
+        return slots
+
+    def _slots(self, pieces: pa.Array) -> np.ndarray:
+        """Where the ids of distinct pieces lie."""
+        data, at = K.utf8(pieces)
+        keys = K.hash_runs(data, at[:-1], np.diff(at), lower=False)
+        slot = self._known(keys, data, at)
+        new = np.flatnonzero(slot < 0)
+        if len(self.at) + len(new) > _MOST:
+            self.clear()
+            new = np.arange(len(slot))
+        if len(new):
+            slot[new] = self._learn(keys, data, at, new)
+        return slot
 
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, each row's followed by end, and their offsets."""
@@ -90,19 +129,8 @@ class Encoder:
         odd = odd_rows(data, at)
         plain = ~odd[rows]
         starts, lengths, rows = starts[plain], lengths[plain], rows[plain]
-        keys = K.hash_runs(data, starts, lengths, lower=False)
-        distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        pos = np.minimum(np.searchsorted(self.keys, distinct), max(0, len(self.keys) - 1))
-        new = self.keys[pos] != distinct if len(self.keys) else np.ones(len(distinct), bool)
-        if new.any():
-            blob = data.tobytes()
-            texts = [blob[starts[i] : starts[i] + lengths[i]].decode() for i in first[new]]
-            if len(self.keys) + len(texts) > _MOST:
-                self.clear()
-                new[:] = True
-                texts = [blob[starts[i] : starts[i] + lengths[i]].decode() for i in first]
-            self._learn(distinct[new], texts)
-        slot = self.slot[np.searchsorted(self.keys, distinct)][back] if len(distinct) else np.zeros(0, np.int64)
+        back, pieces = K.codes(data, starts, lengths)
+        slot = self._slots(pieces)[back] if len(pieces) else np.zeros(0, np.int64)
         n = (self.at[slot + 1] - self.at[slot]).astype(np.int64)
         per_row = np.bincount(rows, weights=n, minlength=len(at) - 1).astype(np.int64)
         whole = {int(r): np.array(self.tokenizer.encode(bytes(data[at[r] : at[r + 1]]).decode(), add_special_tokens=False).ids, np.uint32) for r in np.flatnonzero(odd)}

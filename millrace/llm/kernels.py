@@ -2,7 +2,7 @@
 
 A word is a maximal run of bytes outside 0x20 and 0x09-0x0D; these bytes never occur inside a multi-byte
 character, so runs of bytes are runs of characters. Letters A-Z are lower-cased before hashing, nothing else.
-Hashes have 64 bits; callers treat equal hashes as equal words.
+Hashes have 64 bits; codes() tells words apart by their bytes.
 """
 
 from __future__ import annotations
@@ -97,11 +97,19 @@ def codes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np
 
 
 def _hash_block(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lower: bool) -> np.ndarray:
-    begins = np.cumsum(lengths) - lengths
-    within = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(begins, lengths)
-    picked = data[np.repeat(starts, lengths) + within]
-    value = ((LOWER[picked] if lower else picked).astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()) + 1)[within]
-    return mix(np.add.reduceat(value, begins) ^ (lengths.astype(np.uint64) << np.uint64(48)))
+    """Every eight bytes are mixed with a key of their place before they are added up, so no sum of bytes cancels out."""
+    low = int(starts.min())
+    held = data[low : int((starts + lengths).max())]
+    padded = np.concatenate([LOWER[held] if lower else held, np.zeros(8, np.uint8)])
+    each = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))  # the eight bytes from each place
+    blocks = (lengths + 7) >> 3
+    begins = np.cumsum(blocks) - blocks
+    within = np.arange(int(blocks.sum()), dtype=np.int64) - np.repeat(begins, blocks)
+    value = each[np.repeat(starts - low, blocks) + 8 * within]
+    left = np.repeat(lengths, blocks) - 8 * within
+    value &= np.uint64(2**64 - 1) >> ((8 - np.minimum(left, 8)).astype(np.uint64) << np.uint64(3))
+    keys = mix(np.arange(int(blocks.max()), dtype=np.uint64), 7)
+    return mix(np.add.reduceat(mix(mix(value, 5) + keys[within], 6), begins) ^ mix(lengths.astype(np.uint64), 8))
 
 
 def hash_runs(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lower: bool = True, most: int = 1 << 20) -> np.ndarray:

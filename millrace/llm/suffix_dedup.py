@@ -27,27 +27,29 @@ from pyspark.sql import functions as F
 
 from millrace.llm import kernels as K
 
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_backs = np.ones(1, np.uint64)
-
-
-def _inverse_powers(n: int) -> np.ndarray:
-    global _backs
-    if len(_backs) < n:
-        steps = np.full(max(n, 1 << 16), _INVERSE, np.uint64)
-        steps[0] = 1
-        _backs = np.multiply.accumulate(steps)
-    return _backs[:n]
-
 
 def rolling(data: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k bytes from each place; one for each place that has so many."""
-    n = len(data)
-    if n < k:
+    """Hash of the k bytes from each place; one for each place that has so many. Eight bytes are taken at once; a hash of
+    twice as many is made of two, the left one mixed, so that it is no sum of powers, in which unequal bytes cancel out."""
+    n = len(data) - k + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * K.powers(n), out=sums[1:])
-    return K.mix((sums[k:] - sums[:-k]) * _inverse_powers(n - k + 1), k)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    each = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,)).astype(np.uint64)
+    if k < 8:
+        return K.mix(each[:n] & np.uint64((1 << 8 * k) - 1), k)
+    value, width, out, done = K.mix(each, 3), 8, None, 0
+    while True:
+        if k & width:  # the part of this width comes after what is done
+            part = value[done : done + n]
+            out, done = part if out is None else K.mix(out, 4) + part, done + width
+        if 2 * width > k:
+            break
+        value = K.mix(value[:-width], width) + value[width:]
+        width *= 2
+    if done < k:
+        out = K.mix(out, 5) + each[k - 8 : k - 8 + n]
+    return K.mix(out, k)
 
 
 def window_min(values: np.ndarray, w: int) -> np.ndarray:

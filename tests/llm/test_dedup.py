@@ -147,3 +147,25 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 180)] + [(1, 2), (2, 1), (3, 3), (5, 900), (900, 7)] + [(2000, i) for i in range(2001, 2200)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert all(got[i] == 100 for i in range(100, 181)) and got[2] == got[1] == 1 and got[7] == got[900] == 5 and all(got[i] == 2000 for i in range(2000, 2200)) and 3 not in got
+
+
+def thue_morse(swap, n=1024):
+    """Letters whose sums of powers modulo 2**64 are those of the other one, for any odd base."""
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+def test_texts_of_equal_sums_are_not_linked(spark):
+    rows = [(1, thue_morse(0)), (2, thue_morse(1)), (3, f"x {thue_morse(0)}"), (4, f"x {thue_morse(1)}"), (5, thue_morse(0))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    compare(docs, 3, 90)
+    for length in (1024, 100):
+        got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(docs, length=length).collect())
+        assert got == plain_dedup(rows, length)
+
+
+@pytest.mark.parametrize("k", [1, 5, 8, 9, 24, 32, 100])
+def test_rolling_hash_is_one_of_the_bytes(k):
+    data = np.random.default_rng(k).integers(0, 2, 4000).astype(np.uint8)
+    h = suffix_dedup.rolling(data, k).tolist()
+    strings = [data[i : i + k].tobytes() for i in range(len(data) - k + 1)]
+    assert len(h) == len(strings) and len(set(h)) == len(set(strings)) == len(set(zip(h, strings, strict=True)))

@@ -149,3 +149,35 @@ def test_reading_by_blocks_of_documents(spark, odd, tmp_path):
 def test_no_documents_no_segments(spark, empty, tmp_path):
     token_ids.write(empty, str(tmp_path / "none"), BYTE)
     assert token_ids.read(spark, str(tmp_path / "none")).count() == 0
+
+
+def thue_morse(swap):
+    """1,024 letters whose sums of powers modulo 2**64 are those of the other one, for any odd base."""
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(1024))
+
+
+@pytest.mark.parametrize(("path", "blanks"), [(WORD, False), (BYTE, True)])
+def test_words_of_equal_sums_have_their_own_ids(path, blanks):
+    texts = [thue_morse(0), f"x {thue_morse(1)} y", thue_morse(1), thue_morse(0)]
+    assert by_pieces(path, blanks, texts) == whole(path, texts)
+
+
+@pytest.mark.parametrize("blanks", [False, True])
+def test_pieces_of_one_hash_have_their_own_ids(blanks, monkeypatch, small):
+    """Ids go by bytes: a hash that is the same for words of one length changes nothing."""
+    path = BYTE if blanks else WORD
+    monkeypatch.setattr(encoding.K, "hash_runs", lambda data, starts, lengths, lower=True: lengths.astype(np.uint64))
+    one = encoding.Encoder(path, blanks)
+    texts = [r.text for r in small.select("text").collect()]
+    for _ in range(2):
+        ids, at = one.encode(pa.array(texts, pa.string()), 0)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == whole(path, texts)
+
+
+def test_a_full_memory_starts_anew(monkeypatch, small):
+    monkeypatch.setattr(encoding, "_MOST", 500)
+    one = encoding.Encoder(WORD, False)
+    texts = [r.text for r in small.select("text").collect()]
+    for i in range(0, len(texts), 20):
+        ids, at = one.encode(pa.array(texts[i : i + 20], pa.string()), 0)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == whole(WORD, texts[i : i + 20])

@@ -109,3 +109,12 @@ def test_counts_and_numbers_have_64_bits():
     y, z, raw = katz.unpack(katz.pack(x, np.array([0.5, -1.25]), b"blob"))
     assert y.tolist() == x.tolist() and z.tolist() == [0.5, -1.25] and raw == b"blob"
     assert katz.Level(np.ones(6)).p(np.array([1 << 33]), 1 << 34)[0] == 0.5
+
+
+def test_words_of_equal_sums_are_two(spark):
+    one, other = ("".join("ab"[(bin(i).count("1") + s) % 2] for i in range(1024)) for s in (0, 1))
+    docs = spark.createDataFrame([(i, f"{one} a b {one}" if i % 3 else f"{other} a") for i in range(1, 30)], "doc_id long, text string")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    model = Plain([t for d, t in rows if not held(d)])
+    for r in katz.score(docs, train()).collect():
+        assert tuple(r)[2:] == pytest.approx(model.row(dict(rows)[r.doc_id]), rel=1e-6)
