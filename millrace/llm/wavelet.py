@@ -50,7 +50,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs = terms = 0
         for i, j in K.slices(batch.column(0)):
             _, _, _, rows = _terms(batch.column(0).slice(i, j - i))
-            docs, terms = docs + len(np.unique(rows)), terms + len(rows)
+            docs, terms = docs + int(np.count_nonzero(np.diff(rows, prepend=-1))), terms + len(rows)
         yield pa.RecordBatch.from_arrays([pa.array([docs]), pa.array([terms])], ["n", "total"])
 
 
@@ -147,7 +147,7 @@ class Shard:
         and the item's kth score here. item (ascending), lo, hi and weight are an item's lists; floor is raised.
 
         The open nodes of all items are kept together. Each turn takes the `width` nodes of an item with the highest
-        bounds, twice as many the next time, and puts their children in their place."""
+        bounds and puts their children in their place; once leaves are reached, a turn takes twice as many as the last."""
         some = hi > lo
         item, lo, hi, weight = item[some], lo[some], hi[some], weight[some]
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -155,12 +155,14 @@ class Shard:
         node_item, size = item[first], np.diff(np.append(first, len(item)))
         level, prefix = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
         bound = _sums(weight * self.impacts[0, lo], size)
+        turns = 0
         while len(node_item):
             turn = np.lexsort((-bound, node_item))
             begins = np.searchsorted(node_item[turn], node_item[turn], "left")
             now = np.zeros(len(turn), bool)
             now[turn[np.arange(len(turn)) - begins < width]] = True
-            width *= 2
+            turns += 1
+            width *= 2 if turns >= self.levels else 1
             lists = np.repeat(now, size)
             a, b, w, deep = lo[lists], hi[lists], weight[lists], np.repeat(level[now], size[now])
             za, zb, z = self.zeros[deep, a].astype(np.int64), self.zeros[deep, b].astype(np.int64), self.zeros[deep, -1].astype(np.int64)
