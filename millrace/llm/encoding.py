@@ -91,9 +91,10 @@ class Encoder:
         picked, edge = K.pick(data, at[:-1][new], np.diff(at)[new])
         self.text_at, self.text = np.concatenate([self.text_at, self.text_at[-1] + edge[1:]]), np.concatenate([self.text, picked])
         fresh, first = np.unique(keys[new], return_index=True)
-        free = ~np.isin(fresh, self.keys)
-        fresh, first = fresh[free], first[free]
         to = np.searchsorted(self.keys, fresh)
+        if len(self.keys):
+            free = self.keys[np.minimum(to, len(self.keys) - 1)] != fresh
+            fresh, first, to = fresh[free], first[free], to[free]
         self.keys, self.slot = np.insert(self.keys, to, fresh), np.insert(self.slot, to, slots[first])
         return slots
 
