@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,11 @@ def into_shards(rows: DataFrame, order: list[str], per_shard: int = 1_000_000, f
 def manifest(rows: DataFrame) -> DataFrame:
     """shard, n, lo, hi: how many rows each shard has, and which global rows; shards after a gap in the numbering are
     left out. One row a shard."""
-    sizes = rows.groupBy("shard").agg(F.count("*").alias("n"))
+    return offsets(rows.groupBy("shard").agg(F.count("*").alias("n")))
+
+
+def offsets(sizes: DataFrame) -> DataFrame:
+    """The same from shard and n; there are few shards beside their rows."""
     order = Window.orderBy("shard")
     lo = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     unbroken = F.col("shard") - F.row_number().over(order) == F.min("shard").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - 1
@@ -30,10 +36,13 @@ def manifest(rows: DataFrame) -> DataFrame:
 
 def locate(ids: DataFrame, shards: DataFrame, per_shard: int | None = None) -> DataFrame:
     """ids (idx) with shard and local_idx. With equal shard sizes the shard is arithmetic; else it is a range join, made
-    an equality one by cutting each shard's range into strips as wide as the smallest shard."""
+    an equality one by cutting each shard's range into strips as wide as the mean shard: there are at most two strips a
+    shard on average, however uneven the shards are."""
     if per_shard:
         return ids.withColumns({"shard": F.floor(F.col("idx") / per_shard).cast("int"), "local_idx": (F.col("idx") % per_shard).cast("long")})
-    width = shards.agg(F.min("n")).first()[0] or 1
+    total, count = shards.agg(F.sum("n"), F.count("*")).first()
+    width = max(1, -(-int(total or 0) // max(1, count)))
+    shards = shards.filter("n > 0")
     strips = shards.withColumn("_strip", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
     asked = ids.withColumn("_strip", F.floor(F.col("idx") / width))
     return asked.join(strips, "_strip").filter("lo <= idx and idx < hi").withColumn("local_idx", F.col("idx") - F.col("lo")).drop("_strip", "lo", "hi", "n")
@@ -51,6 +60,22 @@ def between_ratios(rows: DataFrame, low: float, high: float) -> DataFrame:
     return between(rows, int(low * n), int(high * n))
 
 
+def by_role(load: Callable[[Column], DataFrame], n: int, shares: tuple[tuple[str, int], ...] = (("train", 80), ("dev", 10), ("test", 10)), most: int | None = None) -> dict[str, DataFrame]:
+    """The rows (idx) of each role: stretches of so many hundredths of n rows, in this order. most: no more rows a role;
+    a role that has fewer than that is an error. load gives the rows for a condition on idx; a source that takes conditions
+    reads that range alone."""
+    out, before = {}, 0
+    for role, share in shares:
+        low, high = n * before // 100, n * (before + share) // 100
+        if most is not None:
+            if high - low < most:
+                raise ValueError(f"{role} has {high - low} rows, fewer than {most}")
+            high = low + most
+        out[role] = load((F.col("idx") >= low) & (F.col("idx") < high))
+        before += share
+    return out
+
+
 def part_of_row(tokens: Column, offset: int, length: int | None = None) -> Column:
     return F.slice(tokens, F.lit(offset + 1), F.lit(length) if length is not None else F.greatest(F.size(tokens) - offset, F.lit(0)))
 

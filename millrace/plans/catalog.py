@@ -16,6 +16,7 @@ from millrace.functions import text as X
 from millrace.operators import batching, corpus, distill, evaluation, retokenize, selection, sequences
 from millrace.operators.order import new_path, prefix_sum, row_number, seeded, stored
 from millrace.sources import binidx, files
+from millrace.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -197,12 +198,6 @@ def shard_manifest(spark, sf_dir):
     return sequences.manifest(sharded(spark, sf_dir))
 
 
-@query(f"with {_MANIFEST} select i as idx, shard, i - lo as local_idx from (select idx as i from q where idx % 7 = 3) join m on lo <= i and i < hi")
-def locate_rows(spark, sf_dir):
-    rows = sharded(spark, sf_dir)
-    return sequences.locate(rows.select("idx").filter("idx % 7 = 3"), sequences.manifest(rows))
-
-
 @query(f"with {_MANIFEST} select idx, m.shard, idx - lo as local_idx from q join m on lo <= idx and idx < hi")
 def locate_all_rows(spark, sf_dir):
     rows = sharded(spark, sf_dir)
@@ -230,12 +225,6 @@ def hold_out_shards(spark, sf_dir):
     return sequences.hold_out(sharded(spark, sf_dir), 1, 1).select("doc_id", "shard")
 
 
-@query("select count(*) as n_shared from (select doc_id from documents where doc_id % 20 = 0 intersect select doc_id from documents where doc_id % 20 = 1)")
-def held_out_is_disjoint(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    return selection.assert_disjoint(docs.filter("doc_id % 20 = 0"), docs.filter("doc_id % 20 = 1"), "doc_id")
-
-
 @query(f"with {_SHARDED} select count(*) as n_shared from (select doc_id from h where shard = 1 intersect select doc_id from h where shard <> 1)")
 def held_out_shards_are_disjoint(spark, sf_dir):
     """Shares of the held-out shards with all others: rows are split by place, so a repeated id can be in both."""
@@ -440,13 +429,6 @@ def worker_rows(spark, sf_dir):
     return batching.to_workers(sharded(spark, sf_dir).select("idx"), 8).withColumn("turn", F.col("turn").cast("long"))
 
 
-@query(f"""with {_LENGTHS} select idx, array_to_string(case when cut is null then t else t[1:cut] end, ',') as t, cast(len(list_filter(t, lambda x: x = 46)) + 1 as int) as parts from
-(select idx, t[1:40] as t, list_max(list_filter(list_transform(range(1, len(t[1:40]) + 1), lambda i: case when t[i] <> 46 then i end), lambda x: x is not null)) as cut from l)""")
-def trimmed_and_split(spark, sf_dir):
-    t = rows_of(spark, sf_dir).select("idx", F.slice("tokens", 1, 40).alias("t"))
-    return _arrays(t.select("idx", X.trim_pads(F.col("t"), 46).alias("t"), F.size(X.split_array(F.col("t"), 46)).alias("parts")))
-
-
 @query(f"""with {_LENGTHS}, z as (select idx, t, list_position(list_transform(list_reverse(t), lambda x: x <> 46), true) as after from l)
 select idx, array_to_string(case when coalesce(after, 0) = 0 then t else t[1:len(t) - after + 1] end, ',') as t, cast(len(list_filter(t, lambda x: x = 46)) + 1 as int) as parts from z""")
 def whole_trimmed_and_split(spark, sf_dir):
@@ -457,15 +439,56 @@ def whole_trimmed_and_split(spark, sf_dir):
 # Files: written to the shared folder and read back
 
 
-@query(f"with {_SHARDED}, {_LENGTHS} select h.idx, shard, local_idx, cast(n as int) as n_tokens, md5(coalesce(array_to_string(t, ','), '')) as digest from h join l on l.idx = h.doc_id")
-def shard_files(spark, sf_dir):
-    spark.dataSource.register(binidx.BinIdx)
+def shards_on_disk(spark: SparkSession, sf_dir: str) -> str:
+    """Where the documents' tokens have been written as shards."""
     rows = table(spark, sf_dir, "documents").select("doc_id", ids_of(X.tokenize(F.col("text"))).cast("array<bigint>").alias("tokens"))
     path = new_path(spark, "shards")
-    placed = sequences.into_shards(rows, ["doc_id"], SHARD).select("shard", "local_idx", "tokens")
-    placed.repartition("shard").sortWithinPartitions("shard", "local_idx").write.format("binidx").option("path", path).mode("append").save()
-    back = spark.read.format("binidx").option("path", path).load()
-    return back.select("idx", "shard", "local_idx", F.size("tokens").alias("n_tokens"), F.md5(F.array_join(F.col("tokens").cast("array<string>"), ",")).alias("digest"))
+    binidx.save(sequences.into_shards(rows, ["doc_id"], SHARD).select("shard", "local_idx", "tokens"), path)
+    return path
+
+
+def digests(stored_rows: DataFrame) -> DataFrame:
+    return stored_rows.select("idx", "shard", "local_idx", F.size("tokens").alias("n_tokens"), F.md5(F.array_join(F.col("tokens").cast("array<string>"), ",")).alias("digest"))
+
+
+_STORED = f"{_SHARDED}, {_LENGTHS}, r as (select h.idx, doc_id, shard, local_idx, cast(n as int) as n_tokens, md5(coalesce(array_to_string(t, ','), '')) as digest from h join l on l.idx = h.doc_id)"
+
+
+@query(f"with {_STORED} select idx, shard, local_idx, n_tokens, digest from r")
+def shard_files(spark, sf_dir):
+    return digests(binidx.load(spark, shards_on_disk(spark, sf_dir)))
+
+
+@query(f"with {_STORED} select idx, shard, local_idx, n_tokens, digest from r where idx in (select doc_id from labels)")
+def stored_rows_by_id(spark, sf_dir):
+    """The stored sequences that a table of ids names, fetched without reading the others."""
+    ids = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("idx"))
+    return digests(binidx.fetch(ids, shards_on_disk(spark, sf_dir)))
+
+
+@query(f"with {_STORED}, n as (select count(*) as n from r) select case when idx < n * 8 // 10 then 'train' when idx < n * 9 // 10 then 'dev' else 'test' end as role, idx, shard, n_tokens, digest from r, n")
+def rows_by_role(spark, sf_dir):
+    """Training, development and test rows as ranges of the stored shards; each reads its own rows alone."""
+    path = shards_on_disk(spark, sf_dir)
+    n = binidx.manifest(spark, path).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = [digests(rows).select(F.lit(role).alias("role"), "idx", "shard", "n_tokens", "digest") for role, rows in sequences.by_role(lambda chosen: binidx.where(spark, path, chosen), n).items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query(f"with {_STORED} select idx, cast(shard // 2 as int) as shard, cast(idx % {2 * SHARD} as int) as local_idx, n_tokens, digest from r")
+def merged_shards(spark, sf_dir):
+    """Two stored shards joined into one each, without decoding them."""
+    path = new_path(spark, "merged")
+    binidx.merge(spark, [(shards_on_disk(spark, sf_dir), "data")], path, per_shard=2)
+    return digests(binidx.load(spark, path))
+
+
+@query(f"with {_STORED} select idx, shard, local_idx, n_tokens, digest from r")
+def streamed_shards(spark, sf_dir):
+    """The stored rows as a stream of micro-batches, collected in a table."""
+    out, mark = new_path(spark, "streamed"), new_path(spark, "mark")
+    incremental.shards_to_table(spark, shards_on_disk(spark, sf_dir), out, mark, per_batch=2 * SHARD)
+    return digests(spark.read.schema(binidx.SCHEMA).parquet(out))
 
 
 @query("select source as domain, count(*) as docs, cast(sum(length(text)) as bigint) as chars, min(md5(text)) as least, max(md5(text)) as most from documents group by 1")
@@ -561,13 +584,6 @@ def top_k_mass(spark, sf_dir):
     return rounded(e.select("idx", F.aggregate("t", F.lit(0.0), lambda a, x: a + x["p"]).alias("mass")), "mass", digits=9)
 
 
-@query("select vec_id as idx, 50::bigint as draws, true as ok from embeddings")
-def drawn_tokens(spark, sf_dir):
-    dense = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), F.lit(0).alias("pos"), X.softmax(F.col("embedding")).alias("p"))
-    drawn = distill.rebuilt(distill.draw(dense, 50), 50)
-    return drawn.groupBy("idx").agg(F.sum("count").alias("draws"), (F.abs(F.sum("p") - 1) < 1e-9).alias("ok"))
-
-
 _KD = f"""{_PROBS}, t5 as (select * from (select *, row_number() over (partition by idx order by round(p, 12) desc, token_id) as k from p) where k <= 5),
 st as (select idx, token_id, logp as lq from p),
 pairs as (select a.idx, a.token_id, a.p, a.logp, b.lq from t5 a join st b on b.idx = (a.idx + 1) % (select count(*) from embeddings) and b.token_id = a.token_id),

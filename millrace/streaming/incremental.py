@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.operators.corpus import pack_stream
+from millrace.sources import binidx
 
 
 def score_new_files(stream: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
@@ -44,6 +45,18 @@ def pack_arriving(stream: DataFrame, length: int, eos: int, ends: list[int], new
     return stream.groupBy("domain").applyInPandasWithState(step, "domain string, tokens array<int>, padding int", "tokens array<int>, spaced array<boolean>", "append", GroupStateTimeout.NoTimeout)
 
 
+def shards_to_table(spark: SparkSession, path: str, out: str, checkpoint: str, name: str = "data", per_batch: int = 1_000_000) -> None:
+    """Add the rows of the shards below path that are not in the table out yet, at most per_batch at a time. The
+    table's log and the query's checkpoint see to it that each row is in it once, whenever the job was stopped."""
+    spark.dataSource.register(binidx.BinIdx)
+    rows = spark.readStream.format("binidx").options(path=path, name=name, rowsPerBatch=per_batch, checkpoint=checkpoint).load()
+    query = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
 def log_means(stream: DataFrame, every: str = "1 minute", late: str = "5 minutes") -> DataFrame:
     """window_start, name, mean, n of a metric stream (ts, name, value), with a watermark."""
     means = stream.withWatermark("ts", late).groupBy(F.window("ts", every), "name").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
