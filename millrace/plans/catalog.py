@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import schedules
 from millrace.functions import text as X
-from millrace.operators import batching, corpus, distill, evaluation, retokenize, selection, sequences
+from millrace.operators import batching, corpus, distill, evaluation, retokenize, selection, sequences, shuffle
 from millrace.operators.order import new_path, prefix_sum, row_number, seeded, stored
 from millrace.sources import binidx, files
 from millrace.streaming import incremental
@@ -491,6 +491,37 @@ def streamed_shards(spark, sf_dir):
     return digests(spark.read.schema(binidx.SCHEMA).parquet(out))
 
 
+def _mixed_sql(value: str) -> str:
+    """The round function of operators.shuffle in SQL."""
+    p = "2147483647"
+    x = f"(({value} * 1103515245 + (1234 * 1000003 + epoch * 7919) % {p} + (k % 6) * 104729) % {p})"
+    x = f"((xor({x}, {x} >> 15) * 48271) % {p})"
+    return f"((xor({x}, {x} >> 13) * 69621) % {p})"
+
+
+_PLACES = f"""z as (select n, a, (n + a - 1) // a as b from (select n, case when s * s >= n then s when (s + 1) * (s + 1) >= n then s + 1 else s + 2 end as a from (select count(*) as n, greatest(1, cast(floor(sqrt(count(*))) as bigint) - 1) as s from documents))),
+s as (select epoch, idx, idx // b as l, idx % b as r, 0 as k from (select unnest(range(3)) as epoch), (select row_number() over () - 1 as idx from documents), z
+  union all select epoch, idx, case when k % 2 = 0 then (l + {_mixed_sql("r")}) % a else l end, case when k % 2 = 1 then (r + {_mixed_sql("l")}) % b else r end, k + 1 from s, z where k = 0 or k % 6 <> 0 or l * b + r >= n),
+o as (select cast(epoch as int) as epoch, l * b + r as pos, idx from s, z where k > 0 and k % 6 = 0 and l * b + r < n)"""
+
+
+@query(f"with recursive {_PLACES} select epoch, pos, idx from o")
+def arithmetic_order(spark, sf_dir):
+    """Each stored row's place in three epochs, computed from its number."""
+    path = shards_on_disk(spark, sf_dir)
+    n = binidx.manifest(spark, path).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return shuffle.in_epochs(binidx.load(spark, path).select("idx"), n, 3).select("epoch", "pos", "idx")
+
+
+@query(f"with recursive {_PLACES}, {_STORED} select epoch, pos, idx, n_tokens, digest from o join r using (idx) where (epoch, pos) >= (1, 77)")
+def resumed_arithmetic_order(spark, sf_dir):
+    """The rows that a run which stopped at (1, 77) has yet to see, fetched from the shards by their numbers."""
+    path = shards_on_disk(spark, sf_dir)
+    n = binidx.manifest(spark, path).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    order = shuffle.rows_from(spark, n, 3, 1, 77)
+    return order.join(digests(binidx.fetch(order.select("idx"), path)).select("idx", "n_tokens", "digest"), "idx").select("epoch", "pos", "idx", "n_tokens", "digest")
+
+
 @query("select source as domain, count(*) as docs, cast(sum(length(text)) as bigint) as chars, min(md5(text)) as least, max(md5(text)) as most from documents group by 1")
 def json_lines(spark, sf_dir):
     path = new_path(spark, "corpus")
