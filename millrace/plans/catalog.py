@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import schedules
 from millrace.functions import text as X
-from millrace.operators import batching, corpus, distill, evaluation, retokenize, selection, sequences, shuffle
+from millrace.operators import batching, corpus, distill, evaluation, retokenize, selection, sequences, shuffle, vocabulary
 from millrace.operators.order import new_path, prefix_sum, row_number, seeded, stored
 from millrace.sources import binidx, files
 from millrace.streaming import incremental
@@ -133,6 +133,41 @@ def pack_stats(spark, sf_dir):
     return rounded(corpus.pack_stats(corpus.pack_fixed(e, PACK), e, PACK), "padding")
 
 
+def vocabulary_file(name: str) -> str:
+    """Where an installed public vocabulary of merge ranks lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+ONE, OTHER = "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"
+END = 50256  # the id after the last of both vocabularies
+
+
+@query("select doc_id, md5(coalesce(text, '')) as digest, cast(1 as boolean) as fewer from documents")
+def decoded_documents(spark, sf_dir):
+    """Every whole text, encoded with a vocabulary of merge ranks and decoded; no text has more tokens than bytes."""
+    tokens = vocabulary.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_file(ONE))
+    texts = vocabulary.decode(tokens.withColumn("n", F.size("tokens")), vocabulary_file(ONE))
+    return texts.select("doc_id", F.md5("text").alias("digest"), (F.col("n") <= F.octet_length("text")).alias("fewer"))
+
+
+@query("select doc_id as idx, md5(coalesce(text, '')) as digest, cast(1 as int) as parts from documents")
+def retokenized_documents(spark, sf_dir):
+    """Every document's ids in one vocabulary turned into another one's, which decode to the same text."""
+    one = vocabulary.encode(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), "text"), vocabulary_file(ONE))
+    other = vocabulary.retokenize(one, vocabulary_file(ONE), vocabulary_file(OTHER), old_end=END, new_end=END, length=1 << 30, bos=END)
+    back = vocabulary.decode(other.withColumn("tokens", F.slice("tokens", F.lit(2), F.size("tokens"))), vocabulary_file(OTHER), end=END, name="parts")
+    return back.select("idx", F.md5(F.array_join("parts", "")).alias("digest"), F.size("parts").alias("parts"))
+
+
+@query()
+def pack_encoded_sentences(spark, sf_dir):
+    """Sentence-bounded chunks of each domain's ids, with the sentence ends that the vocabulary itself gives."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("domain"), "text")
+    return vocabulary.pack(docs, vocabulary_file(ONE), PACK, END).select("domain", "stream", "seq", "padding", F.size("tokens").alias("n_tokens"), F.md5(F.array_join(F.col("tokens").cast("array<string>"), ",")).alias("digest"))
+
+
 @query(rf"""with recursive e as (select source as domain, row_number() over (partition by source order by doc_id) - 1 as rank,
         list_append(regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]?[A-Za-z0-9]+|[^A-Za-z0-9]'), '') as t from documents),
 o as (select *, coalesce(sum(len(t)) over (partition by domain order by rank rows between unbounded preceding and 1 preceding), 0)::bigint as start from e),
