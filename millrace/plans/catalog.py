@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import schedules
 from millrace.functions import text as X
-from millrace.operators import batching, corpus, distill, evaluation, retokenize, selection, sequences, shuffle, vocabulary
+from millrace.operators import batching, corpus, distill, evaluation, inference, retokenize, selection, sequences, shuffle, vocabulary
 from millrace.operators.order import new_path, prefix_sum, row_number, seeded, stored
 from millrace.sources import binidx, files
 from millrace.streaming import incremental
@@ -282,6 +282,47 @@ def numeric_file_order(spark, sf_dir):
 # Scores and selection
 
 
+_COUNTED = "l as (select doc_id as idx, " + IDS + """ as t from documents), u as (select idx, unnest(t) as tok from l), c as (select tok, count(*) as n from u group by tok), s as (select sum(n) as total from c),
+v as (select idx, round(avg(-ln(n / total::double)), 6) as loss from u join c using (tok), s group by idx) select idx, loss from l left join v using (idx)"""
+
+
+def counted_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """idx, shard, tokens of the documents, and where the counts of their tokens have been written."""
+    rows = stored(rows_of(spark, sf_dir).withColumn("shard", F.floor(F.col("idx") / SHARD).cast("int")))
+    path = new_path(spark, "counts")
+    inference.learn_counts(rows, path)
+    return rows, path
+
+
+@query(f"with {_COUNTED}")
+def inferred_scores(spark, sf_dir):
+    """Every document's loss under a count model that each worker loads once, in batches of like lengths."""
+    rows, path = counted_rows(spark, sf_dir)
+    return rounded(inference.score_batches(rows, path, lambda: inference.count_model(path)).select("idx", "loss"), "loss")
+
+
+@query(f"with {_COUNTED}")
+def scores_after_failures(spark, sf_dir):
+    """The same by two runs, the first with a model that fails on long rows past the budget of a shard: what it left is
+    done by the second, each row once."""
+    rows, path = counted_rows(spark, sf_dir)
+    out = new_path(spark, "runs")
+
+    def unsound():
+        score = inference.count_model(path)
+
+        def run(batch):
+            if max(map(len, batch)) > 300:
+                raise RuntimeError("too long")
+            return score(batch)
+
+        return run
+
+    inference.score_rest(rows, out, f"{path}-unsound", unsound, batch=16, budget=2)
+    inference.score_rest(rows, out, path, lambda: inference.count_model(path), batch=16, budget=0)
+    return rounded(inference.done(spark, out).select("idx", "loss"), "loss")
+
+
 @query(f"with {SCORES} select idx, round(diff, 6) as diff from r where rank < floor(0.5 * total)")
 def diff_sample_select(spark, sf_dir):
     return rounded(selection.top_fraction(scored(spark, sf_dir), "diff", 0.5).select("idx", "diff"), "diff")
