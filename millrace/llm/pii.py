@@ -1,7 +1,7 @@
 """Personal data: base patterns, and candidates that boosted trees accept.
 
 Base kinds (email, ip, card, phone) are found by pattern and check. Beside them, high-recall generators propose spans
-that may overlap: long runs of letters and digits, values assigned to a secret-like name, groups of digits. Gradient
+that may overlap: long runs of letters and digits, the pieces of such runs between any signs, values assigned to a secret-like name, groups of digits. Gradient
 boosted trees over format and context features score each proposal, and a threshold per kind, calibrated on held-out
 examples, selects what is redacted; base spans stay and win over proposals they overlap.
 
@@ -33,6 +33,8 @@ _CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Generators of proposals.
 _RUN = r"(?<![A-Za-z0-9_/+=.@-])(?=[A-Za-z_/+=-]*+[0-9])[A-Za-z0-9_/+=-]{12,}+"
+#: A piece of such a run, or of an address: it may follow a dot, a slash or any other sign.
+_PIECE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{16,}+"
 _ASSIGNED = r"(?i)(?<![a-z])(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|auth)[\x20]{0,2}[:=][\x20]{0,2}[\"']?[^\s\"',;]{6,}+"
 _VALUE = r"[:=][\x20]{0,2}[\"']?([^\s\"',;]{6,}+)$"
 _DIGITS = r"(?<![0-9A-Za-z+.,-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{2,4}(?:[\x20.-][0-9]{2,6}){1,3}(?![0-9A-Za-z-])"
@@ -146,6 +148,8 @@ def examples(n: int = 4000, seed: int = 7) -> tuple[dict[str, np.ndarray], dict[
         lambda: (some(digit, 12, 22), rng.choice(plain), 0), lambda: (some(digit, 4) + "-" + some(digit, 2) + "-" + some(digit, 2) + "T" + some(digit, 4), rng.choice(plain), 0),
         lambda: (word() + "/" + word() + "/" + word() + some(digit, 1, 2), rng.choice(plain), 0), lambda: (word().capitalize() + word().capitalize() + some(digit, 2, 4) + word(), rng.choice(plain), 0),
         lambda: (word() + "_" + word() + "_" + some(digit, 1, 2) + word(), rng.choice(plain), 0), lambda: ("=" * int(rng.integers(10, 30)) + some(digit, 1), rng.choice(plain), 0),
+        lambda: ("-".join(word() if rng.random() < 0.7 else some(digit, 1, 4) for _ in range(int(rng.integers(4, 9)))) + "-" + some(digit, 1, 4), rng.choice(plain), 0),
+        lambda: ("/".join(word() for _ in range(int(rng.integers(3, 7)))) + some(digit, 1) + "/" + word().capitalize() + some(digit, 1), rng.choice(plain), 0),
     )
     contact = (
         lambda: (f"({some(digit, 3)}) {some(digit, 3)}-{some(digit, 4)}", rng.choice(plain + reached), 1), lambda: (f"{some(digit, 3)}-{some(digit, 3)}-{some(digit, 4)}", rng.choice(reached), 1),
@@ -241,7 +245,7 @@ def _raw(model: tuple[float, list], f: Column) -> Column:
 
 def extra_spans(text: Column, base: Column) -> Column:
     """Accepted proposals that overlap no base span and no better one that is taken, as structs (rank, start, end, kind)."""
-    run = found(text, _RUN, 24)
+    run = F.concat(found(text, _RUN, 24), found(text, _PIECE, 24))
     assigned = F.transform(found(text, _ASSIGNED, 1), lambda s: let(F.regexp_extract(s["m"], _VALUE, 1), lambda v: F.struct((s["end"] - F.length(v)).alias("start"), s["end"].alias("end"), v.alias("m"), F.right(F.left(s["m"], F.length(s["m"]) - F.length(v)), F.lit(24)).alias("c"))))
     assigned = F.filter(assigned, lambda s: s["end"] > s["start"])
     digits = found(text, _DIGITS, 24)

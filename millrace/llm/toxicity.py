@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import kernels as K
-from millrace.llm.store import hold, release
+from millrace.llm.store import Table, hold, release
 
 ORDER = 6
 CLEAR = (2.0, 3.5, 5.0)  # natural-log ratios from which a word speaks more and more clearly
@@ -167,13 +167,19 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, seed: int = 42) -> Model:
     """A calibrated model from docs (doc_id, text) and labels (doc_id, toxic 0/1).
 
-    At most `most_rows` labelled rows, the first by a seeded hash of doc_id, are used: two thirds for counts, one third
-    for the curve. Rows with null doc_id or label are ignored; a doc_id with several labels is toxic if one says so.
-    Without labelled rows of both classes everything scores near 0.
+    At most `most_rows` labelled rows, the first by a seeded hash of doc_id, then of their text, are used: two thirds for
+    counts, one third for the curve. Rows with null doc_id or label are ignored, rows of one doc_id and text count once; a
+    doc_id with several labels is toxic if one says so. Without labelled rows of both classes everything scores near 0.
     """
     picked = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = picked.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most_rows).withColumn("_curve", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(3)) == 0)
-    rows = docs.select("doc_id", "text").join(picked, "doc_id")
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    held = Table(docs.select("doc_id", "text").join(picked, "doc_id").withColumn("_t", text_hash).dropDuplicates(["doc_id", "_t"]))
+    # ids that many rows share bring no more rows than the bound: the last one's place is found without any text
+    place = F.struct(F.xxhash64(F.lit(seed), "doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("_t").alias("c"))
+    places = held.rows.select(place.alias("_p"))
+    last = places.orderBy("_p").limit(most_rows).agg(F.max("_p")).first()[0]
+    rows = held.rows if last is None else held.rows.filter(place <= F.struct(*(F.lit(v).alias(n) for v, n in zip(last, "abc", strict=True))).cast(places.schema["_p"].dataType))
     grams = rows.filter("not _curve").select("toxic", "text").mapInArrow(counted, "gram long, t long, o long")
     grams = grams.groupBy("gram").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).orderBy("gram").toArrow()  # ORDER bytes are below the sign
     model = Model(*(grams.column(c).to_numpy().astype(kind) for c, kind in zip(("gram", "t", "o"), (np.uint64, np.int64, np.int64), strict=True)))
@@ -186,6 +192,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, seed: int
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(x.tolist(), pa.list_(pa.float64()))], ["toxic", "x"])
 
     got = rows.filter("_curve").select("toxic", "text").mapInArrow(features, "toxic int, x array<double>").toArrow()
+    held.remove()
     y = np.array(got["toxic"].to_pylist(), float)
     if 0 < y.sum() < len(y):
         model.calibrate(np.array(got["x"].to_pylist()), y)

@@ -83,3 +83,23 @@ def test_odd_rows(spark, odd, empty):
 def test_without_labels_nothing_is_toxic(spark, odd):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score(odd, toxicity.learn(odd, none)).filter(F.col("score") >= 0.3).count() == 0
+
+
+def test_an_id_of_many_rows_brings_no_more_than_the_bound(spark, monkeypatch):
+    """The bound holds for joined rows, whatever shares an id."""
+    texts = [(7, f"row {i} of one id and some words") for i in range(400)] + [(i, f"the text of document {i} is plain") for i in range(100, 160)] + [(7, "row 1 of one id and some words")] * 50
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1)] + [(i, i % 2) for i in range(100, 160)], "doc_id long, toxic int")
+    seen, calibrate = [], toxicity.Model.calibrate
+    monkeypatch.setattr(toxicity.Model, "calibrate", lambda self, x, y: seen.append(len(y)) or calibrate(self, x, y))
+    for most in (30, 90, 10_000):
+        toxicity.learn(docs, labels, most_rows=most)
+    # a third of the ids, whole, are for the curve
+    assert all(n <= most for n, most in zip(seen, (30, 90, 10_000), strict=False)) and len(seen) <= 3
+
+
+def test_clashing_score(odd, small, spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs = clashing(odd)
+    out = toxicity.score(docs, toxicity.learn(small, labels))
+    assert out.count() == odd.count() and sorted(out.columns) == sorted(docs.columns) and out.schema["score"].dataType.simpleString() == "double"
