@@ -133,7 +133,7 @@ def in_lots(rows: DataFrame, parts: int) -> DataFrame:
             for i, j in K_.slices(batch.column(1), 3 << 20):
                 mine = batch.slice(i, j - i)
                 h, row = tokens(mine.column(1))
-                distinct, back = np.unique(h, return_inverse=True)
+                distinct, back = K_.distinct(h)
                 learned = mine.column(2).to_numpy(zero_copy_only=False)
                 times = np.bincount(back, weights=learned[row])
                 part = part_of(distinct, parts)
@@ -164,7 +164,7 @@ def count_words(dealt: DataFrame, parts: int) -> DataFrame:
             if not rows:
                 continue
             h = [np.frombuffer(x[0], np.uint64) for _, x in rows]
-            keys, back = np.unique(np.concatenate(h), return_inverse=True)
+            keys, back = K_.distinct(np.concatenate(h))
             c = np.bincount(back, weights=np.concatenate([x[1] for _, x in rows])).astype(np.int64)
             p, learned = rows[0][0][0], c > 0
             number = np.full(len(c), UNKNOWN)
@@ -230,7 +230,7 @@ def ranked(*columns: np.ndarray) -> np.ndarray:
         c = np.where(c >= BEGIN, c - BEGIN + most + 1, c)
         width = int(c.max(initial=0)).bit_length()
         if bits + width > 63:
-            values, key = np.unique(key, return_inverse=True)
+            values, key = K_.distinct(key)
             bits = len(values).bit_length()
         key, bits = key << width | c, bits + width
     place = len(key).bit_length()
@@ -324,8 +324,7 @@ def look_up(sent: DataFrame, parts: int, low: Level, answer: bool) -> DataFrame:
             hot = is_hot[starts]
             total, few, mass = _added(r, of, np.where(r > 0, low.p(np.maximum(lower, 1), base_low), 0.0))
             seen = r > 0
-            few_kinds, few_of = np.unique(few, axis=0, return_inverse=True)
-            few_of = few_of.ravel()
+            few_kinds, few_of = _kinds(few)
             base, alpha = _logs(total, few, mass)
             gain = np.where(seen, np.log10(np.maximum(r, 1)) - np.log10(low.p(np.maximum(lower, 1), base_low)), 0.0)
             out = [(p, -1, TABLE, pack(np.diff(words[0][seen], prepend=0), *(w[seen] for w in words[1:]), r[seen]), np.bincount(np.minimum(r, K + 2), minlength=K + 3)[1 : K + 2].tolist())]
@@ -340,7 +339,7 @@ def look_up(sent: DataFrame, parts: int, low: Level, answer: bool) -> DataFrame:
                     ctx = ctx[changes(ctx)]
                     out.append((p, lot, PAIRS, pack(r[own], np.where(hot[ctx], 0, total[ctx] + (few[ctx].sum(axis=1) == 0))), None))
                 e, doc = np.repeat(own, x[n + 3]), x[n + 4] >> 1
-                docs, doc = np.unique(doc, return_inverse=True)
+                docs, doc = K_.distinct(doc)
                 ctx, rr = of[e], r[e]
                 cold, known = ~hot[ctx], rr > 0
                 backs_off = cold & ~known & (total[ctx] > 0)
@@ -361,6 +360,22 @@ def look_up(sent: DataFrame, parts: int, low: Level, answer: bool) -> DataFrame:
     return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, ROW)
 
 
+def _kinds(few: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and which of them each is. Columns are packed into one number as long as that fits."""
+    key = np.zeros(len(few), np.int64)
+    bits = 0
+    for c in few.T:
+        width = int(c.max(initial=0)).bit_length()
+        if bits + width > 63:
+            values, key = K_.distinct(key)
+            bits = len(values).bit_length()
+        key, bits = key << width | c, bits + width
+    values, of = K_.distinct(key)
+    first = np.empty(len(values), np.int64)
+    first[of[::-1]] = np.arange(len(few))[::-1]
+    return few[first], of
+
+
 def _added(r: np.ndarray, of: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each context: tokens, n-grams that come 1..K times, and the lower order's mass of its n-grams."""
     m = int(of[-1]) + 1 if len(of) else 0
@@ -427,7 +442,7 @@ def score(docs: DataFrame, learn: Column, held: int = 1_500_000) -> DataFrame:
 
     def indexed(ids: np.ndarray, back: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ascending word numbers, and each token's and the one's before it as indices of them."""
-        values, index = np.unique(np.append(ids, BEGIN), return_inverse=True)
+        values, index = K_.distinct(np.append(ids, BEGIN))
         index, begin = index[:-1][back], index[-1]
         return values, index, before(index, sizes, begin)
 

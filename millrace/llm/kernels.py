@@ -96,6 +96,16 @@ def codes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np
     return found.indices.to_numpy().astype(np.int64), found.dictionary
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct whole numbers ascending, and which of them each is. Only the distinct ones are sorted."""
+    found = pa.array(x).dictionary_encode()
+    values = found.dictionary.to_numpy(zero_copy_only=False)
+    order = np.argsort(values)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return values[order], rank[found.indices.to_numpy()]
+
+
 def _hash_block(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lower: bool) -> np.ndarray:
     """Every eight bytes are mixed with a key of their place before they are added up, so no sum of bytes cancels out."""
     low = int(starts.min())
