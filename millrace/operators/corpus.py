@@ -104,64 +104,122 @@ def pack_stream(docs: list[tuple[list[int], list[bool]]], length: int, eos: int,
     return len(all_) - at
 
 
+def leftovers(docs: list[tuple[list[int], list[bool]]], ahead: tuple[list[int], list[bool]], length: int, eos: int, ends: set[int], newlines: set[int] = frozenset(), bos: int | None = None, most: int = 2000, keep_singletons: bool = False) -> np.ndarray:
+    """For each number of tokens that may be carried into a stream, 0 to room - 1, how many pack_stream() leaves at its end.
+
+    ahead has the tokens before the stream, as many as could be carried. Where a chunk ends depends on where it begins
+    alone, so all beginnings advance together, and become few as soon as their chunks end at the same places."""
+    room = length - (bos is not None)
+    parts = [ahead, *docs]
+    all_ = np.concatenate([np.asarray(t, np.int64) for t, _ in parts])
+    space = np.concatenate([np.asarray(s, bool) for _, s in parts])
+    strong, weak, spaced = np.isin(all_, [eos, *newlines]), np.isin(all_, list(ends)), space.copy()
+    spaced[:-1] |= space[1:]
+    index = np.arange(len(all_))
+    last_end = np.maximum.accumulate(np.where(strong | weak & spaced, index, -1)) if len(all_) else index
+    c, total = len(ahead[0]), len(all_)
+    have = c + np.cumsum([len(t) for t, _ in docs])
+    boundary = np.zeros(total + 1, bool)
+    boundary[have] = True
+    carried = np.arange(min(room - 1, c) + 1)
+    at, doc, n, which = c - carried, np.full(len(carried), -1), np.zeros(len(carried), np.int64), carried.copy()
+    turn = 0
+    while (total - at >= room).any():
+        go = total - at >= room
+        end = np.minimum(at + room, total)
+        of = np.searchsorted(have, end)
+        cut = np.where(boundary[end] & weak[end - 1], end - 1, last_end[end - 1])
+        stop = np.where(cut >= at, cut + 1, end)
+        if bos is not None and (bos == eos or bos in newlines):
+            stop = np.where(cut >= at, stop, at)
+        counts = (stop - at + (bos is not None) > 1) | keep_singletons
+        now = np.where(of == doc, n, 0) + counts
+        stop = np.where(now > most, have[np.minimum(of, len(have) - 1)], stop)
+        at, doc, n = np.where(go, stop, at), np.where(go, of, doc), np.where(go, now, n)
+        turn += 1
+        if turn % 8 == 0 and len(at) > 1:
+            states, back = np.unique(np.stack([at, doc, n]), axis=1, return_inverse=True)
+            (at, doc, n), which = states, back.ravel()[which]
+    out = np.zeros(room, np.int32)
+    out[carried] = (total - at)[which]
+    return out
+
+
 def pack_sentences(encoded: DataFrame, length: int, eos: int, ends: list[int], newlines: list[int] = (), bos: int | None = None, docs_per_stream: int = 10_000, most: int = 2000, flush_tail: bool = False, keep_singletons: bool = False) -> DataFrame:
     """domain, stream, seq, tokens, padding from encoded (doc_id, domain, tokens ARRAY<INT>, spaced ARRAY<BOOLEAN>).
 
     Packing is a fold over a domain's documents in order. To keep any domain, however large, from being one task's work,
-    it is cut into streams of so many documents, and a stream opens with what the one before it left over. All streams
-    are folded at once, those whose opening was another than assumed (at first: nothing) again, until none is left: each
-    round settles one more stream of a domain at least, and nearly all at once where sentences end, as a later cut does
-    not depend on where the stream began.
+    it is cut into streams of so many documents, and a stream opens with what the one before it left over. What a stream
+    leaves is a function of how much it opens with, less than a chunk: a small table, found for all streams at once
+    (leftovers). Tables are composed over blocks of streams and the blocks' over the domain, which gives every stream
+    its opening; then all streams are folded at once. So the number of passes is fixed, whatever the texts are like.
     """
+    room, block = length - (bos is not None), 1000
     ranked = prefix_sum(encoded, F.lit(1).cast("long"), ["doc_id"], "_at", ["domain"])
     ranked = ranked.withColumn("stream", F.floor(F.col("_at") / docs_per_stream).cast("int")).select("domain", "stream", "_at", "tokens", "spaced")
-    end_set, newline_set = set(ends), frozenset(newlines)
-
-    def folded(rows: pd.DataFrame, flush: bool) -> tuple[list[tuple[list[int], int]], list[int], list[bool]]:
-        rows = rows.sort_values("_at", kind="stable")
-        docs, chunks = list(zip(rows["tokens"], rows["spaced"], strict=True)), []
-        fold = pack_stream(docs, length, eos, end_set, newline_set, bos, most, keep_singletons, flush)
-        while True:
-            try:
-                chunks.append(next(fold))
-            except StopIteration as done:
-                left = done.value
-                break
-        tokens, spaced = [], []
-        for t, s in reversed(docs):
-            if len(tokens) >= left:
-                break
-            tokens, spaced = [*map(int, t), *tokens], [*map(bool, s), *spaced]
-        return chunks, tokens[len(tokens) - left :], spaced[len(spaced) - left :]
-
-    def rest(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, tokens, spaced = folded(rows, False)
-        return pd.DataFrame({"domain": [key[0]], "stream": [int(key[1]) + 1], "_at": [-1], "tokens": [tokens], "spaced": [spaced]})
+    options = (length, eos, set(ends), frozenset(newlines), bos, most, keep_singletons)
+    packed = "domain string, stream int, seq int, tokens array<int>, padding int"
 
     def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        chunks, _, _ = folded(rows, flush_tail and bool(rows["_last"].max()))
+        rows = rows.sort_values("_at", kind="stable")
+        flush = flush_tail and bool(rows["_last"].max())
+        chunks = list(pack_stream(list(zip(rows["tokens"], rows["spaced"], strict=True)), *options, flush))
         return pd.DataFrame({"domain": key[0], "stream": key[1], "seq": range(len(chunks)), "tokens": pd.Series([c for c, _ in chunks], dtype=object), "padding": [p for _, p in chunks]})
 
-    kind = "domain string, stream int, _at long, tokens array<int>, spaced array<boolean>"
-    lasts = ranked.groupBy("domain").agg(F.max("stream").alias("_end"))
-    if not lasts.filter("_end > 0").head(1):
-        return ranked.withColumn("_last", F.lit(True)).groupBy("domain", "stream").applyInPandas(fold, "domain string, stream int, seq int, tokens array<int>, padding int")
-    ranked = stored(ranked)
-    lasts = stored(ranked.groupBy("domain").agg(F.max("stream").alias("_end")))
-
-    def openings(rows: DataFrame) -> DataFrame:
-        """What the streams in rows leave to those that follow them."""
-        return rows.groupBy("domain", "stream").applyInPandas(rest, kind).join(lasts, "domain").filter("stream <= _end").drop("_end")
-
-    now = stored(openings(ranked))
-    change = now.filter(F.size("tokens") > 0)
-    while change.head(1):
-        again = ranked.join(change.select("domain", "stream"), ["domain", "stream"], "left_semi")
-        new = openings(again.unionByName(change))
-        then = stored(now.join(new.select("domain", "stream", F.struct("tokens", "spaced").alias("_new")), ["domain", "stream"], "left").select("domain", "stream", "_at", *(F.when(F.col("_new").isNull(), F.col(c)).otherwise(F.col(f"_new.{c}")).alias(c) for c in ("tokens", "spaced")), (F.col("_new").isNotNull() & (F.struct("tokens", "spaced") != F.col("_new"))).alias("_differs")))
-        now, change = then.drop("_differs"), then.filter("_differs").drop("_differs")
-    whole = ranked.unionByName(now).join(lasts, "domain").withColumn("_last", F.col("stream") == F.col("_end")).drop("_end")
-    return whole.groupBy("domain", "stream").applyInPandas(fold, "domain string, stream int, seq int, tokens array<int>, padding int")
+    if not ranked.filter("stream > 0").head(1):
+        return ranked.withColumn("_last", F.lit(True)).groupBy("domain", "stream").applyInPandas(fold, packed)
+
+    # a document without tokens adds nothing; the domain stands as text that is never null
+    ranked = stored(ranked.filter(F.size("tokens") > 0).withColumn("_d", F.to_json(F.struct("domain"))))
+    ends_of = lambda c: F.slice(c, F.greatest(F.size(c) - (room - 2), F.lit(1)), F.lit(max(1, room - 1)))
+    backwards = Window.partitionBy("_d", "stream").orderBy(F.desc("_at"))
+    late = ranked.withColumn("_n", F.row_number().over(backwards)).filter(F.col("_n") < max(2, room)).select("_d", "stream", F.struct("_at", ends_of("tokens").alias("t"), ends_of("spaced").alias("s")).alias("_x"))
+    listed = late.groupBy("_d", "stream").agg(F.array_sort(F.collect_list("_x")).alias("_x"))
+    joined = lambda xs, f: ends_of(F.flatten(F.transform(xs, lambda x: x[f])))
+    tails = stored(listed.select("_d", "stream", joined("_x", "t").alias("t"), joined("_x", "s").alias("s")))
+    lasts = tails.groupBy("_d").agg(F.max("stream").alias("_end"))
+    # what lies ahead of a stream is the end of the one before it, or of several where one has too few tokens
+    short = tails.join(lasts, "_d").filter((F.col("stream") < F.col("_end")) & (F.size("t") < room - 1)).head(1)
+    before = Window.partitionBy("_d").orderBy("stream").rowsBetween(-(room if short else 1), -1)
+    ahead = tails.select("_d", "stream", F.collect_list(F.struct("t", "s")).over(before).alias("_x")).select("_d", "stream", joined("_x", "t").alias("t"), joined("_x", "s").alias("s"))
+    ahead = stored(ahead)
+
+    def table(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_at", kind="stable")
+        docs = list(zip(rows["tokens"], rows["spaced"], strict=True))
+        head, docs = (docs[0], docs[1:]) if rows["_at"].iloc[0] < 0 else (([], []), docs)
+        return pd.DataFrame({"_d": [key[0]], "stream": [key[1]], "table": [leftovers(docs, head, *options).tobytes()]})
+
+    opened = ranked.select("_d", "stream", "_at", "tokens", "spaced").unionByName(ahead.select("_d", "stream", F.lit(-1).cast("long").alias("_at"), F.col("t").alias("tokens"), F.col("s").alias("spaced")))
+    tables = stored(opened.groupBy("_d", "stream").applyInPandas(table, "_d string, stream int, table binary").withColumn("block", F.floor(F.col("stream") / block).cast("int")))
+
+    def steps(rows: pd.DataFrame, by: str) -> list[tuple[int, np.ndarray]]:
+        rows = rows.sort_values(by)
+        return [(int(k), np.frombuffer(x, np.int32)) for k, x in zip(rows[by], rows["table"], strict=True)]
+
+    def compose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = np.arange(room, dtype=np.int32)
+        for _, step in steps(rows, "stream"):
+            out = step[out]
+        return pd.DataFrame({"_d": [key[0]], "block": [key[1]], "table": [out.tobytes()]})
+
+    def scan(by: str):
+        def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            now, out = int(rows["_from"].iloc[0]), []
+            for k, step in steps(rows, by):
+                out.append((key[0], k, now))
+                now = int(step[now])
+            return pd.DataFrame(out, columns=["_d", by, "_from"])
+
+        return run
+
+    blocks = tables.groupBy("_d", "block").applyInPandas(compose, "_d string, block int, table binary").withColumn("_from", F.lit(0))
+    firsts = blocks.groupBy("_d").applyInPandas(scan("block"), "_d string, block int, _from int")
+    froms = tables.join(firsts, ["_d", "block"]).groupBy("_d", "block").applyInPandas(scan("stream"), "_d string, stream int, _from int")
+    opening = ahead.join(froms, ["_d", "stream"]).filter("_from > 0").select("_d", "stream", *(F.slice(c, F.size(c) - F.col("_from") + 1, F.col("_from")).alias(name) for c, name in (("t", "tokens"), ("s", "spaced"))))
+    whole = ranked.drop("domain").unionByName(opening.withColumn("_at", F.lit(-1).cast("long"))).join(lasts, "_d")
+    whole = whole.withColumn("_last", F.col("stream") == F.col("_end")).withColumn("domain", F.from_json("_d", "domain string")["domain"])
+    return whole.select("domain", "stream", "_at", "tokens", "spaced", "_last").groupBy("domain", "stream").applyInPandas(fold, packed)
 
 
 def pack_stats(packed: DataFrame, encoded: DataFrame, length: int, by: str = "domain") -> DataFrame:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.order import new_path
+
 
 def top_k(probs: DataFrame, k: int) -> DataFrame:
     """idx, pos, token_id, p, rank of the k likeliest tokens at each position, not renormalised; ties to the lower id."""
@@ -127,6 +129,31 @@ def kd_losses_of_rows(teacher: DataFrame, student: DataFrame, mask: DataFrame) -
     return at.groupBy("idx").agg(mean("_x").alias("kd"), mean("_e").alias("entropy"))
 
 
+def co_located(rows: DataFrame, name: str, buckets: int, key: str = "idx") -> DataFrame:
+    """rows as a table in buckets of key, each one sorted file, in the shared folder: tables with as many buckets meet
+    without a shuffle, as often as they are joined; the sort that Spark still plans finds its rows in order."""
+    path = new_path(rows.sparkSession, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    rows.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return rows.sparkSession.table(table)
+
+
+def cached_losses(cache: DataFrame, student: DataFrame) -> DataFrame:
+    """idx, kd, entropy of a written cache (idx, entries: to_cache) against student (idx, logq: an array over the vocabulary
+    for each position, mask: one number for each position). A sequence's positions are one row on both sides, so nothing is
+    grouped; co_located() tables are joined in place. A position without entries adds nothing; a sequence that the
+    cache lacks, or without a masked-in position, has null."""
+    both = student.join(cache.select("idx", "entries").hint("merge"), "idx", "left")
+
+    def mean(term) -> Column:
+        at = lambda e: F.coalesce(F.get("mask", e["pos"]), F.lit(0)) * term(e)
+        total = F.aggregate("mask", F.lit(0.0), lambda s, m: s + m)
+        return -F.try_divide(F.aggregate("entries", F.lit(0.0), lambda s, e: s + at(e)), total)
+
+    own = lambda e: F.aggregate(e["e"], F.lit(0.0), lambda s, x: s + F.when(x["p"] > 0, x["p"].cast("double") * F.ln(x["p"].cast("double"))).otherwise(0.0))
+    return both.select("idx", mean(lambda e: _against(e["e"], F.get("logq", e["pos"]))).alias("kd"), mean(own).alias("entropy"))
+
+
 def entropy(teacher: DataFrame, mask: DataFrame) -> DataFrame:
     """idx, entropy: kd_loss of the teacher against itself."""
     return kd_loss(teacher, teacher.select("idx", "pos", "token_id", F.ln("p").alias("logq")), mask).withColumnRenamed("kd", "entropy")

@@ -86,7 +86,12 @@ def prefix_sum(df: DataFrame, value: Column, order: list[Column | str], name: st
     bases = keyed.groupBy(*by, "_range").agg(F.sum("_v").alias("_t")).withColumn("_base", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
     inside = Window.partitionBy(*by, "_range").orderBy("_k", *order[1:]).rowsBetween(Window.unboundedPreceding, -1)
     summed = keyed.withColumn("_in", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
-    return summed.join(bases, [*by, "_range"]).withColumn(name, F.col("_base") + F.col("_in")).drop("_k", "_v", "_range", "_base", "_in")
+    # a null group is one like the others
+    bases = bases.select(*(F.col(c).alias(f"_prefix_by{i}") for i, c in enumerate(by)), F.col("_range").alias("_prefix_range"), "_base")
+    same = F.col("_range") == F.col("_prefix_range")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_prefix_by{i}"))
+    return summed.join(bases, same).withColumn(name, F.col("_base") + F.col("_in")).drop("_k", "_v", "_range", "_prefix_range", "_base", "_in", *(f"_prefix_by{i}" for i in range(len(by))))
 
 
 def row_number(df: DataFrame, order: list[Column | str], name: str = "idx", by: list[str] | None = None, n: int | None = None) -> DataFrame:

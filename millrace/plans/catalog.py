@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import schedules
 from millrace.functions import text as X
-from millrace.operators import batching, corpus, distill, evaluation, inference, retokenize, selection, sequences, shuffle, vocabulary
+from millrace.operators import batching, corpus, distill, evaluation, inference, retokenize, selection, sequences, shuffle, udtf, vocabulary
 from millrace.operators.order import new_path, prefix_sum, row_number, seeded, stored
 from millrace.sources import binidx, files
 from millrace.streaming import incremental
@@ -181,12 +181,24 @@ c as (select domain, rank, a, stop from n where a = 0 union all
 k as (select domain, cast(rank // 10000 as int) as stream, a, cast(stop - a as int) as n_tokens from c where stop - a > 1)
 select domain, stream, cast(row_number() over (partition by domain, stream order by a) - 1 as int) as seq, n_tokens, {PACK} - n_tokens as padding from k""")
 def pack_sentences(spark, sf_dir):
+    out = corpus.pack_sentences(piece_codes(spark, sf_dir), PACK, eos=0, ends=[33, 46, 59, 63], newlines=[10])
+    return out.select("domain", "stream", "seq", F.size("tokens").alias("n_tokens"), "padding")
+
+
+def piece_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, domain, tokens, spaced: each piece of a text as the code of its last character, and an end."""
     docs = table(spark, sf_dir, "documents")
     pieces = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\s?[A-Za-z0-9]+|[^A-Za-z0-9]"), F.lit(0))
     e = docs.select("doc_id", F.col("source").alias("domain"), F.array_append(pieces, F.lit("")).alias("p"))
-    e = e.select("doc_id", "domain", F.transform("p", lambda t: F.when(t == "", 0).otherwise(F.ascii(F.right(t, F.lit(1))))).alias("tokens"), F.transform("p", lambda t: F.contains(t, F.lit(" "))).alias("spaced"))
-    out = corpus.pack_sentences(e, PACK, eos=0, ends=[33, 46, 59, 63], newlines=[10])
-    return out.select("domain", "stream", "seq", F.size("tokens").alias("n_tokens"), "padding")
+    return e.select("doc_id", "domain", F.transform("p", lambda t: F.when(t == "", 0).otherwise(F.ascii(F.right(t, F.lit(1))))).alias("tokens"), F.transform("p", lambda t: F.contains(t, F.lit(" "))).alias("spaced"))
+
+
+@query(ORACLES["pack_sentences"].split("select domain, stream, cast(row_number()")[0] + f"select domain, cast(row_number() over (partition by domain order by a) - 1 as int) as seq, n_tokens, {PACK} - n_tokens as padding from k")
+def pack_sentences_in_sql(spark, sf_dir):
+    """The same chunks from a SQL statement."""
+    udtf.register(spark)
+    piece_codes(spark, sf_dir).createOrReplaceTempView("piece_codes")
+    return spark.sql(f"select domain, seq, size(tokens) as n_tokens, padding from pack_sentences(table(piece_codes) partition by domain order by (doc_id), {PACK}, 0, array(33, 46, 59, 63), array(10))")
 
 
 _LENGTHS = f"l as (select doc_id as idx, len({TOKENS}) as n, {IDS} as t from documents)"
@@ -606,6 +618,34 @@ def json_lines(spark, sf_dir):
     return docs.groupBy("domain").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"), F.min(F.md5("text")).alias("least"), F.max(F.md5("text")).alias("most"))
 
 
+def source_parts(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The documents as JSON lines, a part for each source, in the seeded order of the parts' names."""
+    path = new_path(spark, "parts")
+    docs = table(spark, sf_dir, "documents")
+    docs.select("text", F.struct(F.col("source").alias("pile_set_name")).alias("meta"), F.concat(F.lit("of-"), "source").alias("part")).write.partitionBy("part").json(path)
+    return files.file_list(spark, path)
+
+
+_PARTS = "p as (select source, count(*) as docs, sum(length(text))::bigint as chars, row_number() over (order by md5('233:part=of-' || source)) - 1 as place from documents group by source)"
+
+
+@query(f"with {_PARTS} select case when place < 2 then 'first' when place < 5 then 'second' else 'rest' end as part, cast(place as int) as place, source as domain, docs, chars from p")
+def file_ranges(spark, sf_dir):
+    """An ordered list of files in three ranges, as workers would take them; a range opens its own files alone."""
+    parts = source_parts(spark, sf_dir)
+    ranges = (("first", 0, 2), ("second", 2, 5), ("rest", 5, None))
+    each = [files.corpus_of(spark, parts, a, b).select(F.lit(name).alias("part"), "place", "domain", "text") for name, a, b in ranges]
+    return each[0].union(each[1]).union(each[2]).groupBy("part", "place", "domain").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"))
+
+
+@query(f"with {_PARTS}, s as (select *, coalesce(sum(docs) over (order by place rows between unbounded preceding and 1 preceding), 0) as before, sum(docs) over () as total from p) select cast(place as int) as place, source as domain, docs from s where before < total * 2 // 5")
+def files_until_enough(spark, sf_dir):
+    """Files in their order until they hold two fifths of the documents, as many shards as are wanted; the rest stays closed."""
+    parts = source_parts(spark, sf_dir)
+    n, _ = files.enough_parts(spark, parts, table(spark, sf_dir, "documents").count() * 2 // 5)
+    return files.corpus_of(spark, parts, 0, n).groupBy("place", "domain").agg(F.count("*").alias("docs"))
+
+
 @query("select count(*) as n, min(i) as low, max(i) as high, count(distinct i) as ids from (select row_number() over (order by doc_id) - 1 as i from documents)")
 def numbered_lines(spark, sf_dir):
     path = new_path(spark, "corpus")
@@ -746,6 +786,18 @@ def drawn_token_counts(spark, sf_dir):
     return distill.draw(dense, 50).select("idx", "token_id", "count")
 
 
+@query(f"with {_KD} select idx, round(kd, 5) as kd, round(ent, 5) as entropy from kd")
+def offline_losses(spark, sf_dir):
+    """Losses against a written cache of floats, which meets the student's rows bucket by bucket."""
+    rows = table(spark, sf_dir, "embeddings")
+    n = rows.count()
+    entries = sparse_rows(spark, sf_dir).select("idx", "pos", F.explode("entries").alias("e")).select("idx", "pos", "e.*")
+    cache = distill.co_located(distill.to_cache(entries, 64), "cache", 16)
+    student = rows.select(F.pmod(F.col("vec_id") - 1, F.lit(n)).alias("idx"), F.array(X.log_softmax(F.col("embedding"))).alias("logq"), F.array(F.lit(1)).alias("mask"))
+    losses = distill.cached_losses(cache, distill.co_located(student, "student", 16))
+    return rounded(losses, "kd", "entropy", digits=5)
+
+
 @query(f"with {_KD} select idx, cast(idx // 64 as int) as shard_id, cast(token_id as int) as token_id, round(cast(cast(p as float) as double), 6) as p from t5")
 def sparse_cache(spark, sf_dir):
     entries = sparse_rows(spark, sf_dir).select("idx", "pos", F.explode("entries").alias("e")).select("idx", "pos", "e.*")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import order, selection, shuffle
+from millrace.operators import corpus, order, selection, shuffle
 
 
 def counts(df, name="_range"):
@@ -80,3 +80,48 @@ def test_order_without_a_shuffle(spark):
     assert shuffle.rows_from(spark, 50, 3, 3, 0).count() == 0 and shuffle.rows_from(spark, 0, 3, 0, 0).count() == 0
     out = rows.select(shuffle.place_of(F.col("idx") - 10, 5, 1, F.lit(0)).alias("p")).collect()
     assert [r.p is None for r in out] == [not 10 <= i < 15 for i in range(50)]
+
+
+@pytest.mark.parametrize("kind", ["ends", "none", "empty", "long"])
+@pytest.mark.parametrize("options", [{}, {"bos": 3}, {"keep_singletons": True, "flush_tail": True}, {"most": 2}])
+def test_leftovers_are_what_the_fold_leaves(kind, options):
+    """For every opening, as many tokens are left as the fold of the opening and the documents leaves."""
+    rng = np.random.default_rng(len(kind) + len(options))
+    size = {"ends": (1, 40), "none": (1, 40), "empty": (0, 3), "long": (200, 300)}[kind]
+    eos = 0 if kind != "none" else 99
+    docs = [([int(x) for x in rng.integers(1, 30, rng.integers(*size))] + ([0] if kind == "ends" else []), None) for _ in range(30)]
+    docs = [(t, [x % 3 == 0 for x in t]) for t, _ in docs]
+    ahead = [int(x) for x in rng.integers(1, 30, 15)]
+    ahead = (ahead, [x % 3 == 0 for x in ahead])
+    rest = {k: v for k, v in options.items() if k != "flush_tail"}
+    got = corpus.leftovers(docs, ahead, 16, eos, {7, 9}, frozenset([11]), **rest)
+    for n in range(16 - ("bos" in options)):
+        opening = (ahead[0][15 - n :], ahead[1][15 - n :])
+        fold = corpus.pack_stream([opening, *docs], 16, eos, {7, 9}, frozenset([11]), **rest)
+        while True:
+            try:
+                next(fold)
+            except StopIteration as end:
+                assert got[n] == end.value
+                break
+
+
+@pytest.mark.parametrize("kind", ["ends", "none", "sparse"])
+def test_streams_pack_as_one_fold(spark, kind):
+    """Whatever the texts are like, cutting a domain into streams changes no chunk, and takes as many jobs."""
+    rng = np.random.default_rng(5)
+    docs = []
+    for i in range(260):
+        n = int(rng.integers(0, 3)) if kind == "sparse" else int(rng.integers(0, 30))
+        t = [int(x) for x in rng.integers(12, 40, n)] + ([0] if kind == "ends" and i % 3 else [])
+        docs.append((i, f"d{i % 2}" if i % 9 else None, t, [x % 3 == 0 for x in t]))
+    frame = spark.createDataFrame(docs, "doc_id long, domain string, tokens array<int>, spaced array<boolean>")
+    want = {}
+    for d in ("d0", "d1", None):
+        rows = [(t, s) for _, x, t, s in docs if x == d]
+        want[d] = [c for c in corpus.pack_stream(rows, 16, 0, {13, 15}, frozenset([17]), flush_tail=True)]
+    got = corpus.pack_sentences(frame, 16, 0, [13, 15], [17], docs_per_stream=5, flush_tail=True).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (r.stream, r.seq)):
+        by.setdefault(r.domain, []).append((r.tokens, r.padding))
+    assert by == want
