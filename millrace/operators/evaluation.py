@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,28 @@ def log_lines(log: DataFrame) -> DataFrame:
     return log.groupBy("step").agg(F.array_join(F.array_sort(F.collect_list(item)), " | ").alias("line"))
 
 
+def at_checkpoints(log: DataFrame, interval: int) -> DataFrame:
+    """step, name, mean, n: for each checkpoint that a log (step, name, value) reaches, every `interval` steps, what was
+    logged since the one before it, that step included."""
+    reached = log.agg(F.max("step")).first()[0]
+    steps = checkpoints(log.sparkSession, interval, reached if reached is not None else 0, interval)
+    since = log.withColumn("_c", (F.ceil(F.col("step") / interval) * interval).cast("long")).withColumn("_c", F.greatest("_c", F.lit(interval).cast("long")))
+    means = since.groupBy("_c", "name").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
+    return means.join(steps, F.col("_c") == F.col("step")).select("step", "name", "mean", "n")
+
+
+def write_evals(preds: DataFrame, results: DataFrame, path: str) -> None:
+    """Predictions and results (step, ...) of evaluations below path, a folder for each step; steps that are there already
+    are replaced, others stay."""
+    for name, table in (("preds", preds), ("results", results)):
+        table.repartition("step").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("step").parquet(f"{path}/eval/{name}")
+
+
+def read_evals(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The predictions and results of all steps."""
+    return spark.read.parquet(f"{path}/eval/preds"), spark.read.parquet(f"{path}/eval/results")
+
+
 def checkpoints(spark, first: int, last: int, interval: int, inclusive: bool = True) -> DataFrame:
     """step: the checkpoints that an evaluation visits."""
     return spark.range(first, last + (1 if inclusive else 0), interval).withColumnRenamed("id", "step")
@@ -45,3 +67,19 @@ def answers(rows: DataFrame, sidecar: DataFrame | None = None) -> DataFrame:
         return rows
     other = sidecar.select("idx", F.col("output").alias("_o"))
     return rows.join(other, "idx", "left").withColumn("output", F.coalesce("_o", "output")).drop("_o")
+
+
+def label_map(rows: DataFrame, first: Column) -> DataFrame:
+    """token, answer: which answer begins with a token, by the first answers of rows (idx, output ARRAY<STRING>); first is
+    an expression over `answer`. Of several answers with one first token the last row's counts; rows without an answer, or
+    whose answer has no token, have none."""
+    each = rows.select("idx", F.get("output", F.lit(0)).alias("answer")).withColumn("token", first)
+    return each.filter("token is not null").groupBy("token").agg(F.max_by("answer", "idx").alias("answer"))
+
+
+def capped(rows: DataFrame, most: int | None) -> DataFrame:
+    """The first rows (idx from 0), at most so many; none at all is an error."""
+    out = rows if most is None else rows.filter(F.col("idx") < most)
+    if not out.head(1):
+        raise ValueError("no rows")
+    return out

@@ -873,20 +873,54 @@ def macro_average(spark, sf_dir):
     return rounded(evaluation.macro_average(e), "accuracy")
 
 
-@query("""select step, round(case when step < 100 then 0.001 * step / 100 else 0.00001 + 0.00099 * 0.5 * (1 + cos(pi() * (step - 100) / 900.0)) end, 12) as cosine,
+@query("""select event_id, step, round(case when step < 100 then 0.001 * step / 100 else 0.00001 + 0.00099 * 0.5 * (1 + cos(pi() * (step - 100) / 900.0)) end, 12) as cosine,
 round(case when step < 100 then 0.001 * step / 100 else 0.001 * (1 - (step - 100) / 900.0) end, 12) as linear,
 round(case when step < 100 then 0.001 * step / 100 else 0.001 end, 12) as constant,
 round(case when step < 100 then 0.001 * step / 100 else (0.001 - 0.0000001) * pow(1 - (step - 100) / 900.0, 0.5) + 0.0000001 end, 12) as noam
-from (select unnest(range(1001)) as step)""")
-def lr_schedules(spark, sf_dir):
-    s, steps = F.col("step"), evaluation.checkpoints(spark, 0, 1000, 1)
-    out = steps.select("step", schedules.cosine(s, 0.001, 0.00001, 1000, 100).alias("cosine"), schedules.linear(s, 0.001, 0.0, 1000, 100).alias("linear"), schedules.constant(s, 0.001, 100).alias("constant"), schedules.polynomial(s, 0.001, 1e-7, 1000, 100).alias("noam"))
+from (select event_id, event_id % 1001 as step from events)""")
+def rates_at_events(spark, sf_dir):
+    """The learning rates of each event's step, a thousand steps and one to a run."""
+    s, steps = F.col("step"), table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 1001).alias("step"))
+    out = steps.select("event_id", "step", schedules.cosine(s, 0.001, 0.00001, 1000, 100).alias("cosine"), schedules.linear(s, 0.001, 0.0, 1000, 100).alias("linear"), schedules.constant(s, 0.001, 100).alias("constant"), schedules.polynomial(s, 0.001, 1e-7, 1000, 100).alias("noam"))
     return rounded(out, "cosine", "linear", "constant", "noam", digits=12)
 
 
-@query("select unnest(range(5000, 100001, 5000)) as step")
-def checkpoint_steps(spark, sf_dir):
-    return evaluation.checkpoints(spark, 5000, 100_000, 5000)
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), F.col("event_type").alias("name"), "value")
+
+
+@query("""with e as (select greatest(ceil(event_id / 500.0) * 500, 500)::bigint as step, event_type as name, value from events)
+select step, name, round(avg(value), 6) as mean, count(*) as n from e where step <= (select max(event_id) from events) group by all""")
+def metrics_at_checkpoints(spark, sf_dir):
+    return rounded(evaluation.at_checkpoints(event_log(spark, sf_dir), 500), "mean")
+
+
+@query("""select event_id // 500 as step, event_type as name, count(*) as preds, round(avg(value), 6) as mean from events group by all""")
+def evaluation_outputs(spark, sf_dir):
+    """Predictions and results of each step, written in folders of their own and read back."""
+    preds = event_log(spark, sf_dir).withColumn("step", F.floor(F.col("step") / 500))
+    path = new_path(spark, "evals")
+    evaluation.write_evals(preds, preds.groupBy("step", "name").agg(F.avg("value").alias("mean")), path)
+    preds, results = evaluation.read_evals(spark, path)
+    counts = preds.groupBy("step", "name").agg(F.count("*").alias("preds"))
+    return rounded(counts.join(results, ["step", "name"]).select(F.col("step").cast("long").alias("step"), "name", "preds", "mean"), "mean")
+
+
+@query(f"select token, max_by(text, idx) as answer from (select conv_id * 1000 + turn as idx, text, {TOKENS}[1] as token from conversations) where token is not null group by token")
+def answer_labels(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    rows = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), F.array("text").alias("output"))
+    return evaluation.label_map(rows, F.get(X.tokenize(F.col("answer")), F.lit(0)))
+
+
+@query(f"""with {SCORES}, p as ({_report_sql()}), t as (select p.report, idx, printf('##### %s | idx %d | score %.4f #####', p.report, idx, diff) || chr(10) || text || chr(10) as line from p join s using (idx) join documents on doc_id = idx where text is not null)
+select report, count(*) as n, md5(string_agg(md5(line), '' order by idx, md5(line))) as digest from t group by report""")
+def report_texts(spark, sf_dir):
+    """The reports as blocks of text; a digest of each report's blocks."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), "text")
+    lines = selection.report_lines(selection.reports(scored(spark, sf_dir), "diff"), docs.filter("text is not null"))
+    parts = lines.select(F.regexp_extract("value", r"^##### (\S+) \|", 1).alias("report"), F.regexp_extract("value", r"\| idx (\d+) \|", 1).cast("long").alias("idx"), F.md5("value").alias("m"))
+    return parts.groupBy("report").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("idx", "m"))).alias("_l")).select("report", "n", F.md5(F.array_join(F.transform("_l", lambda x: x["m"]), "")).alias("digest"))
 
 
 @query(r"select conv_id, turn, replace(trim(regexp_replace(text, '\s+$|^\s+', '', 'g')), 'a', chr(10)) as prompt from conversations")

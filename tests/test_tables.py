@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import corpus, distill, udtf
+from millrace.operators import corpus, distill, evaluation, udtf
 from millrace.sources import files
 
 
@@ -117,3 +117,31 @@ def test_no_more_parts_than_are_needed(spark, tmp_path, monkeypatch):
     files.enough_parts(spark, order, held[0])
     assert opened == [(0, 1)]
     assert files.enough_parts(spark, order, 10**6, F.length("text"))[0] == 4
+
+
+def test_evaluations_of_a_step_are_replaced(spark, tmp_path):
+    path = str(tmp_path)
+    for offset in (0, 100):
+        preds = spark.range(6).select(F.when(F.lit(offset) == 0, F.col("id") % 3).otherwise(F.lit(1)).alias("step"), (F.col("id") + offset).alias("pred"))
+        evaluation.write_evals(preds, preds.groupBy("step").agg(F.max("pred").alias("best")), path)
+    preds, results = evaluation.read_evals(spark, path)
+    assert {(r.step, r.best) for r in results.collect()} == {(0, 3), (1, 105), (2, 5)} and sorted(r.pred for r in preds.collect()) == [0, 2, 3, 5, 100, 101, 102, 103, 104, 105]
+
+
+def test_labels_by_first_token(spark):
+    rows = spark.createDataFrame([(0, ["yes", "no"]), (1, ["yes sir"]), (2, ["no"]), (3, [""]), (4, []), (5, None)], "idx long, output array<string>")
+    got = {r.token: r.answer for r in evaluation.label_map(rows, F.get(F.split("answer", " "), F.lit(0))).collect()}
+    assert got == {"yes": "yes sir", "no": "no", "": ""}
+
+
+def test_capped_rows(spark):
+    rows = spark.range(5).withColumnRenamed("id", "idx")
+    assert [evaluation.capped(rows, n).count() for n in (None, 2, 9)] == [5, 2, 5]
+    with pytest.raises(ValueError, match="no rows"):
+        evaluation.capped(rows, 0)
+
+
+def test_means_at_checkpoints(spark):
+    log = spark.createDataFrame([(s, "loss", float(s)) for s in (0, 1, 10, 11, 20, 25)], "step long, name string, value double")
+    assert sorted(map(tuple, evaluation.at_checkpoints(log, 10).collect())) == [(10, "loss", 11 / 3, 3), (20, "loss", 15.5, 2)]
+    assert evaluation.at_checkpoints(log.limit(0), 10).count() == 0
