@@ -1,8 +1,9 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule is a predicate over a text that says whether to reject it. On a bounded sample the cascade measures what a
-rule costs and how many texts it rejects, then asks the rules in order of rejection per cost; the first that rejects
-ends the work on a text. The order changes the cost only, never the verdict. Everything is a Spark SQL expression.
+rule costs, and which texts it rejects; the next rule asked is always the one that rejects most per cost of the texts
+that are left then. The first that rejects ends the work on a text. The order changes the cost only, never the verdict.
+Everything is a Spark SQL expression.
 """
 
 from __future__ import annotations
@@ -76,47 +77,66 @@ class Rule:
     rejects: Column  # over the text alone; null counts as no
 
 
-def rules(text: str = "text") -> list[Rule]:
-    """The production rules. Thresholds reject what can hardly be prose and leave unusual prose alone."""
+def rules(text: str = "text", counted: bool = False) -> list[Rule]:
+    """The production rules. Thresholds reject what can hardly be prose and leave unusual prose alone. counted: the rows
+    have the columns of base(), which are used instead of counting again."""
     t = F.coalesce(F.col(text), F.lit(""))
-    n = n_words(t)
+    n, chars, symbols = (F.col(c) if counted else f(t) for c, f in (("n_words", n_words), ("word_chars", word_chars), ("n_symbols", n_symbols)))
+    repeated = 100 * F.col("n_repeat_words") > 50 * n if counted else let(words(t), lambda w: 100 * n_repeat_words(w) > 50 * F.size(w))
+    if counted:  # lines are only counted where one is repeated
+        dup = (F.col("n_dup_lines") > 0) & (100 * F.col("n_dup_lines") > 60 * F.size(lines(t)))
+    else:
+        dup = let(lines(t), lambda x: 100 * (F.size(x) - F.size(F.array_distinct(x))) > 60 * F.size(x))
     return [
-        Rule("few_words", n < 50),
-        Rule("repeated_words", let(words(t), lambda w: 100 * n_repeat_words(w) > 50 * F.size(w))),
-        Rule("symbols", 10 * n_symbols(t) > 3 * n),
-        Rule("word_length", (word_chars(t) < 2 * n) | (word_chars(t) > 20 * n)),
-        Rule("dup_lines", let(lines(t), lambda x: 100 * (F.size(x) - F.size(F.array_distinct(x))) > 60 * F.size(x))),
-        Rule("letters", 2 * F.length(F.regexp_replace(t, r"[^\p{L}]+", "")) < word_chars(t)),
-    ]
-
-
-def measure(docs: DataFrame, rules: list[Rule], most_rows: int = 2_000, seed: int = 42) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds, share rejected) over the first most_rows documents by a seeded hash, best rejection per cost
-    first. The sample is gathered once; without rows the given order stays."""
-    sample = docs.select("text").withColumn("_o", F.xxhash64(F.lit(seed), "text")).orderBy("_o").limit(most_rows).select("text").repartition(1).persist()
-    total = sample.count()
-    out = []
+        Rule("few_words", n < 50), Rule("repeated_words", repeated), Rule("symbols", 10 * symbols > 3 * n), Rule("word_length", (chars < 2 * n) | (chars > 20 * n)), Rule("dup_lines", dup),
+        Rule("letters", 2 * F.length(F.regexp_replace(t, r"[^\p{L}]+", "")) < chars),
+    ]
+
+
+def sample(docs: DataFrame, most_rows: int = 2_000, seed: int = 42) -> DataFrame:
+    """The first most_rows rows of docs (text) by a seeded hash of their text."""
+    return docs.select("text").orderBy(F.xxhash64(F.lit(seed), "text")).limit(most_rows)
+
+
+def measure(rows: DataFrame, rules: list[Rule], after: Column | None = None) -> list[tuple[Rule, float, float]]:
+    """(rule, seconds, share rejected) in the order in which they are asked, on a sample that has the columns they read:
+    each time the rule with the most rejections per cost among the rows that `after` and the rules before it leave; the
+    share is of these. Which rules reject a row is counted by pattern, so the sample is judged once. Without rows, and
+    where nothing is rejected any more, the given order stays."""
+    held = rows.repartition(1).persist()
+    verdicts = [F.coalesce(r.rejects, F.lit(False)) for r in rules]
     try:
-        for rule in rules:
-            verdict = sample.agg(F.sum(F.coalesce(rule.rejects, F.lit(False)).cast("long")))
-            verdict.collect()  # code is compiled and warm before it is timed
+        passed = held if after is None else held.filter(~F.coalesce(after, F.lit(False)))
+        patterns = [(list(r.v), r.n) for r in passed.groupBy(F.array(*verdicts).alias("v")).agg(F.count("*").alias("n")).collect()]  # at most two to the number of rules
+        seconds = []
+        for verdict in verdicts:
+            counted = passed.agg(F.sum(verdict.cast("long")))
+            counted.collect()  # code is compiled and warm before it is timed
             began = time.perf_counter()
-            rejected = verdict.first()[0] or 0
-            out.append((rule, max(1e-4, time.perf_counter() - began), rejected / max(total, 1)))
+            counted.collect()
+            seconds.append(max(1e-4, time.perf_counter() - began))
     finally:
-        sample.unpersist()
-    return sorted(out, key=lambda x: -x[2] / x[1])
-
-
-def cascade(docs: DataFrame, rules: list[Rule], most_rows: int = 2_000, after: Column | None = None) -> DataFrame:
+        held.unpersist()
+    out, left = [], list(range(len(rules)))
+    while left:
+        total = sum(n for _, n in patterns)
+        gone = {i: sum(n for v, n in patterns if v[i]) for i in left}
+        best = max(left, key=lambda i: (gone[i] / seconds[i], -i))
+        out.append((rules[best], seconds[best], gone[best] / max(total, 1)))
+        left.remove(best)
+        patterns = [(v, n) for v, n in patterns if not v[best]]
+    return out
+
+
+def cascade(docs: DataFrame, rules: list[Rule], most_rows: int = 2_000, after: Column | None = None, measured: DataFrame | None = None) -> DataFrame:
     """docs (with text) and rejected_by: the name of a rule that rejects the row, or null for rows to keep.
 
     Which of several rejecting rules is named depends on the measured order; whether one is, does not. after: rows for
-    which it is true are taken as rejected ("before") without asking any rule. Null text is empty; an empty table gives
-    an empty one.
+    which it is true are taken as rejected ("before") without asking any rule. measured: the rows to measure on, where the
+    rules read more than text. Null text is empty; an empty table gives an empty one; a rejected_by in docs is replaced.
     """
     verdict = F.when(after, F.lit("before")) if after is not None else F.when(F.lit(False), F.lit(""))
-    for rule, _, _ in measure(docs, rules, most_rows):
+    for rule, _, _ in measure(sample(docs, most_rows) if measured is None else measured, rules, after):
         verdict = verdict.when(F.coalesce(rule.rejects, F.lit(False)), F.lit(rule.name))
     return docs.withColumn("rejected_by", verdict)
 

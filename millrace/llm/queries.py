@@ -53,8 +53,8 @@ def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     base = quality.base(docs)
     # the base verdict stands for the two rules it is made of
-    others = [r for r in quality.rules() if r.name not in ("few_words", "repeated_words")]
-    out = quality.cascade(base, others, after=F.col("base_failed"))
+    others = [r for r in quality.rules(counted=True) if r.name not in ("few_words", "repeated_words")]
+    out = quality.cascade(base, others, after=F.col("base_failed"), measured=quality.base(quality.sample(docs)))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept"))
 
 
