@@ -1,18 +1,18 @@
-"""Exact substring dedup with a logarithmic family of suffix arrays.
+"""Exact substring dedup with a logarithmic family of sorted tables of sampled strings.
 
 A byte goes if a string of `length` bytes over it also starts earlier, in a document before or in the same one.
 
 1. Texts that equal an earlier one whole are settled by their hashes; only firsts go on.
-2. Of the k-grams in each `length`-byte string one is its anchor (the least by hash, the leftmost of equals), so equal
-   strings have equal anchors at the same place. Anchors are the sampled suffixes; they are dealt by the anchor's hash.
-3. In a part, batches of anchors get a suffix array (sorted by hashed prefix, as only equality matters), are
-   merge-scanned against the arrays of earlier batches, and arrays of about equal size merge, so there are never more
-   than a logarithm of them. Anchors that occur once in the corpus are done with here, without any text.
+2. Of the k-grams in each `length`-byte string one is its anchor (the least by hash, the leftmost of equals), so
+   equal strings have equal anchors at the same place. They are dealt by the hash of the anchor.
+3. In a part, each batch of anchors is a table sorted by hash (no suffix order, as only equality matters), is looked up
+   in the tables of earlier batches, and tables of about equal size merge, so there are never more than a logarithm of
+   them. Anchors that occur once in the corpus are done with here, without any text.
 4. For the others the text around them is dealt by the same hash in document order, and the same family, now over the
    whole `length`-byte strings, tells each string that has come before. Only distinct strings are kept, so a passage
    in a third of all documents takes the room of one.
 
-Strings are compared by 64-bit hashes of their bytes.
+Strings are compared by two hashes of 64 bits of their bytes, anchors, which only choose what is looked at, by one.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from millrace.llm import kernels as K
 
 
-def rolling(data: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k bytes from each place; one for each place that has so many. Eight bytes are taken at once; a hash of
+def rolling(data: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
+    """Hash of the k bytes from each place; one for each place that has so many, another for each salt. Eight bytes are taken at once; a hash of
     twice as many is made of two, the left one mixed, so that it is no sum of powers, in which unequal bytes cancel out."""
     n = len(data) - k + 1
     if n <= 0:
@@ -37,8 +37,8 @@ def rolling(data: np.ndarray, k: int) -> np.ndarray:
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     each = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,)).astype(np.uint64)
     if k < 8:
-        return K.mix(each[:n] & np.uint64((1 << 8 * k) - 1), k)
-    value, width, out, done = K.mix(each, 3), 8, None, 0
+        return K.mix(each[:n] & np.uint64((1 << 8 * k) - 1), k + salt)
+    value, width, out, done = K.mix(each, 3 + salt), 8, None, 0
     while True:
         if k & width:  # the part of this width comes after what is done
             part = value[done : done + n]
@@ -91,6 +91,7 @@ class Family:
 
     def __init__(self):
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.apart: set[tuple[int, int]] = set()
 
     def look(self, keys: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
         """Whether each key (ascending) is known, and where: (level, which keys, index in the level)."""
@@ -103,6 +104,22 @@ class Family:
                 where.append((level, hit, at[hit]))
         return known, where
 
+    def seen(self, keys: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Whether each of distinct pairs, ascending, was there before; those that were not are added. The places of this
+        family are the second numbers; pairs whose first number another one has already are kept apart, as they are few."""
+        known, where = self.look(keys)
+        same = np.zeros(len(keys), bool)
+        for level, hit, at in where:
+            same[hit] = self.levels[level][1][at] == others[hit]
+        free = ~known
+        free[1:] &= keys[1:] != keys[:-1]
+        for i in np.flatnonzero(~same & ~free).tolist():
+            pair = int(keys[i]), int(others[i])
+            same[i] = pair in self.apart
+            self.apart.add(pair)
+        self.insert(keys[free], others[free])
+        return same
+
     def insert(self, keys: np.ndarray, places: np.ndarray) -> None:
         if not len(keys):
             return
@@ -243,16 +260,17 @@ def dedup(docs: DataFrame, length: int = 100, k: int = 32, parts: int | None = N
                     count = size - length + 1
                     begin = np.cumsum(size) - size
                     inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                    key = rolling(data, length)[np.repeat(begin, count) + inner]
+                    places = np.repeat(begin, count) + inner
+                    key, other = rolling(data, length)[places], rolling(data, length, 1000)[places]
                     at = np.repeat(np.concatenate(starts).astype(np.int64), count) + inner
                     of = np.repeat(row, count)
-                    order = np.lexsort((at, of, key))  # rows come in document order
-                    key, at, of = key[order], at[order], of[order]
-                    keys, first, times = np.unique(key, return_index=True, return_counts=True)
-                    known, _ = family.look(keys)
-                    gone = np.repeat(known, times)
-                    gone |= np.arange(len(key)) != np.repeat(first, times)
-                    family.insert(keys[~known], np.zeros(int((~known).sum()), np.int8))
+                    order = np.lexsort((at, of, other, key))  # rows come in document order
+                    key, other, at, of = key[order], other[order], at[order], of[order]
+                    new = np.ones(len(key), bool)
+                    new[1:] = (key[1:] != key[:-1]) | (other[1:] != other[:-1])
+                    first = np.flatnonzero(new)
+                    known = family.seen(key[first], other[first])
+                    gone = np.repeat(known, np.diff(np.append(first, len(key)))) | ~new
                     at, of = at[gone], of[gone]
                     order = np.lexsort((at, of))
                     doc, lo, hi = _runs_of(at[order], of[order], length)

@@ -169,3 +169,21 @@ def test_rolling_hash_is_one_of_the_bytes(k):
     h = suffix_dedup.rolling(data, k).tolist()
     strings = [data[i : i + k].tobytes() for i in range(len(data) - k + 1)]
     assert len(h) == len(strings) and len(set(h)) == len(set(strings)) == len(set(zip(h, strings, strict=True)))
+
+
+def test_strings_of_one_first_hash_are_told_apart():
+    """Pairs that share their first number are as good as others, in a batch and over batches."""
+    rng = np.random.default_rng(2)
+    family, before = suffix_dedup.Family(), set()
+    for _ in range(30):
+        pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 12, (40, 2))})
+        keys, others = (np.array(x, np.uint64) for x in zip(*pairs, strict=True))
+        assert family.seen(keys, others).tolist() == [p in before for p in pairs]
+        before |= set(pairs)
+    assert family.apart and sum(len(k) for k, _ in family.levels) == 12
+
+
+def test_a_second_hash_is_another():
+    data = np.random.default_rng(1).integers(0, 256, 5000).astype(np.uint8)
+    for k in (5, 32, 100):
+        assert (suffix_dedup.rolling(data, k) != suffix_dedup.rolling(data, k, 1000)).mean() > 0.99
