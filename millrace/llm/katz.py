@@ -396,17 +396,23 @@ def _freed(few: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 class Hot:
-    """Contexts that are dealt by their n-grams, added up over the parts: fewer than 2 / `held` of all tokens."""
+    """Contexts that are dealt by their n-grams: fewer than 2 / `held` of all tokens. What each part says of them is added
+    up on the executors; one row a context comes back."""
 
     def __init__(self, table: DataFrame, n: int):
-        got: dict[tuple, np.ndarray] = {}
-        for row in table.filter(F.col("kind") == HOT).select("body").toLocalIterator():
-            *words, total, few, mass = unpack(row[0])
-            for key, t, f, m in zip(zip(*(w.tolist() for w in words), strict=True), total, few.reshape(-1, K), mass, strict=True):
-                got[key] = got.get(key, 0) + np.array([t, *f, m])
-        keys = sorted(got)
-        self.words = [np.array([k[i] for k in keys], np.int64) for i in range(n - 1)]
-        stats = np.array([got[k] for k in keys]).reshape(-1, K + 2)
+        names = [*(f"w{i}" for i in range(n - 1)), "total", *(f"few{i}" for i in range(K)), "mass"]
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for body in batch.column(0):
+                    *words, total, few, mass = unpack(body.as_py())
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*words, total, *few.reshape(-1, K).T, np.asarray(mass, float))], names)
+
+        rows = table.filter(F.col("kind") == HOT).select("body").mapInArrow(spread, ", ".join(f"{x} {'double' if x == 'mass' else 'long'}" for x in names))
+        sums = rows.groupBy(*names[: n - 1]).agg(*(F.sum(x).alias(x) for x in names[n - 1 :])).orderBy(*names[: n - 1]).toArrow()
+        columns = [c.to_numpy() for c in sums.columns]
+        self.words = [c.astype(np.int64) for c in columns[: n - 1]]
+        stats = np.stack([c.astype(float) for c in columns[n - 1 :]], axis=1)
         self.total, self.few = stats[:, 0], stats[:, 1:-1]
         self.base, self.alpha = _logs(self.total, self.few, stats[:, -1])
         self.divisor = self.total + (self.few.sum(axis=1) == 0)
