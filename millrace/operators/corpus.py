@@ -245,7 +245,8 @@ def language_model_scores(docs: DataFrame, every: int = 20, training: DataFrame
     """idx, large, small: mean negative log-likelihood of each document under a unigram model of its own source, and
     under an add-one unigram model learned from all rows of training (text), or else from documents whose doc_id is
     divisible by `every`."""
-    words = docs.select("doc_id", "source", F.explode(tokenize(F.col("text"))).alias("tok")).groupBy("doc_id", "source", "tok").agg(F.count("*").alias("n"))
+    # read for the sources' counts, the reference's and the scores: counted once, and narrow
+    words = stored(docs.select("doc_id", "source", F.explode(tokenize(F.col("text"))).alias("tok")).groupBy("doc_id", "source", "tok").agg(F.count("*").alias("n")))
     own = words.groupBy("source", "tok").agg(F.sum("n").alias("c_own"))
     total = own.groupBy("source").agg(F.sum("c_own").alias("n_own"))
     learned = words.filter(F.col("doc_id") % every == 0) if training is None else training.select(F.explode(tokenize(F.col("text"))).alias("tok")).withColumn("n", F.lit(1).cast("long"))
