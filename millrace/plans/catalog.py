@@ -786,7 +786,7 @@ def drawn_token_counts(spark, sf_dir):
     return distill.draw(dense, 50).select("idx", "token_id", "count")
 
 
-@query(f"with {_KD} select idx, round(kd, 5) as kd, round(ent, 5) as entropy from kd")
+@query(f"with {_KD}, f as (select idx, cast(cast(p as float) as double) as p, lq from pairs) select idx, round(-sum(p * lq), 6) as kd, round(-sum(p * ln(p)), 6) as entropy from f group by idx")
 def offline_losses(spark, sf_dir):
     """Losses against a written cache of floats, which meets the student's rows bucket by bucket."""
     rows = table(spark, sf_dir, "embeddings")
@@ -795,7 +795,7 @@ def offline_losses(spark, sf_dir):
     cache = distill.co_located(distill.to_cache(entries, 64), "cache", 16)
     student = rows.select(F.pmod(F.col("vec_id") - 1, F.lit(n)).alias("idx"), F.array(X.log_softmax(F.col("embedding"))).alias("logq"), F.array(F.lit(1)).alias("mask"))
     losses = distill.cached_losses(cache, distill.co_located(student, "student", 16))
-    return rounded(losses, "kd", "entropy", digits=5)
+    return rounded(losses, "kd", "entropy")
 
 
 @query(f"with {_KD} select idx, cast(idx // 64 as int) as shard_id, cast(token_id as int) as token_id, round(cast(cast(p as float) as double), 6) as p from t5")
