@@ -74,13 +74,14 @@ def test_stages_on_odd_rows(spark, table, request, sf_dir):
 
 def test_registered():
     names = list(__spark_entry__.queries())
-    assert [n.split("_")[0] for n in names if n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)] and "pipeline" in names
+    assert [n.split("_")[0] for n in names if n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)] and "pipeline" in names
     assert __spark_entry__.oracle_sql().keys() <= __spark_entry__.queries().keys()
 
 
 def test_sql_of_the_queries(spark, sf_dir):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from read_parquet('{sf_dir}/documents.parquet')")
+    for t in ("documents", "embeddings", "benchmark"):
+        con.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
     for name, sql in queries.ORACLES.items():
         got = queries.QUERIES[name](spark, sf_dir)
         want = con.execute(sql)
