@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -96,3 +97,14 @@ def test_chunks_as_one_fold(spark, sf_dir):
     got = vocabulary.pack(docs.select("doc_id", docs.source.alias("domain"), "text"), ONE, 64, catalog.END)
     assert {(r.domain, r.seq): (r.tokens, r.padding) for r in got.collect()} == want
     assert catalog.QUERIES["pack_encoded_sentences"](spark, sf_dir).filter("n_tokens + padding <> 256").count() == 0
+
+
+@pytest.mark.parametrize("sizes", [[], [0, 0], [3, 0, 4, 1, 9, 2, 2, 0, 30, 1], [5] * 50])
+def test_batches_are_worked_on_in_parts(sizes):
+    at, most = np.cumsum([0, *sizes]), 10
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes)), pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.arange(at[-1]), pa.int64()))], ["idx", "tokens"])
+    parts = list(vocabulary.parts_of(iter([batch]), most))
+    assert [x for p in parts for x in p.to_pylist()] == batch.to_pylist()
+    assert all(sum(map(len, p.column(1).to_pylist()[:-1])) < most for p in parts if p.num_rows)
+    # beyond one row's own elements no part has more than `most`
+    assert len(parts) >= sum(sizes) // (most + max(sizes, default=0))
