@@ -23,10 +23,26 @@ def log_windows(log: DataFrame, every: int) -> DataFrame:
     return log.groupBy(F.floor(F.col("step") / every).alias("window"), "name").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
 
 
+def ordered_mean(value: str, order: str) -> Column:
+    """An aggregate: the mean of value, added up in the order of a column and not as tasks happen to meet, so that it is the
+    same to the last bit on every run. A group's values are in one row: for groups that a window bounds."""
+    rows = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))))
+    return F.aggregate(rows, F.lit(0.0), lambda s, x: s + x["v"], lambda s: F.try_divide(s, F.size(rows)))
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """A number with so many decimals, its exact binary value rounded half to even as C's printf does; format_string rounds
+    the shortest decimal that stands for it half up."""
+    size = F.when(F.isnan(value), "nan").when(value == float("inf"), "inf").when(value == -float("inf"), "-inf")
+    return F.when(value.isNotNull(), F.coalesce(size, F.call_function("format_number", value, F.lit("0." + "0" * digits))))
+
+
 def log_lines(log: DataFrame) -> DataFrame:
-    """step, line: the metrics of a step, names in order, four decimals, joined by bars."""
-    item = F.format_string("%s: %.4f", "name", "value")
-    return log.groupBy("step").agg(F.array_join(F.array_sort(F.collect_list(item)), " | ").alias("line"))
+    """step, line: the metrics of a step, names in order, four decimals, joined by bars. A metric without a name or a value
+    has no place in the line; a step with none has no line."""
+    item = F.concat("name", F.lit(": "), fixed(F.col("value"), 4))
+    items = F.array_sort(F.collect_list(F.when(item.isNotNull(), F.struct("name", item.alias("item")))))
+    return log.groupBy("step").agg(F.when(F.size(items) > 0, F.array_join(F.transform(items, lambda x: x["item"]), " | ")).alias("line"))
 
 
 def at_checkpoints(log: DataFrame, interval: int) -> DataFrame:

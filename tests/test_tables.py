@@ -145,3 +145,18 @@ def test_means_at_checkpoints(spark):
     log = spark.createDataFrame([(s, "loss", float(s)) for s in (0, 1, 10, 11, 20, 25)], "step long, name string, value double")
     assert sorted(map(tuple, evaluation.at_checkpoints(log, 10).collect())) == [(10, "loss", 11 / 3, 3), (20, "loss", 15.5, 2)]
     assert evaluation.at_checkpoints(log.limit(0), 10).count() == 0
+
+
+def test_log_lines_print_the_exact_value(spark):
+    values = [k / 80000 + 64 for k in range(1, 200, 2)] + [0.5, 1.00005, 2.00015, -3.00025, 123456789.03125, float("inf"), -float("inf")]
+    log = spark.createDataFrame([(i, "m", v) for i, v in enumerate(values)], "step long, name string, value double")
+    assert {r.step: r.line for r in evaluation.log_lines(log).collect()} == {i: "m: %.4f" % v for i, v in enumerate(values)}
+    odd = spark.createDataFrame([(1, "a", 1.0), (1, "a!", 2.0), (1, None, 3.0), (1, "b", None), (2, "a", None), (3, "a", float("nan"))], "step long, name string, value double")
+    assert {r.step: r.line for r in evaluation.log_lines(odd).collect()} == {1: "a: 1.0000 | a!: 2.0000", 2: None, 3: "a: nan"}
+
+
+def test_means_do_not_depend_on_the_tasks(spark):
+    values = [1e16, 1.0, -1e16, 3.0, None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)][::-1], "at long, v double").repartition(3)
+    assert rows.agg(evaluation.ordered_mean("v", "at").alias("m")).first().m == (((1e16 + 1.0) - 1e16) + 3.0) / 4
+    assert rows.filter("v is null").groupBy("at").agg(evaluation.ordered_mean("v", "at").alias("m")).first().m is None
