@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,17 +36,22 @@ def pad(values: Column, size: int, fill: Column, left: bool = False) -> Column:
     return F.concat(more, values) if left else F.concat(values, more)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often use names it; in a lambda it would be once for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def trim_pads(values: Column, fill: int) -> Column:
     """Without trailing fill; an array of nothing else stays."""
     last = F.array_max(F.filter(F.transform(values, lambda x, i: F.when(x != fill, i + 1)), lambda x: x.isNotNull()))
-    return F.when(last.isNull(), values).otherwise(F.slice(values, F.lit(1), last))
+    return _once(last, lambda n: F.when(n.isNull(), values).otherwise(F.slice(values, F.lit(1), n)))
 
 
 def split_array(values: Column, mark: int) -> Column:
-    """Sub-arrays between marks, with what follows the last one, empty or not."""
+    """Sub-arrays between marks, with what follows the last one, empty or not; null of null."""
     at = F.filter(F.transform(values, lambda x, i: F.when(x == mark, i)), lambda x: x.isNotNull())
     edges = F.concat(F.array(F.lit(-1)), at, F.array(F.size(values)))
-    return F.transform(F.sequence(F.lit(0), F.size(edges) - 2), lambda i: F.slice(values, F.get(edges, i) + 2, F.get(edges, i + 1) - F.get(edges, i) - 1))
+    return _once(edges, lambda e: F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda i: F.slice(values, F.get(e, i) + 2, F.get(e, i + 1) - F.get(e, i) - 1)))
 
 
 def softmax(x: Column, temperature: float = 1.0) -> Column:

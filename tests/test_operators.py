@@ -281,3 +281,11 @@ def test_scores_whichever_way_words_meet_their_counts(spark, common):
     want = {i: tuple(sum(x) / len(x) for x in zip(*xs, strict=True)) for i, xs in want.items() if xs}
     scores = corpus.language_model_scores(spark.createDataFrame(docs, "doc_id long, source string, text string"), common=common)
     assert {r.idx: (pytest.approx(r.large), pytest.approx(r.small)) for r in scores.collect()} == want
+
+
+def test_marks_of_an_array_are_looked_for_once(spark):
+    frame = spark.createDataFrame([([1, 46, 46, 2],), ([46],), ([],), (None,)], "t array<int>")
+    split, trimmed = X.split_array(F.col("t"), 46).alias("s"), X.trim_pads(F.col("t"), 46).alias("p")
+    assert [(r.s, r.p) for r in frame.select(split, trimmed).collect()] == [([[1], [], [2]], [1, 46, 46, 2]), ([[], []], [46]), ([[]], []), (None, None)]
+    for c in (split, trimmed):  # a second time would be one for each part: the square of a text's length
+        assert frame.select(c).columns and str(frame.select(c)._jdf.queryExecution().analyzed()).count("filter(") == 1
