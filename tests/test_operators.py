@@ -4,6 +4,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,3 +290,23 @@ def test_marks_of_an_array_are_looked_for_once(spark):
     assert [(r.s, r.p) for r in frame.select(split, trimmed).collect()] == [([[1], [], [2]], [1, 46, 46, 2]), ([[], []], [46]), ([[]], []), (None, None)]
     for c in (split, trimmed):  # a second time would be one for each part: the square of a text's length
         assert frame.select(c).columns and str(frame.select(c)._jdf.queryExecution().analyzed()).count("filter(") == 1
+
+
+@pytest.mark.parametrize("flush", [False, True])
+@pytest.mark.parametrize("bos", [None, 7])
+def test_streams_are_packed_in_blocks(bos, flush):
+    rng = np.random.default_rng(3)
+    docs = [(rng.integers(0, 12, n).astype(np.int32), rng.integers(0, 2, n).astype(bool)) for n in [0, 3, 1, 40, 2, 5, 0, 11, 17, 1, 1, 30]]
+    options = (8, 0, {9, 4}, frozenset([3]), bos, 3, False)
+    whole = list(corpus.pack_stream(docs, *options, flush))
+    head = (np.array([5, 9, 1, 2], np.int32), np.array([True, False, True, False]))
+    for n in (1, 2, 5, len(docs)):
+        blocks = [docs[i : i + n] for i in range(0, len(docs), n)]
+        assert [c for chunks in corpus.pack_blocks(blocks, *options, flush_tail=flush) for c in chunks] == whole
+        carried = slice(0, 5)
+        assert corpus.table_of_blocks(blocks, head, *options)[carried].tolist() == corpus.leftovers(docs, head, *options)[carried].tolist()
+    tables = [pa.RecordBatch.from_pylist([{"_at": i + 20 * k, "tokens": t.tolist(), "spaced": s.tolist()} for i, (t, s) in enumerate(docs)], pa.schema([("_at", pa.int64()), ("tokens", pa.list_(pa.int32())), ("spaced", pa.list_(pa.bool_()))])) for k in range(2)]
+    blocks = list(corpus.blocks_of(iter(tables), 10))
+    assert [x[1].tolist() for b in blocks for x in b] == [t.tolist() for _ in range(2) for t, _ in docs] and all(sum(len(x[1]) for x in b[:-1]) < 10 for b in blocks)
+    with pytest.raises(ValueError, match="not in order"):
+        list(corpus.blocks_of(iter(tables[::-1]), 10))
