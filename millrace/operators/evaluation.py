@@ -58,8 +58,10 @@ def at_checkpoints(log: DataFrame, interval: int) -> DataFrame:
 def write_evals(preds: DataFrame, results: DataFrame, path: str) -> None:
     """Predictions and results (step, ...) of evaluations below path, a folder for each step; steps that are there already
     are replaced, others stay."""
+    # a stated number: else few bytes, which may be many folders, are put together in few tasks
+    n = int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for name, table in (("preds", preds), ("results", results)):
-        table.repartition("step").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("step").parquet(f"{path}/eval/{name}")
+        table.repartition(n, "step").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("step").parquet(f"{path}/eval/{name}")
 
 
 def read_evals(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -160,3 +160,10 @@ def test_means_do_not_depend_on_the_tasks(spark):
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)][::-1], "at long, v double").repartition(3)
     assert rows.agg(evaluation.ordered_mean("v", "at").alias("m")).first().m == (((1e16 + 1.0) - 1e16) + 3.0) / 4
     assert rows.filter("v is null").groupBy("at").agg(evaluation.ordered_mean("v", "at").alias("m")).first().m is None
+
+
+def test_folders_of_steps_are_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(40).select(F.col("id").alias("step"), F.lit("m").alias("name"), F.lit(1.0).alias("mean"))
+    evaluation.write_evals(rows, rows, str(tmp_path))
+    files_ = list(tmp_path.glob("eval/preds/step=*/part-*.parquet"))
+    assert len(files_) == 40 and len({f.name[:10] for f in files_}) > 1
