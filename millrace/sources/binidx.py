@@ -184,6 +184,13 @@ class Slice(InputPartition):
         return np.arange(self.first, self.last) if self.listed is None else self.listed
 
 
+class Slices(InputPartition):
+    """Slices that one task reads in order."""
+
+    def __init__(self, parts: list[Slice]):
+        super().__init__(parts)
+
+
 class Chosen:
     """Conditions on idx, shard and local_idx, all of which hold."""
 
@@ -315,12 +322,20 @@ class StreamReader(DataSourceStreamReader):
         start = self.at or self._planned()
         return self._slices(start or self.initialOffset(), self.per_batch if start else None)[1]
 
-    def partitions(self, start: dict, end: dict) -> list[Slice]:
+    def partitions(self, start: dict, end: dict) -> list[Slices]:
+        """Neighbouring slices of `rowsPerTask` rows together: many short shards are few tasks."""
         self.at = end
-        return self._slices(start, None, end)[0] or [Slice(-1, 0, 0, 0)]
-
-    def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
-        if part.shard >= 0:
+        out, rows = [Slices([])], 0
+        for part in self._slices(start, None, end)[0]:
+            n = part.last - part.first
+            if rows and rows + n > self.per_task:
+                out, rows = [*out, Slices([])], 0
+            out[-1].value.append(part)
+            rows += n
+        return out
+
+    def read(self, parts: Slices) -> Iterator[pa.RecordBatch]:
+        for part in parts.value:
             yield from read_rows(self.path, self.name, part.shard, part.base, part.rows)
 
 

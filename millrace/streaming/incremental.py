@@ -89,10 +89,11 @@ def pack_arriving_until_silent(stream: DataFrame, length: int, eos: int, ends: l
 
 
 def shards_to_table(spark: SparkSession, path: str, out: str, checkpoint: str, name: str = "data", per_batch: int = 1_000_000) -> None:
-    """Add the rows of the shards below path that are not in the table out yet, at most per_batch at a time. The
-    table's log and the query's checkpoint see to it that each row is in it once, whenever the job was stopped."""
+    """Add the rows of the shards below path that are not in the table out yet, at most per_batch at a time, in some two
+    tasks for each core. The table's log and the query's checkpoint see to it that each row is in it once, whenever the job was stopped."""
     spark.dataSource.register(binidx.BinIdx)
-    rows = spark.readStream.format("binidx").options(path=path, name=name, rowsPerBatch=per_batch, checkpoint=checkpoint).load()
+    per_task = min(100_000, max(1000, per_batch // (2 * spark.sparkContext.defaultParallelism)))
+    rows = spark.readStream.format("binidx").options(path=path, name=name, rowsPerBatch=per_batch, rowsPerTask=per_task, checkpoint=checkpoint).load()
     query = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
     try:
         query.processAllAvailable()

@@ -9,6 +9,7 @@ from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
 from millrace.operators import sequences
+from millrace.plans import catalog
 from millrace.sources import binidx
 from millrace.streaming import incremental
 
@@ -172,3 +173,24 @@ def test_a_stopped_stream_of_shards_goes_on(spark, tmp_path):
     ends = [json.loads((tmp_path / "mark" / "offsets" / str(n)).read_text().splitlines()[-1])["idx"] for n in range(len(list((tmp_path / "mark" / "offsets").glob("[0-9]*"))))]
     assert max(b - a for a, b in zip([0, *ends], ends, strict=False)) <= 7 and ends[-1] == 70
     assert spark.read.schema(binidx.SCHEMA).parquet(out).agg(F.count_distinct("idx")).first()[0] == 70
+
+
+def test_many_short_shards_are_few_tasks_of_a_stream(spark, tmp_path):
+    stored(spark, tmp_path / "s", (3, 4, 2, 9, 1))
+    reader = binidx.StreamReader({"path": str(tmp_path / "s"), "rowsPerTask": "7"})
+    end = {"shard": 4, "row": 1, "idx": 19}
+    parts = reader.partitions(reader.initialOffset(), end)
+    assert [[(s.shard, s.first, s.last) for s in p.value] for p in parts] == [[(0, 0, 3), (1, 0, 4)], [(2, 0, 2)], [(3, 0, 7)], [(3, 7, 9), (4, 0, 1)]]
+    assert [i for p in parts for batch in reader.read(p) for i in batch.column(0).to_pylist()] == list(range(19))
+    assert list(reader.read(reader.partitions(end, end)[0])) == []
+
+
+def test_micro_batches_do_not_grow_in_number_with_the_table(spark, sf_dir, monkeypatch):
+    sizes = []
+    run = incremental.shards_to_table
+    monkeypatch.setattr(catalog, "SHARD", 5)
+    monkeypatch.setattr(incremental, "shards_to_table", lambda *a, per_batch: (sizes.append(per_batch), run(*a, per_batch=per_batch)))
+    rows = catalog.QUERIES["streamed_shards"](spark, sf_dir)
+    n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert sizes == [-(-n // 16)] and sizes[0] > 10
+    assert sorted(r.idx for r in rows.select("idx").collect()) == list(range(n))
