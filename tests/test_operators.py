@@ -284,6 +284,15 @@ def test_scores_whichever_way_words_meet_their_counts(spark, common):
     assert {r.idx: (pytest.approx(r.large), pytest.approx(r.small)) for r in scores.collect()} == want
 
 
+def test_common_words_never_become_rows(spark):
+    docs = spark.createDataFrame([(1, "a", "x Y q y q"), (1, "a", "x"), (2, "b", "x"), (3, None, "x"), (4, "a", " "), (None, "a", "y")], "doc_id long, source string, text string")
+    costs = spark.createDataFrame([("a", "x", 1.0, 2.0), ("a", "y", 0.5, 0.25), ("c", "q", 9.0, 9.0)], "source string, tok string, large double, small double")
+    own = [(1, None, "1", 5, 2.0, 2.5), (1, None, "1", 1, 1.0, 2.0), (2, None, "2", 1, 0.0, 0.0), (None, None, None, 1, 0.5, 0.25)]
+    rest = [(1, "a", "q", 2, None, None), (2, "b", "x", 1, None, None)]
+    assert Counter(map(tuple, corpus._priced(docs, costs).collect())) == Counter(own + rest)
+    assert Counter(map(tuple, corpus._priced(docs, costs.limit(0)).filter("source is null").select("doc_id", "n", "large").collect())) == Counter([(1, 5, 0.0), (1, 1, 0.0), (2, 1, 0.0), (None, 1, 0.0)])
+
+
 def test_marks_of_an_array_are_looked_for_once(spark):
     frame = spark.createDataFrame([([1, 46, 46, 2],), ([46],), ([],), (None,)], "t array<int>")
     split, trimmed = X.split_array(F.col("t"), 46).alias("s"), X.trim_pads(F.col("t"), 46).alias("p")
