@@ -86,13 +86,15 @@ def reports(scores: DataFrame, value: str, fractions: tuple[float, ...] = (0.001
 
 
 def report_rows(report: DataFrame, scores: DataFrame, dataset: DataFrame) -> DataFrame:
-    """report with both models' scores and the row of dataset of each idx."""
-    return report.join(scores.select("idx", "large", "small"), "idx").join(dataset, "idx")
+    """report with both models' scores and the row of dataset of each idx. A report has a stated number of rows: it is sent
+    to the tables, which stay where they are."""
+    return F.broadcast(F.broadcast(report).join(scores.select("idx", "large", "small"), "idx")).join(dataset, "idx")
 
 
 def report_lines(report: DataFrame, texts: DataFrame) -> DataFrame:
-    """value: one block of text for each report row, with its scores; for a text sink."""
-    return report.join(texts, "idx").select(F.format_string("##### %s | idx %d | score %.4f #####\n%s\n", "report", "idx", "value", "text").alias("value"))
+    """value: one block of text for each report row, with its scores; for a text sink. The texts stay where
+    they are, as a report has a stated number of rows."""
+    return F.broadcast(report).join(texts, "idx").select(F.format_string("##### %s | idx %d | score %.4f #####\n%s\n", "report", "idx", "value", "text").alias("value"))
 
 
 def keep_rows(table: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -293,6 +293,19 @@ def test_common_words_never_become_rows(spark):
     assert Counter(map(tuple, corpus._priced(docs, costs.limit(0)).filter("source is null").select("doc_id", "n", "large").collect())) == Counter([(1, 5, 0.0), (1, 1, 0.0), (2, 1, 0.0), (None, 1, 0.0)])
 
 
+def test_texts_stay_where_they_are_for_a_report(spark):
+    report = spark.createDataFrame([("top", 3, 0.5), ("bottom", 3, 0.5), ("top", 7, 0.25)], "report string, idx long, value double")
+    texts = spark.range(9).select(F.col("id").alias("idx"), F.concat(F.lit("t"), "id").alias("text"))
+    scores = spark.range(9).select(F.col("id").alias("idx"), F.lit(1.0).alias("large"), F.lit(2.0).alias("small"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for made, n in ((selection.report_lines(report, texts), 3), (selection.report_rows(report, scores, texts), 3)):
+            assert "hashpartitioning" not in made._jdf.queryExecution().executedPlan().toString() and made.count() == n
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_marks_of_an_array_are_looked_for_once(spark):
     frame = spark.createDataFrame([([1, 46, 46, 2],), ([46],), ([],), (None,)], "t array<int>")
     split, trimmed = X.split_array(F.col("t"), 46).alias("s"), X.trim_pads(F.col("t"), 46).alias("p")
