@@ -98,6 +98,46 @@ def test_hot_contexts_give_the_same(spark):
     assert got == {d: pytest.approx(model.row(t)[4], rel=1e-6) for d, t in rows}
 
 
+@pytest.mark.parametrize("most", [40, 10_000])
+def test_lots_of_several_slices_give_the_same(spark, most, small):
+    """A lot's slices are answered together, hot contexts (most 40) are summed up in the lot."""
+    docs = spark.createDataFrame([(i, " ".join(f"go {'stay ' * (j % 3)}x{(i * 7 + j) % (50 if i % 3 else 90)}" for j in range(40))) for i in range(60)], "doc_id long, text string")
+    docs = docs.union(small.select("doc_id", F.substring("text", 1, 600)).filter("doc_id between 100 and 140")).coalesce(2)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    model = Plain([t for d, t in rows if not held(d)])
+    got = {r.doc_id: r[2:] for r in katz.score(docs, train(), held=most, at_once=1500, share=4000).collect()}
+    assert got == {d: pytest.approx(model.row(t), rel=1e-6) for d, t in rows}
+
+
+def test_rows_exchanged_grow_with_the_table(spark, monkeypatch):
+    """Four times the text makes four times the parts: a lot grows with them, or there would be 16 times the rows."""
+
+    class Stop(Exception):
+        pass
+
+    def stop(dealt, parts):
+        raise Stop(dealt.filter(F.col("kind") == katz.WORDS).count())
+
+    def rows(n):
+        docs = spark.range(n).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('a', id % 91, ' b', id % 83, ' c', id % 79, ' d', id, ' '), 2000)").alias("text")).coalesce(1)
+        with pytest.raises(Stop) as found:
+            katz.score(docs, F.lit(True), held=4000)
+        return found.value.args[0]
+
+    monkeypatch.setattr(katz, "count_words", stop)
+    assert rows(400) < 6 * rows(100)
+
+
+def test_orders_of_numbers_that_do_not_fit():
+    rng = np.random.default_rng(5)
+    for most in (3, 1 << 20, katz.UNKNOWN):
+        columns = [rng.choice(rng.integers(0, most, 50, endpoint=True), 4000) for _ in range(4)]
+        order, new = katz.ranked(*columns)
+        rows = list(zip(*(c.tolist() for c in columns), range(4000), strict=True))
+        assert order.tolist() == [r[-1] for r in sorted(rows)]
+        assert int(new.sum()) == len({r[:-1] for r in rows}) and new[0]
+
+
 def test_empty_and_nothing_to_learn(empty, odd):
     assert katz.score(empty, train()).count() == 0
     out = katz.score(odd, F.lit(False)).collect()
